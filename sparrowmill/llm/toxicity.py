@@ -28,6 +28,8 @@ LEAST_DOCS = 4
 #: At most so many telling features go to every task, those of the greatest log-odds first.
 MOST_FEATURES = 60_000
 PRIOR = 50.0
+#: Log-odds must be this many standard deviations from 0.
+LEAST_Z = 2.5
 #: Log-odds from which a feature tells, and the penalty of other tokens.
 TELLS = 2.0
 PENALTY = -0.35
@@ -147,7 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # pooled frequency as prior: PRIOR pseudo-documents spread over a feature's own rate
     prior = F.least(F.lit(1.0), F.lit(PRIOR) / F.col("n"))
     odds = F.log((F.col("y") + share * prior) / (n1 + 1.0)) - F.log((F.col("n") - F.col("y") + (1 - share) * prior) / (n0 + 1.0))
-    tell = counts.where(F.col("n") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= TELLS)
+    spread = F.sqrt(1 / (F.col("y") + share * prior) + 1 / (F.col("n") - F.col("y") + (1 - share) * prior))
+    tell = counts.where(F.col("n") >= LEAST_DOCS).withColumn("odds", odds).where((F.col("odds") >= TELLS) & (F.col("odds") >= LEAST_Z * spread))
     found = {r["feature"]: min(8.0, r["odds"]) for r in tell.orderBy(F.desc("odds"), "feature").limit(MOST_FEATURES).collect()}
     model = Model(found, 1.0, 1.0, 1.0, -2.0)
 
@@ -171,8 +174,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     model.decay, model.scale = _extreme(law)
     x = np.array([model.evidence([(0, 1, r["best"])] * r["count"], r["n"]) for r in seen])
     y = np.array([r["toxic"] for r in seen], float)
-    w = np.where(y == 1, len(y) / max(1, y.sum()), len(y) / max(1, (1 - y).sum())) / 2 if len(y) else y
-    model.slope, model.offset = _calibrated(x, y, w)
+    # learned rows stand for the labelled rows of their label
+    w = np.where(y == 1, sizes[1] / max(1, n1), sizes[0] / max(1, n0))
+    model.slope, model.offset = _calibrated(x, y, w * len(y) / max(1e-9, w.sum()))
     return model
 
 
