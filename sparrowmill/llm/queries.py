@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, langid, substring_dedup, token_files, toxicity
+from . import bpe, jaccard_join, langid, mixing, substring_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "begin", "end", "first_doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_jaccard_join, op6_token_files, op7_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op6_token_files, op7_bpe, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": r"""
         WITH RECURSIVE words AS (
