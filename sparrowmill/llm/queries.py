@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, langid, mixing, substring_dedup, token_files, toxicity
+from . import bpe, jaccard_join, langid, merkle, mixing, substring_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,7 +44,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "begin", "end", "first_doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op6_token_files, op7_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op5_fingerprints, op6_token_files, op7_bpe, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": r"""
         WITH RECURSIVE words AS (
