@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, langid, merkle, mixing, substring_dedup, token_files, toxicity
+from . import bpe, jaccard_join, langid, merkle, mixing, substring_dedup, token_files, toxicity, vector_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +40,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_files.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "begin", "end", "first_doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op5_fingerprints, op6_token_files, op7_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op5_fingerprints, op6_token_files, op7_bpe, op8_warc, op9_exact_top_k, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": r"""
         WITH RECURSIVE words AS (
@@ -64,4 +72,20 @@ ORACLE_SQL: dict[str, str] = {
             UNION SELECT links.v AS doc_id, reached.root FROM reached JOIN links ON links.u = reached.doc_id)
         SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id
         FROM documents d JOIN (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id) r USING (doc_id) LEFT JOIN sizes s USING (doc_id)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        kept AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM p LEFT JOIN kept USING (payload_digest)""",
+    "op9_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT::DOUBLE) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10""",
 }
