@@ -1 +1,6 @@
+"""Registered queries, one for each operator, with the SQL that gives the same result."""
 
+from . import relational_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
