@@ -93,10 +93,9 @@ class ByteBPE:
 
     def _cut(self, text: str) -> list[str] | None:
         """The units of a text, those after a line feed with it in front; None if it must go whole."""
-        units = text.replace("\n", " \n").split(" ")
-        # white space of any other kind or place makes another count of words
-        plain = len(text.split()) == len(units) and text[0] != "\n" and not any(s in text for s in self.special)
-        return units if plain else None
+        # white space of any other kind or place gives other words
+        plain = text.split() == text.replace("\n", " ").split(" ") and not any(s in text for s in self.special)
+        return text.replace("\n", " \n").split(" ") if plain else None
 
 
 def byte_encoder(path: str) -> ByteBPE:
