@@ -33,6 +33,8 @@ LEAST_Z = 2.5
 #: Log-odds from which a feature tells, and the penalty of other tokens.
 TELLS = 2.0
 PENALTY = -0.35
+#: The evidence of a text without any passage, empty texts included.
+NO_PASSAGE = -5.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -98,8 +100,8 @@ class Model:
 
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> float:
         """Minus the log of the chance of a text's passages: each normalised, the excess added up."""
-        bits = [self.decay * s - math.log(max(self.scale * n, 1e-9)) for _, _, s in found]
-        return max(bits) + math.log1p(sum(1 for b in bits if b > 0)) if bits else -math.log(max(self.scale * n, 1e-9)) - 1
+        bits = [self.decay * s - math.log(max(self.scale * max(n, 1), 1e-9)) for _, _, s in found]
+        return max(bits) + math.log1p(sum(1 for b in bits if b > 0)) if bits else NO_PASSAGE
 
     def score(self, evidence: float) -> float:
         z = self.slope * evidence + self.offset
