@@ -123,18 +123,16 @@ def learn(docs: DataFrame, most: int = LEARNED_PER_LANGUAGE) -> tuple[list[str],
     return langs, out
 
 
-PREDICTED = fields(doc_id=T.LongType(), lang_pred=T.StringType(), score=T.DoubleType())
-
-
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, extra: list[str] | None = None) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` of every row, and the columns named in ``extra``.
+def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, extra: list[str] | None = None, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``doc_id``, the language and score of every row, and the columns named in ``extra``.
 
     A null text, one without letters, or a model without languages gives ``und`` and 0.  The
     score is the cosine with the best prototype, 0 if negative; ties go to the first language
     by code point.
     """
     extra = extra or []
-    schema = T.StructType([*PREDICTED.fields, *[docs.schema[c] for c in extra]])
+    made = [T.StructField("doc_id", T.LongType()), T.StructField(named[0], T.StringType()), T.StructField(named[1], T.DoubleType())]
+    schema = T.StructType([*made, *[docs.schema[c] for c in extra]])
     proto = prototypes.astype(np.float32).T.copy()
 
     def run(batches):
