@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``lang`` becomes the identified language.
     """
     langs, prototypes = langid.learn(docs.where(~langid.held_out()))
-    named = langid.predict(docs, langs, prototypes, extra=[c for c in docs.columns if c != "doc_id"])
-    return named.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    named = langid.predict(docs, langs, prototypes, extra=[c for c in docs.columns if c != "doc_id"], named=("__lang", "__score"))
+    return named.where("__lang <> 'und'").withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
