@@ -9,7 +9,6 @@ sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("TZ", "UTC")
 
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -3,8 +3,7 @@
 import pytest
 from sparrowmill import plans
 
-from compare import connect, rows_of_spark, rows_of_sql
-from conftest import SF
+from compare import SF, connect, rows_of_spark, rows_of_sql
 
 LEAST_ROWS = {"spoken_numbers", "extract_interview", "extract_order", "verify_literal", "semantic_chunk"}
 
