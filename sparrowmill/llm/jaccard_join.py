@@ -9,8 +9,8 @@ cost decides, band by band, how many segments there are, how many have the neigh
 many subsets a set may ignore: the spare ones, which it spends on its most frequent subsets.
 
 Equal sets are one class from the start.  Links are found in two rounds: first every set with the
-least set of each of its buckets, which joins groups of copies at the cost of a row each; then all
-remaining pairs of different components that share a bucket.  Every pair is verified on its words.
+set that is most often the least of its buckets, which joins groups of copies at the cost of a row
+each; then all remaining pairs of different components that share a bucket.  Every pair is verified on its words.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..scratch import written
+from ..scratch import discard, release, written
 from ._arrow import batches_of, fields, utf8
 from ._hashing import LOWER, U, joined, mix, range_hashes, word_ranges
 from .components import components
@@ -46,7 +46,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     first = np.searchsorted(begin, text_begin).tolist()
     out = []
     with np.errstate(over="ignore"):
-        rolled = sum((words[i : len(words) - WORDS + 1 + i] * _PLACE[i] for i in range(WORDS)), np.zeros(max(0, len(words) - WORDS + 1), np.uint64))
+        most = max(0, len(words) - WORDS + 1)
+        rolled = sum((words[i : i + most] * _PLACE[i] for i in range(WORDS)), np.zeros(most, np.uint64))
         rolled = mix(rolled, 22)
         for a, b in zip(first, first[1:]):
             if b - a >= WORDS:
@@ -159,21 +160,42 @@ def signatures(sets: list[np.ndarray], keys: np.ndarray, plan: dict[int, tuple[i
     return np.concatenate([exact, deleted]).view(np.int64), np.concatenate([mine[owner], mine[part[chosen]]])
 
 
-CLASSED = fields(doc_id=T.LongType(), n_shingles=T.LongType(), key=T.LongType(), key2=T.LongType(), band=T.IntegerType())
+def sketches(sets: list[np.ndarray], below: int) -> list[bytes]:
+    """One byte for each segment of a fixed partition in the space of a set's band, or the one below.
+
+    Two sets differ in at least as many elements as their bytes in the same space differ, so a
+    pair with more differing bytes than a link allows is no link.
+    """
+    spaces = np.searchsorted(band_begins(), [len(s) for s in sets], side="right") - 1 - below
+    count = np.array([2 * (most_differences(b) + 1) if b >= 0 and len(s) else 0 for b, s in zip(spaces.tolist(), sets, strict=True)], np.int64)
+    sizes = np.array([len(s) if c else 0 for s, c in zip(sets, count.tolist(), strict=True)], np.int64)
+    if not sizes.sum():
+        return [b""] * len(sets)
+    flat = np.concatenate([s for s, c in zip(sets, count.tolist(), strict=True) if c])
+    part = np.repeat(np.arange(len(sets)), sizes)
+    offset = np.cumsum(count) - count
+    segment = (mix(flat ^ mix(spaces.clip(0).astype(np.uint64), 61)[part]) >> U(11)).astype(np.int64) % count[part]
+    sums = np.bincount(offset[part] + segment, (mix(flat, 62) & U(0xFF)).astype(float), int(count.sum()))
+    data = (sums % 256).astype(np.uint8).tobytes()
+    return [data[a : a + n] for a, n in zip(offset.tolist(), count.tolist(), strict=True)]
+
+
+CLASSED = fields(doc_id=T.LongType(), n_shingles=T.LongType(), key=T.LongType(), key2=T.LongType(), band=T.IntegerType(), own=T.BinaryType(), low=T.BinaryType())
 SIGNED = fields(sig=T.LongType(), key=T.LongType())
 
 
 def classed(docs: DataFrame) -> DataFrame:
-    """Per row: the size of its set, the two keys of the set, and its size band."""
+    """Per row: the size of its set, the two keys of the set, its size band and its sketches."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             texts = utf8(batch.column("text"))
             for a, b in batches_of(texts):
-                sizes, key, key2 = set_keys(shingle_sets(texts[a:b]))
+                sets = shingle_sets(texts[a:b])
+                sizes, key, key2 = set_keys(sets)
                 bands = (np.searchsorted(band_begins(), sizes, side="right") - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes), pa.array(key), pa.array(key2), pa.array(bands)], names=CLASSED.names)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes), pa.array(key), pa.array(key2), pa.array(bands), pa.array(sketches(sets, 0), pa.binary()), pa.array(sketches(sets, 1), pa.binary())], names=CLASSED.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, CLASSED)
 
@@ -255,6 +277,29 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stream.mapInArrow(run, LINKS)
 
 
+PAIR = fields(u=T.LongType(), v=T.LongType(), u_key=T.LongType(), v_key=T.LongType())
+
+
+def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose sketches don't rule a link out; ``pairs``, a scratch table, is used up."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    drawn = having(rows.select("doc_id", "key", "band", "n_shingles", "own", "low"), ids)
+    side = lambda x: drawn.select(F.col("doc_id").alias(x), F.col("key").alias(f"{x}_key"), *[F.col(c).alias(f"{x}_{c}") for c in ("band", "n_shingles", "own", "low")])
+    both = pairs.join(side("u"), ["u", "u_key"]).join(side("v"), ["v", "v_key"]).where("abs(u_band - v_band) <= 1")
+    a = F.when(F.col("u_band") <= F.col("v_band"), F.col("u_own")).otherwise(F.col("u_low"))
+    b = F.when(F.col("v_band") <= F.col("u_band"), F.col("v_own")).otherwise(F.col("v_low"))
+    drawn_pairs = both.select(*PAIR.names, F.floor((F.col("u_n_shingles") + F.col("v_n_shingles")) / 9).alias("most"), a.alias("a"), b.alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            keep = [x is not None and int(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))) <= most for x, y, most in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "most")], strict=True)]
+            yield batch.select(PAIR.names).filter(pa.array(keep, pa.bool_()))
+
+    out = written(drawn_pairs.mapInArrow(run, PAIR).distinct(), "possible")
+    discard(pairs)
+    return out
+
+
 # the join
 
 def similarity_groups(docs: DataFrame) -> DataFrame:
@@ -269,7 +314,7 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     classes = written(rows.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("band").alias("band")), "classes")
     crowds = {r["band"]: r["count"] for r in classes.groupBy("band").count().collect()}  # a row for each band: under 100
     plan = {b: allot(b, crowds.get(b, 0) + crowds.get(b + 1, 0)) for b in range(-1, max(crowds, default=-1) + 1) if b >= 0 and crowds.get(b, 0)}
-    links = _links(docs, classes, plan)
+    links = _links(docs, rows, classes, plan)
     roots = components(links) if links is not None else None
     named = rows.join(classes.select("key", "key2", "rep"), ["key", "key2"], "left")
     if roots is not None:
@@ -277,33 +322,42 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     else:
         named = named.withColumn("root", F.lit(None).cast("long"))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
-    return named.select("doc_id", "n_shingles", own.alias("component_id"))
+    result = written(named.select("doc_id", "n_shingles", own.alias("component_id")), "groups")
+    discard(rows, classes, links)
+    release(docs.sparkSession)
+    return result
 
 
-def _links(docs: DataFrame, classes: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame | None:
+def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame | None:
     if not any(p[0] for p in plan.values()):
         return None
     bucket = Window.partitionBy("sig")
     met = _signed(docs, plan).withColumns({"least": F.min("key").over(bucket), "most": F.max("key").over(bucket), "often": F.count("*").over(bucket)})
-    shared = written(met.where("least <> most").select("sig", "key", "least", "often"), "shared").dropDuplicates(["sig", "key"])
+    shared = written(met.where("least <> most").select("sig", "key", "least", "often"), "shared")
+    release(docs.sparkSession)
     known = classes.where("rep is not null").select("key", "rep", "n")
-    # first round: each set with the least of its buckets, where that is so more than once
-    stars = shared.where("key <> least").groupBy("key", "least").agg(F.count("*").alias("times")).where("times > 1").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    first = written(verify(_named(stars, known), docs), "links")
+    # first round: each set with the set that is most often the least of its buckets
+    distinct = shared.dropDuplicates(["sig", "key"])  # tasks may have given a key's rows twice
+    times = shared.where("key <> least").groupBy("key", "least").agg(F.count("*").alias("times")).where("times > 1")
+    stars = times.join(classes.select("key", "n").groupBy("key").agg(F.min("n").alias("n")), "key").where("times >= 0.02 * n").groupBy(F.col("key").alias("b")).agg(F.max_by("least", F.struct("times", "least")).alias("a"))
+    likely = possible(_named(stars, known), rows)
+    first = written(verify(likely, docs), "links")
     roots = components(first)
     # second round: what is still apart
     labelled = known.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").groupBy("key").agg(F.min(F.coalesce("root", "rep")).alias("root"))
     spare = F.create_map(*[F.lit(x) for b, p in plan.items() for x in (b, p[2])])
     space = F.shiftright(F.col("sig").bitwiseAND(0xFE), 1).cast("int")
     order = Window.partitionBy("key", "space", F.col("sig").bitwiseAND(1)).orderBy(F.desc("often"), "sig")
-    ranked = shared.withColumn("space", space).withColumn("place", F.row_number().over(order)).withColumn("kept", (F.col("sig").bitwiseAND(1) == 1) | (F.col("place") > spare[F.col("space")]))
+    ranked = distinct.withColumn("space", space).withColumn("place", F.row_number().over(order)).withColumn("kept", (F.col("sig").bitwiseAND(1) == 1) | (F.col("place") > spare[F.col("space")]))
     apart = ranked.select("sig", "key", "kept").join(labelled, "key").withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "any": F.max("kept").over(bucket)}).where("low <> high and any").select("sig", "key", "kept", "root")
     apart = written(apart, "apart")
     a, b = apart.alias("a"), apart.alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & F.col("a.kept") & (~F.col("b.kept") | (F.col("a.key") < F.col("b.key"))))
     pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
-    second = verify(_named(pairs, known), docs)
-    return first.union(written(second, "links"))
+    rest = possible(_named(pairs, known), rows)
+    every = written(first.union(verify(rest, docs)), "links")
+    discard(shared, apart, likely, rest, first)
+    return every
 
 
 def _named(pairs: DataFrame, known: DataFrame) -> DataFrame:
