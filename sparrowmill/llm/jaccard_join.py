@@ -8,9 +8,10 @@ neighbourhood (worth two differences), equal after deleting one element from one
 cost decides, band by band, how many segments there are, how many have the neighbourhood, and how
 many subsets a set may ignore: the spare ones, which it spends on its most frequent subsets.
 
-Equal sets are one class from the start.  Links are found in two rounds: first every set with the
-set that is most often the least of its buckets, which joins groups of copies at the cost of a row
-each; then all remaining pairs of different components that share a bucket.  Every pair is verified on its words.
+Equal sets are one class from the start.  Sets whose shared
+subsets are too few for any link go.  Links are then found in rounds: twice every set meets a few
+leaders of its buckets, which joins groups of copies at the cost of a few rows each; then come all
+remaining pairs of different components that share a bucket.  Every pair is verified on its words.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .id_filter import having
 
 WORDS = 5
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64), 21) | U(1)
+#: Rounds in which every set meets a few leaders of its buckets, and leaders of a bucket.
+TURNS, LEADERS = 2, 8
 #: Pairs of one set that a task verifies against it at most in one go; sets with more are dealt out.
 PAIRS_A_CHUNK = 256
 
@@ -100,7 +103,7 @@ def allot(band: int, crowd: int) -> tuple[int, int, int]:
     if not differences:
         return 0, 0, 0
     best = None
-    for spare in sorted({math.ceil((differences + 1) * x) for x in (0.1, 0.2, 0.35)}):
+    for spare in sorted({math.ceil((differences + 1) * x) for x in (0.2, 0.35, 0.5)}):
         need = differences + 1 + spare
         for wide in sorted({need // 2 * k // 4 for k in range(5)}):
             count = need - wide
@@ -332,34 +335,78 @@ def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, plan: dict[int,
     if not any(p[0] for p in plan.values()):
         return None
     bucket = Window.partitionBy("sig")
-    met = _signed(docs, plan).withColumns({"least": F.min("key").over(bucket), "most": F.max("key").over(bucket), "often": F.count("*").over(bucket)})
-    shared = written(met.where("least <> most").select("sig", "key", "least", "often"), "shared")
+    met = _signed(docs, plan).repartition(F.col("sig")).dropDuplicates(["sig", "key"]).withColumn("often", F.count("*").over(bucket))
+    shared = written(met.where("often > 1").select("sig", "key"), "shared")
     release(docs.sparkSession)
     known = classes.where("rep is not null").select("key", "rep", "n")
-    # first round: each set with the set that is most often the least of its buckets
-    distinct = shared.dropDuplicates(["sig", "key"])  # tasks may have given a key's rows twice
-    times = shared.where("key <> least").groupBy("key", "least").agg(F.count("*").alias("times")).where("times > 1")
-    stars = times.join(classes.select("key", "n").groupBy("key").agg(F.min("n").alias("n")), "key").where("times >= 0.02 * n").groupBy(F.col("key").alias("b")).agg(F.max_by("least", F.struct("times", "least")).alias("a"))
-    likely = possible(_named(stars, known), rows)
-    first = written(verify(likely, docs), "links")
-    roots = components(first)
-    # second round: what is still apart
-    labelled = known.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").groupBy("key").agg(F.min(F.coalesce("root", "rep")).alias("root"))
-    spare = F.create_map(*[F.lit(x) for b, p in plan.items() for x in (b, p[2])])
-    space = F.shiftright(F.col("sig").bitwiseAND(0xFE), 1).cast("int")
-    order = Window.partitionBy("key", "space", F.col("sig").bitwiseAND(1)).orderBy(F.desc("often"), "sig")
-    ranked = distinct.withColumn("space", space).withColumn("place", F.row_number().over(order)).withColumn("kept", (F.col("sig").bitwiseAND(1) == 1) | (F.col("place") > spare[F.col("space")]))
-    apart = ranked.select("sig", "key", "kept").join(labelled, "key").withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "any": F.max("kept").over(bucket)}).where("low <> high and any").select("sig", "key", "kept", "root")
+    rows_left, left = _crowded(shared, known, plan), None
+    for _ in range(2):  # what goes leaves others alone in their buckets
+        met = rows_left.withColumn("held", F.count("*").over(Window.partitionBy("key", "space"))).where("never or held > skip").drop("held")
+        met = met.withColumn("often", F.count("*").over(bucket)).where("often > 1").drop("often")
+        last, left = left, written(met, "crowded")
+        discard(last)
+        rows_left = left
+    discard(shared)
+    release(docs.sparkSession)
+    links = written(docs.sparkSession.createDataFrame([], LINKS), "links")
+    for turn in range(TURNS):
+        labelled = _labelled(known, links)
+        likely = possible(_named(_met_in_turn(left.join(labelled, "key"), turn), known), rows)
+        last, links = links, written(links.union(verify(likely, docs)), "links")
+        discard(last, likely)
+    labelled = _labelled(known, links)
+    order = Window.partitionBy("key", "space", "wide").orderBy(F.desc("often"), "sig")
+    ranked = left.withColumn("often", F.count("*").over(bucket)).withColumn("place", F.row_number().over(order)).withColumn("kept", F.col("wide") | (F.col("place") > F.col("skip")))
+    apart = ranked.select("sig", "key", "kept", "n").join(labelled, "key").withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "any": F.max("kept").over(bucket)}).where("low <> high and any").select("sig", "key", "kept", "root", "n")
     apart = written(apart, "apart")
     a, b = apart.alias("a"), apart.alias("b")
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & F.col("a.kept") & (~F.col("b.kept") | (F.col("a.key") < F.col("b.key"))))
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & F.col("a.kept") & (~F.col("b.kept") | (F.col("a.key") < F.col("b.key"))) & (5 * F.col("a.n") >= 4 * F.col("b.n")) & (5 * F.col("b.n") >= 4 * F.col("a.n")))
     pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
     rest = possible(_named(pairs, known), rows)
-    every = written(first.union(verify(rest, docs)), "links")
-    discard(shared, apart, likely, rest, first)
+    every = written(links.union(verify(rest, docs)), "links")
+    discard(left, apart, rest, links)
     return every
 
 
+def _labelled(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Each key with the least representative that the links so far reach, ``root``."""
+    roots = components(links)
+    return known.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").groupBy("key").agg(F.min(F.coalesce("root", "rep")).alias("root"))
+
+
+def _met_in_turn(rows: DataFrame, turn: int) -> DataFrame:
+    """A few pairs (a, b) for each set, of different components: with leaders of its buckets.
+
+    Every bucket has ``LEADERS`` leaders, drawn by hashes; of each draw a set meets the leader
+    that most of its buckets have.
+    """
+    bucket = Window.partitionBy("sig")
+    drawn = [F.min(F.struct(F.xxhash64("key", F.lit(turn * LEADERS + i)).alias("h"), F.col("key").alias("leader"), F.col("root").alias("other"))).over(bucket) for i in range(LEADERS)]
+    spread = rows.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), **{f"leader_{i}": d for i, d in enumerate(drawn)}}).where("low <> high")
+    each = spread.select("key", "root", F.posexplode(F.array(*[F.col(f"leader_{i}") for i in range(LEADERS)])).alias("draw", "x")).where("x.other <> root")
+    times = each.groupBy("key", "draw", F.col("x.leader").alias("leader")).agg(F.count("*").alias("times"))
+    best = times.groupBy("key", "draw").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
+    return best.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+
+
+def _crowded(shared: DataFrame, known: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
+    """Shared rows with their space, their set's size, and how many of them the set may skip.
+
+    Of a space's segments a set's partner spoils at most as many as the two may differ in, by the
+    set's own size; one more than the others must be equal.  So a set may skip that many of its
+    shared subsets, and with no more of them than that it has no link in the space.
+    """
+    begins = band_begins()
+    table = {b: [p[0] - 1, p[1], p[2], int(begins[b + 1])] for b, p in plan.items() if p[0]}
+    figures = F.create_map(*[x for b, v in table.items() for x in (F.lit(b), F.array(*[F.lit(y) for y in v]))])
+    sizes = known.groupBy("key").agg(F.max("n").alias("n"))
+    rows = shared.withColumn("space", F.shiftright(F.col("sig").bitwiseAND(0xFE), 1).cast("int")).withColumn("wide", F.col("sig").bitwiseAND(1) == 1).join(sizes, "key").withColumn("__p", figures[F.col("space")])
+    n, above = F.col("n"), F.col("__p")[3]
+    most = F.when(n >= above, F.floor((n + above - 1) / 9)).otherwise(F.floor((n + F.floor(5 * n / 4)) / 9))
+    never = F.col("__p")[1] > 0  # with neighbourhoods, rows and segments differ: the plan's spare only
+    return rows.withColumn("skip", F.when(never, F.col("__p")[2]).otherwise(F.col("__p")[0] - most)).withColumn("never", never).drop("__p")
+
+
 def _named(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of keys as pairs of representatives whose sizes allow a link."""
     both = pairs.join(known.select(F.col("key").alias("a"), F.col("rep").alias("u"), F.col("n").alias("n_u")), "a").join(known.select(F.col("key").alias("b"), F.col("rep").alias("v"), F.col("n").alias("n_v")), "b")
