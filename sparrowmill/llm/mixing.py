@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..scratch import written
+from ..scratch import discard, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -83,7 +83,8 @@ def balanced(classes: DataFrame, sources: DataFrame) -> DataFrame:
         inside = step.isNotNull() & (F.col("low").isNull() | (step > F.col("low"))) & (F.col("high").isNull() | (step < F.col("high")))
         middle = F.when(F.col("low").isNull(), 2 * F.col("high") - 1).when(F.col("high").isNull(), 2 * F.col("low") + 1).otherwise((F.col("low") + F.col("high")) / 2)
         now = now.withColumn("multiplier", F.when(F.col("met"), F.col("multiplier")).when(inside, step).otherwise(middle))
-        state = written(now.select(*state.columns), "multipliers")
+        last, state = state, written(now.select(*state.columns), "multipliers")
+        discard(last)
         if not state.where(~F.col("met")).limit(1).count():
             break
     return state
