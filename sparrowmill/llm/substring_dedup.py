@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..scratch import written
+from ..scratch import discard, release, written
 from ._arrow import fields, utf8
 from ._hashing import WHITE, gear
 from .id_filter import having, lacking
@@ -82,8 +82,16 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """
     table = written(chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "chunks")
     each = table.select("doc_id", "text_hash", F.explode("chunks").alias("c")).select("doc_id", "text_hash", "c.*")
-    first = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("first < last or unnamed and first is not null").select("digest", "first")
-    repeats = each.join(first, "digest").where("doc_id is null or first < doc_id")
+    first = each.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("first < last or unnamed and first is not null")
+    first = written(first.select("digest", "first", "n"), "first")
+    release(docs.sparkSession)
+    # a digest of over a thousandth of all chunks would be one task's: there are under 1,000 of those
+    total = table.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]
+    hot = first.where(F.col("n") * 1000 > total).select("digest", F.col("first").alias("hot_first"))
+    marked = each.join(F.broadcast(hot), "digest", "left")
+    common = marked.where("hot_first is not null").withColumnRenamed("hot_first", "first")
+    other = marked.where("hot_first is null").drop("hot_first").join(first.where(F.col("n") * 1000 <= total).drop("n"), "digest")
+    repeats = common.unionByName(other).where("doc_id is null or first < doc_id")
     gathered = repeats.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "end", "first"))).alias("chunks"))
 
     def run(batches):
@@ -100,15 +108,18 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
                         begin, end, first = c["begin"], c["end"], c["first"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=SPANS.names)
 
-    return gathered.mapInArrow(run, SPANS)
+    spans = written(gathered.mapInArrow(run, SPANS), "spans")
+    discard(table, first)
+    release(docs.sparkSession)
+    return spans
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """``docs`` without its repeated passages; ``n_chars`` follows, and rows left blank go.
+    """``docs`` without its repeated passages; ``n_chars`` follows, and rows that this leaves blank go.
 
     All columns stay; a text that repeats nothing is kept as it is.
     """
-    spans = written(repeated_spans(docs, least), "spans")
+    spans = repeated_spans(docs, least)
     held = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("__spans"))
     ids = spans.where("doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null")
