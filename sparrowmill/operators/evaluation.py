@@ -77,3 +77,30 @@ def consecutive_runs(df: DataFrame, key: str, number: str) -> DataFrame:
     rows = df.select(key, number).distinct()
     island = F.col(number) - F.row_number().over(Window.partitionBy(key).orderBy(number))
     return rows.withColumn("__i", island).groupBy(key, "__i").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("__i")
+
+
+def interpolated(df: DataFrame, key: str, at: str, known: str, out: str) -> DataFrame:
+    """As-of lookup between the nearest known points on both sides, linear, held flat outside."""
+    order = Window.partitionBy(key).orderBy(at)
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    place = F.when(F.col(known).isNotNull(), F.col(at))
+    x0, y0 = F.last_value(place, True).over(back), F.last_value(known, True).over(back)
+    x1, y1 = F.first_value(place, True).over(ahead), F.first_value(known, True).over(ahead)
+    rows = df.withColumns({"__x0": x0, "__y0": y0, "__x1": x1, "__y1": y1})
+    between = F.col("__y0") + (F.col("__y1") - F.col("__y0")) * (F.col(at) - F.col("__x0")) / (F.col("__x1") - F.col("__x0"))
+    value = F.when(F.col("__y0").isNull(), F.col("__y1")).when(F.col("__y1").isNull() | (F.col("__x0") == F.col("__x1")), F.col("__y0")).otherwise(between)
+    return rows.withColumn(out, value).drop("__x0", "__y0", "__x1", "__y1")
+
+
+def side_switches(df: DataFrame, key: str, order: str, side: str) -> DataFrame:
+    """How often consecutive rows of a key change sides."""
+    before = F.lag(side).over(Window.partitionBy(key).orderBy(order))
+    return df.withColumn("__b", before).groupBy(key).agg(F.count_if(F.col("__b").isNotNull() & (F.col("__b") != F.col(side))).alias("switches"))
+
+
+def multiset_accuracy(real: DataFrame, found: DataFrame, key: str, value: str) -> DataFrame:
+    """Values found as often as they are real, over all real ones: micro and macro over keys."""
+    a = real.groupBy(key, value).agg(F.count("*").alias("r"))
+    b = found.groupBy(key, value).agg(F.count("*").alias("f"))
+    hits = a.join(b, [key, value], "left").groupBy(key).agg(F.sum(F.least("r", F.coalesce("f", F.lit(0)))).alias("hits"), F.sum("r").alias("total"))
+    return hits.agg((F.sum("hits") / F.sum("total")).alias("micro"), F.avg(F.col("hits") / F.col("total")).alias("macro"))

@@ -203,3 +203,27 @@ def version_augment(t: Tables) -> DataFrame:
 def mismatch_audit(t: Tables) -> DataFrame:
     other = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.max("o_totalprice") / 50).alias("n"))
     return relational.matched_by_key(t.customer.select("c_custkey", "c_acctbal"), other, ["c_custkey"], 5000, "c_acctbal", "n").select("c_custkey", "missing", "mismatch")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN (max(l_partkey) % 100)::DOUBLE END AS y FROM lineitem GROUP BY 1, 2),
+    w AS (SELECT l_orderkey, l_linenumber AS x, last_value(CASE WHEN y IS NOT NULL THEN l_linenumber END IGNORE NULLS) OVER b AS x0, last_value(y IGNORE NULLS) OVER b AS y0,
+        first_value(CASE WHEN y IS NOT NULL THEN l_linenumber END IGNORE NULLS) OVER a AS x1, first_value(y IGNORE NULLS) OVER a AS y1 FROM r
+        WINDOW b AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT l_orderkey, x AS l_linenumber, round(CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (x - x0) / (x1 - x0) END, 9) AS value FROM w""")
+def interpolated_lookup(t: Tables) -> DataFrame:
+    rows = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
+    rows = rows.withColumn("y", F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 3 == 0, (F.col("p") % 100).cast("double")))
+    return evaluation.interpolated(rows, "l_orderkey", "l_linenumber", "y", "value").select("l_orderkey", "l_linenumber", F.round("value", 9).alias("value"))
+
+
+@query("SELECT user_id, count(*) FILTER (b <> event_type) AS switches FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) GROUP BY 1")
+def side_switches(t: Tables) -> DataFrame:
+    return evaluation.side_switches(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, year(o_orderdate) AS y, count(*) AS r FROM orders GROUP BY ALL), b AS (SELECT o_custkey AS k, year(o_orderdate) AS y, count(*) AS f FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY ALL),
+    h AS (SELECT k, sum(least(r, coalesce(f, 0))) AS hits, sum(r) AS total FROM a LEFT JOIN b USING (k, y) GROUP BY k)
+    SELECT sum(hits)::DOUBLE / sum(total)::DOUBLE AS micro, round(avg(hits::DOUBLE / total::DOUBLE), 9) AS macro FROM h""")
+def multiset_accuracy(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"), "o_orderkey")
+    return evaluation.multiset_accuracy(rows, rows.where("o_orderkey % 4 <> 0"), "k", "y").withColumn("macro", F.round("macro", 9))
