@@ -10,34 +10,35 @@ from .registry import Tables, query
 PROCESSES = """
     SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_suppliers, 0) AS n_suppliers, l.revenue, l.first_ship
     FROM orders o LEFT JOIN (
-        SELECT l_orderkey, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers, sum(l_extendedprice * (1 - l_discount)) AS revenue, min(l_shipdate) AS first_ship
+        SELECT l_orderkey, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers, sum(round(l_extendedprice * (1 - l_discount) * 10000)::BIGINT)::BIGINT / 10000.0::DOUBLE AS revenue, min(l_shipdate) AS first_ship
         FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey"""
 
 
 def processes(t: Tables) -> DataFrame:
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count("*").alias("n_lines"), F.count_distinct("l_suppkey").alias("n_suppliers"),
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.min("l_shipdate").alias("first_ship"))
+        (F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("long")) / 10000.0).alias("revenue"), F.min("l_shipdate").alias("first_ship"))
     base = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     return relational.left_joined(base, [(lines, ["n_lines", "n_suppliers"])], "o_orderkey")
 
 
 @query(f"""WITH p AS ({PROCESSES})
     SELECT n.n_name, count(*) AS processes, count(*) FILTER (p.n_suppliers = 1) AS single_supplier,
-           (count(*) FILTER (p.n_suppliers = 1))::DOUBLE / count(*) AS share, round(sum(p.revenue), 2) AS amount
+           (count(*) FILTER (p.n_suppliers = 1))::DOUBLE / count(*) AS share, sum(round(p.revenue * 10000)::BIGINT)::BIGINT / 10000.0::DOUBLE AS amount
     FROM p JOIN customer c ON c.c_custkey = p.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
     WHERE p.n_lines > 0 GROUP BY n.n_name HAVING count(*) >= 20""")
 def single_supplier_risk(t: Tables) -> DataFrame:
     """The flagship: share of single-supplier processes by nation, groups below 20 left out."""
     named = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")  # 25 nations
     rows = processes(t).where("n_lines > 0").join(named, F.col("o_custkey") == F.col("c_custkey"))
-    out = grouping.share_by_group(rows, "n_name", F.col("n_suppliers") == 1, "revenue", 20)
-    return out.select("n_name", F.col("n").alias("processes"), F.col("flagged").alias("single_supplier"), "share", F.round("amount", 2).alias("amount")).orderBy(F.desc("share"), "n_name")
+    rows = rows.withColumn("units", F.round(F.col("revenue") * 10000).cast("long"))  # sums that don't hang on order
+    out = grouping.share_by_group(rows, "n_name", F.col("n_suppliers") == 1, "units", 20)
+    return out.select("n_name", F.col("n").alias("processes"), F.col("flagged").alias("single_supplier"), "share", (F.col("amount") / 10000.0).alias("amount")).orderBy(F.desc("share"), "n_name")
 
 
-@query(f"SELECT o_orderkey, n_lines, n_suppliers, round(revenue, 2) AS revenue, first_ship FROM ({PROCESSES})")
+@query(f"SELECT o_orderkey, n_lines, n_suppliers, revenue, first_ship FROM ({PROCESSES})")
 def one_row_per_key(t: Tables) -> DataFrame:
-    return processes(t).select("o_orderkey", "n_lines", "n_suppliers", F.round("revenue", 2).alias("revenue"), "first_ship")
+    return processes(t).select("o_orderkey", "n_lines", "n_suppliers", "revenue", "first_ship")
 
 
 @query(f"""WITH p AS ({PROCESSES})
