@@ -1,21 +1,20 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by seeds that any two texts with a passage in common share.
 
-A gear rolling hash over the last 16 bytes decides where a chunk ends, nearly always at white
-space, so an insertion moves the cuts next to it and no others.  A chunk whose digest a document
-of smaller id has too is a repeat; repeats that follow each other without a gap are one passage,
-and passages of at least ``LEAST_BYTES`` are removed where they repeat, not where they first stand.
+Seeds are byte ranges picked by the least hash in every stretch (winnowing).  A seed that a
+document of smaller id has too is a repeat; seeds that one such document holds in the same order
+and distance are a chain, which is extended to its true ends against that document's text.
+Passages of at least ``LEAST_BYTES`` are removed where they repeat, not where they first stand.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import discard, release, written
 from ._arrow import fields, utf8
-from ._hashing import WHITE, gear
+from ._hashing import WHITE, gear, range_hashes
 from .id_filter import having, lacking
 
 #: Chunks end at one of five gaps between words, and after one of 1,024 other bytes.
@@ -46,74 +45,213 @@ def cuts(text: bytes) -> np.ndarray:
     return at
 
 
-CHUNKED = fields(doc_id=T.LongType(), text_hash=T.LongType(), chunks=T.ArrayType(fields(digest=T.LongType(), begin=T.IntegerType(), end=T.IntegerType())))
+def seeds(text: bytes, least: int = LEAST_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, sizes and hashes of a text's seeds, of ``least - least * 3 // 8 + 1`` bytes each.
+
+    Of every ``least * 3 // 8`` begins in a row the one of least hash is taken, the leftmost of
+    equals, so texts that share ``least`` bytes share a seed there, whatever those bytes are.
+    Where a seed overlaps itself, as in one word said over and over, the whole stretch and both
+    ends of it, of 1, 2, 4 ... periods, are seeds too.
+    """
+    many = least * 3 // 8
+    size = least - many + 1
+    none = np.zeros(0, np.int64)
+    if len(text) < least:
+        return none, none, none
+    data = np.frombuffer(text, np.uint8)
+    begin = np.arange(len(data) - size + 1)
+    h = range_hashes(data, begin, begin + size)
+    low = (h & np.uint64(0xFFFFFFFF00000000)) | begin.astype(np.uint64)
+    span = 1
+    while span < many:
+        step = min(span, many - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    at = np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    stretches, done = set(), 0
+    for i in np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (np.diff(at) < size)).tolist():
+        if at[i] < done:
+            continue
+        period = int(at[i + 1] - at[i])
+        other = np.flatnonzero(data[period:] != data[:-period])
+        k = int(np.searchsorted(other, at[i]))
+        a = int(other[k - 1]) + 1 if k else 0
+        done = int(other[k]) + period if k < len(other) else len(data)
+        a = int(at[i]) - (int(at[i]) - a) // period * period
+        periods = (done - a) // period
+        end = a + periods * period
+        stretches.add((a, end))
+        n = 1
+        while n < periods:
+            if n * period > size:
+                stretches |= {(a, a + n * period), (end - n * period, end)}
+            n *= 2
+    found = np.array(sorted(stretches), np.int64).reshape(-1, 2)
+    more = range_hashes(data, found[:, 0], found[:, 1])
+    return np.append(at, found[:, 0]), np.append(np.full(len(at), size), found[:, 1] - found[:, 0]), np.append(h[at], more).view(np.int64)
+
+
+SEEDED = fields(doc_id=T.LongType(), text_hash=T.LongType(), seeds=T.ArrayType(fields(digest=T.LongType(), begin=T.IntegerType(), size=T.IntegerType())))
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Per row: its chunks' 64-bit digests and byte ranges, and a hash of the text."""
+def seeded(docs: DataFrame, least: int) -> DataFrame:
+    """Per row: its seeds' 64-bit digests, begins and sizes, and a hash of the text."""
 
     def run(batches):
-        kind = pa.list_(pa.struct({"digest": pa.int64(), "begin": pa.int32(), "end": pa.int32()}))
-        digest = xxhash.xxh3_64_intdigest
+        kind = pa.list_(pa.struct({"digest": pa.int64(), "begin": pa.int32(), "size": pa.int32()}))
         for batch in batches:
-            sizes, digests, begins, ends = [], [], [], []
-            for text in utf8(batch.column("text")):
-                at = cuts(text).tolist()
-                own = [0, *at[:-1]] if at else []
-                sizes.append(len(at))
-                digests += [digest(text[a:b]) for a, b in zip(own, at, strict=True)]
-                begins += own
-                ends += at
-            values = pa.StructArray.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], fields=list(kind.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), lists.cast(kind)], names=CHUNKED.names)
+            own = [seeds(text, least) for text in utf8(batch.column("text"))]
+            begins, sizes, digests = (np.concatenate([s[i] for s in own] or [np.zeros(0, np.int64)]) for i in range(3))
+            values = pa.StructArray.from_arrays([pa.array(digests), pa.array(begins.astype(np.int32)), pa.array(sizes.astype(np.int32))], fields=list(kind.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in own)]), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), lists.cast(kind)], names=SEEDED.names)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").select("doc_id", "text_hash", "text").mapInArrow(run, CHUNKED)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SEEDED)
 
 
+CHAINS = fields(doc_id=T.LongType(), text_hash=T.LongType(), begin=T.IntegerType(), end=T.IntegerType(), first_doc_id=T.LongType(), first_hash=T.LongType(), first_begin=T.IntegerType(), first_end=T.IntegerType())
+BESIDE = fields(first_doc_id=T.LongType(), first_hash=T.LongType(), first_begin=T.IntegerType(), first_end=T.IntegerType(), before=T.BinaryType(), after=T.BinaryType())
 SPANS = fields(doc_id=T.LongType(), text_hash=T.LongType(), begin=T.IntegerType(), end=T.IntegerType(), first_doc_id=T.LongType())
 
 
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[f.dataType.simpleString()]) for i, f in enumerate(schema)], names=schema.names)
+
+
+def _chains(batches):
+    """Seeds of one text that one document holds at the same distance from each other, without a gap."""
+    for batch in batches:
+        rows = []
+        for doc, key, found in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "found")], strict=True):
+            open_: dict[tuple, list[int]] = {}
+            for s in found:
+                way = (s["first"], s["first_hash"], s["first_begin"] - s["begin"])
+                end = s["begin"] + s["size"]
+                if way in open_ and s["begin"] <= open_[way][1]:
+                    open_[way][1] = max(open_[way][1], end)
+                    continue
+                if way in open_:
+                    a, b = open_[way]
+                    rows.append((doc, key, a, b, way[0], way[1], a + way[2], b + way[2]))
+                open_[way] = [s["begin"], end]
+            rows += [(doc, key, a, b, f, h, a + d, b + d) for (f, h, d), (a, b) in open_.items()]
+        yield _batch(rows, CHAINS)
+
+
+def _beside(most: int):
+    """What stands before and after the chains in the documents that have them first."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, key, at, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("at").to_pylist(), utf8(batch.column("text")), strict=True):
+                rows += [(doc, key, a["first_begin"], a["first_end"], text[max(0, a["first_begin"] - most) : a["first_begin"]], text[a["first_end"] : a["first_end"] + most]) for a in at]
+            yield _batch(rows, BESIDE)
+
+    return run
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
+
+
+def whole_words(text: bytes, begin: int, end: int, most: int, both_end: bool) -> tuple[int, int]:
+    """The range drawn in by up to ``most`` bytes to begins of words, or else to whole characters.
+
+    White space after a word belongs to it: a text's last word counts only if the other text
+    ends there too (``both_end``).
+    """
+    starts = lambda i: i < len(text) and WHITE[text[i - 1]] and not WHITE[text[i]]
+    inside = lambda i: 0 < i < len(text) and text[i] & 0xC0 == 0x80
+    if begin:
+        found = next((i for i in range(begin, min(begin + most, end)) if starts(i)), begin)
+        while inside(found):
+            found += 1
+        begin = found
+    if not both_end:
+        found = next((i for i in range(end, max(end - most, begin), -1) if starts(i)), end)
+        while inside(found):
+            found -= 1
+        end = found
+    return begin, end
+
+
+def _spans(least: int, most: int):
+    """Chains to their true ends; those of at least ``least`` bytes are passages, each byte in one."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, key, chains, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("chains").to_pylist(), utf8(batch.column("text")), strict=True):
+                found = []
+                for c in chains:
+                    begin = c["begin"] - _common(text[max(0, c["begin"] - most) : c["begin"]][::-1], c["before"][::-1])
+                    end = c["end"] + _common(text[c["end"] : c["end"] + most], c["after"])
+                    if end - begin >= least:
+                        both_end = end == len(text) and len(c["after"]) == end - c["end"] < most
+                        begin, end = whole_words(text, begin, end, most, both_end)
+                        found.append((begin, -end, c["first_doc_id"]))
+                done = 0
+                for begin, end, first in sorted(found):
+                    if -end > max(begin, done):
+                        rows.append((doc, key, max(begin, done), -end, first))
+                        done = -end
+            yield _batch(rows, SPANS)
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Passages that repeat an earlier document's: byte range, and a document that has it first.
 
-    Null and empty texts have no chunk.  Rows that repeat an id count as one document, so they
-    aren't repeats of each other; rows of null id are never first.  Distinct rows only.
+    The document of least id that has a seed is the one whose text decides where the passage
+    begins and ends.  A passage that overlaps another gives what the other leaves.  Null and empty
+    texts have no passage.  Rows that repeat an id count as one document, so they aren't repeats of
+    each other; rows of null id are never first.  Distinct rows only.
     """
-    table = written(chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "chunks")
-    each = table.select("doc_id", "text_hash", F.explode("chunks").alias("c")).select("doc_id", "text_hash", "c.*")
-    first = each.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("first < last or unnamed and first is not null")
-    first = written(first.select("digest", "first", "n"), "first")
+    many = least * 3 // 8
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    table = written(seeded(texts, least), "seeds")
+    each = table.select("doc_id", "text_hash", F.explode("seeds").alias("s")).select("doc_id", "text_hash", "s.*")
+    place = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("first"), F.col("text_hash").alias("first_hash"), F.col("begin").alias("first_begin")))
+    first = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("f"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("f.first < last or unnamed and f.first is not null")
+    first = written(first.select("digest", "f.*", "n"), "first")
     release(docs.sparkSession)
-    # a digest of over a thousandth of all chunks would be one task's: there are under 1,000 of those
-    total = table.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]
-    hot = first.where(F.col("n") * 1000 > total).select("digest", F.col("first").alias("hot_first"))
+    # a digest of over a thousandth of all seeds would be one task's: there are under 1,000 of those
+    total = table.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()[0]
+    hot = first.where(F.col("n") * 1000 > total).select("digest", *[F.col(c).alias(f"hot_{c}") for c in ("first", "first_hash", "first_begin")])
     marked = each.join(F.broadcast(hot), "digest", "left")
-    common = marked.where("hot_first is not null").withColumnRenamed("hot_first", "first")
-    other = marked.where("hot_first is null").drop("hot_first").join(first.where(F.col("n") * 1000 <= total).drop("n"), "digest")
+    common = marked.where("hot_first is not null").withColumnsRenamed({f"hot_{c}": c for c in ("first", "first_hash", "first_begin")})
+    other = marked.where("hot_first is null").select(*each.columns).join(first.where(F.col("n") * 1000 <= total).drop("n"), "digest")
     repeats = common.unionByName(other).where("doc_id is null or first < doc_id")
-    gathered = repeats.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "end", "first"))).alias("chunks"))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, key, chunks in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "chunks")], strict=True):
-                begin = end = first = None
-                for c in [*chunks, {"begin": -1, "end": -1, "first": None}]:
-                    if c["begin"] == end:
-                        end, first = c["end"], min(first, c["first"])
-                    else:
-                        if end is not None and end - begin >= least:
-                            rows.append((doc, key, begin, end, first))
-                        begin, end, first = c["begin"], c["end"], c["first"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=SPANS.names)
-
-    spans = written(gathered.mapInArrow(run, SPANS), "spans")
+    gathered = repeats.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "size", "first", "first_hash", "first_begin"))).alias("found"))
+    chains = written(gathered.mapInArrow(_chains, CHAINS), "chains")
     discard(table, first)
     release(docs.sparkSession)
+
+    asked = chains.groupBy(F.col("first_doc_id").alias("doc_id"), F.col("first_hash").alias("text_hash")).agg(F.collect_set(F.struct("first_begin", "first_end")).alias("at"))
+    beside = written(_with_text(asked, texts).mapInArrow(_beside(many), BESIDE), "beside")
+    sides = chains.join(beside, ["first_doc_id", "first_hash", "first_begin", "first_end"])
+    own = sides.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end", "first_doc_id", "before", "after")).alias("chains"))
+    spans = written(_with_text(own, texts).mapInArrow(_spans(least, many), SPANS), "spans")
+    discard(chains, beside)
+    release(docs.sparkSession)
     return spans
 
 
+def _with_text(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """``held`` (doc_id, text_hash and more; a row each) with the text of its row."""
+    ids = held.where("doc_id is not null").select("doc_id").distinct()
+    named = having(texts.where("doc_id is not null"), ids).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
+    unnamed = texts.where("doc_id is null").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["text_hash"])
+    return held.join(named, ["doc_id", "text_hash"]).unionByName(held.where("doc_id is null").join(unnamed.drop("doc_id"), "text_hash").select(*held.columns, "text"))
+
+
 def deduplicated(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """``docs`` without its repeated passages; ``n_chars`` follows, and rows that this leaves blank go.
 

@@ -164,6 +164,27 @@ def test_passages_are_found_where_they_repeat(spark):
     assert 4 in kept and len(kept[4].text) < 100
 
 
+def test_short_passages_are_found_to_their_ends(spark):
+    rnd = random.Random(14)
+    words = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randrange(10**4)}" for _ in range(k)]
+    rows, wanted = [], {}
+    for i in range(300):
+        passage = " ".join(words(51)) if i % 3 else " ".join([words(1)[0]] * 51)
+        rows.append((i, f"{' '.join(words(40))} A {passage} B {' '.join(words(20))}"))
+        own = f"{' '.join(words(30))} C {passage} D {' '.join(words(10))}"
+        rows.append((1000 + i, own))
+        wanted[1000 + i] = (i, own.index(" C ") + 3, own.index(" D ") + 1)
+    texts, got = {i: t.encode() for i, t in rows}, defaultdict(list)
+    for r in substring_dedup.repeated_spans(table(spark, rows)).collect():
+        assert texts[r.doc_id][r.begin : r.end] in texts[r.first_doc_id]
+        got[r.doc_id].append((r.first_doc_id, r.begin, r.end))
+    assert set(got) == set(wanted)
+    for i, spans in got.items():
+        spans.sort(key=lambda s: s[1])
+        assert {s[0] for s in spans} == {wanted[i][0]} and (spans[0][1], spans[-1][2]) == wanted[i][1:]
+        assert all(a[2] == b[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_cuts_resist_insertions():
     rnd = random.Random(5)
     text = " ".join(f"wörd{rnd.randrange(10**5)}" for _ in range(3000)).encode()
