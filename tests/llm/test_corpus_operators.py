@@ -185,6 +185,16 @@ def test_short_passages_are_found_to_their_ends(spark):
         assert all(a[2] == b[1] for a, b in zip(spans, spans[1:]))
 
 
+def test_a_passage_is_held_by_one_document(spark):
+    rnd = random.Random(15)
+    words = lambda k: " ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(10**4)}" for _ in range(k))
+    rows = []
+    for i in range(0, 300, 3):
+        a, b = words(22), words(22)  # under 160 bytes each
+        rows += [(i, f"{words(30)} {a} {words(30)}"), (i + 1, f"{words(30)} {b} {words(30)}"), (i + 2, f"{words(30)} {a} {b} {words(30)}")]
+    assert substring_dedup.repeated_spans(table(spark, rows)).count() == 0
+
+
 def test_cuts_resist_insertions():
     rnd = random.Random(5)
     text = " ".join(f"wörd{rnd.randrange(10**5)}" for _ in range(3000)).encode()
