@@ -53,8 +53,9 @@ def versions_for(hits: DataFrame, amendments: DataFrame, per_article: int, limit
     """
     asked = hits.select("hit_id", F.posexplode("articles").alias("place", "article"))
     offered = amendments.join(hits.select(F.col("hit_id").alias("amendment_id")).distinct(), "amendment_id", "left_anti").select("amendment_id", "rank", F.explode("articles").alias("article"))
-    w = Window.partitionBy("hit_id", "article").orderBy("rank", "amendment_id")
-    turns = asked.join(offered, "article").withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= per_article)
+    w = Window.partitionBy("article").orderBy("rank", "amendment_id")
+    few = offered.distinct().withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= per_article)
+    turns = asked.join(few, "article")
     once = turns.groupBy("hit_id", "amendment_id").agg(F.min(F.struct("turn", "place")).alias("first"))
     out = Window.partitionBy("hit_id").orderBy("first.turn", "first.place", "amendment_id")
     return once.withColumn("position", F.row_number().over(out)).where(F.col("position") <= limit).select("hit_id", "position", "amendment_id")

@@ -205,3 +205,16 @@ def test_sources(spark, tmp_path):
     assert [(r.speaker, r.text) for r in files.speaker_lines(spark, str(tmp_path / "s.md")).orderBy("line").collect()] == [("A", "hola"), ("B", "adiós")]
     wide = spark.createDataFrame([("1", "a", "", "b")], "d1 string, v1 string, d2 string, v2 string")
     assert files.repeated_groups(wide, [["d1", "v1"], ["d2", "v2"]], ["d", "v"], []).count() == 1
+
+
+def test_versions_rank_amendments_before_they_meet_hits(spark):
+    hits = spark.createDataFrame([(i, [1, i % 3]) for i in range(1, 7)], "hit_id long, articles array<int>")
+    offers = spark.createDataFrame([(20, [1, 1], 0), (21, [1], 1), (22, [2, 0], 0), (3, [1], 0)] + [(i, [1], 2) for i in range(30, 60)], "amendment_id long, articles array<int>, rank int")
+    out = logs.versions_for(hits, offers, 2, 4)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.hit_id, r.position)):
+        got.setdefault(r.hit_id, []).append(r.amendment_id)
+    # an article that an amendment names twice takes one turn
+    assert got == {i: ([20, 21] if i % 3 == 1 else [20, 22, 21]) for i in range(1, 7)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" in plan[plan.index("Join Inner") :]
