@@ -254,25 +254,25 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     the two sets at hand.  ``pairs`` has also the keys of both sets: a text of a repeated id that
     isn't the representative's doesn't count.
     """
-    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_A_CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(sizes, "u").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    sizes = pairs.groupBy("u", "u_key").agg(F.ceil(F.count("*") / PAIRS_A_CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(sizes, ["u", "u_key"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     texts = having(docs.select("doc_id", "text"), ids)
-    heads = dealt.select("u", "u_key", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "u"), "u").select("u", "chunk", F.lit(None).cast("long").alias("v"), F.col("u_key").alias("key"), "text")
-    rest = dealt.select("u", "v", "v_key", "chunk").join(texts.withColumnRenamed("doc_id", "v"), "v").select("u", "chunk", "v", F.col("v_key").alias("key"), "text")
-    stream = heads.union(rest).repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
+    heads = dealt.select("u", "u_key", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "u"), "u").select("u", "u_key", "chunk", F.lit(None).cast("long").alias("v"), F.col("u_key").alias("key"), "text")
+    rest = dealt.select("u", "u_key", "v", "v_key", "chunk").join(texts.withColumnRenamed("doc_id", "v"), "v").select("u", "u_key", "chunk", "v", F.col("v_key").alias("key"), "text")
+    stream = heads.union(rest).repartition("u", "u_key", "chunk").sortWithinPartitions("u", "u_key", "chunk", F.col("v").asc_nulls_first())
 
     def run(batches):
         now, own = None, set()
         for batch in batches:
             us, vs = [], []
             keys = batch.column("key").to_pylist()
-            for u, v, key, text in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), keys, batch.column("text").to_pylist(), strict=True):
+            for u, u_key, v, key, text in zip(batch.column("u").to_pylist(), batch.column("u_key").to_pylist(), batch.column("v").to_pylist(), keys, batch.column("text").to_pylist(), strict=True):
                 if text is None or int(set_keys(shingle_sets([text.encode()]))[1][0]) != key:
                     continue
                 if v is None:
-                    now, own = u, word_shingles(text)
-                elif u == now and linked(own, word_shingles(text)):
+                    now, own = (u, u_key), word_shingles(text)
+                elif (u, u_key) == now and linked(own, word_shingles(text)):
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=LINKS.names)

@@ -138,6 +138,17 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_both_texts_of_a_repeated_id_link(spark):
+    words = {k: [f"{k}{i}" for i in range(60)] for k in "ab"}
+    texts = {k: " ".join(w) for k, w in words.items()} | {f"near {k}": " ".join([*w[:-1], "other"]) for k, w in words.items()}
+    key = {k: int(jaccard_join.set_keys(jaccard_join.shingle_sets([t.encode()]))[1][0]) for k, t in texts.items()}
+    rows = [(1, texts["a"]), (1, texts["b"]), (2, texts["near a"]), (3, texts["near b"])]
+    pairs = spark.createDataFrame([(1, 2, key["a"], key["near a"]), (1, 3, key["b"], key["near b"])], jaccard_join.PAIR)
+    assert sorted((r.u, r.v) for r in jaccard_join.verify(pairs, table(spark, rows)).collect()) == [(1, 2), (1, 3)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.similarity_groups(table(spark, rows)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_id_filter(spark):
     df = spark.createDataFrame([(i, str(i)) for i in range(100)] + [(None, "n")], "doc_id long, t string")
     ids = spark.createDataFrame([(3,), (50,)], "doc_id long")
