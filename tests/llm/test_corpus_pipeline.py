@@ -1,10 +1,12 @@
 """The pipeline's stages one by one, and as a whole against plain Python."""
 
+import hashlib
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_corpus_operators import PASSAGE, brute_groups, table  # noqa: E402
+from test_corpus_operators import PASSAGE, brute_groups, library, table  # noqa: E402
 
 
 def test_stages_keep_columns_and_take_effect(spark):
@@ -25,3 +27,21 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert mixed.columns == names and mixed.count() >= 1
     assert stage["tokens"](spark, mixed, "").count() == mixed.count()
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_run_gives_every_row(spark, tmp_path):
+    """From Parquet to tokens, row by row; with one source the mix takes every document once."""
+    filler = lambda k: " ".join(f"{'abcdefgh'[(k * 7 + i) % 8]}{k * 1000 + i}q" for i in range(120))
+    rows = [(1, f"{filler(1)} {PASSAGE} {filler(9)}"), (2, f"{filler(2)} {PASSAGE} {filler(5)}"), (3, filler(3)), (4, filler(3) + " extra"), (5, "123 !!"), (6, None), (7, filler(7)), (8, filler(7)), (None, filler(8))]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    root = brute_groups([r for r in kept if r[0] is not None])
+    kept = [(i, t) for i, t in kept if i is None or root[i][1] == i]
+    kept = [(i, t.replace(f"{PASSAGE} ", "") if i == 2 else t) for i, t in kept]
+    expected = []
+    tok = library("word_bpe_49k.json")
+    for i, t in kept:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        expected.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(expected, key=str)
