@@ -2,38 +2,47 @@
 
 Two sets of s <= r elements with Jaccard similarity at least 0.8 differ in at most (s + r) / 9
 elements.  Sizes fall into bands so that a partner is in the same band or the next.  In the space
-of a band, elements are hashed into segments; K differences spoil at most K segments, so of more
-than K segments some subset is equal in both sets, or, in segments allotted a one-deletion
-neighbourhood (worth two differences), equal after deleting one element from one side.  A measured
-cost decides, band by band, how many segments there are, how many have the neighbourhood, and how
-many subsets a set may ignore: the spare ones, which it spends on its most frequent subsets.
-
-Equal sets are one class from the start.  Sets whose shared
-subsets are too few for any link go.  Links are then found in rounds: twice every set meets a few
-leaders of its buckets, which joins groups of copies at the cost of a few rows each; then come all
-remaining pairs of different components that share a bucket.  Every pair is verified on its words.
+of a band, elements are hashed into segments; K differences spoil at most K segments.  A set gives
+its segments weights that add up to K + 1 or more: 0, 1 (the segment's subset must be equal) or 2
+(equal, or equal after one deletion on one side); then some weighted segment of it meets any partner.
+
+Equal sets are one class from the start.  On the finest partition, every element its own segment,
+sets that have too many elements to themselves are without links and go.  The others are indexed
+by their segments' subsets, and measured bucket sizes decide the weights: a set spends its spare
+segments on its most crowded subsets.  Sets that still need crowded ones are indexed again, with
+one-deletion neighbourhoods, and choose the cheapest weights.  What crowded subsets they still need
+admits two kinds of links only: between sets whose common elements alone can make up the
+similarity, and between sets that share a rare element, so those are indexed too.
+
+Links are found in two rounds: every set meets the leaders of its buckets, which joins groups of
+copies at the cost of a few rows each; then come the pairs of different components that share a
+bucket.  Every pair is verified on its words.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..scratch import discard, release, written
+from ..scratch import discard, release, shuffle_partitions, written
 from ._arrow import batches_of, fields, utf8
 from ._hashing import LOWER, U, joined, mix, range_hashes, word_ranges
 from .components import components
+from .element_counts import counted
 from .id_filter import having
 
 WORDS = 5
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64), 21) | U(1)
-#: Rounds in which every set meets a few leaders of its buckets, and leaders of a bucket.
-TURNS, LEADERS = 2, 8
+#: Share of segments, on top of one more than the differences, that a set may leave out.
+SPARE = 0.35
+#: Buckets, and elements, of more sets than this are crowded; smaller ones are met pair by pair.
+CROWD = 32
+#: Leaders that a set meets in the first round, those of most of its buckets first.
+LEADERS = 4
 #: Pairs of one set that a task verifies against it at most in one go; sets with more are dealt out.
 PAIRS_A_CHUNK = 256
 
@@ -93,54 +102,27 @@ def most_differences(band: int) -> int:
     return (largest + 5 * largest // 4) // 9
 
 
-def allot(band: int, crowd: int) -> tuple[int, int, int]:
-    """(segments, those with a one-deletion neighbourhood, subsets that may be ignored).
+def segments(band: int) -> int:
+    """Segments of a band's space; none where no link has a difference."""
+    most = most_differences(band)
+    return most + 1 + math.ceil((most + 1) * SPARE) if most else 0
 
-    The cost is rows written for a set plus sets met by chance, for ``crowd`` sets in the space.
-    Segment sizes follow a Poisson law, and an element is shared by chance at a rate of 5 %.
-    """
-    differences, size = most_differences(band), int(band_begins()[band])
-    if not differences:
-        return 0, 0, 0
-    best = None
-    for spare in sorted({math.ceil((differences + 1) * x) for x in (0.2, 0.35, 0.5)}):
-        need = differences + 1 + spare
-        for wide in sorted({need // 2 * k // 4 for k in range(5)}):
-            count = need - wide
-            mean, ignored, met, rows = size / count, spare / count, 0.0, count + wide * size / count
-            for k in range(0, 60):
-                share = math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
-                kept = max(0.0, share - ignored)
-                ignored = max(0.0, ignored - share)
-                met += crowd * kept * 0.05**k * (count - wide)
-                met += crowd * share * k * 0.05 ** max(0, k - 1) * wide
-            if best is None or rows + met < best[0]:
-                best = rows + met, (count, wide, spare)
-    return best[1]
-
-
-def signatures(sets: list[np.ndarray], keys: np.ndarray, plan: dict[int, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Signature rows (signature, key) of sets in the spaces of their band and the one below.
-
-    A signature's low byte has the space, and in its lowest bit whether it stems from a segment
-    with a neighbourhood; the rest hashes space, segment and subset.
+
+def signatures(sets: list[np.ndarray], neighbours: bool) -> tuple[np.ndarray, ...]:
+    """(signature, set, space, segment, kind) of sets in the spaces of their band and the one below.
+
+    Kind 0 is a segment's whole subset; with ``neighbours`` kind 1 is the subset without one of its
+    elements.  Both hash space, segment and subset alike, so they can be equal.
     """
     bands = np.searchsorted(band_begins(), [len(s) for s in sets], side="right") - 1
-    parts, spaces = [], []
-    for i, band in enumerate(bands.tolist()):
-        for space in (band, band - 1):
-            if space >= 0 and plan.get(space, (0, 0, 0))[0]:
-                parts.append(i)
-                spaces.append(space)
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    count = np.array([plan[s][0] for s in spaces])
-    wide = np.array([plan[s][1] for s in spaces])
-    spaces = np.array(spaces)
+    at = [(i, space) for i, band in enumerate(bands.tolist()) for space in (band, band - 1) if space >= 0 and segments(space)]
+    if not at:
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int32, np.int32, np.int32))
+    parts, spaces = (np.array(x) for x in zip(*at, strict=True))
+    count = np.array([segments(x) for x in spaces.tolist()])
     offset = np.cumsum(count) - count
-    sizes = np.array([len(sets[i]) for i in parts])
-    flat = np.concatenate([sets[i] for i in parts])
-    part = np.repeat(np.arange(len(parts)), sizes)
+    flat = np.concatenate([sets[i] for i in parts.tolist()])
+    part = np.repeat(np.arange(len(parts)), [len(sets[i]) for i in parts.tolist()])
     with np.errstate(over="ignore"):
         segment = (mix(flat ^ mix(spaces.astype(np.uint64), 51)[part]) >> U(11)).astype(np.int64) % count[part]
         group = offset[part] + segment
@@ -153,14 +135,36 @@ def signatures(sets: list[np.ndarray], keys: np.ndarray, plan: dict[int, tuple[i
         owner = np.repeat(np.arange(len(parts)), count)
         number = np.arange(total) - offset[owner]
         tag = mix((spaces[owner] << 40 | number).astype(np.uint64), 53)
-        broad = number < wide[owner]
-        last = (spaces[owner].astype(np.uint64) << U(1)) & U(0xFE) | broad
-        exact = mix(sums ^ tag) & ~U(0xFF) | last
-        chosen = np.flatnonzero(broad[group])
-        at = group[chosen]
-        deleted = mix((sums[at] - value[chosen]) ^ tag[at]) & ~U(0xFF) | last[at]
-    mine = keys[np.array(parts)]
-    return np.concatenate([exact, deleted]).view(np.int64), np.concatenate([mine[owner], mine[part[chosen]]])
+        out = [mix(sums ^ tag).view(np.int64), parts[owner], spaces[owner].astype(np.int32), number.astype(np.int32), np.zeros(total, np.int32)]
+        if neighbours:
+            less = [mix((sums[group] - value) ^ tag[group]).view(np.int64), parts[part], spaces[part].astype(np.int32), segment.astype(np.int32), np.ones(len(flat), np.int32)]
+            out = [np.concatenate(x) for x in zip(out, less, strict=True)]
+    return tuple(out)
+
+
+def weights(own: np.ndarray, two: np.ndarray, need: int) -> np.ndarray:
+    """Weights 0, 1 or 2 of segments that add up to at least ``need``, at little cost.
+
+    ``own`` is what weight 1 costs and ``two`` what weight 2 costs, in rows met.  The cheapest
+    segments get weight 1; then, as long as it pays, one gets weight 2 in place of the dearest.
+    """
+    order = np.argsort(own, kind="stable")
+    out = np.zeros(len(own), np.int64)
+    chosen = order[:need]
+    out[chosen] = 1
+    dear = chosen[::-1].tolist()
+    for up in chosen[np.argsort((two - own)[chosen], kind="stable")].tolist():
+        if out[up] != 1:
+            continue
+        while dear and out[dear[0]] != 1:
+            dear.pop(0)
+        if dear and dear[0] == up:
+            continue
+        if not dear or own[dear[0]] <= two[up] - own[up]:
+            break
+        out[dear.pop(0)] = 0
+        out[up] = 2
+    return out
 
 
 def sketches(sets: list[np.ndarray], below: int) -> list[bytes]:
@@ -183,41 +187,11 @@ def sketches(sets: list[np.ndarray], below: int) -> list[bytes]:
     return [data[a : a + n] for a, n in zip(offset.tolist(), count.tolist(), strict=True)]
 
 
-CLASSED = fields(doc_id=T.LongType(), n_shingles=T.LongType(), key=T.LongType(), key2=T.LongType(), band=T.IntegerType(), own=T.BinaryType(), low=T.BinaryType())
-SIGNED = fields(sig=T.LongType(), key=T.LongType())
-
-
-def classed(docs: DataFrame) -> DataFrame:
-    """Per row: the size of its set, the two keys of the set, its size band and its sketches."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            texts = utf8(batch.column("text"))
-            for a, b in batches_of(texts):
-                sets = shingle_sets(texts[a:b])
-                sizes, key, key2 = set_keys(sets)
-                bands = (np.searchsorted(band_begins(), sizes, side="right") - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes), pa.array(key), pa.array(key2), pa.array(bands), pa.array(sketches(sets, 0), pa.binary()), pa.array(sketches(sets, 1), pa.binary())], names=CLASSED.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, CLASSED)
-
+class Sets:
+    """What :func:`counted` needs to know of sets."""
 
-def _signed(docs: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
-    def run(batches):
-        met = np.zeros(0, np.int64)  # keys whose rows this task has given already
-        for batch in batches:
-            texts = utf8(batch.column("text"))
-            for a, b in batches_of(texts, 1 << 19):
-                sets = [s for s in shingle_sets(texts[a:b]) if len(s)]
-                keys = set_keys(sets)[1]
-                new = np.unique(keys, return_index=True)[1]
-                new = new[~np.isin(keys[new], met)]
-                met = np.union1d(met, keys[new])
-                sig, key = signatures([sets[i] for i in new.tolist()], keys[new], plan)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], names=SIGNED.names)
-
-    return docs.select("text").mapInArrow(run, SIGNED)
+    sets = staticmethod(shingle_sets)
+    keys = staticmethod(set_keys)
 
 
 # verification
@@ -247,32 +221,26 @@ def linked(a: set, b: set) -> bool:
 LINKS = fields(u=T.LongType(), v=T.LongType())
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of representatives whose texts' shingles link, held word by word.
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts' shingles link, held word by word.
 
     Partners of u stream past it, in chunks if they are many, so that no task holds more than
-    the two sets at hand.  ``pairs`` has also the keys of both sets: a text of a repeated id that
-    isn't the representative's doesn't count.
+    the two sets at hand.  ``texts`` has a row (node, text) for each node.
     """
-    sizes = pairs.groupBy("u", "u_key").agg(F.ceil(F.count("*") / PAIRS_A_CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(sizes, ["u", "u_key"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = having(docs.select("doc_id", "text"), ids)
-    heads = dealt.select("u", "u_key", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "u"), "u").select("u", "u_key", "chunk", F.lit(None).cast("long").alias("v"), F.col("u_key").alias("key"), "text")
-    rest = dealt.select("u", "u_key", "v", "v_key", "chunk").join(texts.withColumnRenamed("doc_id", "v"), "v").select("u", "u_key", "chunk", "v", F.col("v_key").alias("key"), "text")
-    stream = heads.union(rest).repartition("u", "u_key", "chunk").sortWithinPartitions("u", "u_key", "chunk", F.col("v").asc_nulls_first())
+    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_A_CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(sizes, "u").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    heads = dealt.select("u", "chunk").distinct().join(texts.select(F.col("node").alias("u"), "text"), "u").select("u", "chunk", F.lit(None).cast("long").alias("v"), "text")
+    rest = dealt.select("u", "v", "chunk").join(texts.select(F.col("node").alias("v"), "text"), "v").select("u", "chunk", "v", "text")
+    stream = heads.union(rest).repartition(shuffle_partitions(pairs.sparkSession), "u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
 
     def run(batches):
-        now, own = None, set()
+        own: set = set()
         for batch in batches:
             us, vs = [], []
-            keys = batch.column("key").to_pylist()
-            for u, u_key, v, key, text in zip(batch.column("u").to_pylist(), batch.column("u_key").to_pylist(), batch.column("v").to_pylist(), keys, batch.column("text").to_pylist(), strict=True):
-                if text is None or int(set_keys(shingle_sets([text.encode()]))[1][0]) != key:
-                    continue
+            for u, v, text in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if v is None:
-                    now, own = (u, u_key), word_shingles(text)
-                elif (u, u_key) == now and linked(own, word_shingles(text)):
+                    own = word_shingles(text)
+                elif linked(own, word_shingles(text)):
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=LINKS.names)
@@ -280,135 +248,216 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stream.mapInArrow(run, LINKS)
 
 
-PAIR = fields(u=T.LongType(), v=T.LongType(), u_key=T.LongType(), v_key=T.LongType())
+DRAWN = fields(node=T.LongType(), n=T.LongType(), band=T.IntegerType(), own=T.BinaryType(), low=T.BinaryType())
+
 
+def drawn(texts: DataFrame) -> DataFrame:
+    """Per node its size and band, and its sketches in the spaces of that band and the one below."""
 
-def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose sketches don't rule a link out; ``pairs``, a scratch table, is used up."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    drawn = having(rows.select("doc_id", "key", "band", "n_shingles", "own", "low"), ids)
-    side = lambda x: drawn.select(F.col("doc_id").alias(x), F.col("key").alias(f"{x}_key"), *[F.col(c).alias(f"{x}_{c}") for c in ("band", "n_shingles", "own", "low")])
-    both = pairs.join(side("u"), ["u", "u_key"]).join(side("v"), ["v", "v_key"]).where("abs(u_band - v_band) <= 1")
+    def run(batches):
+        for batch in batches:
+            held = utf8(batch.column("text"))
+            for a, b in batches_of(held):
+                sets = shingle_sets(held[a:b])
+                bands = (np.searchsorted(band_begins(), [len(s) for s in sets], side="right") - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands), pa.array(sketches(sets, 0), pa.binary()), pa.array(sketches(sets, 1), pa.binary())], names=DRAWN.names)
+
+    return texts.select("node", "text").mapInArrow(run, DRAWN)
+
+
+def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The distinct pairs (u, v) whose sketches don't rule a link out."""
+    side = lambda x: sketched.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("band", "n", "own", "low")])
+    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v").where("abs(u_band - v_band) <= 1").withColumn("most", F.floor((F.col("u_n") + F.col("v_n")) / 9))
     a = F.when(F.col("u_band") <= F.col("v_band"), F.col("u_own")).otherwise(F.col("u_low"))
     b = F.when(F.col("v_band") <= F.col("u_band"), F.col("v_own")).otherwise(F.col("v_low"))
-    drawn_pairs = both.select(*PAIR.names, F.floor((F.col("u_n_shingles") + F.col("v_n_shingles")) / 9).alias("most"), a.alias("a"), b.alias("b"))
 
     def run(batches):
         for batch in batches:
             keep = [x is not None and int(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))) <= most for x, y, most in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "most")], strict=True)]
-            yield batch.select(PAIR.names).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(LINKS.names).filter(pa.array(keep, pa.bool_()))
 
-    out = written(drawn_pairs.mapInArrow(run, PAIR).distinct(), "possible")
-    discard(pairs)
-    return out
+    return both.select("u", "v", "most", a.alias("a"), b.alias("b")).mapInArrow(run, LINKS)
 
 
 # the join
 
-def similarity_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
+MET = fields(sig=T.LongType(), node=T.LongType(), space=T.IntegerType(), segment=T.IntegerType(), kind=T.IntegerType())
+#: Kinds of index rows: a segment's subset, a subset without one element, a rare element.
+WHOLE, LESS, ELEMENT = 0, 1, 2
 
-    Null and empty texts, and texts of white space, have no shingle and are linked with nothing.
-    Rows that repeat an id count each by its own text.  A row with a null id can link others; the
-    component of a set that only null ids have is null.  Empty input gives an empty result.
+
+def indexed(texts: DataFrame, neighbours: bool) -> DataFrame:
+    """Index rows of sets; with ``neighbours`` also those of kind ``LESS`` and ``ELEMENT``."""
+
+    def run(batches):
+        for batch in batches:
+            held, nodes = utf8(batch.column("text")), batch.column("node").to_numpy()
+            for a, b in batches_of(held, 1 << 18):
+                sets = shingle_sets(held[a:b])
+                sig, at, space, segment, kind = signatures(sets, neighbours)
+                if neighbours:
+                    flat = np.concatenate(sets)
+                    more = len(flat)
+                    sig = np.concatenate([sig, mix(flat, 54).view(np.int64)])
+                    at = np.concatenate([at, np.repeat(np.arange(len(sets)), [len(s) for s in sets])])
+                    space, segment, kind = (np.concatenate([x, np.full(more, y, np.int32)]) for x, y in ((space, -1), (segment, -1), (kind, ELEMENT)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, nodes[a:b][at], space, segment, kind)], names=MET.names)
+
+    return texts.select("node", "text").mapInArrow(run, MET)
+
+
+def most_of(n: str, space: str) -> Column:
+    """Differences of a set of ``n`` elements and a partner of it in a space, at most."""
+    begins = band_begins()
+    above = F.array(*[F.lit(int(x)) for x in begins[1:]])[F.col(space)]
+    size = F.col(n)
+    return F.when(size >= above, F.floor((size + above - 1) / 9)).otherwise(F.floor((size + F.floor(5 * size / 4)) / 9))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows with the numbers of whole and of lessened subsets in their bucket; lone rows go.
+
+    Buckets are counted before the shuffle and joined, not gathered, so a hot one can be split.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(classed(docs), "classed")
-    classes = written(rows.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("band").alias("band")), "classes")
-    crowds = {r["band"]: r["count"] for r in classes.groupBy("band").count().collect()}  # a row for each band: under 100
-    plan = {b: allot(b, crowds.get(b, 0) + crowds.get(b + 1, 0)) for b in range(-1, max(crowds, default=-1) + 1) if b >= 0 and crowds.get(b, 0)}
-    links = _links(docs, rows, classes, plan)
-    roots = components(links) if links is not None else None
-    named = rows.join(classes.select("key", "key2", "rep"), ["key", "key2"], "left")
-    if roots is not None:
-        named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    else:
-        named = named.withColumn("root", F.lit(None).cast("long"))
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
-    result = written(named.select("doc_id", "n_shingles", own.alias("component_id")), "groups")
-    discard(rows, classes, links)
-    release(docs.sparkSession)
-    return result
+    sizes = rows.groupBy("sig").agg(F.sum((F.col("kind") != LESS).cast("int")).alias("whole"), F.sum((F.col("kind") == LESS).cast("int")).alias("less")).where("whole + less > 1 and whole > 0")
+    return rows.join(sizes, "sig")
+
 
+def first_index(sets: DataFrame) -> DataFrame:
+    """Shared subsets of sets, ``asks``: whether the set needs the bucket, being among its least crowded."""
+    shared = _counted(indexed(sets, False)).join(sets.select("node", "n"), "node")
+    by_set = shared.withColumn("skip", F.expr("element_at({table}, space + 1)".format(table="array(" + ",".join(str(segments(b)) for b in range(_bands())) + ")")) - 1 - most_of("n", "space"))
+    gathered = by_set.groupBy("node", "space", "n").agg(F.max("skip").alias("skip"), F.array_sort(F.collect_list(F.struct("whole", "sig"))).alias("each")).where(F.size("each") > F.col("skip"))
+    ranked = gathered.select("node", "space", "n", "skip", F.size("each").alias("__size"), F.posexplode("each").alias("place", "x"))
+    return ranked.select("node", "n", F.col("x.sig").alias("sig"), F.lit(WHOLE).alias("kind"), F.col("x.whole").alias("crowd"), (F.col("place") < F.col("__size") - F.col("skip")).cast("int").alias("asks"))
 
-def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame | None:
-    if not any(p[0] for p in plan.values()):
-        return None
-    bucket = Window.partitionBy("sig")
-    met = _signed(docs, plan).repartition(F.col("sig")).dropDuplicates(["sig", "key"]).withColumn("often", F.count("*").over(bucket))
-    shared = written(met.where("often > 1").select("sig", "key"), "shared")
-    release(docs.sparkSession)
-    known = classes.where("rep is not null").select("key", "rep", "n")
-    rows_left, left = _crowded(shared, known, plan), None
-    for _ in range(2):  # what goes leaves others alone in their buckets
-        met = rows_left.withColumn("held", F.count("*").over(Window.partitionBy("key", "space"))).where("never or held > skip").drop("held")
-        met = met.withColumn("often", F.count("*").over(bucket)).where("often > 1").drop("often")
-        last, left = left, written(met, "crowded")
-        discard(last)
-        rows_left = left
-    discard(shared)
-    release(docs.sparkSession)
-    links = written(docs.sparkSession.createDataFrame([], LINKS), "links")
-    for turn in range(TURNS):
-        labelled = _labelled(known, links)
-        likely = possible(_named(_met_in_turn(left.join(labelled, "key"), turn), known), rows)
-        last, links = links, written(links.union(verify(likely, docs)), "links")
-        discard(last, likely)
-    labelled = _labelled(known, links)
-    order = Window.partitionBy("key", "space", "wide").orderBy(F.desc("often"), "sig")
-    ranked = left.withColumn("often", F.count("*").over(bucket)).withColumn("place", F.row_number().over(order)).withColumn("kept", F.col("wide") | (F.col("place") > F.col("skip")))
-    apart = ranked.select("sig", "key", "kept", "n").join(labelled, "key").withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "any": F.max("kept").over(bucket)}).where("low <> high and any").select("sig", "key", "kept", "root", "n")
-    apart = written(apart, "apart")
-    a, b = apart.alias("a"), apart.alias("b")
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & F.col("a.kept") & (~F.col("b.kept") | (F.col("a.key") < F.col("b.key"))) & (5 * F.col("a.n") >= 4 * F.col("b.n")) & (5 * F.col("b.n") >= 4 * F.col("a.n")))
-    pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
-    rest = possible(_named(pairs, known), rows)
-    every = written(links.union(verify(rest, docs)), "links")
-    discard(left, apart, rest, links)
+
+def second_index(sets: DataFrame) -> DataFrame:
+    """The index of crowded sets: subsets, one-deletion neighbourhoods and rare elements.
+
+    ``asks`` is the weight that :func:`weights` gives a row's segment, by the buckets' measured
+    sizes.  Sets that must still ask crowded buckets ask for their rare elements as well.
+    """
+    rows = written(_counted(indexed(sets, True)).where(f"kind <> {ELEMENT} or whole <= {CROWD}"), "second")
+    met = F.when(F.col("kind") == LESS, F.col("whole")).otherwise(F.col("whole") - 1 + F.col("less"))
+    costs = rows.where(f"kind <> {ELEMENT}").groupBy("node", "space", "segment").agg(F.sum(F.when(F.col("kind") == WHOLE, F.col("whole") - 1).otherwise(0)).alias("own"), F.sum(met).alias("two"))
+    each = costs.groupBy("node", "space").agg(F.collect_list(F.struct("segment", "own", "two")).alias("each")).join(sets.select("node", "n"), "node").withColumn("most", most_of("n", "space"))
+    kind = fields(node=T.LongType(), space=T.IntegerType(), segment=T.IntegerType(), weight=T.IntegerType())
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for node, space, held, most in zip(*[batch.column(c).to_pylist() for c in ("node", "space", "each", "most")], strict=True):
+                count = segments(space)
+                own, two = np.zeros(count, np.int64), np.zeros(count, np.int64)
+                for x in held:  # segments that no other set shares cost nothing
+                    own[x["segment"]], two[x["segment"]] = x["own"], x["two"]
+                weight = weights(own, two, most + 1)
+                out += [(node, space, x["segment"], int(weight[x["segment"]])) for x in held if weight[x["segment"]]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=kind.names)
+
+    chosen = each.select("node", "space", "each", "most").mapInArrow(run, kind)
+    asked = rows.where(f"kind <> {ELEMENT}").join(chosen, ["node", "space", "segment"], "left").withColumn("asks", F.when((F.col("kind") == WHOLE) | (F.col("weight") == 2), F.coalesce("weight", F.lit(0))).otherwise(0))
+    asked = written(asked.select("sig", "node", "kind", (F.col("whole") + F.col("less")).alias("crowd"), "asks"), "asked")
+    still = asked.where(f"asks > 0 and crowd > {CROWD}").select("node").distinct().withColumn("asks", F.lit(1))
+    rare = rows.where(f"kind = {ELEMENT}").join(still, "node", "left").select("sig", "node", "kind", F.col("whole").alias("crowd"), F.coalesce("asks", F.lit(0)).alias("asks"))
+    every = written(asked.unionByName(rare).join(sets.select("node", "n"), "node"), "index2")
+    discard(rows, asked)
     return every
 
 
-def _labelled(known: DataFrame, links: DataFrame) -> DataFrame:
-    """Each key with the least representative that the links so far reach, ``root``."""
-    roots = components(links)
-    return known.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").groupBy("key").agg(F.min(F.coalesce("root", "rep")).alias("root"))
+def _bands() -> int:
+    return int(np.searchsorted(band_begins(), 1 << 30))
 
 
-def _met_in_turn(rows: DataFrame, turn: int) -> DataFrame:
-    """A few pairs (a, b) for each set, of different components: with leaders of its buckets.
+def similarity_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
 
-    Every bucket has ``LEADERS`` leaders, drawn by hashes; of each draw a set meets the leader
-    that most of its buckets have.
+    Null and empty texts, and texts of white space, have no shingle and are linked with nothing.
+    Rows that repeat an id count each by its own text.  A row with a null id can link others; the
+    component of texts that only null ids have is null.  Empty input gives an empty result.
     """
-    bucket = Window.partitionBy("sig")
-    drawn = [F.min(F.struct(F.xxhash64("key", F.lit(turn * LEADERS + i)).alias("h"), F.col("key").alias("leader"), F.col("root").alias("other"))).over(bucket) for i in range(LEADERS)]
-    spread = rows.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), **{f"leader_{i}": d for i, d in enumerate(drawn)}}).where("low <> high")
-    each = spread.select("key", "root", F.posexplode(F.array(*[F.col(f"leader_{i}") for i in range(LEADERS)])).alias("draw", "x")).where("x.other <> root")
-    times = each.groupBy("key", "draw", F.col("x.leader").alias("leader")).agg(F.count("*").alias("times"))
-    best = times.groupBy("key", "draw").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-    return best.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    rows = written(counted(docs, Sets, 1), "rows")
+    holder = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash"))
+    classes = rows.where("n > 0").groupBy("key", "key2").agg(holder.alias("x"), F.first("n").alias("n"), F.min("unique").alias("unique"), F.count("*").alias("times"))
+    classes = written(classes.select("key", "key2", F.col("x.id").alias("doc_id"), F.col("x.text_hash").alias("text_hash"), "n", F.when(F.col("times") > 1, 0).otherwise(F.col("unique")).alias("unique")), "classes")
+    release(spark)
+    chosen = classes.where("5 * unique <= n").select("doc_id", "text_hash", "key", "key2")
+    texts = written(_with_text(chosen, docs).withColumn("node", F.monotonically_increasing_id()), "texts")
+    sizes = counted(texts.withColumn("text_hash", F.lit(0).cast("long")), Sets, CROWD, "node").where("5 * unique <= n")
+    sizes = written(sizes.select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("f")), "sizes")
+    sets = written(texts.select("node", "text", "key", "key2", "doc_id").join(sizes, "node"), "sets")
+    discard(texts, sizes)
+    release(spark)
+    roots = _roots(sets)
+    by_class = sets.select("node", "key", "key2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = by_class.groupBy("root").agg(F.min("doc_id").alias("component"))
+    named = written(by_class.join(least, "root").select("key", "key2", "component"), "components")
+    own = classes.select("key", "key2", "doc_id").join(named, ["key", "key2"], "left").select("key", "key2", F.coalesce("component", "doc_id").alias("component"))
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
+    result = written(rows.join(own, ["key", "key2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")), "groups")
+    discard(rows, classes, sets, named, roots)
+    release(spark)
+    return result
 
-def _crowded(shared: DataFrame, known: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
-    """Shared rows with their space, their set's size, and how many of them the set may skip.
 
-    Of a space's segments a set's partner spoils at most as many as the two may differ in, by the
-    set's own size; one more than the others must be equal.  So a set may skip that many of its
-    shared subsets, and with no more of them than that it has no link in the space.
+def _with_text(held: DataFrame, docs: DataFrame) -> DataFrame:
+    """``held`` (doc_id, text_hash and more; distinct) with the text of its row."""
+    ids = held.where("doc_id is not null").select("doc_id").distinct()
+    named = held.join(having(docs.where("doc_id is not null"), ids), ["doc_id", "text_hash"])
+    unnamed = held.where("doc_id is null").join(docs.where("doc_id is null").drop("doc_id"), "text_hash")
+    return named.unionByName(unnamed.select(*named.columns)).dropDuplicates(["key", "key2"])
+
+
+def _roots(sets: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of every set that has a link."""
+    spark = sets.sparkSession
+    sketched = written(drawn(sets), "sketches")
+    first = written(first_index(sets), "first")
+    crowded = first.where(f"asks > 0 and crowd > {CROWD}").select("node").distinct()
+    second = second_index(having(sets.withColumn("doc_id", F.col("node")), crowded.withColumnRenamed("node", "doc_id")))
+    release(spark)
+    index = first.where(f"crowd <= {CROWD}").select("sig", "node", "n", "kind", "crowd", "asks").unionByName(second.select("sig", "node", "n", "kind", "crowd", "asks"))
+    index = written(index.join(sets.select("node", "f"), "node").withColumn("big", (F.col("crowd") > CROWD) & (F.col("kind") != ELEMENT)).where("not big or 5 * f >= 4 * n"), "index")
+    discard(first, second)
+
+    leads = index.where(f"kind <> {LESS}").groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("f")).alias("rare"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("f").alias("f_v"))).alias("lead"))
+    led = index.join(leads.select("sig", "lead.*"), "sig").where(F.col("node") != F.col("v")).where(_fit("n", "f", "n_v", "f_v", "big"))
+    often = led.groupBy("node", "v").agg(F.count("*").alias("times")).groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("less"), "v"))), 1, LEADERS).alias("best"))
+    met = often.select("node", F.explode("best.v").alias("v"))
+    near = written(possible(met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")), sketched), "near")
+    links = written(verify(near, sets), "links")
+    stars = written(components(links), "stars")
+    discard(near, links)
+    release(spark)
+
+    labelled = written(index.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    discard(index)
+    mixed = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("asks").alias("any")).where("low <> high and any > 0").select("sig")
+    apart = written(labelled.join(mixed, "sig"), "apart")
+    a, b = apart.where("asks > 0").alias("a"), apart.alias("b")
+    kinds = ((F.col("a.kind") == F.col("b.kind")) & (F.col("a.kind") != LESS)) | ((F.col("a.asks") == 2) & (F.col("a.kind") != F.col("b.kind")))
+    once = (F.col("b.asks") == 0) | (F.col("a.node") < F.col("b.node")) | (F.col("a.kind") != F.col("b.kind"))
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & kinds & once & _fit("a.n", "a.f", "b.n", "b.f", "a.big"))
+    rest = written(possible(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")), sketched), "rest")
+    more = written(verify(rest, sets), "more")
+    discard(labelled, apart, rest, sketched)
+    release(spark)
+    if more.isEmpty():
+        return stars
+    roots = written(components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "roots")
+    discard(stars, more)
+    return roots
+
+
+def _fit(n: str, f: str, m: str, g: str, big: str) -> Column:
+    """Whether sizes allow a link, and in crowded buckets common elements alone.
+
+    Sets that share no rare element have at most the lesser number of common elements in common;
+    those that share one meet in its bucket.
     """
-    begins = band_begins()
-    table = {b: [p[0] - 1, p[1], p[2], int(begins[b + 1])] for b, p in plan.items() if p[0]}
-    figures = F.create_map(*[x for b, v in table.items() for x in (F.lit(b), F.array(*[F.lit(y) for y in v]))])
-    sizes = known.groupBy("key").agg(F.max("n").alias("n"))
-    rows = shared.withColumn("space", F.shiftright(F.col("sig").bitwiseAND(0xFE), 1).cast("int")).withColumn("wide", F.col("sig").bitwiseAND(1) == 1).join(sizes, "key").withColumn("__p", figures[F.col("space")])
-    n, above = F.col("n"), F.col("__p")[3]
-    most = F.when(n >= above, F.floor((n + above - 1) / 9)).otherwise(F.floor((n + F.floor(5 * n / 4)) / 9))
-    never = F.col("__p")[1] > 0  # with neighbourhoods, rows and segments differ: the plan's spare only
-    return rows.withColumn("skip", F.when(never, F.col("__p")[2]).otherwise(F.col("__p")[0] - most)).withColumn("never", never).drop("__p")
-
-
-def _named(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of keys as pairs of representatives whose sizes allow a link."""
-    both = pairs.join(known.select(F.col("key").alias("a"), F.col("rep").alias("u"), F.col("n").alias("n_u")), "a").join(known.select(F.col("key").alias("b"), F.col("rep").alias("v"), F.col("n").alias("n_v")), "b")
-    fits = (5 * F.col("n_u") >= 4 * F.col("n_v")) & (5 * F.col("n_v") >= 4 * F.col("n_u")) & (F.col("u") != F.col("v"))
-    return written(both.where(fits).select("u", "v", F.col("a").alias("u_key"), F.col("b").alias("v_key")), "pairs")
+    n, f, m, g = (F.col(x) for x in (n, f, m, g))
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (~F.col(big) | ((9 * f >= 4 * (n + m)) & (9 * g >= 4 * (n + m))))

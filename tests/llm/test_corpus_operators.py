@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import SF, connect, rows_of_spark, rows_of_sql
-from sparrowmill.llm import bpe, components, id_filter, jaccard_join, langid, merkle, mixing, queries, substring_dedup, token_files, toxicity, vector_files, warc
+from sparrowmill.llm import bpe, components, element_counts, id_filter, jaccard_join, langid, merkle, mixing, queries, substring_dedup, token_files, toxicity, vector_files, warc
 
 LONG = "lorem ipsum dolor sit amet " * 20_000
 PASSAGE = " ".join(f"word{i}" for i in range(80))
@@ -92,23 +92,30 @@ def test_jaccard_edges(spark):
     assert jaccard_join.similarity_groups(table(spark, EDGES[:0] or [(1, "x")]).where("false")).count() == 0
 
 
-def test_allotment_is_complete():
-    """More segments, neighbourhoods counted twice, than differences and ignored subsets."""
-    for band in range(0, 40):
-        for crowd in (1, 1000, 10**8):
-            count, wide, spare = jaccard_join.allot(band, crowd)
-            assert count == 0 or count + wide >= jaccard_join.most_differences(band) + 1 + spare
+def test_weights_reach_what_is_needed():
+    """Weights add up to what is needed, cost no more than one each, and bands hold every partner."""
+    rnd = random.Random(5)
+    for _ in range(300):
+        n = rnd.randrange(2, 40)
+        own = np.array([rnd.choice([0, 0, 1, 3, 500]) for _ in range(n)])
+        two = own + np.array([rnd.choice([0, 1, 700]) for _ in range(n)])
+        need = rnd.randrange(1, n + 1)
+        got = jaccard_join.weights(own, two, need)
+        cost = lambda w: int(own[w == 1].sum() + two[w == 2].sum())
+        plain = np.zeros(n, int)
+        plain[np.argsort(own, kind="stable")[:need]] = 1
+        assert got.sum() >= need and set(got.tolist()) <= {0, 1, 2} and cost(got) <= cost(plain)
+    assert jaccard_join.weights(np.array([0, 0, 900]), np.array([1, 1, 900]), 3).tolist() in ([2, 1, 0], [1, 2, 0])
     begins = jaccard_join.band_begins()
     for size in range(1, 3000):
         band = int(np.searchsorted(begins, size, side="right")) - 1
         assert 5 * size // 4 < begins[band + 2]
 
 
-@pytest.mark.parametrize("wide", [0, 2, 4])
-def test_pigeonhole_meets_every_link(wide):
-    """Pairs at the threshold share a signature, whatever the neighbourhoods."""
-    rnd = random.Random(wide)
-    for _ in range(60):
+def test_pigeonhole_meets_every_link():
+    """Pairs at the threshold meet in a weighted segment, whatever weights of the needed sum."""
+    rnd = random.Random(3)
+    for _ in range(120):
         n = rnd.randrange(5, 90)
         a = rnd.sample(range(1, 10**6), n)
         b = list(a)
@@ -119,16 +126,77 @@ def test_pigeonhole_meets_every_link(wide):
                 break
             b = c
         sets = [np.unique(np.array(sorted(set(x)), np.uint64)) for x in (a, b)]
-        plan = {k: (jaccard_join.most_differences(k) + 1 - min(wide // 2, jaccard_join.most_differences(k) // 2), min(wide // 2, jaccard_join.most_differences(k) // 2), 0) for k in range(40) if jaccard_join.most_differences(k)}
-        sizes, keys, _ = jaccard_join.set_keys(sets)
-        sig, key = jaccard_join.signatures(sets, keys, plan)
-        held = [set(sig[key == k].tolist()) for k in keys]
-        assert held[0] & held[1] or keys[0] == keys[1]
-        low = int(np.argmin(sizes))
+        sizes = [len(s) for s in sets]
+        if set(sets[0].tolist()) == set(sets[1].tolist()):
+            continue
         bands = [int(np.searchsorted(jaccard_join.band_begins(), s, side="right")) - 1 for s in sizes]
+        space = min(bands)
+        rows = [x for x in zip(*[y.tolist() for y in jaccard_join.signatures(sets, True)], strict=True) if x[2] == space]
+        whole = [{seg: sig for sig, at, _, seg, kind in rows if at == i and kind == 0} for i in (0, 1)]
+        less = [{(seg, sig) for sig, at, _, seg, kind in rows if at == i and kind == 1} for i in (0, 1)]
+        count, most = jaccard_join.segments(space), sum(sizes) // 9
+        for _ in range(10):  # any weights that add up to one more than the differences
+            weight = [0] * count
+            while sum(weight) <= most:
+                weight[rnd.choice([k for k in range(count) if weight[k] < 2])] += 1
+            met = [k for k, w in enumerate(weight) if w and whole[0][k] == whole[1][k]]
+            met += [k for k, w in enumerate(weight) if w == 2 and ((k, whole[0][k]) in less[1] or (k, whole[1][k]) in less[0])]
+            assert met
+        low = int(np.argmin(sizes))
         x = jaccard_join.sketches([sets[low]], 0)[0]
         y = jaccard_join.sketches([sets[1 - low]], bands[1 - low] - bands[low])[0]
-        assert sum(p != q for p, q in zip(x, y, strict=True)) <= int(sizes.sum()) // 9
+        assert sum(p != q for p, q in zip(x, y, strict=True)) <= sum(sizes) // 9
+
+
+def test_elements_are_counted_across_chunks(spark, monkeypatch):
+    """``unique`` and ``common`` of every row against a plain count, in chunks of a few sets."""
+    monkeypatch.setattr(element_counts, "ELEMENTS", 300)
+    rows = [*noisy_documents(120, 9), (None, None), (7, ""), (7, "one two three four five six")]
+    docs = table(spark, rows).withColumn("text_hash", F.xxhash64("text"))
+    sets = [brute_sets(t) for _, t in rows]
+    df = Counter(x for s in sets for x in s)
+    for common in (1, 3):
+        got = sorted(((r.id, r.n, r.unique, r.common) for r in element_counts.counted(docs, jaccard_join.Sets, common).collect()), key=str)
+        assert got == sorted(((i, len(s), sum(df[x] == 1 for x in s), sum(df[x] > common for x in s)) for (i, _), s in zip(rows, sets, strict=True)), key=str)
+
+
+def test_crowded_groups_link_as_brute_force_says(spark, monkeypatch):
+    """With every bucket of over three sets crowded: neighbourhoods, common parts, rare elements."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    asked, weigh = [], jaccard_join.second_index
+
+    def counting(sets):
+        out = weigh(sets)
+        asked.append({(r.kind, r.asks) for r in out.select("kind", "asks").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(jaccard_join, "second_index", counting)
+    for seed in (3, 4):
+        rnd = random.Random(seed)
+        base, words = [f"b{i}" for i in range(120)], [f"w{i}" for i in range(60)]
+        rows = []
+        for i in range(90):  # one page's copies, each with some words replaced, cut or added
+            own = list(base)
+            for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6])):
+                k = rnd.randrange(len(own))
+                own[k : k + 1] = rnd.choice([[], [rnd.choice(words)], [rnd.choice(words), own[k]]])
+            rows.append((i, " ".join(own)))
+        for i in range(90, 150):  # documents with a long passage in common and some rare words
+            rows.append((i, " ".join(base[:70] + [rnd.choice(words) for _ in range(rnd.choice([4, 12, 25]))])))
+        rows += [(200 + i, t) for i, t in noisy_documents(60, seed)]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_groups(table(spark, rows)).collect()}
+        assert got == brute_groups(rows)
+        assert {(jaccard_join.WHOLE, 2), (jaccard_join.LESS, 2), (jaccard_join.ELEMENT, 1)} <= asked[-1]
+
+
+def test_a_null_id_bridges_two_documents(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = words, [*words[:-4], "x", "y", "z", "t"]
+    c = ["p", "q", "r", "s", *b[4:]]
+    rows = [(5, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (None, "alone and without an id"), (None, " ".join(b))]
+    assert not jaccard_join.linked(brute_sets(rows[0][1]), brute_sets(rows[2][1]))
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.similarity_groups(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, 2), (None, 2), (2, 2), (None, None), (None, 2)], key=str)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -141,10 +209,10 @@ def test_components_of_chains_and_stars(spark):
 def test_both_texts_of_a_repeated_id_link(spark):
     words = {k: [f"{k}{i}" for i in range(60)] for k in "ab"}
     texts = {k: " ".join(w) for k, w in words.items()} | {f"near {k}": " ".join([*w[:-1], "other"]) for k, w in words.items()}
-    key = {k: int(jaccard_join.set_keys(jaccard_join.shingle_sets([t.encode()]))[1][0]) for k, t in texts.items()}
     rows = [(1, texts["a"]), (1, texts["b"]), (2, texts["near a"]), (3, texts["near b"])]
-    pairs = spark.createDataFrame([(1, 2, key["a"], key["near a"]), (1, 3, key["b"], key["near b"])], jaccard_join.PAIR)
-    assert sorted((r.u, r.v) for r in jaccard_join.verify(pairs, table(spark, rows)).collect()) == [(1, 2), (1, 3)]
+    pairs = spark.createDataFrame([(0, 2), (1, 3), (0, 3)], jaccard_join.LINKS)
+    held = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "node long, text string")
+    assert sorted((r.u, r.v) for r in jaccard_join.verify(pairs, held).collect()) == [(0, 2), (1, 3)]
     got = sorted((r.doc_id, r.component_id) for r in jaccard_join.similarity_groups(table(spark, rows)).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
 
