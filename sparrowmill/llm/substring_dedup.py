@@ -1,112 +1,262 @@
-"""Substring deduplication by seeds that any two texts with a passage in common share.
-
-Seeds are byte ranges picked by the least hash in every stretch (winnowing).  A seed that a
-document of smaller id has too is a repeat; seeds that one such document holds in the same order
-and distance are a chain, which is extended to its true ends against that document's text.
-Passages of at least ``LEAST_BYTES`` are removed where they repeat, not where they first stand.
+"""Substring deduplication by content-defined chunks.
+
+A gear rolling hash picks the ends of chunks: gaps between words, if there are any, of the least
+hash in some stretch of ``STRETCH`` bytes.  What stands between two ends depends on the text there
+alone, so an insertion moves chunks but doesn't change those after it.  The digest of every run of
+chunks that reaches ``SEED_BYTES`` is a seed.  A seed that a document of smaller id has too is a
+repeat; seeds that one such document holds in the same order and distance are a chain, which is
+extended to its true ends against that document's text.  Passages of at least ``LEAST_BYTES`` are
+removed where they repeat, not where they first stand.
+
+Digests that one document alone has are the most by far, and never become rows: batches send
+their digests to ranges of the hash space as compressed blobs, and get back those that others have.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..scratch import discard, release, written
-from ._arrow import fields, utf8
+from ..scratch import discard, release, shuffle_partitions, written
+from ._arrow import batches_of, fields, utf8
 from ._hashing import WHITE, gear, range_hashes
+from .element_counts import RANGES, SENT, packed, unpacked
 from .id_filter import having, lacking
 
-#: Chunks end at one of five gaps between words, and after one of 1,024 other bytes.
-AT_GAP, ELSEWHERE = 65536 // 5, 65536 // 1024
+#: Every so many bytes hold the end of a chunk.
+STRETCH = 48
+#: A seed is the shortest run of chunks of at least so many bytes.
+SEED_BYTES = 64
 #: Least length of a repeated passage, in bytes of UTF-8.
 LEAST_BYTES = 160
-#: Longer chunks, as one word said over and over, are cut every so many bytes from their begin.
-MOST_BYTES = 144
+#: Seeds and documents of one exchange of a batch, about; documents are numbered in 16 bits.
+SEEDS, DOCS = 1 << 19, 60_000
+#: Chains are extended by at most so many bytes at each end; no seed lies in what a passage has beyond.
+MOST_BESIDE = 128
+_NEVER = np.uint32(1 << 18)
+_PAD = b"\n" * (STRETCH + 16)
+
+
+def _slid(x: np.ndarray, wide: int, least: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of every ``wide`` values in a row."""
+    span = 1
+    while span < wide:
+        step = min(span, wide - span)
+        x = least(x[:-step], x[step:])
+        span += step
+    return x
+
+
+def _ends(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Positions after which a chunk ends, of those that ``inside`` allows.
+
+    Of every ``STRETCH`` positions in a row the one of least gear hash is taken, all of equals;
+    gaps between words come before other positions, and never is a character cut.
+    """
+    value = gear(data).astype(np.uint32)
+    gap = np.zeros(len(data), bool)
+    gap[:-1] = WHITE[data[:-1]] & ~WHITE[data[1:]]
+    whole = np.ones(len(data), bool)
+    whole[:-1] = (data[1:] & 0xC0) != 0x80
+    value[~gap] += np.uint32(65536)
+    value[~(whole & inside)] = _NEVER
+    lows = _slid(value, STRETCH, np.minimum)
+    edge = np.zeros(STRETCH - 1, np.uint32)
+    return np.flatnonzero((_slid(np.concatenate([edge, lows, edge]), STRETCH, np.maximum) == value) & (value < _NEVER))
+
+
+def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one buffer, padded apart, with their begins and ends."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(sizes + len(_PAD)) - sizes
+    return np.frombuffer(_PAD + b"".join(t + _PAD for t in texts), np.uint8), begin, begin + sizes
 
 
 def cuts(text: bytes) -> np.ndarray:
     """Ends of the chunks of a text, the text's own end last; none for an empty text."""
-    data = np.frombuffer(text, np.uint8)
-    if not len(data):
+    if not text:
         return np.zeros(0, np.int64)
-    h = gear(data)
-    gap = WHITE[data[:-1]] & ~WHITE[data[1:]]
-    inner = (data[1:] & 0xC0) != 0x80  # never inside a character
-    at = np.flatnonzero((gap & (h[:-1] < AT_GAP)) | (inner & (h[:-1] < ELSEWHERE))) + 1
-    at = np.append(at, len(data))
-    long = np.flatnonzero(np.diff(at, prepend=0) > MOST_BYTES).tolist()
-    if long:
-        more = [np.arange((at[i - 1] if i else 0) + MOST_BYTES, at[i], MOST_BYTES) for i in long]
-        extra = np.concatenate(more)
-        while len(inside := np.flatnonzero((data[extra] & 0xC0) == 0x80)):
-            extra[inside] -= 1
-        at = np.union1d(at, extra)
-    return at
-
-
-def seeds(text: bytes, least: int = LEAST_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, sizes and hashes of a text's seeds, of ``least - least * 3 // 8 + 1`` bytes each.
-
-    Of every ``least * 3 // 8`` begins in a row the one of least hash is taken, the leftmost of
-    equals, so texts that share ``least`` bytes share a seed there, whatever those bytes are.
-    Where a seed overlaps itself, as in one word said over and over, the whole stretch and both
-    ends of it, of 1, 2, 4 ... periods, are seeds too.
+    data, begin, end = _laid([text])
+    inside = np.zeros(len(data), bool)
+    inside[begin[0] : end[0] - 1] = True
+    return np.append(_ends(data, inside) + 1 - begin[0], len(text))
+
+
+def seeds(texts: list[bytes], least: int = LEAST_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, size, digest) of the seeds of texts of at least ``least`` bytes.
+
+    Where a seed overlaps an equal one, as in one word said over and over, the whole stretch and both
+    ends of it, of 1, 2, 4 ... periods, are seeds instead of those between the first and the last.
     """
-    many = least * 3 // 8
-    size = least - many + 1
-    none = np.zeros(0, np.int64)
-    if len(text) < least:
-        return none, none, none
-    data = np.frombuffer(text, np.uint8)
-    begin = np.arange(len(data) - size + 1)
-    h = range_hashes(data, begin, begin + size)
-    low = (h & np.uint64(0xFFFFFFFF00000000)) | begin.astype(np.uint64)
-    span = 1
-    while span < many:
-        step = min(span, many - span)
-        low = np.minimum(low[:-step], low[step:])
-        span += step
-    at = np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    stretches, done = set(), 0
-    for i in np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (np.diff(at) < size)).tolist():
+    long = [i for i, t in enumerate(texts) if len(t) >= least]
+    if not long:
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
+    data, begin, end = _laid([texts[i] for i in long])
+    inside = np.zeros(len(data) + 1, np.int8)
+    np.add.at(inside, begin, 1)
+    np.add.at(inside, end - 1, -1)
+    found = _ends(data, np.cumsum(inside[:-1]) > 0) + 1
+    bounds = np.unique(np.concatenate([begin, found, end]))
+    of = np.searchsorted(begin, bounds, side="right") - 1
+    to = np.minimum(np.searchsorted(bounds, bounds + SEED_BYTES), len(bounds) - 1)
+    fits = (bounds[to] <= end[of]) & (bounds[to] - bounds >= SEED_BYTES)
+    at, size, of = bounds[fits], (bounds[to] - bounds)[fits], of[fits]
+    digest = range_hashes(data, at, at + size)
+    same = np.flatnonzero((digest[1:] == digest[:-1]) & (at[1:] - at[:-1] < size[:-1]) & (of[1:] == of[:-1]))
+    keep, stretches, done = np.ones(len(at), bool), set(), 0
+    keep[same[1:][np.diff(same) == 1]] = False
+    for run in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1) if len(same) else []:
+        i = int(run[0])
         if at[i] < done:
             continue
-        period = int(at[i + 1] - at[i])
-        other = np.flatnonzero(data[period:] != data[:-period])
-        k = int(np.searchsorted(other, at[i]))
+        period, t = int((at[run + 1] - at[run]).min()), int(of[i])
+        own = data[begin[t] : end[t]]
+        other = np.flatnonzero(own[period:] != own[:-period])
+        here = int(at[i] - begin[t])
+        k = int(np.searchsorted(other, here))
         a = int(other[k - 1]) + 1 if k else 0
-        done = int(other[k]) + period if k < len(other) else len(data)
-        a = int(at[i]) - (int(at[i]) - a) // period * period
-        periods = (done - a) // period
-        end = a + periods * period
-        stretches.add((a, end))
+        stop = int(other[k]) + period if k < len(other) else len(own)
+        done = int(begin[t]) + stop
+        a = here - (here - a) // period * period
+        last = a + (stop - a) // period * period
+        stretches.add((t, a, last))
         n = 1
-        while n < periods:
-            if n * period > size:
-                stretches |= {(a, a + n * period), (end - n * period, end)}
+        while n < (last - a) // period:
+            if n * period > size[i]:
+                stretches |= {(t, a, a + n * period), (t, last - n * period, last)}
             n *= 2
-    found = np.array(sorted(stretches), np.int64).reshape(-1, 2)
-    more = range_hashes(data, found[:, 0], found[:, 1])
-    return np.append(at, found[:, 0]), np.append(np.full(len(at), size), found[:, 1] - found[:, 0]), np.append(h[at], more).view(np.int64)
+    more = np.array(sorted(stretches), np.int64).reshape(-1, 3)
+    base = begin[more[:, 0]]
+    digests = np.concatenate([digest[keep], range_hashes(data, base + more[:, 1], base + more[:, 2])])
+    number = np.array(long, np.int64)[np.concatenate([of[keep], more[:, 0]])]
+    return number, np.concatenate([at[keep] - begin[of[keep]], more[:, 1]]), np.concatenate([size[keep], more[:, 2] - more[:, 1]]), digests
+
+
+# what others have too
+
+SHARED = fields(doc_id=T.LongType(), text_hash=T.LongType(), digest=T.LongType(), begin=T.IntegerType(), size=T.IntegerType())
+ANSWERS = fields(chunk=T.LongType(), blob=T.BinaryType())
+
+
+def _coded(place, own, begin, size) -> bytes:
+    """Entries in the order of their digests as one blob."""
+    return packed(np.diff(place, prepend=np.uint64(0)), own, begin, size)
 
 
-SEEDED = fields(doc_id=T.LongType(), text_hash=T.LongType(), seeds=T.ArrayType(fields(digest=T.LongType(), begin=T.IntegerType(), size=T.IntegerType())))
+def _decoded(blob: bytes) -> list[np.ndarray]:
+    place, own, begin, size = unpacked(blob, np.uint64, np.uint16, np.uint32, np.uint32)
+    return [np.cumsum(place, dtype=np.uint64), own, begin, size]
 
 
-def seeded(docs: DataFrame, least: int) -> DataFrame:
-    """Per row: its seeds' 64-bit digests, begins and sizes, and a hash of the text."""
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[f.dataType.simpleString()]) for i, f in enumerate(schema)], names=schema.names)
+
+
+def _scatter(least: int, parts: int):
+    """Chunks of seeds: to each range those whose digest one document of the chunk alone has, and a
+    mark of the others, which stay with the chunk's documents."""
 
     def run(batches):
-        kind = pa.list_(pa.struct({"digest": pa.int64(), "begin": pa.int32(), "size": pa.int32()}))
+        made, held, docs = 0, [], []
+
+        def flush():
+            nonlocal made
+            chunk = TaskContext.get().partitionId() << 28 | made
+            made += 1
+            own, begin, size, digest = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = ((digest >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            place = part << np.uint64(32) | digest & np.uint64(0xFFFFFFFF)
+            order = np.lexsort((own, place))
+            place, own, begin, size = place[order], own[order].astype(np.uint16), begin[order].astype(np.uint32), size[order].astype(np.uint32)
+            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
+            several = np.repeat(np.maximum.reduceat(own, first) != np.minimum.reduceat(own, first), np.diff(np.append(first, len(place)))) if len(place) else np.zeros(0, bool)
+            ids, nulls, hashes = [np.array(x) for x in ([d[0] or 0 for d in docs], [d[0] is None for d in docs], [d[1] for d in docs])]
+            rows = [(chunk % parts, chunk, b"\0" + packed(ids.astype(np.int64), nulls.astype(np.uint8), hashes.astype(np.int64))), (chunk % parts, chunk, b"\1" + _coded(*(x[several] for x in (place, own, begin, size))))]
+            sent = ~several
+            sent[first] = True
+            own[several] = 0xFFFF
+            part, place, own, begin, size = (x[sent] for x in (part[order], place, own, begin, size))
+            used = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+            for a, b in zip(used.tolist(), np.append(used[1:], len(part))[: len(used)].tolist(), strict=True):
+                rows.append((int(part[a]), chunk, b"\2" + _coded(*(x[a:b] for x in (place, own, begin, size)))))
+            held.clear()
+            docs.clear()
+            return _batch(rows, SENT)
+
         for batch in batches:
-            own = [seeds(text, least) for text in utf8(batch.column("text"))]
-            begins, sizes, digests = (np.concatenate([s[i] for s in own] or [np.zeros(0, np.int64)]) for i in range(3))
-            values = pa.StructArray.from_arrays([pa.array(digests), pa.array(begins.astype(np.int32)), pa.array(sizes.astype(np.int32))], fields=list(kind.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in own)]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), lists.cast(kind)], names=SEEDED.names)
+            texts = utf8(batch.column("text"))
+            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
+            for a, b in batches_of(texts):
+                of, begin, size, digest = seeds(texts[a:b], least)
+                held.append((of + len(docs), begin, size, digest))
+                docs += zip(ids[a:b], hashes[a:b], strict=True)
+                if sum(len(h[0]) for h in held) >= SEEDS or len(docs) >= DOCS - 10_000:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SEEDED)
+
+def _shared(blobs: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """For each chunk its entries whose digest another chunk has too."""
+    each = [_decoded(b) for _, b in blobs]
+    place = np.concatenate([e[0] for e in each])
+    chunk = np.repeat(np.arange(len(each)), [len(e[0]) for e in each])
+    order = np.argsort(place, kind="stable")
+    place, chunk = place[order], chunk[order]
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    several = np.empty(len(place), bool)
+    several[order] = np.repeat(np.maximum.reduceat(chunk, first) != np.minimum.reduceat(chunk, first), np.diff(np.append(first, len(place))))
+    at, rows = 0, []
+    for (name, _), e in zip(blobs, each, strict=True):
+        good = several[at : at + len(e[0])] & (e[1] != 0xFFFF)
+        at += len(e[0])
+        if good.any():
+            rows.append((name, b"\1" + _coded(*(x[good] for x in e))))
+    return rows
+
+
+def _answer(batches):
+    part, blobs = None, []
+    for batch in batches:
+        rows = []
+        for p, chunk, blob in zip(*[batch.column(c).to_pylist() for c in SENT.names], strict=True):
+            if p != part and blobs:
+                rows += _shared(blobs)
+                blobs = []
+            part = p
+            if blob[:1] == b"\2":
+                blobs.append((chunk, blob[1:]))
+            else:
+                rows.append((chunk, blob))
+        yield _batch(rows, ANSWERS)
+    if blobs:
+        yield _batch(_shared(blobs), ANSWERS)
+
+
+def _gather(batches):
+    """A chunk's documents come first, then their shared seeds."""
+    own = None
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            if blob[:1] == b"\0":
+                own = unpacked(blob[1:], np.int64, np.uint8, np.int64)
+                continue
+            place, doc, begin, size = _decoded(blob[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(own[0][doc], mask=own[1][doc].astype(bool)), pa.array(own[2][doc]), pa.array(place.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))], names=SHARED.names)
+
+
+def shared_seeds(docs: DataFrame, least: int) -> DataFrame:
+    """The seeds of ``docs`` (doc_id, text) that another row has too: (doc_id, text_hash, digest, begin, size)."""
+    tasks = shuffle_partitions(docs.sparkSession)
+    parts = RANGES * tasks
+    sent = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_scatter(least, parts), SENT)
+    answered = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_answer, ANSWERS)
+    return answered.repartition(tasks, "chunk").sortWithinPartitions("chunk", F.substring("blob", 1, 1)).mapInArrow(_gather, SHARED)
 
 
 CHAINS = fields(doc_id=T.LongType(), text_hash=T.LongType(), begin=T.IntegerType(), end=T.IntegerType(), first_doc_id=T.LongType(), first_hash=T.LongType(), first_begin=T.IntegerType(), first_end=T.IntegerType())
@@ -114,11 +264,6 @@ BESIDE = fields(first_doc_id=T.LongType(), first_hash=T.LongType(), first_begin=
 SPANS = fields(doc_id=T.LongType(), text_hash=T.LongType(), begin=T.IntegerType(), end=T.IntegerType(), first_doc_id=T.LongType())
 
 
-def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[f.dataType.simpleString()]) for i, f in enumerate(schema)], names=schema.names)
-
-
 def _chains(batches):
     """Seeds of one text that one document holds at the same distance from each other, without a gap."""
     for batch in batches:
@@ -214,31 +359,22 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     texts have no passage.  Rows that repeat an id count as one document, so they aren't repeats of
     each other; rows of null id are never first.  Distinct rows only.
     """
-    many = least * 3 // 8
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = written(seeded(texts, least), "seeds")
-    each = table.select("doc_id", "text_hash", F.explode("seeds").alias("s")).select("doc_id", "text_hash", "s.*")
-    place = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("first"), F.col("text_hash").alias("first_hash"), F.col("begin").alias("first_begin")))
-    first = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("f"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("f.first < last or unnamed and f.first is not null")
-    first = written(first.select("digest", "f.*", "n"), "first")
+    table = written(shared_seeds(texts, least), "seeds")
     release(docs.sparkSession)
-    # a digest of over a thousandth of all seeds would be one task's: there are under 1,000 of those
-    total = table.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()[0]
-    hot = first.where(F.col("n") * 1000 > total).select("digest", *[F.col(c).alias(f"hot_{c}") for c in ("first", "first_hash", "first_begin")])
-    marked = each.join(F.broadcast(hot), "digest", "left")
-    common = marked.where("hot_first is not null").withColumnsRenamed({f"hot_{c}": c for c in ("first", "first_hash", "first_begin")})
-    other = marked.where("hot_first is null").select(*each.columns).join(first.where(F.col("n") * 1000 <= total).drop("n"), "digest")
-    repeats = common.unionByName(other).where("doc_id is null or first < doc_id")
+    place = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("first"), F.col("text_hash").alias("first_hash"), F.col("begin").alias("first_begin")))
+    first = table.groupBy("digest").agg(F.min(place).alias("f"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("f.first < last or unnamed and f.first is not null")
+    repeats = table.join(first.select("digest", "f.*"), "digest").where("doc_id is null or first < doc_id")
     gathered = repeats.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "size", "first", "first_hash", "first_begin"))).alias("found"))
     chains = written(gathered.mapInArrow(_chains, CHAINS), "chains")
-    discard(table, first)
+    discard(table)
     release(docs.sparkSession)
 
     asked = chains.groupBy(F.col("first_doc_id").alias("doc_id"), F.col("first_hash").alias("text_hash")).agg(F.collect_set(F.struct("first_begin", "first_end")).alias("at"))
-    beside = written(_with_text(asked, texts).mapInArrow(_beside(many), BESIDE), "beside")
+    beside = written(_with_text(asked, texts).mapInArrow(_beside(MOST_BESIDE), BESIDE), "beside")
     sides = chains.join(beside, ["first_doc_id", "first_hash", "first_begin", "first_end"])
     own = sides.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end", "first_doc_id", "before", "after")).alias("chains"))
-    spans = written(_with_text(own, texts).mapInArrow(_spans(least, many), SPANS), "spans")
+    spans = written(_with_text(own, texts).mapInArrow(_spans(least, MOST_BESIDE), SPANS), "spans")
     discard(chains, beside)
     release(docs.sparkSession)
     return spans
