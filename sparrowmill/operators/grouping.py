@@ -19,8 +19,8 @@ def with_total(df: DataFrame, group: str, aggregates: list[Column], total: str =
 
 def share_tables(df: DataFrame, first: str, second: str) -> DataFrame:
     """Rows and share of all rows by the first column, the second, and both."""
-    df.createOrReplaceTempView("__share_tables")
-    sets = df.sparkSession.sql(f"SELECT {first}, {second}, grouping_id() AS level, count(*) AS n FROM __share_tables GROUP BY GROUPING SETS (({first}), ({second}), ({first}, {second}))")
+    one, two = F.col(first), F.col(second)
+    sets = df.groupingSets([[one], [two], [one, two]], one, two).agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
     return sets.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("level")))
 
 
@@ -65,6 +65,22 @@ def nearest_rank(sorted_values: Column, percent: float, rule: str) -> Column:
     return F.get(sorted_values, at)
 
 
+def ranked(df: DataFrame, group: str, value: str, picks: dict[str, tuple[float, str]]) -> DataFrame:
+    """Nearest-rank percentiles of groups of any size, by the rules of :func:`nearest_rank`.
+
+    Values are counted first; running sums over a group's distinct values then give the ranks, so
+    no group is ever held as an array.  ``picks``: {name: (percent, rule)}; nulls don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(group).orderBy(value)
+    sums = counts.withColumns({"__to": F.sum("__n").over(upto), "__size": F.sum("__n").over(Window.partitionBy(group))})
+    n, out = F.col("__size"), []
+    for name, (percent, rule) in picks.items():
+        at = {"half_even": F.bround((n - 1) * F.lit(percent)), "half_up": F.floor((n - 1) * F.lit(percent) + 0.5), "floor": F.least(n - 1, F.floor(n * F.lit(percent))), "upper": F.floor(n / 2)}[rule].cast("long")
+        out.append(F.max(F.when((at < F.col("__to")) & (at >= F.col("__to") - F.col("__n")), F.col(value))).alias(name))
+    return sums.groupBy(group).agg(*out)
+
+
 def value_counts(df: DataFrame, column: str, keep_null: bool = True) -> DataFrame:
     rows = df if keep_null else df.where(F.col(column).isNotNull())
     return rows.groupBy(column).agg(F.count("*").alias("n"))

@@ -26,9 +26,16 @@ def call_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Events of a key in the trailing window that ends at each event."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("trailing", F.count("*").over(w))
+    """Events of a key in the trailing window that ends at each event, both ends included.
+
+    Time is cut into stretches of ``seconds``; an event also stands, as a guest, in the stretch after
+    its own, so a stretch has all that its events look back on and a busy key is many tasks' work.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumns({"__at": at, "__own": F.floor(at / (seconds * 1_000_000))})
+    dealt = rows.withColumn("__guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__stretch", F.col("__own") + F.col("__guest"))
+    w = Window.partitionBy(key, "__stretch").orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
+    return dealt.withColumn("trailing", F.count("*").over(w)).where("__guest = 0").drop("__at", "__own", "__guest", "__stretch")
 
 
 def last_vote(votes: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -47,5 +47,12 @@ def bootstrap(items: DataFrame, replicates: int, statistic: dict[str, Column], s
     return draws.join(items, "item").groupBy("replicate").agg(*[c.alias(n) for n, c in statistic.items()])
 
 
+def paired(df: DataFrame, arm: str, first: str, second: str, keys: list[str], value: str) -> DataFrame:
+    """``delta``, second less first, of the keys that both arms have; an arm's mean per key counts."""
+    side = lambda a, n: df.where(F.col(arm) == a).groupBy(*keys).agg(F.avg(value).alias(n))
+    both = side(first, "__first").join(side(second, "__second"), keys)
+    return both.select(*keys, F.col("__first").alias("before"), F.col("__second").alias("after"), (F.col("__second") - F.col("__first")).alias("delta"))
+
+
 def interval(replicates: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     return replicates.agg(F.percentile(column, low).alias("low"), F.percentile(column, high).alias("high"), F.avg((F.col(column) > 0).cast("int")).alias("share_above_0"))

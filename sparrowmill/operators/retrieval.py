@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import written
+
+# fixed values: the parameters of the two scores
 K1, B = 1.5, 0.75
 RRF_K = 60
 
@@ -12,9 +17,10 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", words: str
     """(query_id, doc_id, score) of every document that shares a term with a query.
 
     ``docs`` has an array of words, ``queries`` (query_id, words); a query's terms are a set.
-    Only postings of query terms are ever shuffled: documents are exploded and at once joined
-    with the terms asked for.
+    Words are made once, into a table; only postings of query terms are ever shuffled: documents
+    are exploded and at once joined with the terms asked for.
     """
+    docs = written(docs.select(doc_id, words), "words")
     sizes = docs.select(doc_id, F.size(words).alias("len"))
     whole = sizes.agg(F.count("*").alias("N"), F.greatest(F.avg("len"), F.lit(1.0)).alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
@@ -22,7 +28,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", words: str
     # a query set is small beside the corpus; the planner broadcasts it by its size
     posted = docs.select(doc_id, F.size(words).alias("len"), F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term", doc_id, "len").agg(F.count("*").alias("tf"))
     held = posted.groupBy("term").agg(F.count("*").alias("df"))
-    rows = posted.join(held, "term").crossJoin(F.broadcast(whole))  # one row of corpus figures
+    rows = posted.join(held, "term").crossJoin(whole)  # one row of corpus figures
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = rows.select("term", doc_id, weight.alias("weight")).join(asked, "term")
@@ -45,15 +51,81 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
 
 
-def cosine(docs: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
-    """(query_id, vec_id, similarity) of the vectors that pass the filter, which comes first.
+#: Vectors and queries of a block at most, about.
+VECTORS_A_BLOCK, QUERIES_A_BLOCK = 8192, 1024
+
+
+def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, others: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, similarity) of the ``k`` vectors of the greatest cosine to each query.
+
+    ``docs`` has (vec_id, embedding), ``queries`` (query_id, query); the filter ``keep`` comes before
+    the search.  Blocks of queries meet blocks of vectors, each pair of blocks in one product, and
+    only the k best of a block go on.  Similarities that agree in nine places rank by id; with
+    ``others`` a query doesn't find its own id.  Null vectors take no part, zero vectors stay zero.
+    """
+    rows = (docs if keep is None else docs.where(keep)).where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("query is not null").select("query_id", F.col("query").cast("array<double>").alias("v"))
+    parts = max(1, -(-rows.count() // VECTORS_A_BLOCK))
+    blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
+    left = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def search(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asking):
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "similarity": pd.Series([], dtype="float64")})
+        unit = lambda m: m / np.where((n := np.sqrt((m * m).sum(1, keepdims=True))) > 0, n, 1.0)
+        ids = own["vec_id"].to_numpy(np.int64)
+        near = unit(np.stack(asking["v"])) @ unit(np.stack(own["v"])).T
+        out = []
+        for i, query in enumerate(asking["query_id"].tolist()):
+            order = np.lexsort((ids, -np.round(near[i], 9)))
+            order = (order[ids[order] != query] if others else order)[:k]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[order], "similarity": near[i, order]}))
+        return pd.concat(out)
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(search, "query_id long, vec_id long, similarity double")
+    return top(found, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
+
+
+def approximate(docs: DataFrame, queries: DataFrame, k: int, tables: int = 16, bits: int = 8) -> DataFrame:
+    """:func:`nearest` among the vectors that share a bucket of random hyperplanes with a query.
+
+    The sides of ``bits`` fixed hyperplanes name a bucket in each of ``tables`` tables; candidates
+    are scored exactly, so only recall is approximate, and more tables raise it.
+    """
+
+    @F.pandas_udf("array<int>")
+    def buckets(column: pd.Series) -> pd.Series:
+        out = []
+        for v in column:
+            planes = np.random.default_rng(len(v)).normal(size=(tables * bits, len(v)))
+            sides = (planes @ np.asarray(v) > 0).reshape(tables, bits)
+            out.append((sides @ (1 << np.arange(bits))).astype(np.int32))
+        return pd.Series(out)
+
+    def dealt(df: DataFrame, i: str, v: str) -> DataFrame:
+        rows = df.where(F.col(v).isNotNull() & (F.size(v) > 0)).select(i, unit(F.col(v)).alias("v"))
+        return rows.select(i, "v", F.posexplode(buckets("v")).alias("table", "bucket"))
+
+    asked = dealt(queries, "query_id", "query").withColumnRenamed("v", "q")
+    pairs = dealt(docs, "vec_id", "embedding").join(asked, ["table", "bucket"]).dropDuplicates(["query_id", "vec_id"])
+    scored = pairs.select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("similarity"))
+    return top(scored, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
+
+
+def found_by(mode: str, lexical: DataFrame, semantic: DataFrame, id_column: str, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of the ``k`` best by mode: semantic, bm25 or hybrid.
 
-    ``queries`` (query_id, query) is a stated, small query set and meets every kept vector.
+    ``lexical`` and ``semantic`` are ranked lists (query_id, id, score, rank).  Equal fused scores
+    rank by the semantic score, then by id.
     """
-    rows = docs if keep is None else docs.where(keep)
-    rows = rows.select("vec_id", unit(F.col("embedding")).alias("v"))
-    asked = queries.select("query_id", unit(F.col("query")).alias("q"))
-    return rows.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("similarity"))
+    if mode in ("semantic", "bm25"):
+        return (semantic if mode == "semantic" else lexical).where(F.col("rank") <= k).select("query_id", id_column, "score", "rank")
+    if mode != "hybrid":
+        raise ValueError(f"unknown mode: {mode}")
+    near = semantic.select("query_id", id_column, F.col("score").alias("__near"))
+    both = fused(lexical, semantic, id_column).join(near, ["query_id", id_column], "left").withColumnRenamed("rrf", "score")
+    return top(both, k, [F.desc(F.round("score", 12)), F.desc_nulls_last("__near"), F.col(id_column)]).select("query_id", id_column, "score", "rank")
 
 
 def fused(first: DataFrame, second: DataFrame, id_column: str) -> DataFrame:

@@ -5,6 +5,8 @@ The normal forms differ on purpose: each belongs to another consumer, and they a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed values: letters with marks and their plain forms, stop words
@@ -47,10 +49,10 @@ def tidy_spaces(c: Column) -> Column:
 
 
 def tokens(c: Column, stopwords: list[str] | None = None) -> Column:
-    """Folded alphanumeric tokens without stop words."""
-    found = F.regexp_extract_all(folded(c), F.lit("([a-z0-9]+)"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in (STOPWORDS if stopwords is None else stopwords)])
-    return F.filter(found, lambda w: ~F.array_contains(stop, w)) if stopwords != [] else found
+    """Folded alphanumeric tokens without stop words, which the pattern itself passes over."""
+    stop = STOPWORDS if stopwords is None else stopwords
+    pattern = f"(?<![a-z0-9])(?!(?:{'|'.join(stop)})(?![a-z0-9]))([a-z0-9]+)" if stop else "([a-z0-9]+)"
+    return F.regexp_extract_all(folded(c), F.lit(pattern), F.lit(1))
 
 
 def light_stem(w: Column) -> Column:
@@ -93,12 +95,16 @@ PERSONAL = [
     ("IP", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
     ("PHONE", r"(\+?[0-9]{1,3}[ .-])?(\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b"),
 ]
-#: Phrases that tell a career's length.
+#: Phrases that tell a career's length, by a small grammar: a span is an amount and a unit; it stands
+#: up to three words before a word for work, or up to two after one, or qualifies a noun.
+_AMOUNT = "([0-9]{1,2}[+]?|one|two|three|four|five|six|seven|eight|nine|ten|fifteen|twenty|several)"
+_UNIT = "(years?|yrs?|decades?)"
+_WORK = "(experience|expertise|career|practice|service|tenure)"
 LEAKS = [
-    ("years_of_experience", r"(?i)\b(over |more than |about )?[0-9]{1,2}\+? (years?|yrs)( of)?( [a-z]+){0,2} (experience|expertise)\b"),
-    ("experience_then_years", r"(?i)\b(experience|career|tenure)[ :]+(of |over |spanning )?[0-9]{1,2}\+? (years?|yrs)\b"),
-    ("n_year_compound", r"(?i)\b[0-9]{1,2}[ -]year[ -](career|veteran|history)\b"),
-    ("decades", r"(?i)\b(a|one|two|three|several) decades?\b"),
+    ("span_before_work", rf"(?i)\b{_AMOUNT} {_UNIT}( [a-z]+){{0,3}} {_WORK}\b"),
+    ("work_before_span", rf"(?i)\b{_WORK}( [a-z]+){{0,2}}[: ]+{_AMOUNT} {_UNIT}\b"),
+    ("span_as_quality", rf"(?i)\b{_AMOUNT}-{_UNIT}[ -][a-z]+\b"),
+    ("decades", rf"(?i)\b(a|{_AMOUNT}) decades?\b"),
 ]
 
 
@@ -114,20 +120,29 @@ def mask_counts(df: DataFrame, column: str, patterns: list[tuple[str, str]]) ->
     return df.agg(*[F.coalesce(F.sum(F.regexp_count(column, F.lit(p))), F.lit(0)).alias(n.lower()) for n, p in patterns])
 
 
-def word_error_counts(reference: Column, hypothesis: Column) -> Column:
-    """Word edit distance of two word arrays, as one dynamic-programming row after another."""
-    start = F.sequence(F.lit(0), F.size(hypothesis))
+def edit_distance(a: list, b: list) -> int:
+    """Least number of insertions, deletions and replacements between two sequences.
+
+    A row of the table at a time: insertions along a row are a running minimum.
+    """
+    names: dict = {}
+    left, right = (np.array([names.setdefault(x, len(names)) for x in s], np.int64) for s in (a, b))
+    steps = np.arange(len(right) + 1)
+    row = steps.copy()
+    for i, x in enumerate(left.tolist(), 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (right != x))
+        row = np.minimum.accumulate(np.concatenate(([i], best)) - steps) + steps
+    return int(row[-1])
 
-    def next_row(row: Column, word: Column) -> Column:
-        def cell(state: Column, i: Column) -> Column:
-            hit = F.when(F.get(hypothesis, i) == word, 0).otherwise(1)
-            value = F.least(F.get(row, i) + hit, F.get(row, i + 1) + 1, F.element_at(state, -1) + 1)
-            return F.concat(state, F.array(value))
 
-        places = F.when(F.size(hypothesis) > 0, F.sequence(F.lit(0), F.size(hypothesis) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.aggregate(places, F.array(F.get(row, F.lit(0)) + 1), cell)
+def word_error_counts(reference: Column, hypothesis: Column) -> Column:
+    """Word edit distance of two word arrays of any length; null if either is."""
+
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
-    return F.element_at(F.aggregate(reference, start, next_row), -1)
+    return run(reference, hypothesis)
 
 
 def year_tokens(c: Column) -> Column:

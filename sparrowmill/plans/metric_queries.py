@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import evaluation, logs, relational, resampling
+from ..operators import evaluation, grouping, logs, relational, resampling
 from .registry import Tables, query
 
 POINTS = "SELECT vec_id % 5 <> 0 AS inside, (vec_id * 7919 % 1000) / 1000.0::DOUBLE AS similarity, label % 2 = 0 AS hit FROM embeddings"
@@ -117,11 +117,16 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return resampling.interval(b, "ratio").withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
-@query(f"""WITH i AS (SELECT n_nationkey::BIGINT AS item, avg(c_acctbal) - 4500 AS delta FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1),
-    d AS (SELECT r AS replicate, {DRAW.format("r || '|' || k || '|s2'")} % 25 AS item FROM range(200) a(r) CROSS JOIN range(25) b(k)), b AS (SELECT replicate, avg(delta) AS m FROM d JOIN i USING (item) GROUP BY 1)
+PAIRED = "SELECT item, b - a AS delta FROM (SELECT c_nationkey::BIGINT AS item, avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS a, avg(c_acctbal) FILTER (c_mktsegment = 'MACHINERY') AS b FROM customer GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL"
+
+
+@query(f"""WITH i AS ({PAIRED}), d AS (SELECT r AS replicate, {DRAW.format("r || '|' || k || '|s2'")} % (SELECT count(*) FROM i) AS place FROM range(200) a(r) CROSS JOIN (SELECT row_number() OVER () - 1 AS k FROM i) b),
+    n AS (SELECT row_number() OVER (ORDER BY item) - 1 AS place, delta FROM i), b AS (SELECT replicate, avg(delta) AS m FROM d JOIN n USING (place) GROUP BY 1)
     SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, avg((m > 0)::INT) AS share_above_0 FROM b""")
 def paired_bootstrap(t: Tables) -> DataFrame:
-    deltas = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("item")).agg((F.avg("c_acctbal") - 4500).alias("delta"))
+    """Interval of the mean difference between two segments over the nations that have both."""
+    pairs = resampling.paired(t.customer, "c_mktsegment", "BUILDING", "MACHINERY", ["c_nationkey"], "c_acctbal")
+    deltas = pairs.select((F.row_number().over(Window.orderBy("c_nationkey")) - 1).cast("long").alias("item"), "delta")  # a row for each nation
     return resampling.interval(resampling.bootstrap(deltas, 200, {"m": F.avg("delta")}, "s2"), "m").withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
@@ -172,10 +177,8 @@ def vote_upsert(t: Tables) -> DataFrame:
 
 @query("""SELECT event_type, count(*) AS calls, count(*) FILTER (event_id % 10 = 0) AS failed, median(value) AS median_value, list_sort(list(value))[1 + floor((count(*) - 1) * 0.9 + 0.5)::INT] AS p90 FROM events GROUP BY 1""")
 def cost_by_model(t: Tables) -> DataFrame:
-    from ..operators import grouping
-
-    out = t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.col("event_id") % 10 == 0).alias("failed"), F.median("value").alias("median_value"), F.array_sort(F.collect_list("value")).alias("v"))
-    return out.withColumn("p90", grouping.nearest_rank(F.col("v"), 0.9, "half_up")).drop("v")
+    out = t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.col("event_id") % 10 == 0).alias("failed"), F.median("value").alias("median_value"))
+    return out.join(grouping.ranked(t.events, "event_type", "value", {"p90": (0.9, "half_up")}), "event_type")
 
 
 @query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
@@ -188,14 +191,14 @@ def props_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("""WITH h AS (SELECT p_partkey AS hit_id, unnest([p_size, p_size % 7]) AS article, unnest([0, 1]) AS place FROM part WHERE p_partkey <= 40),
-    a AS (SELECT p_partkey AS amendment_id, unnest([p_size % 11, p_size]) AS article, p_partkey % 13 AS rank FROM part WHERE p_partkey BETWEEN 20 AND 300),
+@query("""WITH h AS (SELECT p_partkey AS hit_id, unnest([p_size, p_size % 7]) AS article, unnest([0, 1]) AS place FROM part WHERE p_size % 7 = 1),
+    a AS (SELECT p_partkey AS amendment_id, unnest([p_size % 11, p_size]) AS article, p_partkey % 13 AS rank FROM part WHERE p_size % 5 = 0 OR p_size % 7 = 1),
     t AS (SELECT hit_id, place, amendment_id, row_number() OVER (PARTITION BY hit_id, h.article, place ORDER BY rank, amendment_id) AS turn FROM h JOIN (SELECT DISTINCT * FROM a) a ON a.article = h.article WHERE amendment_id NOT IN (SELECT hit_id FROM h)),
     o AS (SELECT hit_id, amendment_id, min(struct_pack(turn := turn, place := place)) AS f FROM t WHERE turn <= 3 GROUP BY ALL)
     SELECT hit_id, (row_number() OVER (PARTITION BY hit_id ORDER BY f.turn, f.place, amendment_id))::INT AS position, amendment_id FROM o QUALIFY position <= 4""")
 def version_augment(t: Tables) -> DataFrame:
-    hits = t.part.where("p_partkey <= 40").select(F.col("p_partkey").alias("hit_id"), F.array_distinct(F.array("p_size", F.col("p_size") % 7)).alias("articles"))
-    offers = t.part.where("p_partkey between 20 and 300").select(F.col("p_partkey").alias("amendment_id"), F.array_distinct(F.array(F.col("p_size") % 11, F.col("p_size"))).alias("articles"), (F.col("p_partkey") % 13).alias("rank"))
+    hits = t.part.where("p_size % 7 = 1").select(F.col("p_partkey").alias("hit_id"), F.array_distinct(F.array("p_size", F.col("p_size") % 7)).alias("articles"))
+    offers = t.part.where("p_size % 5 = 0 or p_size % 7 = 1").select(F.col("p_partkey").alias("amendment_id"), F.array_distinct(F.array(F.col("p_size") % 11, F.col("p_size"))).alias("articles"), (F.col("p_partkey") % 13).alias("rank"))
     return logs.versions_for(hits, offers, 3, 4)
 
 

@@ -29,7 +29,7 @@ def processes(t: Tables) -> DataFrame:
     WHERE p.n_lines > 0 GROUP BY n.n_name HAVING count(*) >= 20""")
 def single_supplier_risk(t: Tables) -> DataFrame:
     """The flagship: share of single-supplier processes by nation, groups below 20 left out."""
-    named = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")  # 25 nations
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     rows = processes(t).where("n_lines > 0").join(named, F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.withColumn("units", F.round(F.col("revenue") * 10000).cast("long"))  # sums that don't hang on order
     out = grouping.share_by_group(rows, "n_name", F.col("n_suppliers") == 1, "units", 20)
@@ -146,10 +146,8 @@ def describe_p90(t: Tables) -> DataFrame:
     SELECT lang, v[1 + round_even((len(v) - 1) * 0.95, 0)::INT] AS half_even, v[1 + floor((len(v) - 1) * 0.95 + 0.5)::INT] AS half_up,
            v[1 + least(len(v) - 1, floor(len(v) * 0.95))::INT] AS floor_index, v[1 + floor(len(v) / 2)::INT] AS upper_median FROM s""")
 def percentile_rules(t: Tables) -> DataFrame:
-    """The index rules of nearest-rank percentiles, which differ; the values of a group are one array."""
-    rows = t.documents.groupBy("lang").agg(F.array_sort(F.collect_list("n_chars")).alias("v"))
-    names = {"half_even": 0.95, "half_up": 0.95, "floor": 0.95, "upper": 0.5}
-    return rows.select("lang", *[grouping.nearest_rank(F.col("v"), p, r).alias({"floor": "floor_index", "upper": "upper_median"}.get(r, r)) for r, p in names.items()])
+    """The index rules of nearest-rank percentiles, which differ."""
+    return grouping.ranked(t.documents, "lang", "n_chars", {"half_even": (0.95, "half_even"), "half_up": (0.95, "half_up"), "floor_index": (0.95, "floor"), "upper_median": (0.5, "upper")})
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY 1")
@@ -161,7 +159,7 @@ def monthly_counts(t: Tables) -> DataFrame:
     GROUP BY n_name ORDER BY sum(o_totalprice) DESC, n_name LIMIT 10""")
 def top10_nation(t: Tables) -> DataFrame:
     by_customer = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("amount"))
-    named = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     out = by_customer.join(named, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name").agg(F.sum("amount").alias("amount"))
     return out.orderBy(F.desc("amount"), "n_name").limit(10).select("n_name", F.round("amount", 2).alias("amount"))
 
@@ -241,18 +239,21 @@ def row_validation(t: Tables) -> DataFrame:
 @query("""SELECT s_suppkey, r_name AS region, CASE WHEN s_suppkey % 3 = 0 THEN 'nation' ELSE 'region' END AS method FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def lookup_cascade(t: Tables) -> DataFrame:
     """Dimension lookup by several fields in order of priority, with the method that hit."""
-    nation = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    nation = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     rows = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.lit(None)).otherwise(F.col("s_nationkey")).alias("first"), F.col("s_nationkey").alias("second"))
     names = [("first", "region"), ("second", "nation")]
     return quality.looked_up(rows, nation, "n_nationkey", "r_name", names, "region", "method").select("s_suppkey", "region", "method")
 
 
-@query("""SELECT o_orderkey, n_name AS customer_nation FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
-    WHERE n_regionkey <> (o_orderkey % 5)""")
+@query("""SELECT o_orderkey, l_linenumber, cn.n_name AS customer_nation, sn.n_name AS supplier_nation FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation cn ON cn.n_nationkey = c_nationkey
+    JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation sn ON sn.n_nationkey = s_nationkey WHERE cn.n_regionkey <> sn.n_regionkey""")
 def region_mismatch(t: Tables) -> DataFrame:
-    named = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "n_regionkey")
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "n_regionkey")
+    other = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("supplier_nation"), F.col("n_regionkey").alias("other_region"))
     both = t.orders.select("o_orderkey", "o_custkey").join(named, F.col("o_custkey") == F.col("c_custkey"))
-    return both.where(F.col("n_regionkey") != F.col("o_orderkey") % 5).select("o_orderkey", F.col("n_name").alias("customer_nation"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").join(other, F.col("l_suppkey") == F.col("s_suppkey"))
+    met = both.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).where(F.col("n_regionkey") != F.col("other_region"))
+    return met.select("o_orderkey", "l_linenumber", F.col("n_name").alias("customer_nation"), "supplier_nation")
 
 
 @query("""SELECT p_partkey, CASE WHEN floor(p_size) <= 2 THEN '0-2' WHEN floor(p_size) <= 5 THEN '3-5' WHEN floor(p_size) <= 10 THEN '6-10' ELSE '11+' END AS band, least(greatest(p_size, 0), 20)::INT AS clipped FROM part""")
@@ -264,7 +265,8 @@ def banding(t: Tables) -> DataFrame:
     SELECT a.o_custkey, a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM c a JOIN c b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
     WHERE (a.o_orderpriority = b.o_orderpriority) <> (floor(a.o_totalprice / 100000) = floor(b.o_totalprice / 100000))""")
 def differing_in_one(t: Tables) -> DataFrame:
-    """Pairs of a key's rows that differ in exactly one of two axes."""
+    """Pairs of a key's rows that differ in exactly one of two axes; the key, a customer with some
+    dozen orders, is the block that bounds them."""
     c = t.orders.select("o_custkey", "o_orderkey", "o_orderpriority", F.floor(F.col("o_totalprice") / 100000).alias("level"))
     a, b = c.alias("a"), c.alias("b")
     one = (F.col("a.o_orderpriority") == F.col("b.o_orderpriority")) != (F.col("a.level") == F.col("b.level"))

@@ -42,9 +42,23 @@ def discard(*tables: DataFrame | None) -> None:
     """Delete tables that :func:`written` made and that nothing will read again."""
     for df in tables:
         if df is not None:
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(df.sparkSession, df.scratch_path)
+
+
+def _at(spark: SparkSession, path: str):
+    """A path and its file system, of any kind that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _at(spark, path)
+    return files.exists(at)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at, files = _at(spark, path)
+    files.delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
@@ -27,7 +28,20 @@ def strict_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame
 
 def numbers(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
     """Named columns as numbers; what is no number becomes null."""
-    return df.withColumns({c: F.col(c).try_cast(kind) for c in columns})
+    return df.withColumns({c: F.nullif(F.trim(c), F.lit("")).try_cast(kind) for c in columns})
+
+
+def whole_or_fraction(c: Column) -> Column:
+    """A number as text: whole numbers without a point, others as they are; blank is null."""
+    value = F.nullif(F.trim(c), F.lit(""))
+    number = value.try_cast("double")
+    return F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(value)
+
+
+def numbered_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with the place of each row in its file, from 1."""
+    df = spark.read.parquet(path)
+    return df.select("*", F.col("_metadata.file_name").alias("file"), (F.col("_metadata.row_index") + 1).alias("row_number"))
 
 
 PAGE = T.StructType([T.StructField("document", T.StringType()), T.StructField("version", T.StringType()), T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("origin", T.StringType()), T.StructField("lines", T.ArrayType(T.StructType([T.StructField("y", T.DoubleType()), T.StructField("block", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("x", T.DoubleType())])))])
@@ -87,6 +101,48 @@ def split_valid(df: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.size("errors") == 0).drop("errors"), marked.where(F.size("errors") > 0).withColumn("errors", F.array_join("errors", "; "))
 
 
+def write_rejected(parts: list[DataFrame], path: str) -> None:
+    """Rejected rows of several tables in one CSV folder, with the columns of all of them.
+
+    The byte order mark that spreadsheets look for stands before the first column's name.
+    """
+    every = list(dict.fromkeys(c for p in parts for c in p.columns))
+    rows = [p.select(*[(F.col(c) if c in p.columns else F.lit(None)).cast("string").alias(c) for c in every]) for p in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    out.withColumnRenamed(every[0], f"\ufeff{every[0]}").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A report as a folder of CSV (with a header) or JSON lines; replaces the one before."""
+    df.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
+def zip_entries(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """Entries of ZIP archives: (archive, name, size, content) of those whose name ends with ``suffix``.
+
+    Every entry's length and CRC are held against the archive's directory; a damaged archive raises.
+    """
+
+    def run(batches):
+        import io
+        import zipfile
+
+        for batch in batches:
+            for archive, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(raw)) as held:
+                    for entry in held.infolist():
+                        if entry.filename.endswith(suffix) and not entry.is_dir():
+                            data = held.read(entry)  # checks the CRC
+                            if len(data) != entry.file_size:
+                                raise ValueError(f"{archive}: {entry.filename} is shorter than declared")
+                            yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([entry.filename]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], names=["archive", "name", "size", "content"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "archive string, name string, size long, content binary")
+
+
 def write_sample(df: DataFrame, path: str, order: list[str], n: int) -> None:
     df.orderBy(*order).limit(n).write.option("header", True).csv(path)
 

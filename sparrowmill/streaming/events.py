@@ -17,12 +17,22 @@ def daily_use(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("used"))
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Everything that is there now through a stream into a memory table (small results, tests)."""
+def run_once(stream: DataFrame) -> DataFrame:
+    """Everything that is there now through a stream, into a table in the shared folder.
+
+    Each micro-batch of a complete result replaces the one before under its own number, so a batch
+    that runs again writes the same table again, and the driver holds no rows.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", new_dir(spark, "stream")).trigger(availableNow=True).start()
+    path, last = new_dir(spark, "stream"), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        last[:] = [number]
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def upsert(stream: DataFrame, path: str, key: str, order: str) -> None:

@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowmill.functions import records
-from sparrowmill.operators import calendar, chunking, evaluation, grouping, logs, quality, relational, resampling, retrieval, text
+from sparrowmill.functions import cues, evidence, sequences, spanish
+from sparrowmill.operators import calendar, chunking, evaluation, grouping, logs, quality, records, relational, resampling, retrieval, text
 from sparrowmill.sources import files
 
 
@@ -154,40 +154,79 @@ def test_packed_chunks_fit_and_keep_words():
         list(chunking.packed("x", 10, 10))
 
 
-@pytest.mark.parametrize(("said", "digits"), [("seis mil quinientos", "6500"), ("tres mil", "3000"), ("veinte", "20"), ("ciento diez soles", "110 soles"), ("mil doscientos cincuenta", "1250"), ("treinta y cinco", "35"), ("un año ocho meses", "1 año 8 meses"), ("unas cuartos", "unas cuartos"), ("4,500 y 1.5", "4500 y 1.5"), ("uno", "uno"), ("", "")])
+def test_chunks_end_where_the_text_allows_it():
+    body = "TITULO UNO\nHola a todos. Esto es 1. una prueba;\nfin de linea\n\n2) otro punto\nCAPITULO\ncosas y mas cosas"
+    flow, places, kinds = chunking.flowing(body)
+    assert flow == "TITULO UNO\nHola a todos. Esto es 1. una prueba; fin de linea\n2) otro punto\nCAPITULO\ncosas y mas cosas"
+    ends = {flow[:p].split()[-1]: k for p, k in zip(places, kinds, strict=True)}
+    assert ends["UNO"] == chunking.AFTER_HEADING == ends["CAPITULO"] and ends["1."] == chunking.BETWEEN_WORDS
+    assert ends["todos."] == chunking.SENTENCE == ends["prueba;"] and ends["linea"] == chunking.PARAGRAPH == ends["punto"]
+    assert not any(c.endswith("CAPITULO") for n in range(20, 90) for c in chunking.packed(body, n, 0) if len(c) > 8)
+    assert " ".join(chunking.packed(body, 40, 0)).split() == body.split()
+    assert chunking.packed("x" * 25, 10, 3) == ["x" * 10, "x" * 10, "x" * 5]
+
+
+@pytest.mark.parametrize(("said", "digits"), [("seis mil quinientos", "6500"), ("tres mil", "3000"), ("veinte", "20"), ("ciento diez soles", "110 soles"), ("mil doscientos cincuenta", "1250"), ("treinta y cinco", "35"), ("un año ocho meses", "1 año 8 meses"), ("unas cuartos", "unas cuartos"), ("4,500 y 1.5", "4500 y 1.5"), ("uno", "uno"), ("", ""), ("treinta y un mil", "31000"), ("veintiún años", "21 años"), ("un millón doscientos mil", "1200000"), ("dos, tres", "2, 3"), ("cero", "0")])
 def test_spoken_numbers(said, digits):
-    assert records.spoken_numbers(said) == digits
+    assert spanish.spoken_numbers(said) == digits
+
+
+SAID = "Tengo experiencia total de un año ocho meses. Mi último puesto fue analista de datos en una empresa. Manejo Python y SQL. Antes ganaba dos mil soles. Mi pretensión salarial es tres mil soles. Estoy disponible a partir del 15 de marzo. Mi inglés es intermedio."
+FIELDS = [
+    cues.Field("years", r"\d+ anos?(?: \d+ meses)?", lambda m: round(evidence.durations(m.group())[0][0], 2), {"experien": 2.0, "edad": -3.0}),
+    cues.Field("pay", r"\d{3,6}(?: soles)?", lambda m: float(m.group().split()[0]), {"pretensi": 3.0, "ganaba": -3.0}, 5),
+    cues.Field("role", r"puesto (?:fue|es) (\w+ de \w+|\w+)", lambda m: m[1]),
+    cues.Field("english", "basico|intermedio|avanzado", cues={"ingles": 1.0}, reach=4, least=0.1),
+    cues.Field("never", "nada de nada"),
+]
+
+
+def test_fields_and_verification(spark):
+    assert cues.extracted(SAID, FIELDS) == {"years": 1.67, "pay": 3000.0, "role": "analista de datos", "english": "intermedio", "never": None}
+    assert cues.listed(SAID, ["SQL", "Python", "Scala"]) == ["Python", "SQL"]
+    got = one(spark, records.fields(F.col("t"), FIELDS, {"years": "double", "pay": "double"}), SAID)
+    assert (got.years, got.pay, got.english, got.never) == (1.67, 3000.0, "intermedio", None)
+    assert evidence.verified(1.67, SAID)["status"] == "verified"
+    assert evidence.verified(3000, SAID)["mode"] == "number"
+    assert evidence.verified("analista de datos", SAID)["mode"] == "literal"
+    assert evidence.verified("Pretension salarial", SAID)["mode"] == "normal"
+    assert evidence.verified("gerente general", SAID)["status"] == "unverified"
+    assert evidence.verified("analistas de dato", SAID)["near"] == "analista de datos"
+    assert evidence.verified(["Python", "Cobol"], SAID) == {"status": "unverified", "mode": "list", "found_as": None, "near": "Cobol"}
+    assert evidence.verified(None, SAID)["status"] == "empty"
+    assert evidence.durations("2 anos y medio o 18 meses") == [(2.5, "2 anos y medio"), (1.5, "18 meses")]
+    assert evidence.coverage("abcd", "xxabyycd") == 1.0 and evidence.coverage("", "x") == 0.0
 
 
-def test_interview_and_verification():
-    said = "Tengo experiencia total de un año ocho meses. Mi último puesto fue analista de datos en una empresa. Manejo Python y SQL. Mi pretensión salarial es tres mil soles. Estoy disponible a partir del 15 de marzo. Mi inglés es intermedio."
-    got = records.interview(said, ["SQL", "Python", "Scala"])
-    assert got == {"years": 1.67, "last_role": "analista de datos", "tools": ["Python", "SQL"], "expected_pay": 3000.0, "availability": "15 de marzo", "english": "Intermedio"}
-    assert records.verified(1.67, said)["status"] == "verified"
-    assert records.verified(3000, said)["mode"] == "number"
-    assert records.verified("analista de datos", said)["mode"] == "literal"
-    assert records.verified("gerente general", said)["status"] == "unverified"
-    assert records.verified(None, said)["status"] == "empty"
+ORDER = cues.OrderWords(withdraw="quita(?:me)?|ya no quiero|cambia(?:me)?", price=r"a (\d+(?:\.\d+)?)", measure="vasos?|porcion(?:es)?", sizes=("grande", "chica"), aliases={"saltado": "lomo saltado"})
 
 
-def test_order_follows_corrections_and_totals():
+def test_order_follows_corrections_and_totals(spark):
     menu = ["lomo saltado", "limonada", "ensalada"]
-    got = records.order("Quiero dos lomo saltado a 35 soles, una limonada a 8 soles y una ensalada a 10 soles. Quítame la ensalada. El total son 78 soles, pago con Yape.", menu)
-    assert [(i["dish"], i["amount"], i["price"]) for i in got["items"]] == [("lomo saltado", 2, 35.0), ("limonada", 1, 8.0)]
-    assert got["payment"] == "Yape" and got["stated_total"] == 78.0
-    assert records.order_check(got["items"], None, 78.0, None)["status"] == "ok"
-    assert records.order_check(got["items"], None, 70.0, None, correct=78.0, said=70.0)["diagnosis"] == "speaker"
-    assert records.order_check(got["items"], None, 70.0, None, correct=78.0, said=78.0)["diagnosis"] == "recogniser"
-    two = [{"dish": "limonada", "amount": 2, "price": 8.0}]
-    assert records.order_check(two, "2x1 en bebidas", 8.0, None)["status"] == "ok"
-    assert records.order_check([{"dish": "x", "amount": 1, "price": None}], None, 8.0, None)["status"] == "incomplete"
-
-
-def test_matching_and_rows():
-    assert records.matched_items([{"dish": "lomo saltado", "amount": 1}], [{"dish": "lomo saltado grande", "amount": 1}]) == 1
-    assert records.longest_nondecreasing([1, 9, 2, 2, 3]) == [0, 2, 3, 4]
+    call = "Quiero dos lomo saltado grandes a 35 soles, una limonada a 8 soles y una ensalada a 10 soles. Quítame la ensalada. Que sean tres vasos de limonada. El total son 94 soles."
+    lines = cues.order_lines(call, menu, ORDER)
+    assert [(x["item"], x["size"], x["amount"], x["price"]) for x in lines] == [("lomo saltado", "grande", 2, 35.0), ("limonada", None, 3, 8.0)]
+    assert cues.order_lines("un saltado a 30", menu, ORDER)[0]["item"] == "lomo saltado" and cues.order_lines("nada", menu, ORDER) == [] == cues.order_lines("x", [], ORDER)
+    df = spark.createDataFrame([(call, 94.0, None), (call, 80.0, None), (call, 94.0, 90.0), (None, 1.0, None)], "t string, stated double, other double")
+    df = df.withColumn("items", records.order_lines(F.col("t"), menu, ORDER)).withColumn("c", records.order_totals(F.col("items"), F.col("stated")))
+    df = df.withColumn("who", records.diagnosed(F.col("c"), F.col("items"), F.col("stated"), F.when(F.col("t").isNotNull(), records.numbers_said(F.coalesce("t", F.lit(""))))))
+    assert [(r.c.status, r.c.difference, r.who) for r in df.collect()] == [("ok", 0.0, "ok"), ("discrepancy", -14.0, "recogniser"), ("ok", 0.0, "ok"), ("incomplete", None, "undetermined")]
+    two = spark.createDataFrame([([("limonada", None, 3, 8.0), ("ensalada", None, 2, 10.0)],)], f"items {records.LINES}")
+    two = two.select(records.paired_discount(F.col("items"), "limonada").alias("a"), records.bundle_discount(F.col("items"), "ensalada", F.lit(15.0)).alias("b"), records.order_totals(F.col("items"), F.lit(36.0), discount=records.paired_discount(F.col("items"), "limonada"))["status"].alias("s"))
+    assert tuple(two.first()) == (8.0, 5.0, "ok")
+    truth = df.where("stated = 80").select(records.diagnosed_by_truth(F.col("c"), F.col("stated"), F.lit(94.0), F.lit(80.0)).alias("a"), records.diagnosed_by_truth(F.col("c"), F.col("stated"), F.lit(94.0), F.lit(94.0)).alias("b")).first()
+    assert tuple(truth) == ("speaker", "recogniser")
+
+
+def test_matching_and_rows(spark):
+    assert cues.matched([{"item": "lomo saltado", "amount": 1}], [{"item": "lomo saltado grande", "amount": 1}]) == 1
+    assert cues.matched([{"item": "a b", "amount": 1}] * 2, [{"item": "a b", "amount": 1}, {"item": "c", "amount": 1}]) == 1
+    assert sequences.longest_nondecreasing([1, 9, 2, 2, 3]) == [0, 2, 3, 4] and sequences.longest_nondecreasing([]) == []
     lines = [{"x": 50, "y": 1, "h": 10}, {"x": 0, "y": 0, "h": 10}, {"x": 0, "y": 30, "h": 10}]
-    assert records.reading_rows(lines) == [[1, 0], [2]]
+    assert sequences.reading_rows(lines) == [[1, 0], [2]]
+    df = spark.createDataFrame([([1, 9, 2], [(50.0, 1.0, 10.0), (0.0, 0.0, 10.0)])], "v array<int>, lines array<struct<x:double,y:double,h:double>>")
+    assert tuple(df.select(records.anchors(F.col("v")), records.page_rows(F.col("lines"))).first()) == ([0, 2], [[1, 0]])
+    assert one(spark, records.field_correct(F.col("t"), F.lit("LIMA ")), "lima") and not one(spark, records.field_correct(F.lit(1.0), F.lit(1.2), 0.1))
 
 
 def test_sources(spark, tmp_path):
