@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..scratch import new_dir, written
+from ..scratch import new_dir, shuffle_partitions, written
 from ._arrow import fields, utf8
 
 #: Payloads from this many bytes on are revisited.
@@ -205,7 +205,7 @@ def arc_records(files: DataFrame) -> DataFrame:
                     columns = list(zip(*rows[a : a + 10_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=INDEX.names)
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(run, INDEX)
+    return files.select("path").repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(run, INDEX)
 
 
 def to_warc(files: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -221,7 +221,7 @@ def to_warc(files: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     other = F.col("kept").isNotNull() & (F.col("payload_bytes") >= least) & ~F.col("kept").eqNullSafe(F.struct("page_id", "file", "offset"))
     named = named.withColumn("refers_to", F.when(other, F.concat_ws("#", "kept.file", F.col("kept.offset").cast("string"))))
     where = new_dir(files.sparkSession, "warc")
-    plan = named.select("file", "offset", "length", "fields", "refers_to").repartition("file").sortWithinPartitions("file", "offset")
+    plan = named.select("file", "offset", "length", "fields", "refers_to").repartition(shuffle_partitions(files.sparkSession), "file").sortWithinPartitions("file", "offset")
 
     def run(batches):
         now, source, sink, count = None, None, None, 0
@@ -276,7 +276,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                     columns = list(zip(*rows[a : a + 10_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), *[pa.string()] * 4), strict=True)], names=READ.names)
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(run, READ)
+    return files.select("path").repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(run, READ)
 
 
 def archived(pages: DataFrame) -> DataFrame:
