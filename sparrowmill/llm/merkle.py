@@ -1,10 +1,10 @@
 """Document fingerprints: Merkle trees over paragraphs and sections.
 
-The leaves of a tree are short runs of words inside a paragraph, the next level its paragraphs,
-then sections of a few paragraphs, then the root.  Where runs and sections end depends on the
-content next to the cut alone, so an edit changes the branches over it and no others.  A
-fingerprint lists the root, the section hashes and the leaf hashes; equal roots mean equal texts,
-and the leaves that two trees share tell how alike they are and where they part.
+The leaves of a tree are short runs of words inside a paragraph; every other node hashes the hashes
+of its children: a paragraph its leaves', a section its paragraphs', the root its sections'.  Where
+runs and sections end depends on the content next to the cut alone, so an edit changes the branches
+over it and no others.  A fingerprint lists the root, the section hashes and the beginnings of the
+leaf hashes; equal roots mean equal texts, and trees are compared by going down differing branches.
 """
 
 from __future__ import annotations
@@ -15,46 +15,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..scratch import shuffle_partitions
 from ._arrow import fields
-from ._hashing import WHITE, gear, range_hashes
+from ._hashing import WHITE, gear
 from .blocks import block_of, bounds
 
 #: A leaf ends at one of four gaps between words; a section at one of four paragraphs.
 LEAF_GAP, SECTION = 65536 // 4, 4
 
 
-def tree(text: str) -> tuple[str, list[str], list[int], np.ndarray, np.ndarray]:
+def node(level: bytes, children: list[bytes]) -> bytes:
+    """The hash of a node from its children's hashes, all of 16 bytes; ``level`` keeps levels apart."""
+    return hashlib.blake2b(b"".join(children), digest_size=16, person=level).digest()
+
+
+def tree(text: str) -> tuple[str, list[str], list[int], list[bytes], np.ndarray]:
     """(root, section hashes, leaves of each section, leaf hashes, leaf ends in bytes)."""
     raw = text.encode()
-    root = hashlib.blake2b(raw, digest_size=16)
     if not raw:
-        return root.hexdigest(), [], [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return node(b"root", []).hex(), [], [], [], np.zeros(0, np.int64)
     data = np.frombuffer(raw, np.uint8)
     ends = WHITE[data[:-1]] & ~WHITE[data[1:]]
-    line = np.zeros(len(data) - 1, bool)
-    line[np.flatnonzero(data[:-1] == 10)] = True
+    line = data[:-1] == 10
     ends &= line | (gear(data)[:-1] < LEAF_GAP)
     cut = np.append(np.flatnonzero(ends) + 1, len(data))
-    begin = np.concatenate(([0], cut[:-1]))
-    leaves = (range_hashes(data, begin, cut) >> np.uint64(32)).astype(np.uint32)
+    digest = xxhash.xxh3_128_digest
+    leaves = [digest(raw[a:b]) for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
     # a paragraph ends with the leaf before a line feed's end, a section where a paragraph's hash says so
-    last = np.flatnonzero(np.append(data[cut[:-1] - 1] == 10, True))
-    first = np.concatenate(([0], last[:-1] + 1))
-    paragraphs = range_hashes(data, begin[first], cut[last])
-    closes = np.flatnonzero(np.append((paragraphs[:-1] >> np.uint64(40)) % np.uint64(SECTION) == 0, True))
-    opens = np.concatenate(([0], closes[:-1] + 1))
-    sections = [hashlib.blake2b(paragraphs[a : b + 1].tobytes(), digest_size=6).hexdigest() for a, b in zip(opens.tolist(), closes.tolist(), strict=True)]
-    counts = (last[closes] - first[opens] + 1).tolist()
-    root = hashlib.blake2b("".join(sections).encode() + root.digest(), digest_size=16)
-    return root.hexdigest(), sections, counts, leaves, cut
+    last = (np.flatnonzero(np.append(data[cut[:-1] - 1] == 10, True)) + 1).tolist()
+    sections, counts, held, begin, opened = [], [], [], 0, 0
+    for end in last:
+        paragraph = node(b"paragraph", leaves[begin:end])
+        held.append(paragraph)
+        begin = end
+        if paragraph[5] % SECTION == 0 or end == len(leaves):
+            sections.append(node(b"section", held))
+            counts.append(end - opened)
+            held, opened = [], end
+    return node(b"root", sections).hex(), [x[:6].hex() for x in sections], counts, leaves, cut
 
 
 def fingerprint(text: str) -> str:
     """``root:section-leaves,section-leaves,...``; a leaf is eight hexadecimal digits."""
     root, sections, counts, leaves, _ = tree(text)
-    digits, at, parts = leaves.astype(">u4").tobytes().hex(), 0, []
+    digits, at, parts = b"".join([x[:4] for x in leaves]).hex(), 0, []
     for section, n in zip(sections, counts, strict=True):
         parts.append(f"{section}-{digits[at : at + 8 * n]}")
         at += 8 * n
@@ -89,14 +96,36 @@ def _leaves(digits: str) -> list[str]:
     return [digits[i : i + 8] for i in range(0, len(digits), 8)]
 
 
-def differing(a: str, b: str) -> Iterator[int]:
-    """Numbers of the leaves of ``a`` that ``b`` lacks: the branches in which ``a`` was edited."""
-    held = Counter(leaf for digits, _ in sections_of(b) for leaf in _leaves(digits))
-    for i, leaf in enumerate(leaf for digits, _ in sections_of(a) for leaf in _leaves(digits)):
-        if held[leaf]:
-            held[leaf] -= 1
+def differing(a: str, b: str, visited: list[int] | None = None) -> Iterator[int]:
+    """Numbers of the leaves of ``a`` that ``b`` lacks: the branches in which ``a`` was edited.
+
+    Equal roots end the search, equal sections are passed over whole, and only the leaves below
+    differing sections are visited, whose numbers ``visited`` gets, if given.
+    """
+    if a[:32] == b[:32]:
+        return
+    left, right = sections_of(a), sections_of(b)
+    ours, theirs = (Counter(h for _, h in side) for side in (left, right))
+    same, spare = ours & theirs, theirs - ours
+    held: Counter = Counter()
+    for digits, h in right:
+        if spare[h]:
+            spare[h] -= 1
+            held.update(_leaves(digits))
+    at = 0
+    for digits, h in left:
+        own = _leaves(digits)
+        if same[h]:
+            same[h] -= 1
         else:
-            yield i
+            for i, leaf in enumerate(own, at):
+                if visited is not None:
+                    visited.append(i)
+                if held[leaf]:
+                    held[leaf] -= 1
+                else:
+                    yield i
+        at += len(own)
 
 
 RESULT = fields(doc_id=T.LongType(), n_chars=T.LongType(), edited_sha256=T.StringType(), fingerprint=T.StringType(), edited_fingerprint=T.StringType(), near_edited=T.DoubleType(), near_next=T.DoubleType())
@@ -126,7 +155,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.get(previous, F.col("block")).alias("block"), F.lit(True).alias("guest"))
     placed = docs.withColumn("block", block_of(edges)).select("doc_id", "text", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))).alias("at")).select("at.block", "at.guest", "doc_id", "text")
-    dealt = placed.repartition(F.col("block")).sortWithinPartitions("block", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    dealt = placed.repartition(shuffle_partitions(docs.sparkSession), "block").sortWithinPartitions("block", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches):
         held = None  # (block, doc, text, fingerprint) of the row before
