@@ -99,6 +99,22 @@ def cleaned(df: DataFrame, text: str, masks: list[tuple[str, str]], leaks: list[
     return steps.withColumn("n_joined", F.length(c) - F.length(F.regexp_replace(c, "\n", "")) - F.length("__mended") + F.length(F.regexp_replace("__mended", "\n", ""))).drop("__mended", "__ranged", "__private")
 
 
+def without_contacts(text: Column, sections: str, patterns: list[tuple[str, str]]) -> Column:
+    """A résumé's text without who it is about.
+
+    The header block, up to the first line that opens a section, loses lines of two to four words that
+    all begin with a capital, which are taken for names, and lines with personal data; personal data
+    further down is masked.  A text without a section keeps its lines.
+    """
+    from . import text as texts
+
+    lines = lines_of(text)
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(sections)), True)
+    every = "|".join(f"(?:{p})" for _, p in patterns)
+    kept = F.filter(lines, lambda x, i: ~((i < first - 1) & (x.rlike(r"^\s*(?:\p{Lu}[\p{L}'.-]*\s*){2,4}$") | x.rlike(every))))
+    return texts.masked(F.array_join(F.when(first > 0, kept).otherwise(lines), "\n"), patterns)
+
+
 def token_chunks(df: DataFrame, ids: list[str], text: str, budget: int) -> DataFrame:
     """Lines packed into chunks of at most ``budget`` words; a longer line is a chunk of its own.
 

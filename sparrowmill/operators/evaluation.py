@@ -44,6 +44,44 @@ def plateau_centre(table: DataFrame) -> DataFrame:
     return listed.select(F.get("ts", F.floor(F.size("ts") / 2).cast("int")).alias("t"), F.col("top").alias("f"))
 
 
+def cautious(table: DataFrame, margin: int) -> DataFrame:
+    """The greatest threshold of the best F less a margin, or the next lower one that the table has."""
+    top = table.where(F.col("f") == table.agg(F.max("f")).first()[0]).agg(F.max("t").alias("top"))
+    return table.join(top, F.col("t") <= F.col("top") - margin).agg(F.max_by(F.struct("t", "f"), "t").alias("x")).select("x.t", "x.f")
+
+
+def without_undue(table: DataFrame) -> DataFrame:
+    """Among thresholds without an undue answer that of the fewest abstentions, the greatest of equals."""
+    return table.where("undue = 0").agg(F.min_by("t", F.struct("abstained", -F.col("t"))).alias("t"), F.min("abstained").alias("abstained"))
+
+
+def sliced(ranks: DataFrame, slice_: str, cuts: list[int], rank: str = "rank") -> DataFrame:
+    """:func:`recall_and_mrr` for each slice and for all rows, ``ALL``."""
+    r = F.col(rank)
+    figures = [F.count("*").alias("n"), *[F.avg(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in cuts], F.avg(F.coalesce(1.0 / r, F.lit(0.0))).alias("mrr")]
+    out = ranks.rollup(slice_).agg(*figures, F.grouping(slice_).alias("__all"))
+    return out.withColumn(slice_, F.when(F.col("__all") == 1, "ALL").otherwise(F.col(slice_).cast("string"))).drop("__all")
+
+
+def failures(ranks: DataFrame, k: int, rank: str = "rank") -> DataFrame:
+    """Rows whose right answer isn't among the first ``k``."""
+    return ranks.where(F.col(rank).isNull() | (F.col(rank) > k))
+
+
+def ranges_as_text(runs: DataFrame, key: str) -> DataFrame:
+    """Runs (``first``, ``last``) of a key as ``1-3, 7``."""
+    one = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
+    held = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", one.alias("t")))).alias("__r"))
+    return held.select(key, F.array_join(F.transform("__r", lambda x: x["t"]), ", ").alias("ranges"))
+
+
+def numbers_of_ranges(ranges: Column) -> Column:
+    """The numbers of a text such as ``1-3, 7``; parts that aren't ranges give none."""
+    each = F.filter(F.split(ranges, r"\s*,\s*"), lambda x: x.rlike(r"^\d+(-\d+)?$"))
+    ends = F.transform(each, lambda x: F.split(x, "-"))
+    return F.flatten(F.transform(ends, lambda e: F.sequence(e[0].cast("int"), F.element_at(e, -1).cast("int"))))
+
+
 def regression_figures(df: DataFrame, real: str, predicted: str, within: list[float]) -> DataFrame:
     """MAE, RMSE, R squared, bias, and shares within given errors, in one pass."""
     y, e = F.col(real), F.col(predicted) - F.col(real)

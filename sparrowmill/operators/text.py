@@ -5,6 +5,8 @@ The normal forms differ on purpose: each belongs to another consumer, and they a
 
 from __future__ import annotations
 
+import difflib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -150,6 +152,38 @@ def year_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1))
 
 
+YEAR = r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"
+
+
+def shifted_years(c: Column, by: int) -> Column:
+    """A text with every year moved by the same number of years."""
+    between = F.split(c, YEAR)
+    years = F.transform(F.regexp_extract_all(c, F.lit(f"({YEAR})"), F.lit(1)), lambda y: (y.cast("int") + by).cast("string"))
+    return F.array_join(F.zip_with(between, F.concat(years, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
+def without_block(c: Column, number: int, opens: str) -> Column:
+    """A text without its ``number``-th block, from 0; ``opens`` matches the line that begins a block."""
+    lines = F.split(c, "\n")
+    block = lambda i: F.size(F.filter(F.slice(lines, F.lit(1), i + 1), lambda x: x.rlike(opens))) - 1
+    return F.array_join(F.filter(lines, lambda x, i: block(i) != number), "\n")
+
+
+def word_changes(a: Column, b: Column) -> Column:
+    """What turns one text's words into another's: an array of (op, old, new), equal runs left out."""
+
+    @F.pandas_udf("array<struct<op:string,old:string,new:string>>")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            u, v = (x or "").split(), (y or "").split()
+            codes = difflib.SequenceMatcher(a=u, b=v, autojunk=False).get_opcodes()
+            out.append([{"op": op, "old": " ".join(u[i:j]), "new": " ".join(v[k:m])} for op, i, j, k, m in codes if op != "equal"])
+        return pd.Series(out)
+
+    return run(a, b)
+
+
 def lines_carrying_heading(df: DataFrame, ids: list[str], text: str, heading: str) -> DataFrame:
     """Numbered lines of a text, each with the last heading at or before it."""
     lines = df.select(*ids, F.posexplode(F.split(text, "\n")).alias("line", "content"))

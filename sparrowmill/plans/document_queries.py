@@ -332,6 +332,10 @@ def notebook_pivot(t: Tables) -> DataFrame:
     FROM orders LEFT JOIN o ON o.l_orderkey = o_orderkey LEFT JOIN p ON p.l_orderkey = o_orderkey LEFT JOIN s ON s.l_orderkey = o_orderkey LEFT JOIN c ON c_custkey = orders.o_custkey LEFT JOIN k ON k.o_custkey = orders.o_custkey""")
 def normalized_records(t: Tables) -> DataFrame:
     """One row per key over six child tables, whose grain never multiplies rows."""
+    return normalized_rows(t)
+
+
+def normalized_rows(t: Tables) -> DataFrame:
     key = F.col("l_orderkey").alias("o_orderkey")
     lines = t.lineitem.groupBy(key).agg(F.count("*").alias("n_lines"), F.count_distinct("l_suppkey").alias("n_suppliers"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"), relational.distinct_concat("l_linestatus").alias("states"))
     parts = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(key).agg(F.count_distinct("p_brand").alias("n_brands"), F.max("p_retailprice").alias("dearest"))

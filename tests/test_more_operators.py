@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowmill.operators import benchmarks, indexing, logs, norms, questions, retrieval, text
+from sparrowmill.functions import config
+from sparrowmill.operators import benchmarks, indexing, logs, norms, predictors, questions, retrieval, text
 from sparrowmill.streaming import events
 
 
@@ -114,3 +115,24 @@ def test_a_stream_is_upserted_once(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         events.upsert(stream, str(tmp_path / "out"), "k", "at")
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()) == [(1, 20, "b"), (2, 5, "c")]
+
+
+def test_ridge_learns_what_words_say(spark):
+    rnd = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        words = [str(w) for w in rnd.choice(["junior", "senior", "lead", "blue", "green"], 6)]
+        rows.append((i, " ".join(words), float(words.count("senior") * 3 + words.count("lead") * 5)))
+    df = spark.createDataFrame([*rows, (999, None, 0.0)], "id int, text string, years double")
+    model, strength, error = predictors.fitted(df.where("id % 4 <> 0"), df.where("id % 4 = 0"), "text", "years", [1000.0, 0.001])
+    assert strength == 0.001 and error < 1.5
+    assert predictors.predicted(model, df, "text").count() == 241
+
+
+def test_settings_name_every_fault():
+    settings = [config.Setting("a.size", (int,), lambda x: x > 0, "must be above 0"), config.Setting("a.overlap", (int,)), config.Setting("name", (str,), needed=False)]
+    between = [(lambda c: c["a"]["overlap"] < c["a"]["size"], "overlap must be below size")]
+    assert config.faults({"a": {"size": 5, "overlap": 1}}, settings, between) == []
+    assert config.faults({"a": {"size": 5, "overlap": 9}}, settings, between) == ["overlap must be below size"]
+    assert config.faults({"a": {"size": -1, "overlap": True, "x": {}}, "name": 3}, settings, between) == ["a.size must be above 0", "a.overlap is no int", "name is no str", "a.x is unknown"]
+    assert config.faults({"a": 3}, settings) == ["a.size is missing", "a.overlap is missing"]
