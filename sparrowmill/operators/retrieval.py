@@ -61,10 +61,11 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = N
     ``docs`` has (vec_id, embedding), ``queries`` (query_id, query); the filter ``keep`` comes before
     the search.  Blocks of queries meet blocks of vectors, each pair of blocks in one product, and
     only the k best of a block go on.  Similarities that agree in nine places rank by id; with
-    ``others`` a query doesn't find its own id.  Null vectors take no part, zero vectors stay zero.
+    ``others`` a query doesn't find its own id.  Null and empty vectors take no part, zero vectors stay zero,
+    and a query meets vectors of its own length.
     """
-    rows = (docs if keep is None else docs.where(keep)).where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.where("query is not null").select("query_id", F.col("query").cast("array<double>").alias("v"))
+    rows = (docs if keep is None else docs.where(keep)).where("embedding is not null and size(embedding) > 0").select("vec_id", F.size("embedding").alias("dims"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("query is not null").select("query_id", F.size("query").alias("dims"), F.col("query").cast("array<double>").alias("v"))
     parts = max(1, -(-rows.count() // VECTORS_A_BLOCK))
     blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
     left = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -83,7 +84,8 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = N
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[order], "similarity": near[i, order]}))
         return pd.concat(out)
 
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(search, "query_id long, vec_id long, similarity double")
+    keys = ["dims", "part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, similarity double")
     return top(found, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
 
 
@@ -109,7 +111,7 @@ def approximate(docs: DataFrame, queries: DataFrame, k: int, tables: int = 16, b
 
     asked = dealt(queries, "query_id", "query").withColumnRenamed("v", "q")
     pairs = dealt(docs, "vec_id", "embedding").join(asked, ["table", "bucket"]).dropDuplicates(["query_id", "vec_id"])
-    scored = pairs.select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("similarity"))
+    scored = pairs.where(F.size("v") == F.size("q")).select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("similarity"))
     return top(scored, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
 
 

@@ -12,7 +12,7 @@ from sparrowmill.streaming import events
 def vectors(spark, n=300):
     rnd = np.random.default_rng(3)
     m = rnd.normal(size=(n, 16))
-    return m, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(n, None)], "vec_id long, embedding array<double>")
+    return m, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(n, None), (n + 1, [0.5, 0.5])], "vec_id long, embedding array<double>")
 
 
 def brute(m, q, k, others=False):
