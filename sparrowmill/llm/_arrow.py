@@ -32,6 +32,30 @@ def batches_of(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, most: int = 1 << 20, name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch that hold about ``most`` bytes of text each, with the texts' UTF-8.
+
+    Python copies of texts exist for a slice at a time only, and what Arrow has freed goes back after
+    the batch: a worker lives on from stage to stage.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype("int64") + 1
+    ends = (sizes.cumsum() // most).tolist()
+    begin = 0
+    for i in range(1, batch.num_rows + 1):
+        if i == batch.num_rows or ends[i] != ends[begin]:
+            part = batch.slice(begin, i - begin)
+            yield part, utf8(part.column(name))
+            begin = i
+    pa.default_memory_pool().release_unused()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut into a few rows each, for columns of lists that become Python objects."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def empty_row_id():
     """crc32 input of the id rule: the id as text, a null id as the empty text."""
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

@@ -21,17 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from ._arrow import batches_of, fields, strings
+from ._arrow import batches_of, fields, text_slices
 
 #: A worker keeps the encodings of this many distinct units at most, in two halves: the older
 #: half goes as the newer fills up, and units met again move to the newer.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 #: White space of the tokenizers library: the Unicode property, without the separators 1C-1F that Python adds.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _LETTERS, _MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "!-&(-/:-@\\[-`{-~"
 _COMMON = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+#: Stands for a word that no tokens spell.
+NONE = -1
 _WORKERS: dict[str, "WordBPE"] = {}
 
 
@@ -109,14 +111,19 @@ class WordBPE:
             at, end, held = 0, len(word), len(out)
             while at < end:
                 to = min(end, at + reach(word[at : at + 3], 2))
-                while to == end - 1 or (token := find(word[at:to])) is None:  # a mark goes with a letter
+                while to > at and (to == end - 1 or (token := find(word[at:to])) is None):  # a mark goes with a letter
                     to -= 1
+                if to == at:  # no token begins here: the word fails whole
+                    del out[held:]
+                    token, to = NONE, end
                 out.append(token)
                 at = to
             sizes.append(len(out) - held)
         return np.array(out, np.int64), np.array(sizes, np.int64)
 
     def _holds(self, token: int) -> bool:
+        if token == NONE:
+            return False
         if token not in self.alone:
             text = self.tokens[token]
             ends = text.endswith(self.end)
@@ -181,6 +188,10 @@ class WordBPE:
             self.ids_of[unit] = " ".join([names[i] for i in ids])
             self.text_of[unit] = " ".join([letters[i] for i in ids])
 
+    def forget(self) -> None:
+        """Drop the units of a finished task: its worker lives on in stages that need the memory."""
+        self.ids_of, self.text_of, self.older = {}, {}, ({}, {})
+
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(number of tokens, decimal ids joined by spaces, decoded text) of every text."""
         for begin, end in batches_of(texts, 1 << 22):
@@ -221,9 +232,11 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            out = [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for n, i, d in coder.encode(strings(batch.column("text")))]
-            n, ids, decoded = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=RESULT.names)
+            for part, texts in text_slices(batch, 1 << 22):
+                out = [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for n, i, d in coder.encode([t.decode() for t in texts])]
+                n, ids, decoded = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=RESULT.names)
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 
@@ -237,7 +250,9 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            out = [([*map(int, ids.split())], decoded) for _, ids, decoded in coder.encode(strings(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.string())], names=ENCODED.names)
+            for part, texts in text_slices(batch, 1 << 22):
+                out = [([*map(int, ids.split())], decoded) for _, ids, decoded in coder.encode([t.decode() for t in texts])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.string())], names=ENCODED.names)
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)

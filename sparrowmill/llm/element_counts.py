@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import shuffle_partitions
-from ._arrow import batches_of, fields, utf8
+from ._arrow import fields, text_slices
 
 #: Elements and sets of a chunk, about; sets are numbered in 16 bits, the last number marks.
-ELEMENTS, SETS = 1 << 20, 60_000
+ELEMENTS, SETS = 1 << 19, 60_000
 MARK = 0xFFFF
 #: Ranges of the hash space for each shuffle partition.
 RANGES = 4
@@ -90,11 +90,9 @@ def _scatter(hashed: Callable, common: int, parts: int, name: str):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=SENT.names)
 
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            ids, hashes = batch.column(name).to_pylist(), batch.column("text_hash").to_pylist()
-            for a, b in batches_of(texts):
-                for i, s in enumerate(hashed.sets(texts[a:b]), a):
-                    held.append((ids[i], hashes[i], s))
+            for part, texts in text_slices(batch):
+                for i, text_hash, s in zip(part.column(name).to_pylist(), part.column("text_hash").to_pylist(), hashed.sets(texts), strict=True):
+                    held.append((i, text_hash, s))
                     size += len(s)
                     if size >= ELEMENTS or len(held) >= SETS:
                         yield flush()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..scratch import discard, release, shuffle_partitions, written
-from ._arrow import batches_of, fields, utf8
+from ._arrow import fields, pieces, text_slices
 from ._hashing import LOWER, U, joined, mix, range_hashes, word_ranges
 from .components import components
 from .element_counts import counted
@@ -207,6 +207,7 @@ _WHITE = {c: 32 for c in range(9, 14)}
 
 
 def word_shingles(text: str) -> set[tuple[str, ...]]:
+    """The set of a text as the contract takes it: shingles, or all words if they are too few; empty if none."""
     words = _words(text)
     if len(words) < WORDS:
         return {tuple(words)} if words else set()
@@ -214,6 +215,7 @@ def word_shingles(text: str) -> set[tuple[str, ...]]:
 
 
 def linked(a: set, b: set) -> bool:
+    """Whether two sets share at least 80 of 100 of all their elements; empty sets never do."""
     both = len(a & b)
     return both > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
 
@@ -235,7 +237,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         own: set = set()
-        for batch in batches:
+        for batch in pieces(batches):
             us, vs = [], []
             for u, v, text in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if v is None:
@@ -256,11 +258,10 @@ def drawn(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            held = utf8(batch.column("text"))
-            for a, b in batches_of(held):
-                sets = shingle_sets(held[a:b])
+            for part, held in text_slices(batch):
+                sets = shingle_sets(held)
                 bands = (np.searchsorted(band_begins(), [len(s) for s in sets], side="right") - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands), pa.array(sketches(sets, 0), pa.binary()), pa.array(sketches(sets, 1), pa.binary())], names=DRAWN.names)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands), pa.array(sketches(sets, 0), pa.binary()), pa.array(sketches(sets, 1), pa.binary())], names=DRAWN.names)
 
     return texts.select("node", "text").mapInArrow(run, DRAWN)
 
@@ -273,7 +274,7 @@ def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     b = F.when(F.col("v_band") <= F.col("u_band"), F.col("v_own")).otherwise(F.col("v_low"))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2048):
             keep = [x is not None and int(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))) <= most for x, y, most in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "most")], strict=True)]
             yield batch.select(LINKS.names).filter(pa.array(keep, pa.bool_()))
 
@@ -292,9 +293,8 @@ def indexed(texts: DataFrame, neighbours: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            held, nodes = utf8(batch.column("text")), batch.column("node").to_numpy()
-            for a, b in batches_of(held, 1 << 18):
-                sets = shingle_sets(held[a:b])
+            for part, held in text_slices(batch, 1 << 18):
+                sets, nodes = shingle_sets(held), part.column("node").to_numpy()
                 sig, at, space, segment, kind = signatures(sets, neighbours)
                 if neighbours:
                     flat = np.concatenate(sets)
@@ -302,7 +302,7 @@ def indexed(texts: DataFrame, neighbours: bool) -> DataFrame:
                     sig = np.concatenate([sig, mix(flat, 54).view(np.int64)])
                     at = np.concatenate([at, np.repeat(np.arange(len(sets)), [len(s) for s in sets])])
                     space, segment, kind = (np.concatenate([x, np.full(more, y, np.int32)]) for x, y in ((space, -1), (segment, -1), (kind, ELEMENT)))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, nodes[a:b][at], space, segment, kind)], names=MET.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, nodes[at], space, segment, kind)], names=MET.names)
 
     return texts.select("node", "text").mapInArrow(run, MET)
 
@@ -346,16 +346,19 @@ def second_index(sets: DataFrame) -> DataFrame:
     kind = fields(node=T.LongType(), space=T.IntegerType(), segment=T.IntegerType(), weight=T.IntegerType())
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for node, space, held, most in zip(*[batch.column(c).to_pylist() for c in ("node", "space", "each", "most")], strict=True):
-                count = segments(space)
+        for batch in pieces(batches):
+            at, values = batch.column("each").offsets.to_numpy(), batch.column("each").values
+            part, one, both = (values.field(i).to_numpy() for i in range(3))
+            out = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for k, (node, space, most) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("node", "space", "most")], strict=True)):
+                count, held = segments(space), slice(at[k], at[k + 1])
                 own, two = np.zeros(count, np.int64), np.zeros(count, np.int64)
-                for x in held:  # segments that no other set shares cost nothing
-                    own[x["segment"]], two[x["segment"]] = x["own"], x["two"]
-                weight = weights(own, two, most + 1)
-                out += [(node, space, x["segment"], int(weight[x["segment"]])) for x in held if weight[x["segment"]]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=kind.names)
+                own[part[held]], two[part[held]] = one[held], both[held]  # segments that no other set shares cost nothing
+                weight = weights(own, two, most + 1)[part[held]]
+                chosen = part[held][weight > 0]
+                for x, y in zip(out, (np.full(len(chosen), node), np.full(len(chosen), space), chosen, weight[weight > 0]), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(out, (np.int64, np.int32, np.int32, np.int32), strict=True)], names=kind.names)
 
     chosen = each.select("node", "space", "each", "most").mapInArrow(run, kind)
     asked = rows.where(f"kind <> {ELEMENT}").join(chosen, ["node", "space", "segment"], "left").withColumn("asks", F.when((F.col("kind") == WHOLE) | (F.col("weight") == 2), F.coalesce("weight", F.lit(0))).otherwise(0))

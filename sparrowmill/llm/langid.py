@@ -12,14 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._arrow import batches_of, fields, id_remainder, strings
+from ._arrow import fields, id_remainder, text_slices
 
 DIMENSIONS = 2048
 GRAM = 3
 #: At most about this many documents of each language are learned from, chosen by a hash of the id.
 LEARNED_PER_LANGUAGE = 4000
-#: Languages beyond these, by number of documents, are refused: prototypes go to every task.
-MOST_LANGUAGES = 1000
+#: A worker forgets its letters' vectors once it holds those of so many; they are drawn anew.
+LETTERS_HELD = 20_000
 _letters: dict[tuple[int, int], np.ndarray] = {}
 _codes = np.zeros(0x110000, np.uint32)
 _seen = np.zeros(0x110000, bool)
@@ -27,6 +27,8 @@ _seen = np.zeros(0x110000, bool)
 
 def _letter(code: int, dimensions: int) -> np.ndarray:
     if (code, dimensions) not in _letters:
+        if len(_letters) >= LETTERS_HELD:
+            _letters.clear()
         draw = np.random.Generator(np.random.PCG64([code, dimensions]))
         _letters[code, dimensions] = draw.integers(0, 2, dimensions, np.int8) * np.int8(2) - np.int8(1)
     return _letters[code, dimensions]
@@ -67,10 +69,10 @@ def bundles(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     grams, where = np.unique(gram, return_inverse=True)
     table = np.stack([_letter(int(c), dimensions) for c in letters])
     first, second = np.roll(table, 2, 1), np.roll(table, 1, 1)
-    for a in range(0, len(grams), 4096):
-        some = grams[a : a + 4096]
+    for a in range(0, len(grams), 1024):
+        some = grams[a : a + 1024]
         vectors = (first[some // count**2] * second[some // count % count] * table[some % count]).astype(np.float32)
-        inside = (where >= a) & (where < a + 4096)
+        inside = (where >= a) & (where < a + 1024)
         counts = np.zeros((len(texts), len(some)), np.float32)
         counts[who[inside], where[inside] - a] = times[inside]
         out += counts @ vectors
@@ -87,9 +89,7 @@ def learn(docs: DataFrame, most: int = LEARNED_PER_LANGUAGE) -> tuple[list[str],
     hashes below the matching share.  Each task sends one sum for each language it has met.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
         return [], np.zeros((0, DIMENSIONS))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -99,13 +99,13 @@ def learn(docs: DataFrame, most: int = LEARNED_PER_LANGUAGE) -> tuple[list[str],
     def summed(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = strings(batch.column("text")), batch.column("lang").to_pylist()
-            for a, b in batches_of(texts, 1 << 18):
-                vectors = bundles(texts[a:b]).astype(np.float64)
+            for part, texts in text_slices(batch, 1 << 18):
+                langs = part.column("lang").to_pylist()
+                vectors = bundles([t.decode() for t in texts]).astype(np.float64)
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
                 vectors /= np.where(norms, norms, 1)
-                for lang in set(langs[a:b]):
-                    own = vectors[[x == lang for x in langs[a:b]]].sum(0)
+                for lang in set(langs):
+                    own = vectors[[x == lang for x in langs]].sum(0)
                     total[lang] = total[lang] + own if lang in total else own
         yield pa.RecordBatch.from_pylist([{"lang": k, "vector": v.tolist()} for k, v in total.items()], schema=pa.schema({"lang": pa.string(), "vector": pa.list_(pa.float64())}))
 
@@ -137,13 +137,12 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, extra: li
 
     def run(batches):
         for batch in batches:
-            texts = strings(batch.column("text"))
             best, score = [], []
-            for a, b in batches_of(texts, 1 << 18):
-                vectors = bundles(texts[a:b])
+            for _, texts in text_slices(batch, 1 << 18):
+                vectors = bundles([t.decode() for t in texts])
                 norms = np.linalg.norm(vectors, axis=1)
-                near = vectors @ proto / np.where(norms, norms, 1)[:, None] if langs else np.zeros((b - a, 0))
-                top = near.argmax(1) if langs else np.zeros(b - a, int)
+                near = vectors @ proto / np.where(norms, norms, 1)[:, None] if langs else np.zeros((len(texts), 0))
+                top = near.argmax(1) if langs else np.zeros(len(texts), int)
                 best += [langs[k] if langs and n else "und" for k, n in zip(top.tolist(), norms.tolist(), strict=True)]
                 score += [min(1.0, max(0.0, float(near[i, k]))) if langs else 0.0 for i, k in enumerate(top.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(best, pa.string()), pa.array(score, pa.float64()), *[batch.column(c) for c in extra]], names=schema.names)

@@ -9,46 +9,57 @@ from . import bpe, jaccard_join, langid, merkle, mixing, substring_dedup, token_
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table of a folder of Parquet files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for toxicity, learned from labelled rows that are not held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from rows that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shingles of every document and the group that links put it in."""
     return jaccard_join.similarity_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum in the token files, read back from them."""
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and decoded text."""
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC into WARC files and back."""
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of every hundredth one."""
     return vector_files.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an earlier one has, and which one has them."""
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "begin", "end", "first_doc_id")
 
 

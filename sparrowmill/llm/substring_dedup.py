@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import discard, release, shuffle_partitions, written
-from ._arrow import batches_of, fields, utf8
+from ._arrow import fields, pieces, text_slices, utf8
 from ._hashing import WHITE, gear, range_hashes
 from .element_counts import RANGES, SENT, packed, unpacked
 from .id_filter import having, lacking
@@ -187,12 +187,10 @@ def _scatter(least: int, parts: int):
             return _batch(rows, SENT)
 
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
-            for a, b in batches_of(texts):
-                of, begin, size, digest = seeds(texts[a:b], least)
+            for slice_, texts in text_slices(batch):
+                of, begin, size, digest = seeds(texts, least)
                 held.append((of + len(docs), begin, size, digest))
-                docs += zip(ids[a:b], hashes[a:b], strict=True)
+                docs += zip(slice_.column("doc_id").to_pylist(), slice_.column("text_hash").to_pylist(), strict=True)
                 if sum(len(h[0]) for h in held) >= SEEDS or len(docs) >= DOCS - 10_000:
                     yield flush()
         if held:
@@ -266,7 +264,7 @@ SPANS = fields(doc_id=T.LongType(), text_hash=T.LongType(), begin=T.IntegerType(
 
 def _chains(batches):
     """Seeds of one text that one document holds at the same distance from each other, without a gap."""
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for doc, key, found in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "found")], strict=True):
             open_: dict[tuple, list[int]] = {}
@@ -288,7 +286,7 @@ def _beside(most: int):
     """What stands before and after the chains in the documents that have them first."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, key, at, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("at").to_pylist(), utf8(batch.column("text")), strict=True):
                 rows += [(doc, key, a["first_begin"], a["first_end"], text[max(0, a["first_begin"] - most) : a["first_begin"]], text[a["first_end"] : a["first_end"] + most]) for a in at]
@@ -330,7 +328,7 @@ def _spans(least: int, most: int):
     """Chains to their true ends; those of at least ``least`` bytes are passages, each byte in one."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, key, chains, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("chains").to_pylist(), utf8(batch.column("text")), strict=True):
                 found = []
@@ -404,16 +402,14 @@ def deduplicated(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, cut in zip(utf8(batch.column("text")), batch.column("__spans").to_pylist(), strict=True):
-                for c in reversed(cut or []):
-                    text = text[: c["begin"]] + text[c["end"] :]
-                texts.append(text.decode())
-            column = pa.array(texts, pa.string())
-            if batch.column("text").null_count:
-                column = pa.compute.if_else(batch.column("text").is_null(), None, column)
-            out = [column if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            for part, texts in text_slices(batch, 1 << 22):
+                for i, cut in enumerate(part.column("__spans").to_pylist()):
+                    for c in reversed(cut or []):
+                        texts[i] = texts[i][: c["begin"]] + texts[i][c["end"] :]
+                column = pa.array(texts, pa.binary()).cast(pa.string())
+                if part.column("text").null_count:
+                    column = pa.compute.if_else(part.column("text").is_null(), None, column)
+                yield pa.RecordBatch.from_arrays([column if n == "text" else part.column(n) for n in names], names=names)
 
     done = wide.mapInArrow(run, docs.schema)
     done = done.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -40,6 +40,7 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def place(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path in it."""
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
 
 
@@ -84,6 +85,7 @@ def parse_arc(data: bytes, names: list[str]) -> tuple[dict[str, str], bytes]:
 
 
 def http_block(page: int | None, payload: bytes) -> bytes:
+    """An HTTP response of a page; its head tells the page's id, unless that is null, and the length."""
     marks = f"X-Page-Id: {page}\r\n" if page is not None else ""
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{marks}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
 
@@ -124,10 +126,12 @@ def convert(header: dict[str, str], block: bytes, where: str, refers_to: str | N
 
 
 def record_id(where: str) -> str:
+    """The identifier of the record that is made of the one at a place; the same for every run."""
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, where)}>"
 
 
 def parse_warc(data: bytes) -> tuple[dict[str, str], bytes]:
+    """The header of a WARC record, names in small letters, and its block by declared length."""
     at = data.index(b"\r\n\r\n")
     lines = data[:at].decode().split("\r\n")
     if not lines[0].startswith("WARC/"):

@@ -4,6 +4,7 @@ Every table here has extra columns whose names clash with ones that the operator
 """
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from compare import SF, connect, rows_of_spark, rows_of_sql
@@ -274,6 +276,27 @@ def test_a_passage_is_held_by_one_document(spark):
     assert substring_dedup.repeated_spans(table(spark, rows)).count() == 0
 
 
+def test_passages_like_brute_force(spark):
+    """Bytes in windows of ``LEAST_BYTES`` that an earlier document has, found by holding all windows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spans = defaultdict(list)
+    for r in substring_dedup.repeated_spans(docs).collect():
+        spans[r.doc_id].append((r.begin, r.end))
+    least, held = substring_dedup.LEAST_BYTES, set()
+    real = found = both = 0
+    for doc, text in sorted((r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()):
+        repeats, marked = np.zeros(len(text), bool), np.zeros(len(text), bool)
+        windows = [text[i : i + least] for i in range(len(text) - least + 1)]
+        for i, w in enumerate(windows):
+            if w in held:
+                repeats[i : i + least] = True
+        held.update(windows)
+        for begin, end in spans[doc]:
+            marked[begin:end] = True
+        real, found, both = real + repeats.sum(), found + marked.sum(), both + (repeats & marked).sum()
+    assert both == found and both > 0.98 * real > 0
+
+
 def test_cuts_resist_insertions():
     rnd = random.Random(5)
     text = " ".join(f"wörd{rnd.randrange(10**5)}" for _ in range(3000)).encode()
@@ -355,6 +378,21 @@ def test_mixture_edges(spark):
     assert mixing.mix(table(spark, [(1, "x")]).where("false")).count() == 0
 
 
+def test_sources_are_numbered_and_filled_without_one_task(spark):
+    """Targets of many sources against plain turns, and sizes that no class lumps together."""
+    rnd = random.Random(16)
+    sizes = {f"host{i}": rnd.choice([1, 5, 40, 9000, 30001]) for i in range(300)} | {None: 77, "Z": 0}
+    held = spark.createDataFrame([("1" if s is None else f"0{s}", n) for s, n in sizes.items()], "source string, source_size long")
+    got = {None if r.source == "1" else r.source[1:]: r.target for r in mixing.targets(held).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+    rows = [(i, " ".join(["w"] * n)) for i, n in enumerate([5000, 5001, 4999, 9000, 1, 2, 3, 4, 4097, 4099])]
+    by = mixing.mix(table(spark, rows, source=lambda i: "ab"[i % 2])).collect()
+    rates = {r.doc_id: r.rate for r in by}
+    for s in (0, 1):
+        own = sorted((r.size, rates[r.doc_id]) for r in by if r.doc_id % 2 == s)
+        assert len({round(x, 12) for _, x in own if 0 < x < 3}) >= len([x for _, x in own if 0 < x < 3]) - 1
+
+
 # op1, op3
 
 
@@ -385,6 +423,44 @@ def test_toxicity_learns_and_spares_clean_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """Recall and false alarms over rows that nothing was learned from, and which rows those are."""
+    docs, labels = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.1')}/labels.parquet")
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = toxicity.toxicity(docs, labels).join(marks, "doc_id").select("doc_id", "held_out", "predicted", "toxic").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    out = [r for r in rows if r.held_out]
+    toxic, clean = [r for r in out if r.toxic == 1], [r for r in out if r.toxic == 0]
+    assert len(toxic) > 80 and sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+
+
+def test_odds_are_those_of_a_mixed_passage():
+    got = toxicity.odds_of({"bad": (90, 90), "odd": (12, 20), "the": (100, 1000), "^bad": (0, 40)}, 100, 900)
+    assert set(got) == {"bad", "odd"} and got["bad"] > got["odd"] > toxicity.PLAIN
+    one, other = (12 + 0.4) / 100.4, (8 + 3.6) / 903.6
+    left = math.log(one / other) - toxicity.DOUBT * math.sqrt(1 / 12.4 + 1 / 11.6)
+    assert got["odd"] == pytest.approx(math.log(1 - toxicity.MIXED + toxicity.MIXED * (math.exp(left) - 1) / toxicity.TELLING))
+    model = toxicity.Model(got)
+    assert model.scores(["bad", "the", "bad"]).tolist() == [got["bad"], toxicity.PLAIN, toxicity.PLAIN]
+    assert model.token("unheard") == toxicity.PLAIN and toxicity.Model({}).passages("a b") == ([], 2)
+
+
+def test_the_law_of_segments_holds_for_random_tokens():
+    """lambda solves its equation, and K n exp(-lambda S) gives the number of strong random segments."""
+    scores = {-0.4: 940, 1.5: 40, 3.0: 20}
+    decay, scale = toxicity.karlin_altschul(scores)
+    assert sum(n / 1000 * math.exp(decay * s) for s, n in scores.items()) == pytest.approx(1)
+    rng, n, found = np.random.default_rng(8), 400_000, Counter()
+    x = rng.choice(list(scores), n, p=np.array(list(scores.values())) / 1000)
+    for _, _, s in toxicity.segments(x):
+        for least in (4, 6, 8):
+            found[least] += s >= least
+    for least in (4, 6, 8):
+        assert 0.6 < found[least] / (scale * n * math.exp(-decay * least)) < 1.6
+    assert toxicity.karlin_altschul({}) == (1.0, 1.0) == toxicity.karlin_altschul({-1.0: 5})
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(table(spark, EDGES), none).collect()
@@ -429,6 +505,11 @@ def test_fingerprints(spark):
         half = len(t) // 2
         assert got[i].n_chars == len(t)
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
+        # likenesses by a plain count of equal leaves
+        for near, other in ((got[i].near_edited, t[: len(t) - half] + n[:half]), (got[i].near_next, n)):
+            one, two = (Counter(h[:4] for h in merkle.tree(x)[3]) for x in (t, other))
+            whole = sum(one.values()) + sum(two.values())
+            assert near == pytest.approx(1.0 if t == other else 2 * sum((one & two).values()) / whole if whole else 0.0)
     assert got[20].fingerprint == got[21].fingerprint and got[20].near_next == 1.0 and got[4].fingerprint != got[9].fingerprint
     single = merkle.fingerprints(table(spark, [(3, "one two three four")])).collect()
     assert len(single) == 1 and single[0].near_next == 1.0
@@ -437,12 +518,39 @@ def test_fingerprints(spark):
     assert merkle.fingerprints(table(spark, [(1, "x")]).where("false")).count() == 0
 
 
+def test_trees_hash_children():
+    """Every node by hand, from the leaves' bytes up."""
+    text = "first paragraph of some words\nsecond one here\n\nthird and last of them all"
+    root, sections, counts, leaves, ends = merkle.tree(text)
+    raw = text.encode()
+    assert leaves == [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    person = lambda level, x: hashlib.blake2b(b"".join(x), digest_size=16, person=level).digest()
+    paragraphs, now = [], []
+    for leaf, end in zip(leaves, ends.tolist()):
+        now.append(leaf)
+        if raw[end - 1 : end] == b"\n" or end == len(raw):
+            paragraphs.append((person(b"paragraph", now), len(now)))
+            now = []
+    held, sizes, over = [], [], []
+    for k, (p, n) in enumerate(paragraphs):
+        held.append((p, n))
+        if p[5] % merkle.SECTION == 0 or k + 1 == len(paragraphs):
+            over.append(person(b"section", [x for x, _ in held]))
+            sizes.append(sum(n for _, n in held))
+            held = []
+    assert counts == sizes and sections == [x[:6].hex() for x in over] and root == person(b"root", over).hex()
+
+
 def test_trees_locate_edits():
     text = "\n".join(f"paragraph {i} " + " ".join(f"v{i}x{j}" for j in range(30)) for i in range(40))
     a, b = merkle.fingerprint(text), merkle.fingerprint(text.replace("v7x3 ", "changed "))
     assert a[:32] != b[:32] and merkle.likeness(a, b) > 0.95 and merkle.likeness(a, a) == 1.0
-    at = list(merkle.differing(a, b))
-    leaves = merkle.tree(text)[4].tolist()
+    seen = []
+    at = list(merkle.differing(a, b, seen))
+    root, sections, counts, hashes, ends = merkle.tree(text)
+    leaves = ends.tolist()
+    assert set(at) <= set(seen) and len(seen) < len(leaves) / 4
+    assert sum(counts) == len(leaves) == len(hashes) and list(merkle.differing(a, a)) == []
     assert at and all(abs(text.encode().index(b"v7x3") - leaves[i]) < 200 for i in at)
     assert merkle.likeness(a, merkle.fingerprint("other words here")) == 0.0
     assert merkle.likeness(merkle.fingerprint(""), a) == 0.0
@@ -533,6 +641,24 @@ def test_archive_edges(spark):
     assert warc.archived(df.where("false")).count() == 0
 
 
+def test_words_that_no_tokens_spell_end():
+    """A vocabulary without some letters: proposals fail whole and are left to exact merging."""
+    coder = bpe.WordBPE(public_tokenizers.path("word_bpe_49k.json"))
+    coder.marked = {k: v for k, v in coder.marked.items() if "q" not in k}
+    words = ["quiet", "aqua", "plain", "q"]
+    assert coder.words(words) == [[t.id for t in coder.library.model.tokenize(w)] for w in words]
+
+
+def test_byte_units_like_the_library():
+    """Texts with any white space, empty ones and many units, batch by batch."""
+    coder, tok = token_files.ByteBPE(public_tokenizers.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    rnd = random.Random(17)
+    texts = ["", "\n", " a", "a ", "a  b", "a\n\nb", "\na", "a\n", "a \nb", "x y", *ODD, *(rnd.choice([" ", "\n"]).join(rnd.choice(ODD + ["word", "Other"]) for _ in range(9)) for _ in range(200))]
+    for _ in range(2):
+        got = [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(texts)]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_lines_of_both_versions(version):
     head = warc.arc_version_block("f.arc", version)
@@ -567,7 +693,9 @@ def test_search_block_reads_few_exact_vectors_and_handles_wide_numbers():
     rnd = np.random.default_rng(11)
     v = rnd.integers(-1000, 1000, (500, 8)).astype(float)
     brute = [(0, int(i), int(s)) for s, i in sorted((-(v[0] @ v[i]), i) for i in range(1, 500))[:10]]
-    got = vector_files.search_block(v[:1], np.array([0]), v, np.arange(500), 10)
+    read = []
+    got = vector_files.search_block(v[:1], np.array([0]), v, np.arange(500), 10, read)
+    assert read[0] <= 20
     assert got == [(q, i, -s) for q, i, s in brute]
     wide = vector_files.search_block(v[:1] * 1e9, np.array([0]), v * 1e6, np.arange(500), 3)
     assert [i for _, i, _ in wide] == [i for _, i, _ in got[:3]]

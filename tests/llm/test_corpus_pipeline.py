@@ -45,3 +45,19 @@ def test_run_gives_every_row(spark, tmp_path):
         expected.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(expected, key=str)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Empty tables, blank texts, repeated and null ids, and sources that the mix weighs otherwise."""
+    table(spark, [(1, "x")]).where("false").write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    table(spark, [(1, None), (2, ""), (None, None), (3, " ")]).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    filler = lambda k, n=60: " ".join(f"{'abcdefgh'[(k * 7 + i) % 8]}{k * 1000 + i}q" for i in range(n))
+    rows = [*[(i, filler(i)) for i in range(1, 41)], (1, filler(100)), (None, filler(101)), (None, filler(102)), (90, filler(2) + " more")]
+    table(spark, rows, source=lambda i: "a" if i is None or i % 4 else "b").write.parquet(f"{tmp_path}/c/documents.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/c").collect()]
+    assert got.count(None) == 2 and 90 not in got
+    a, b = [i for i in got if i and i % 4], [i for i in got if i and i % 4 == 0]
+    # source b has 600 of 2,620 words and a target of two thirds of them, in documents of 60 words
+    assert len(b) == round(2620 * 2 / 3 / 60) and set(b) == set(range(4, 41, 4)) and 0 < len(a) < 33 and max(a.count(i) for i in set(a)) <= 2
