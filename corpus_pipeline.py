@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: that of the smallest id.
 
-    Rows of a null id stay; rows that repeat an id stay together.
+    Rows of a null id stay, whatever they are linked with; rows that repeat an id stay or go together.
     """
     groups = jaccard_join.similarity_groups(docs)
     dropped = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
@@ -43,7 +43,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as many times as its source's target asks for, none to three."""
+    """The mix: each document as many times as its source's target asks for, none to three.
+
+    Rows that repeat an id share the copies of all of them evenly, rounded; rows of a null id, which
+    nothing tells apart, stay once whatever the mix gives them.
+    """
     mixed = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
     times = written(mixed.where("__copies <> 1 and __id is not null").groupBy("__id").agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__rows")), "times")
     ids = times.select(F.col("__id").alias("doc_id"))
