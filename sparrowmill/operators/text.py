@@ -57,6 +57,9 @@ def tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(pattern), F.lit(1))
 
 
+# fixed values: the suffixes that the two stems know, in their order
+
+
 def light_stem(w: Column) -> Column:
     """Light plural stem: -ciones to -cion, consonant + es, then -s but not -ss."""
     long = (F.length(w) > 3) & ~w.rlike("^[0-9]+$")
