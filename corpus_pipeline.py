@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparrowmill.llm import bpe, id_filter, jaccard_join, langid, mixing, substring_dedup
-from sparrowmill.scratch import written
+from sparrowmill.scratch import discard, written
 
 #: Decided by the operators' models and hashes, not by SQL.
 ORACLE_SQL = None
@@ -66,8 +66,10 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another on ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another on ``documents``; a stage's table goes once the next one's is there."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
