@@ -15,19 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..scratch import new_dir, written
-from ._arrow import batches_of, fields, strings
+from ..scratch import new_dir, shuffle_partitions, written
+from ._arrow import batches_of, fields, text_slices
 from .blocks import bounds
 
 SEQUENCE = 1024
 #: Sequences of one record batch.
 BATCH = 512
+#: A file is closed after so many tokens, and its block goes on in another.
+FILE_TOKENS = 1 << 24
 #: A worker keeps the ids of this many distinct units at most, in two halves.
-CACHE_UNITS = 1_200_000
+CACHE_UNITS = 2_000_000
 _WORKERS: dict[str, "ByteBPE"] = {}
 class ByteBPE:
     """Encoder of a byte-level vocabulary of the tokenizers library, one per worker process.
@@ -77,33 +80,55 @@ class ByteBPE:
         self._learn([u for u in new if u[0] != "\n"], " ", self.spaced)
         self._learn([u[1:] for u in new if u[0] == "\n"], "\n", self.fed)
 
+    def forget(self) -> None:
+        """Drop all units: the worker lives on in stages that need the memory."""
+        self.units, self.older = {}, {}
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of every text, as little-endian integers of ``kind``."""
-        for begin, end in batches_of(texts, 1 << 22):
-            cut = [self._cut(t) for t in texts[begin:end]]
-            every: set[str] = set()
-            every.update(*[own[1:] for own in cut if own], ["\n" + own[0] for own in cut if own])
-            self._ready(every)
-            find, feed = self.units.__getitem__, self.line_feed.itemsize
-            for text, own in zip(texts[begin:end], cut, strict=True):
-                if own is None:
-                    yield self._ids(text).tobytes()
-                else:
-                    yield b"".join([find("\n" + own[0])[feed:], *map(find, own[1:])])
-
-    def _cut(self, text: str) -> list[str] | None:
-        """The units of a text, those after a line feed with it in front; None if it must go whole."""
-        # white space of any other kind or place gives other words
-        plain = text.split() == text.replace("\n", " ").split(" ") and not any(s in text for s in self.special)
-        return text.replace("\n", " \n").split(" ") if plain else None
+        """The ids of every text, as little-endian integers of ``kind``.
+
+        Texts are split, and their units told apart, in arrays; Python sees each distinct unit of a
+        batch once, and the ids of a text are gathered from those of its units.
+        """
+        for begin, end in batches_of(texts, 1 << 24):
+            some = texts[begin:end]
+            plain = [i for i, t in enumerate(some) if self._plain(t)]
+            # a line feed before the first unit, whose id is left out again below
+            lists = pc.split_pattern(pa.array(["\n" + some[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+            coded = lists.flatten().dictionary_encode()
+            units, at, place = coded.dictionary.to_pylist(), lists.offsets.to_numpy(), coded.indices.to_numpy()
+            odd = [k for k, u in enumerate(units) if u in ("", "\n")]  # white space that isn't single
+            spoilt = set(np.searchsorted(at, np.flatnonzero(np.isin(place, odd)), side="right").tolist()) if odd else ()
+            self._ready({u for u in units if u not in ("", "\n")})
+            held = [self.units.get(u, b"") for u in units]
+            ends = np.cumsum([0, *map(len, held)]) // self.kind.itemsize
+            ids = np.frombuffer(b"".join(held), self.kind)
+            each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)).take(coded.indices)
+            flat = each.flatten().to_numpy()
+            sizes = np.concatenate(([0], np.cumsum(np.diff(ends)[place])))[at]
+            found = {i: flat[a + 1 : b] for k, (i, a, b) in enumerate(zip(plain, sizes[:-1].tolist(), sizes[1:].tolist(), strict=True), 1) if k not in spoilt}
+            for i, text in enumerate(some):
+                yield (found[i] if i in found else self._ids(text)).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        """Whether a text has no white space but spaces and line feeds, and spells no special token."""
+        plain = text.replace("\n", "").isprintable() or text.split() == text.replace("\n", " ").split(" ")
+        return plain and not any(s in text for s in self.special)
 
 
 def byte_encoder(path: str) -> ByteBPE:
+    """The encoder of this process for a vocabulary file."""
     if path not in _WORKERS:
         _WORKERS[path] = ByteBPE(path)
     return _WORKERS[path]
 
 
+def forget_units() -> None:
+    """Let this process's encoders drop their units."""
+    for coder in _WORKERS.values():
+        coder.forget()
+
+
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
 
@@ -146,19 +171,44 @@ class TokenWriter:
         self.file.close()
 
 
+def sequences(source: pa.NativeFile, begin: int, end: int) -> Iterator[np.ndarray]:
+    """Ids ``begin`` to ``end`` of a file, by random access: of the record batches that hold them, and
+    no others, each a view of the file's memory, without a copy if it is mapped."""
+    reader = pa.ipc.open_file(source)
+    wide = reader.schema.field("input_ids").type.list_size * BATCH
+    for i in range(begin // wide, -(-end // wide)):
+        ids = reader.get_batch(i).column("input_ids").flatten().to_numpy()
+        yield ids[max(0, begin - i * wide) : end - i * wide]
+
+
 def file_ids(source: pa.NativeFile) -> np.ndarray:
-    """All unpadded ids of a file; batch by batch they are views of the mapped file."""
+    """All unpadded ids of a file at once, for small files; padding is at a file's end only."""
     reader = pa.ipc.open_file(source)
-    parts = [np.zeros(0, np.uint16)]
-    for i in range(reader.num_record_batches):
-        batch = reader.get_batch(i)
-        ids = batch.column("input_ids").flatten().to_numpy()
-        parts.append(ids if i < reader.num_record_batches - 1 else ids[batch.column("mask").flatten().to_numpy(zero_copy_only=False)])
-    return np.concatenate(parts[1:]) if len(parts) > 1 else parts[0]
+    last = reader.num_record_batches - 1
+    if last < 0:
+        return np.zeros(0, reader.schema.field("input_ids").type.value_type.to_pandas_dtype())
+    wide = reader.schema.field("input_ids").type.list_size * BATCH
+    real = last * wide + int(reader.get_batch(last).column("mask").flatten().to_numpy(zero_copy_only=False).sum())
+    return np.concatenate(list(sequences(source, 0, real)))
+
+
+def checksums(source: pa.NativeFile, counts: list[int]) -> list[int]:
+    """crc32 of each document's ids as 32-bit integers, documents end to end; a batch at a time."""
+    out, crc, left, todo = [], 0, 0, iter(counts)
+    left = next(todo, None)
+    for ids in sequences(source, 0, sum(counts)):
+        at = 0
+        while left is not None and at + left <= len(ids):
+            out.append(zlib.crc32(ids[at : at + left].astype("<u4").tobytes(), crc))
+            at, crc, left = at + left, 0, next(todo, None)
+        if left is not None:
+            crc = zlib.crc32(ids[at:].astype("<u4").tobytes(), crc)
+            left -= len(ids) - at
+    return out
 
 
 ENCODED = fields(block=T.IntegerType(), doc_id=T.LongType(), raw=T.BinaryType())
-MANIFEST = fields(block=T.IntegerType(), path=T.StringType(), index=T.StringType(), n_docs=T.LongType(), n_tokens=T.LongType(), bits=T.IntegerType())
+MANIFEST = fields(block=T.IntegerType(), part=T.IntegerType(), path=T.StringType(), index=T.StringType(), n_docs=T.LongType(), n_tokens=T.LongType(), bits=T.IntegerType())
 READ = fields(doc_id=T.LongType(), start=T.LongType(), n_tokens=T.LongType(), ids_crc32=T.LongType())
 
 
@@ -166,7 +216,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, sequence: int = S
     """Encode ``docs``, write the files, and return their manifest in block order.
 
     A null text counts as empty and gives ``end_id`` alone; rows of equal id stand in the order
-    of their ids' bytes; null ids come first.  A task that is lost is run again and writes new
+    of their ids' bytes; null ids come first.  A block's ids run on through files of a bounded size.  A task that is lost is run again and writes new
     files, and only files that the manifest names count.
     """
     spark = docs.sparkSession
@@ -177,17 +227,17 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, sequence: int = S
         coder = byte_encoder(path)
         end, pack = np.array([end_id], coder.kind).tobytes(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = strings(batch.column("text"))
-            ids = batch.column("doc_id").cast(pa.int64())
-            block = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32)
-            block[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-            for a, b in batches_of(texts, 1 << 23):
-                raw = [pack.compress(x + end) for x in coder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(block[a:b]), ids.slice(a, b - a), pa.array(raw, pa.binary())], names=ENCODED.names)
+            for part, texts in text_slices(batch, 1 << 24):
+                ids = part.column("doc_id").cast(pa.int64())
+                block = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32)
+                block[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+                raw = [pack.compress(x + end) for x in coder.encode([t.decode() for t in texts])]
+                yield pa.RecordBatch.from_arrays([pa.array(block), ids, pa.array(raw, pa.binary())], names=ENCODED.names)
 
     def write(batches):
         coder, unpack = byte_encoder(path), zstandard.ZstdDecompressor()
-        now, writer, sink, rows = None, None, None, []
+        coder.forget()
+        now, part, writer, sink, rows = None, 0, None, None, []
 
         def done():
             writer.close()
@@ -195,14 +245,14 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, sequence: int = S
             table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "begin": pa.array([r[1] for r in rows], pa.int64()), "n_tokens": pa.array([r[2] for r in rows], pa.int64())})
             with fs.open_output_stream(f"{base}.docs.arrow") as out, pa.ipc.new_file(out, table.schema) as file:
                 file.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([x], f) for x, f in ((now, pa.int32()), (f"{name}.arrow", pa.string()), (f"{name}.docs.arrow", pa.string()), (len(rows), pa.int64()), (writer.tokens, pa.int64()), (8 * coder.kind.itemsize, pa.int32()))], names=MANIFEST.names)
+            return pa.RecordBatch.from_arrays([pa.array([x], f) for x, f in ((now, pa.int32()), (part, pa.int32()), (f"{name}.arrow", pa.string()), (f"{name}.docs.arrow", pa.string()), (len(rows), pa.int64()), (writer.tokens, pa.int64()), (8 * coder.kind.itemsize, pa.int32()))], names=MANIFEST.names)
 
         for batch in batches:
             for block, doc, raw in zip(*[batch.column(c).to_pylist() for c in ENCODED.names], strict=True):
-                if block != now:
+                if block != now or writer.tokens >= FILE_TOKENS:
                     if now is not None:
                         yield done()
-                    now, rows = block, []
+                    now, part, rows = block, part + 1 if block == now else 0, []
                     name = f"{where}/block-{block:06d}-{uuid.uuid4().hex[:12]}"
                     fs, base = _place(name)
                     fs.create_dir(base.rpartition("/")[0], recursive=True)
@@ -214,16 +264,17 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, sequence: int = S
         if now is not None:
             yield done()
 
-    dealt = docs.select("doc_id", "text").mapInArrow(encode, ENCODED).repartition(F.col("block")).sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "raw")
+    dealt = docs.select("doc_id", "text").mapInArrow(encode, ENCODED).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "raw")
     manifest = written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
     # a row for each file: a window over them in one task is small
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: where its ids begin among all, their count and crc32."""
 
     def read(batches):
+        forget_units()
         for batch in batches:
             for file, index, start in zip(*[batch.column(c).to_pylist() for c in ("path", "index", "start")], strict=True):
                 fs, base = _place(file)
@@ -232,12 +283,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     table = pa.ipc.open_file(source).read_all()
                 local = isinstance(fs, pafs.LocalFileSystem)
                 with pa.memory_map(base) if local else fs.open_input_file(base) as source:
-                    ids = file_ids(source)
                     begin, count = table["begin"].to_numpy(), table["n_tokens"].to_numpy()
-                    crc = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(begin.tolist(), count.tolist(), strict=True)]
+                    crc = checksums(source, count.tolist())
                 yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(begin + start), pa.array(count), pa.array(crc, pa.int64())], names=READ.names)
 
-    files = manifest.repartition(F.col("block"))
+    files = manifest.repartition(shuffle_partitions(manifest.sparkSession), "path")
     return files.select("path", "index", "start").mapInArrow(read, READ)
 
 
