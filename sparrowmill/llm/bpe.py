@@ -25,7 +25,7 @@ from ._arrow import batches_of, fields, text_slices
 
 #: A worker keeps the encodings of this many distinct units at most, in two halves: the older
 #: half goes as the newer fills up, and units met again move to the newer.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 600_000
 #: White space of the tokenizers library: the Unicode property, without the separators 1C-1F that Python adds.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
