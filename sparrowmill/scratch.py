@@ -11,7 +11,11 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+#: Heaps of executors up to this are small beside their Python workers.
+SMALL_HEAP_MB = 4096
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -67,6 +71,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done: it does so when their handles,
-    in Python and then in the driver's JVM, are collected as garbage."""
+    in Python and then in the driver's JVM, are collected as garbage.
+
+    Executors with a small heap give back what the plans have left there, too: beside them live
+    Python workers that need the memory.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsMb(spark.conf.get("spark.executor.memory", "1g")) <= SMALL_HEAP_MB:
+        tasks = spark.sparkContext.defaultParallelism
+        spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
