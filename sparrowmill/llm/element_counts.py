@@ -183,4 +183,5 @@ def counted(docs: DataFrame, hashed: Callable, common: int, name: str = "doc_id"
     parts = RANGES * tasks
     sent = docs.select(name, "text_hash", "text").mapInArrow(_scatter(hashed, common, parts, name), SENT)
     answered = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_answer(common), fields(chunk=T.LongType(), blob=T.BinaryType()))
-    return answered.repartition(tasks, "chunk").sortWithinPartitions("chunk", F.substring("blob", 1, 1)).mapInArrow(_gather, COUNTED)
+    # adding up is little work: Spark may fold small partitions, so fewer files are written
+    return answered.repartition("chunk").sortWithinPartitions("chunk", F.substring("blob", 1, 1)).mapInArrow(_gather, COUNTED)

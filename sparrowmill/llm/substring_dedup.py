@@ -254,7 +254,7 @@ def shared_seeds(docs: DataFrame, least: int) -> DataFrame:
     parts = RANGES * tasks
     sent = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_scatter(least, parts), SENT)
     answered = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_answer, ANSWERS)
-    return answered.repartition(tasks, "chunk").sortWithinPartitions("chunk", F.substring("blob", 1, 1)).mapInArrow(_gather, SHARED)
+    return answered.repartition("chunk").sortWithinPartitions("chunk", F.substring("blob", 1, 1)).mapInArrow(_gather, SHARED)
 
 
 CHAINS = fields(doc_id=T.LongType(), text_hash=T.LongType(), begin=T.IntegerType(), end=T.IntegerType(), first_doc_id=T.LongType(), first_hash=T.LongType(), first_begin=T.IntegerType(), first_end=T.IntegerType())
