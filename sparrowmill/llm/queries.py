@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard_join, langid, merkle, mixing, substring_dedup, token_files, toxicity, vector_files, warc
+from . import bpe, cohorts, jaccard_join, langid, merkle, mixing, substring_dedup, token_files, toxicity, vector_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,47 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "begin", "end", "first_doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op5_fingerprints, op6_token_files, op7_bpe, op8_warc, op9_exact_top_k, op10_substring_dedup)}
+def op11_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retention of clients by the week of their first error, as known in February and at the end."""
+    known = [cohorts.known_before(3, "2024-02-01 00:00:00"), F.lit(True)]
+    return cohorts.retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"), known)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op5_fingerprints, op6_token_files, op7_bpe, op8_warc, op9_exact_top_k, op10_substring_dedup, op11_cohort_retention)
+}
+
+#: crc32 in SQL: ``crc`` is the list of the 256 values of a byte, ``of`` folds a text's ASCII bytes into its checksum.
+CRC_TABLE = "crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def crc(text: str) -> str:
+    """SQL of the crc32 of an ASCII text, for queries that have the table ``crc``."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_cohort_retention": f"""
+        WITH {CRC_TABLE},
+        c AS (
+            SELECT *, CASE WHEN h % 3 = 0 THEN h % 100 ELSE 0 END AS late
+            FROM (SELECT *, {crc('click_id::VARCHAR')} AS h FROM (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL), crc)),
+        known AS (
+            SELECT 1 AS state, * FROM c
+            UNION ALL SELECT 0 AS state, * FROM c WHERE arrived_at + to_days(late::INT) < TIMESTAMP '2024-02-01 00:00:00'),
+        starts AS (SELECT state, client_id, min(epoch_us(ts)) AS start FROM known WHERE kind = 'error' GROUP BY ALL),
+        users AS (
+            SELECT k.state, k.client_id, s.start // 604800000000 AS cohort, (epoch_us(k.ts) - s.start) // 604800000000 AS period,
+                   sum(coalesce(floor(100 * value + 0.5), 0)::BIGINT) AS cents
+            FROM known k JOIN starts s ON s.state = k.state AND s.client_id = k.client_id AND epoch_us(k.ts) >= s.start GROUP BY ALL),
+        moving AS (
+            SELECT a.client_id FROM starts a JOIN starts b ON a.client_id = b.client_id AND a.state = 0 AND b.state = 1 AND a.start // 604800000000 <> b.start // 604800000000),
+        sources AS (SELECT client_id, min(source) AS source FROM clients GROUP BY ALL)
+        SELECT state::INT AS state, coalesce(source, '') AS segment, cohort::BIGINT AS cohort, period::BIGINT AS period, count(*)::BIGINT AS users,
+               sum({crc('u.client_id::VARCHAR')})::BIGINT AS users_crc32, count(m.client_id)::BIGINT AS moved, sum(cents)::BIGINT AS cents
+        FROM users u CROSS JOIN crc LEFT JOIN sources USING (client_id) LEFT JOIN moving m USING (client_id)
+        GROUP BY ALL""",
     "op4_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
