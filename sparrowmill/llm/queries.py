@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, cohorts, jaccard_join, langid, merkle, mixing, substring_dedup, token_files, toxicity, vector_files, warc
+from . import bpe, cohorts, conversation_repair, decontamination, jaccard_join, langid, merkle, mixing, substring_dedup, token_files, toxicity, vector_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,19 @@ def op11_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"), known)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items, and the items they are of."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation once damaged, and its cheapest repair."""
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op5_fingerprints, op6_token_files, op7_bpe, op8_warc, op9_exact_top_k, op10_substring_dedup, op11_cohort_retention)
+    for f in (op1_toxicity, op2_mixing, op3_language_id, op4_jaccard_join, op5_fingerprints, op6_token_files, op7_bpe, op8_warc, op9_exact_top_k, op10_substring_dedup, op11_cohort_retention, op12_decontamination, op13_conversation_repair)
 }
 
 #: crc32 in SQL: ``crc`` is the list of the 256 values of a byte, ``of`` folds a text's ASCII bytes into its checksum.
@@ -83,7 +93,66 @@ def crc(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295)"
 
 
+def after(state: str, cost: str, label: str, text: str = "NULL") -> str:
+    """SQL of a path (cost, audit, repaired text) one edit later."""
+    joined = f"{state}.r" if text == "NULL" else f"coalesce({state}.r || chr(10), '') || {text}"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{label}', 'r': {joined}}} END"
+
+
+def least(*paths: str) -> str:
+    return f"list_min([{', '.join(paths)}])"
+
+
+def kept(state: str, initial: str, role: str) -> str:
+    """SQL of a row that is kept where its role begins as the grammar asks, and gets another role where it doesn't."""
+    told = after(state, "1 + more", "R", f"'{role}:' || text") if initial != "s" else "NULL"
+    return f"CASE WHEN NOT lost THEN CASE WHEN role[1] = '{initial}' THEN {after(state, 'more', 'K', "role || ':' || text")} ELSE {told} END END"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {crc("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h
+            FROM conversations, crc),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                   CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM c WHERE h <> 0),
+        n AS (
+            SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+                   lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS previous
+            FROM d),
+        rows AS (
+            SELECT *, shown = '' AS blank, shown <> '' AND nth > 1 AS duplicate, shown <> '' AND nth = 1 AND right(shown, 1) NOT IN ('.', '!', '?') AS truncated,
+                   (shown = '' OR nth > 1) AS lost, CASE WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS more
+            FROM n),
+        steps AS (
+            SELECT conv_id, 0 AS i, {{'c': 0, 'a': '', 'r': NULL::VARCHAR}} AS b0, NULL::STRUCT(c INT, a VARCHAR, r VARCHAR) AS b1,
+                   {{'c': 5, 'a': 'I', 'r': 'user:'}} AS b2, {{'c': 10, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}} AS b3
+            FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, i, n0, n1, m2, {least("n3", after("m2", "5", "I", "'assistant:'"))} AS m3
+            FROM (
+                SELECT *, {least("n2", *[after(b, "5", "I", "'user:'") for b in ("n0", "n1", "n3")])} AS m2
+                FROM (
+                    SELECT s.conv_id, r.i,
+                           {after("b0", "2", "D")} AS n0,
+                           {least(after("b1", "2", "D"), kept("b0", "s", "system"))} AS n1,
+                           {least(after("b2", "2", "D"), *[kept(b, "u", "user") for b in ("b0", "b1", "b3")])} AS n2,
+                           {least(after("b3", "2", "D"), kept("b2", "a", "assistant"))} AS n3
+                    FROM steps s JOIN rows r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1))),
+        best AS (SELECT conv_id, list_min([b0, b3]) AS b FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+                   count_if(previous IS NOT NULL AND left(previous, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM rows GROUP BY conv_id)
+        SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, b.b.c::BIGINT AS cost, b.b.a AS audit, sha256(coalesce(b.b.r, '')) AS repaired_sha256
+        FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id""",
     "op11_cohort_retention": f"""
         WITH {CRC_TABLE},
         c AS (
@@ -138,4 +207,22 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 10""",
+    "op12_decontamination": r"""
+        WITH w AS (
+            SELECT 'item' AS kind, item_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+            UNION ALL
+            SELECT 'doc', doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM documents),
+        windows AS (
+            SELECT DISTINCT id AS item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS s
+            FROM w WHERE kind = 'item' AND len(w) > 0),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        runs AS (
+            SELECT id AS doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+            FROM w, sizes WHERE kind = 'doc' AND len(w) >= n),
+        found AS (SELECT doc_id, item_id, i, n FROM runs JOIN windows USING (n, s)),
+        hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM found) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+        SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN hit ON hit.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE kind = 'doc'""",
 }
