@@ -11,8 +11,9 @@ candidates.
    window with a shingle that no document has is dropped.
 3. A second pass finds where prefix shingles stand, and hands on a row per document with the words
    around each place.  Documents without such a place are done.
-4. The places meet the windows by shingle in a join that Spark may split.  Length and position
-   must allow for the window, then its words are compared with those in the document one by one.
+4. The places meet the windows by shingle: where these are few, by their measured size, they are
+   broadcast, else Spark may split the join.  Length and position must allow for the window, then its
+   words are compared with those in the document one by one.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from ._arrow import fields, text_slices
 from ._hashing import LOWER, joined, mix, range_hashes
 
 WINDOW = 10
-SHINGLE = 3
+SHINGLE = 5
+#: Bytes of windows that are broadcast at most; more meet the places in a shuffled join.
+BROADCAST = 8 << 20
 #: Bits of a bitmap of shingles: at least 16 for each, within these bounds (8 kB and 4 MB).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 #: Letters, digits and all bytes of characters beyond ASCII.
@@ -221,11 +224,12 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
         found = keyed.select("doc_id", "row", F.size(words_column("text")).cast("long").alias("n_words"), F.lit(None).cast(none).alias("found"))
     rows = written(found, "places")
     discard(filed)
+    held = index.agg(F.sum(F.octet_length("words") + 100)).first()[0] or 0
     candidates = rows.select("row", "n_words", F.explode("found").alias("c")).select("row", "n_words", "c.*")
     begin = F.col("position") - F.col("at")
     fits = (F.col("before") >= F.col("at")) & (begin + F.col("n") <= F.col("n_words"))
     same = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("at") + 1, F.col("n")), " ") == F.col("words")
-    hits = candidates.join(index, "shingle").where(fits).where(same).select("row", begin.alias("begin"), (begin + F.col("n")).alias("end"), "classes")
+    hits = candidates.join(F.broadcast(index) if held <= BROADCAST else index, "shingle").where(fits).where(same).select("row", begin.alias("begin"), (begin + F.col("n")).alias("end"), "classes")
     return rows.select("row", "doc_id", "n_words", (F.size("found") > 0).alias("doubtful")), hits, classes
 
 
