@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 import math
 import re
 
+from . import alignment
 from .spanish import normal
 
 _AMOUNT = re.compile(r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])")
@@ -30,26 +30,19 @@ def number_said(value: float, text: str) -> str | None:
     return next((said for x, said in figures + durations(text) if same(x)), None)
 
 
-def nearest(phrase: str, text: str, least: float = 0.7) -> str | None:
-    """The run of words, about as many as the phrase has, that is most like it, if alike enough."""
-    words, n = text.split(), max(1, len(phrase.split()))
-    runs = {" ".join(words[i : i + k]) for k in {max(1, n - 1), n, n + 1} for i in range(len(words) - k + 1)}
-    matcher = difflib.SequenceMatcher(b=phrase, autojunk=False)
-    best, score = None, least
-    for run in sorted(runs):
-        matcher.set_seq1(run)
-        if matcher.quick_ratio() >= score and (ratio := matcher.ratio()) >= score:
-            if best is None or ratio > score:
-                best, score = run, ratio
-    return best
+def nearest(phrase: str, text: str, most: float = 0.3) -> str | None:
+    """The words of a text that hold the part least far from a phrase, if few enough edits part them."""
+    distance, begin, end = alignment.best(phrase, text)
+    if not phrase or end == begin or distance > most * len(phrase):
+        return None
+    begin = text.rfind(" ", 0, begin + 1) + 1
+    end = text.find(" ", end - 1)
+    return text[begin : end if end >= 0 else None]
 
 
 def coverage(anchor: str, candidate: str) -> float:
-    """Share of an anchor's characters that matching blocks of a candidate cover, in order."""
-    if not anchor:
-        return 0.0
-    blocks = difflib.SequenceMatcher(a=anchor, b=candidate, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in blocks) / len(anchor)
+    """Share of an anchor's characters that no edit touches where it fits a candidate best."""
+    return max(0.0, 1 - alignment.best(anchor, candidate)[0] / len(anchor)) if anchor else 0.0
 
 
 def verified(value: object, transcript: str) -> dict[str, str | None]:

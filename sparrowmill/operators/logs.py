@@ -38,6 +38,33 @@ def trailing_count(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     return dealt.withColumn("trailing", F.count("*").over(w)).where("__guest = 0").drop("__at", "__own", "__guest", "__stretch")
 
 
+def paced(df: DataFrame, key: str, ts: str, order: str, quota: int, seconds: int, stretch: int = 86_400) -> DataFrame:
+    """When each request of a key may leave, and how many microseconds it has ``waited``, under a limit.
+
+    At most ``quota`` requests leave in any ``seconds``: the i-th of a key, by time and then ``order``,
+    leaves at its own time or ``seconds`` after the departure of the one ``quota`` places before it, whichever is
+    later.  Taken in chains of every ``quota``-th request, that is a running maximum: request n of a chain
+    leaves at n x seconds + max over its predecessors m and itself of (arrival of m - m x seconds).
+
+    Ranks and maxima are taken inside stretches of time, then carried over between a key's stretches, of which
+    there are few, so a busy key is many tasks' work.  Rows without a key or a time leave as they come.
+    """
+    width = seconds * 1_000_000
+    rows = df.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__own", F.floor(F.col("__at") / (stretch * 1_000_000)))
+    asked = rows.where(F.col(key).isNotNull() & F.col("__at").isNotNull())
+    before = lambda *by: Window.partitionBy(*by).orderBy("__own").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = asked.groupBy(key, "__own").agg(F.count("*").alias("__n")).select(key, "__own", F.coalesce(F.sum("__n").over(before(key)), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(key, "__own").orderBy("__at", order)
+    placed = asked.join(sizes, [key, "__own"]).withColumn("__i", F.col("__before") + F.row_number().over(inside) - 1)
+    placed = placed.withColumn("__chain", F.col("__i") % quota).withColumn("__turn", F.expr(f"__i div {quota}")).withColumn("__lead", F.col("__at") - F.col("__turn") * width)
+    tops = placed.groupBy(key, "__chain", "__own").agg(F.max("__lead").alias("__top")).select(key, "__chain", "__own", F.max("__top").over(before(key, "__chain")).alias("__prior"))
+    running = F.max("__lead").over(Window.partitionBy(key, "__chain", "__own").orderBy("__turn").rowsBetween(Window.unboundedPreceding, 0))
+    left = placed.join(tops, [key, "__chain", "__own"]).withColumn("__leaves", F.col("__turn") * width + F.greatest("__prior", running))
+    free = rows.where(F.col(key).isNull() | F.col("__at").isNull()).withColumn("__leaves", F.col("__at"))
+    both = left.select(*df.columns, "__at", "__leaves").unionByName(free.select(*df.columns, "__at", "__leaves"))
+    return both.select(*df.columns, F.timestamp_micros("__leaves").alias("departs"), (F.col("__leaves") - F.col("__at")).alias("waited"))
+
+
 def last_vote(votes: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One vote per key, the last; votes other than 1 and -1 don't count."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -55,21 +55,8 @@ def unit(a: Column) -> Column:
 VECTORS_A_BLOCK, QUERIES_A_BLOCK = 8192, 1024
 
 
-def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, others: bool = False) -> DataFrame:
-    """(query_id, rank, vec_id, similarity) of the ``k`` vectors of the greatest cosine to each query.
-
-    ``docs`` has (vec_id, embedding), ``queries`` (query_id, query); the filter ``keep`` comes before
-    the search.  Blocks of queries meet blocks of vectors, each pair of blocks in one product, and
-    only the k best of a block go on.  Similarities that agree in nine places rank by id; with
-    ``others`` a query doesn't find its own id.  Null and empty vectors take no part, zero vectors stay zero,
-    and a query meets vectors of its own length.
-    """
-    rows = (docs if keep is None else docs.where(keep)).where("embedding is not null and size(embedding) > 0").select("vec_id", F.size("embedding").alias("dims"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.where("query is not null").select("query_id", F.size("query").alias("dims"), F.col("query").cast("array<double>").alias("v"))
-    parts = max(1, -(-rows.count() // VECTORS_A_BLOCK))
-    blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
-    left = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+def best_of_block(k: int, others: bool):
+    """For ``applyInPandas``: the ``k`` best of a block of vectors (vec_id, v) for each of a block of queries (query_id, v)."""
 
     def search(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asking):
@@ -84,35 +71,28 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = N
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[order], "similarity": near[i, order]}))
         return pd.concat(out)
 
-    keys = ["dims", "part", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, similarity double")
-    return top(found, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
+    return search
 
 
-def approximate(docs: DataFrame, queries: DataFrame, k: int, tables: int = 16, bits: int = 8) -> DataFrame:
-    """:func:`nearest` among the vectors that share a bucket of random hyperplanes with a query.
+def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, others: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, similarity) of the ``k`` vectors of the greatest cosine to each query.
 
-    The sides of ``bits`` fixed hyperplanes name a bucket in each of ``tables`` tables; candidates
-    are scored exactly, so only recall is approximate, and more tables raise it.
+    ``docs`` has (vec_id, embedding), ``queries`` (query_id, query); the filter ``keep`` comes before
+    the search.  Blocks of queries meet blocks of vectors, each pair of blocks in one product, and
+    only the k best of a block go on.  Similarities that agree in nine places rank by id; with
+    ``others`` a query doesn't find its own id.  Null and empty vectors take no part, zero vectors stay zero,
+    and a query meets vectors of its own length.
     """
+    rows = (docs if keep is None else docs.where(keep)).where("embedding is not null and size(embedding) > 0").select("vec_id", F.size("embedding").alias("dims"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("query is not null").select("query_id", F.size("query").alias("dims"), F.col("query").cast("array<double>").alias("v"))
+    parts = max(1, -(-rows.count() // VECTORS_A_BLOCK))
+    blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
+    left = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    @F.pandas_udf("array<int>")
-    def buckets(column: pd.Series) -> pd.Series:
-        out = []
-        for v in column:
-            planes = np.random.default_rng(len(v)).normal(size=(tables * bits, len(v)))
-            sides = (planes @ np.asarray(v) > 0).reshape(tables, bits)
-            out.append((sides @ (1 << np.arange(bits))).astype(np.int32))
-        return pd.Series(out)
-
-    def dealt(df: DataFrame, i: str, v: str) -> DataFrame:
-        rows = df.where(F.col(v).isNotNull() & (F.size(v) > 0)).select(i, unit(F.col(v)).alias("v"))
-        return rows.select(i, "v", F.posexplode(buckets("v")).alias("table", "bucket"))
-
-    asked = dealt(queries, "query_id", "query").withColumnRenamed("v", "q")
-    pairs = dealt(docs, "vec_id", "embedding").join(asked, ["table", "bucket"]).dropDuplicates(["query_id", "vec_id"])
-    scored = pairs.where(F.size("v") == F.size("q")).select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("similarity"))
-    return top(scored, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
+    keys = ["dims", "part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best_of_block(k, others), "query_id long, vec_id long, similarity double")
+    return top(found, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
 
 
 def found_by(mode: str, lexical: DataFrame, semantic: DataFrame, id_column: str, k: int) -> DataFrame:

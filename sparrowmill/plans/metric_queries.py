@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import evaluation, grouping, logs, relational, resampling
+from ..scratch import new_dir
+from ..streaming import events as streams
 from .registry import Tables, query
 
 POINTS = "SELECT vec_id % 5 <> 0 AS inside, (vec_id * 7919 % 1000) / 1000.0::DOUBLE AS similarity, label % 2 = 0 AS hit FROM embeddings"
@@ -230,3 +232,27 @@ def side_switches(t: Tables) -> DataFrame:
 def multiset_accuracy(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"), "o_orderkey")
     return evaluation.multiset_accuracy(rows, rows.where("o_orderkey % 4 <> 0"), "k", "y").withColumn("macro", F.round("macro", 9))
+
+
+#: An hour lets three requests of a kind go.
+LIMITED = """WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) AS came, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    r AS (
+        SELECT event_type, 0::BIGINT AS i, 0::BIGINT AS event_id, 0::BIGINT AS waited, []::BIGINT[] AS ring FROM (SELECT DISTINCT event_type FROM e)
+        UNION ALL
+        SELECT event_type, i, event_id, leaves - came, list_append(CASE WHEN len(ring) = 3 THEN ring[2:] ELSE ring END, leaves)
+        FROM (SELECT r.event_type, e.i, e.event_id, e.came, r.ring, CASE WHEN len(r.ring) = 3 THEN greatest(e.came, r.ring[1] + 3600000000) ELSE e.came END AS leaves
+              FROM r JOIN e ON e.event_type = r.event_type AND e.i = r.i + 1))
+    SELECT event_type, event_id, waited FROM r WHERE i > 0"""
+
+
+@query(LIMITED)
+def limiter_waits(t: Tables) -> DataFrame:
+    """How long a limiter of three an hour keeps each event of a kind, in microseconds."""
+    return logs.paced(t.events, "event_type", "ts", "event_id", 3, 3600).select("event_type", "event_id", "waited")
+
+
+@query(LIMITED)
+def streamed_limiter(t: Tables) -> DataFrame:
+    """The same limiter as a stream that keeps a ring of departures for each kind."""
+    stream = streams.read(t.spark, f"{t.path}/events.parquet*", t.events)
+    return streams.append(streams.limited(stream, "event_type", "event_id", 3, 3600), new_dir(t.spark, "limited")).select("event_type", "event_id", "waited")

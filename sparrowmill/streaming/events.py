@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..scratch import new_dir
 
@@ -17,6 +22,47 @@ def daily_use(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("used"))
 
 
+def limited(events: DataFrame, key: str, id_column: str, quota: int, seconds: int, late: str = "1 day") -> DataFrame:
+    """Requests of a stream as a limiter lets them go: (key, id, ts, departs, waited), in microseconds.
+
+    The state of a key is a ring of its last ``quota`` departures: a request leaves at its own time, or
+    ``seconds`` after the departure that is ``quota`` places back, whichever is later.  Requests of a micro-batch stand by
+    time, then id; one that comes in a later batch stands behind those served before.  A ring is dropped
+    once the watermark has passed what it could still delay.  Rows without key or time can't be limited and
+    are left out.
+    """
+    width = seconds * 1_000_000
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, id_column)}
+
+    def serve(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ring = deque(state.get[0] if state.exists else [], maxlen=quota)
+        rows = pd.concat(list(batches)).sort_values(["at", id_column], kind="stable")
+        departs = []
+        for at in rows["at"].tolist():
+            ring.append(max(at, ring[0] + width) if len(ring) == quota else at)
+            departs.append(ring[-1])
+        state.update((list(ring),))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), -(-(ring[-1] + width) // 1000)) + 1)
+        yield pd.DataFrame({key: name[0], id_column: rows[id_column], "at": rows["at"], "departs": departs, "waited": [d - a for d, a in zip(departs, rows["at"])]})
+
+    asked = events.withWatermark("ts", late).where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, id_column, "ts", F.unix_micros("ts").alias("at"))
+    schema = f"{key} {kinds[key]}, {id_column} {kinds[id_column]}, at long, departs long, waited long"
+    return asked.groupBy(key).applyInPandasWithState(serve, schema, "departures array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def append(stream: DataFrame, path: str) -> DataFrame:
+    """Everything that is there now, and was not there before, through a stream into a table below ``path``.
+
+    The folder also holds the stream's checkpoint: called again, after a stop or a lost driver, it goes on
+    with its state and writes each row once.
+    """
+    stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_once(stream: DataFrame) -> DataFrame:
     """Everything that is there now through a stream, into a table in the shared folder.
 

@@ -34,14 +34,6 @@ def test_nearest_in_blocks_like_brute_force(spark, monkeypatch):
     assert retrieval.nearest(df, asked, 3, F.col("vec_id") < 0).count() == 0
 
 
-def test_approximate_search_finds_most(spark):
-    m, df = vectors(spark)
-    asked = df.where("vec_id % 30 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    got = {(r.query_id, r.vec_id) for r in retrieval.approximate(df, asked, 5, tables=40).collect()}
-    wanted = {(q, i) for q in range(0, 300, 30) for i in brute(m, q, 5)}
-    assert len(got & wanted) >= 0.9 * len(wanted)
-
-
 def test_unknown_mode_is_refused(spark):
     one = spark.createDataFrame([(1, 2, 0.5, 1)], "query_id int, id int, score double, rank int")
     assert retrieval.found_by("bm25", one, one, "id", 1).count() == 1
