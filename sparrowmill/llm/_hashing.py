@@ -52,6 +52,14 @@ def range_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
         return mix(raw + (end - begin).astype(np.uint64))
 
 
+def sequence_hashes(values: np.ndarray, steps: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``values[first] ... values[last]`` and of the steps between them, which stand before each value."""
+    with np.errstate(over="ignore"):
+        total = np.cumsum(mix(values ^ mix(steps.astype(np.uint64), 5), 3) * _power("up", len(values)))
+        between = (total[last] - total[first]) * _power("down", len(values))[first]
+        return mix(between ^ mix(values[first], 9))
+
+
 def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs of bytes other than 0x20 and 0x09-0x0D."""
     white = np.ones(len(data) + 2, bool)

@@ -3,10 +3,14 @@
 A gear rolling hash picks the ends of chunks: gaps between words, if there are any, of the least
 hash in some stretch of ``STRETCH`` bytes.  What stands between two ends depends on the text there
 alone, so an insertion moves chunks but doesn't change those after it.  The digest of every run of
-chunks that reaches ``SEED_BYTES`` is a seed.  A seed that a document of smaller id has too is a
-repeat; seeds that one such document holds in the same order and distance are a chain, which is
-extended to its true ends against that document's text.  Passages of at least ``LEAST_BYTES`` are
-removed where they repeat, not where they first stand.
+chunks that reaches ``SEED_BYTES`` is a seed, and so is the digest of every run of shared seeds that
+reaches ``LEAST_BYTES``.  A seed that a document of smaller id has too is a repeat, held against the
+least such document.  That one may hold no more than a short seed; a long one is a passage by itself
+wherever it stands, so that no repeat of ``LEAST_BYTES`` + 3 * ``STRETCH`` bytes and more is missed
+for what shorter pieces of it earlier documents have.  Seeds that one document holds in the same order and
+distance are a chain, which is extended to its true ends against that document's text, and compared
+with it: a digest alone never removes anything.  Passages of at least ``LEAST_BYTES`` are removed where
+they repeat, not where they first stand.
 
 Digests that one document alone has are the most by far, and never become rows: batches send
 their digests to ranges of the hash space as compressed blobs, and get back those that others have.
@@ -14,6 +18,8 @@ their digests to ranges of the hash space as compressed blobs, and get back thos
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import discard, release, shuffle_partitions, written
 from ._arrow import fields, pieces, text_slices, utf8
-from ._hashing import WHITE, gear, range_hashes
+from ._hashing import WHITE, gear, range_hashes, sequence_hashes
 from .element_counts import RANGES, SENT, packed, unpacked
-from .id_filter import having, lacking
+from .id_filter import free, having, lacking
 
 #: Every so many bytes hold the end of a chunk.
 STRETCH = 48
@@ -236,29 +242,64 @@ def _answer(batches):
         yield _batch(_shared(blobs), ANSWERS)
 
 
-def _gather(batches):
-    """A chunk's documents come first, then their shared seeds."""
-    own = None
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            if blob[:1] == b"\0":
-                own = unpacked(blob[1:], np.int64, np.uint8, np.int64)
-                continue
-            place, doc, begin, size = _decoded(blob[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(own[0][doc], mask=own[1][doc].astype(bool)), pa.array(own[2][doc]), pa.array(place.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))], names=SHARED.names)
+def long_seeds(doc: np.ndarray, digest: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first seed, size, digest) of the shortest runs of ``least`` bytes of seeds that overlap or touch.
+
+    Seeds come by document and begin.  Seeds that reach ``least`` bytes by themselves are none.
+    """
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    end = begin + size
+    apart = np.concatenate(([True], (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])))
+    run = np.cumsum(apart)
+    reach = np.maximum.accumulate(run << 32 | end)
+    last = np.searchsorted(reach, run << 32 | begin + least)
+    first = np.arange(len(doc))
+    good = (last < len(doc)) & (run[np.minimum(last, len(doc) - 1)] == run) & (last > first)
+    first, last = first[good], last[good]
+    steps = np.where(apart, 0, np.diff(begin, prepend=begin[:1]))
+    return first, (reach[last] & 0xFFFFFFFF) - begin[first], sequence_hashes(digest, steps, first, last)
+
+
+def _gather(least: int):
+    """A chunk's documents come first, then their shared seeds, to which the long ones are added."""
+
+    def rows(own, held) -> pa.RecordBatch:
+        place, doc, begin, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, begin, size = doc.astype(np.int64), begin.astype(np.int64), size.astype(np.int64)
+        order = np.lexsort((size, begin, doc))
+        place, doc, begin, size = place[order], doc[order], begin[order], size[order]
+        first, wide, digest = long_seeds(doc, place, begin, size, least)
+        doc, begin, size, place = np.append(doc, doc[first]), np.append(begin, begin[first]), np.append(size, wide), np.append(place, digest)
+        return pa.RecordBatch.from_arrays([pa.array(own[0][doc], mask=own[1][doc].astype(bool)), pa.array(own[2][doc]), pa.array(place.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))], names=SHARED.names)
+
+    def run(batches):
+        own, held = None, []
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                if blob[:1] == b"\0":
+                    if held:
+                        yield rows(own, held)
+                    own, held = unpacked(blob[1:], np.int64, np.uint8, np.int64), []
+                else:
+                    held.append(_decoded(blob[1:]))
+        if held:
+            yield rows(own, held)
+
+    return run
 
 
 def shared_seeds(docs: DataFrame, least: int) -> DataFrame:
-    """The seeds of ``docs`` (doc_id, text) that another row has too: (doc_id, text_hash, digest, begin, size)."""
+    """The seeds of ``docs`` (doc_id, text) that another row has too, and the long seeds they make: (doc_id, text_hash, digest, begin, size)."""
     tasks = shuffle_partitions(docs.sparkSession)
     parts = RANGES * tasks
     sent = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_scatter(least, parts), SENT)
     answered = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_answer, ANSWERS)
-    return answered.repartition("chunk").sortWithinPartitions("chunk", F.substring("blob", 1, 1)).mapInArrow(_gather, SHARED)
+    return answered.repartition("chunk").sortWithinPartitions("chunk", F.substring("blob", 1, 1)).mapInArrow(_gather(least), SHARED)
 
 
 CHAINS = fields(doc_id=T.LongType(), text_hash=T.LongType(), begin=T.IntegerType(), end=T.IntegerType(), first_doc_id=T.LongType(), first_hash=T.LongType(), first_begin=T.IntegerType(), first_end=T.IntegerType())
-BESIDE = fields(first_doc_id=T.LongType(), first_hash=T.LongType(), first_begin=T.IntegerType(), first_end=T.IntegerType(), before=T.BinaryType(), after=T.BinaryType())
+BESIDE = fields(first_doc_id=T.LongType(), first_hash=T.LongType(), first_begin=T.IntegerType(), first_end=T.IntegerType(), inner=T.BinaryType(), before=T.BinaryType(), after=T.BinaryType())
 SPANS = fields(doc_id=T.LongType(), text_hash=T.LongType(), begin=T.IntegerType(), end=T.IntegerType(), first_doc_id=T.LongType())
 
 
@@ -282,14 +323,18 @@ def _chains(batches):
         yield _batch(rows, CHAINS)
 
 
+def _sum(text: bytes, begin: int, end: int) -> bytes:
+    return blake2b(memoryview(text)[begin:end], digest_size=16).digest()
+
+
 def _beside(most: int):
-    """What stands before and after the chains in the documents that have them first."""
+    """Checksums of the chains in the documents that have them first, and what stands before and after them there."""
 
     def run(batches):
         for batch in pieces(batches):
             rows = []
             for doc, key, at, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("at").to_pylist(), utf8(batch.column("text")), strict=True):
-                rows += [(doc, key, a["first_begin"], a["first_end"], text[max(0, a["first_begin"] - most) : a["first_begin"]], text[a["first_end"] : a["first_end"] + most]) for a in at]
+                rows += [(doc, key, a["first_begin"], a["first_end"], _sum(text, a["first_begin"], a["first_end"]), text[max(0, a["first_begin"] - most) : a["first_begin"]], text[a["first_end"] : a["first_end"] + most]) for a in at]
             yield _batch(rows, BESIDE)
 
     return run
@@ -325,7 +370,7 @@ def whole_words(text: bytes, begin: int, end: int, most: int, both_end: bool) ->
 
 
 def _spans(least: int, most: int):
-    """Chains to their true ends; those of at least ``least`` bytes are passages, each byte in one."""
+    """Chains whose bytes are those of the first document to their true ends; of ``least`` bytes and more they are passages, each byte in one."""
 
     def run(batches):
         for batch in pieces(batches):
@@ -333,6 +378,8 @@ def _spans(least: int, most: int):
             for doc, key, chains, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("chains").to_pylist(), utf8(batch.column("text")), strict=True):
                 found = []
                 for c in chains:
+                    if _sum(text, c["begin"], c["end"]) != c["inner"]:
+                        continue
                     begin = c["begin"] - _common(text[max(0, c["begin"] - most) : c["begin"]][::-1], c["before"][::-1])
                     end = c["end"] + _common(text[c["end"] : c["end"] + most], c["after"])
                     if end - begin >= least:
@@ -361,8 +408,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     table = written(shared_seeds(texts, least), "seeds")
     release(docs.sparkSession)
     place = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("first"), F.col("text_hash").alias("first_hash"), F.col("begin").alias("first_begin")))
-    first = table.groupBy("digest").agg(F.min(place).alias("f"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("f.first < last or unnamed and f.first is not null")
-    repeats = table.join(first.select("digest", "f.*"), "digest").where("doc_id is null or first < doc_id")
+    first = table.groupBy("digest", "size").agg(F.min(place).alias("f"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("f.first < last or unnamed and f.first is not null")
+    repeats = table.join(first.select("digest", "size", "f.*"), ["digest", "size"]).where("doc_id is null or first < doc_id")
     gathered = repeats.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "size", "first", "first_hash", "first_begin"))).alias("found"))
     chains = written(gathered.mapInArrow(_chains, CHAINS), "chains")
     discard(table)
@@ -371,7 +418,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     asked = chains.groupBy(F.col("first_doc_id").alias("doc_id"), F.col("first_hash").alias("text_hash")).agg(F.collect_set(F.struct("first_begin", "first_end")).alias("at"))
     beside = written(_with_text(asked, texts).mapInArrow(_beside(MOST_BESIDE), BESIDE), "beside")
     sides = chains.join(beside, ["first_doc_id", "first_hash", "first_begin", "first_end"])
-    own = sides.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end", "first_doc_id", "before", "after")).alias("chains"))
+    own = sides.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end", "first_doc_id", "inner", "before", "after")).alias("chains"))
     spans = written(_with_text(own, texts).mapInArrow(_spans(least, MOST_BESIDE), SPANS), "spans")
     discard(chains, beside)
     release(docs.sparkSession)
@@ -391,19 +438,20 @@ def deduplicated(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
     All columns stay; a text that repeats nothing is kept as it is.
     """
+    names = docs.columns
+    key, cuts_ = free(names, "hash"), free(names, "spans")
     spans = repeated_spans(docs, least)
-    held = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("__spans"))
+    held = spans.groupBy("doc_id", F.col("text_hash").alias(key)).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(cuts_))
     ids = spans.where("doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null")
-    touched = having(named, ids).withColumn("text_hash", F.xxhash64("text")).join(held, ["doc_id", "text_hash"], "left")
-    unnamed = docs.where("doc_id is null").withColumn("text_hash", F.xxhash64("text")).join(held.where("doc_id is null").drop("doc_id"), "text_hash", "left")
-    names = [c for c in docs.columns]
-    wide = touched.select(*names, "__spans").unionByName(unnamed.select(*names, "__spans"))
+    touched = having(named, ids).withColumn(key, F.xxhash64("text")).join(held, ["doc_id", key], "left")
+    unnamed = docs.where("doc_id is null").withColumn(key, F.xxhash64("text")).join(held.where("doc_id is null").drop("doc_id"), key, "left")
+    wide = touched.select(*names, cuts_).unionByName(unnamed.select(*names, cuts_))
 
     def run(batches):
         for batch in batches:
             for part, texts in text_slices(batch, 1 << 22):
-                for i, cut in enumerate(part.column("__spans").to_pylist()):
+                for i, cut in enumerate(part.column(cuts_).to_pylist()):
                     for c in reversed(cut or []):
                         texts[i] = texts[i][: c["begin"]] + texts[i][c["end"] :]
                 column = pa.array(texts, pa.binary()).cast(pa.string())

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from sparrowmill.llm import decontamination
 
@@ -100,7 +101,11 @@ def test_candidates_that_share_hashes_are_compared_word_by_word(spark, monkeypat
 
     monkeypatch.setattr(decontamination, "run_hashes", few)
     monkeypatch.setattr(decontamination, "BROADCAST", 0)
-    assert run(spark, docs, items) == brute(docs, items)
+    cloudpickle.register_pickle_by_value(decontamination)  # so that workers get the change, too
+    try:
+        assert run(spark, docs, items) == brute(docs, items)
+    finally:
+        cloudpickle.unregister_pickle_by_value(decontamination)
 
 
 def test_spans(spark):
