@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -56,3 +59,47 @@ def paired(df: DataFrame, arm: str, first: str, second: str, keys: list[str], va
 
 def interval(replicates: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     return replicates.agg(F.percentile(column, low).alias("low"), F.percentile(column, high).alias("high"), F.avg((F.col(column) > 0).cast("int")).alias("share_above_0"))
+
+
+#: Shares of Poisson(1), times 2**32, at which a draw's weight becomes 1, 2, 3, ...; the last are rounded up to one.
+POISSON = [int(2**32 * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(12)]
+#: Replicates whose draws one md5 gives.
+DRAWS = 4
+
+
+def _weight(u: Column) -> Column:
+    """The weight of a 32-bit draw: how many of the bounds it has reached."""
+    out = F.lit(len(POISSON))
+    for k, bound in reversed(list(enumerate(POISSON))):
+        out = F.when(u < bound, k).otherwise(out)
+    return out
+
+
+def poisson_intervals(df: DataFrame, keys: list[str], unit: str, num: str, den: str | None = None, replicates: int = 200, seed: str = "0", low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """``keys``, ``n`` units, ``point`` and its interval ``low`` to ``high``: sum(num) / sum(den), or the mean without ``den``.
+
+    One pass of a bootstrap: in each replicate a unit's rows count 0, 1, 2 ... times, a Poisson(1) weight
+    from a hash of unit and replicate, so that units that several groups share move together.  Weighted sums
+    are combined before they are shuffled: a group sends a row for every four replicates, however many
+    rows it has.  Rows with a null figure don't count; a group of one unit has no interval, and replicates
+    whose denominator is 0 are left out.
+    """
+    den_ = F.col(den) if den else F.lit(1)
+    rows = df.where(F.col(num).isNotNull() & den_.isNotNull()).select(*keys, F.col(unit).alias("__unit"), F.col(num).alias("__num"), den_.alias("__den"))
+    whole = rows.groupBy(*keys).agg(F.count_distinct("__unit").alias("n"), (F.sum("__num") / F.nullif(F.sum("__den"), F.lit(0))).alias("point"))
+    each = rows.withColumn("__four", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS) - 1)))).withColumn("__md5", F.md5(F.concat_ws("|", F.col("__unit").cast("string"), F.col("__four").cast("string"), F.lit(seed))))
+    weights = [_weight(F.conv(F.substring("__md5", 8 * i + 1, 8), 16, 10).cast("long")) for i in range(DRAWS)]
+    sums = each.groupBy(*keys, "__four").agg(*[F.sum(w * F.col(c)).alias(f"{c}{i}") for i, w in enumerate(weights) for c in ("__num", "__den")])
+    of_four = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__num{i}").alias("num"), F.col(f"__den{i}").alias("den")) for i in range(DRAWS)]))
+    values = sums.select(*keys, "__four", of_four.alias("r")).where((F.col("__four") * DRAWS + F.col("r.i") < replicates) & (F.col("r.den") != 0)).select(*keys, (F.col("r.num") / F.col("r.den")).alias("__value"))
+    ends = values.groupBy(*keys).agg(F.percentile("__value", low).alias("low"), F.percentile("__value", high).alias("high"))  # of the replicates
+    same = reduce(lambda a, b: a & b, [whole[k].eqNullSafe(ends[k]) for k in keys], F.lit(True))
+    both = whole.join(ends, same, "left").drop(*[ends[k] for k in keys])
+    return both.select(*keys, "n", "point", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("low", "high")])
+
+
+def paired_differences(df: DataFrame, arm: str, first, second, keys: list[str], unit: str, errors: str, size: str) -> DataFrame:
+    """``keys``, unit, ``delta`` (errors of the second arm less the first's) and the second arm's ``size``, where both arms have the unit."""
+    pick = lambda a, c: F.sum(F.when(F.col(arm) == F.lit(a), F.col(c)))
+    sums = df.where(F.col(arm).isin(first, second)).groupBy(*keys, unit).agg(pick(first, errors).alias("__a"), pick(second, errors).alias("__b"), pick(second, size).alias("size"))
+    return sums.where("__a is not null and __b is not null").select(*keys, unit, (F.col("__b") - F.col("__a")).alias("delta"), "size")
