@@ -13,6 +13,12 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 
 
+def bm25_weight(n: str, df: str, tf: str, size: str, mean: str) -> Column:
+    """A term's weight in a document, from columns of the corpus, the term and the document."""
+    idf = F.log(1 + (F.col(n) - F.col(df) + 0.5) / (F.col(df) + 0.5))
+    return idf * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(size) / F.col(mean)))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", words: str = "words") -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with a query.
 
@@ -29,9 +35,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", words: str
     posted = docs.select(doc_id, F.size(words).alias("len"), F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term", doc_id, "len").agg(F.count("*").alias("tf"))
     held = posted.groupBy("term").agg(F.count("*").alias("df"))
     rows = posted.join(held, "term").crossJoin(whole)  # one row of corpus figures
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = rows.select("term", doc_id, weight.alias("weight")).join(asked, "term")
+    scored = rows.select("term", doc_id, bm25_weight("N", "df", "tf", "len", "mean").alias("weight")).join(asked, "term")
     return scored.groupBy("query_id", doc_id).agg(F.sum("weight").alias("score"))
 
 
@@ -74,23 +78,24 @@ def best_of_block(k: int, others: bool):
     return search
 
 
-def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, others: bool = False) -> DataFrame:
+def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, others: bool = False, within: str | None = None) -> DataFrame:
     """(query_id, rank, vec_id, similarity) of the ``k`` vectors of the greatest cosine to each query.
 
     ``docs`` has (vec_id, embedding), ``queries`` (query_id, query); the filter ``keep`` comes before
     the search.  Blocks of queries meet blocks of vectors, each pair of blocks in one product, and
     only the k best of a block go on.  Similarities that agree in nine places rank by id; with
-    ``others`` a query doesn't find its own id.  Null and empty vectors take no part, zero vectors stay zero,
+    ``others`` a query doesn't find its own id; ``within`` names a column of both sides that must be equal.  Null and empty vectors take no part, zero vectors stay zero,
     and a query meets vectors of its own length.
     """
-    rows = (docs if keep is None else docs.where(keep)).where("embedding is not null and size(embedding) > 0").select("vec_id", F.size("embedding").alias("dims"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.where("query is not null").select("query_id", F.size("query").alias("dims"), F.col("query").cast("array<double>").alias("v"))
+    only = [within] if within else []
+    rows = (docs if keep is None else docs.where(keep)).where("embedding is not null and size(embedding) > 0").select("vec_id", *only, F.size("embedding").alias("dims"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("query is not null").select("query_id", *only, F.size("query").alias("dims"), F.col("query").cast("array<double>").alias("v"))
     parts = max(1, -(-rows.count() // VECTORS_A_BLOCK))
     blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
     left = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    keys = ["dims", "part", "block"]
+    keys = [*only, "dims", "part", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best_of_block(k, others), "query_id long, vec_id long, similarity double")
     return top(found, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
 
@@ -111,9 +116,9 @@ def found_by(mode: str, lexical: DataFrame, semantic: DataFrame, id_column: str,
 
 
 def fused(first: DataFrame, second: DataFrame, id_column: str) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists (query_id, id, rank)."""
+    """Reciprocal-rank fusion of two ranked lists (query_id, id, rank), and how many ``lists`` have an id."""
     both = first.select("query_id", id_column, "rank").unionByName(second.select("query_id", id_column, "rank"))
-    return both.groupBy("query_id", id_column).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"))
+    return both.groupBy("query_id", id_column).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.count("*").alias("lists"))
 
 
 def gated(best: Column, threshold: float) -> Column:

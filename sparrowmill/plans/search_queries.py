@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import anchors, retrieval, vector_index
-from ..scratch import new_dir
+from ..operators import anchors, hybrid, pruned, retrieval, text, vector_index
+from ..scratch import new_dir, written
 from .registry import Tables, query
-from .text_queries import questions
+from .text_queries import TOKENS, questions
 
 
 @query()
@@ -24,3 +24,88 @@ def index_recall(t: Tables) -> DataFrame:
     found = vector_index.search(index, questions(t), 10, probes, others=True)
     exact = retrieval.nearest(t.embeddings, questions(t), 10, others=True)
     return vector_index.recall(found, exact).select("queries", "wanted", (F.col("recall") >= 0.9).alias("nine_in_ten"))
+
+
+#: Every hundredth document that has a vector asks with its first words and its vector.  Some ask within
+#: their language, some among short documents, and some for a language that no document has.
+ASKED = f"""
+    c AS (SELECT doc_id, lang, n_chars, {TOKENS} AS w, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM documents JOIN embeddings ON vec_id = doc_id),
+    q AS (SELECT doc_id AS query_id, w[1:12] AS w, v, CASE WHEN doc_id % 300 = 200 THEN 'none' WHEN doc_id % 200 = 100 THEN lang END AS in_lang, CASE WHEN doc_id % 300 = 0 THEN 2000 END AS most_chars FROM c WHERE doc_id % 100 = 0),
+    m AS (SELECT query_id, doc_id, c.w, c.v, q.v AS qv FROM q JOIN c ON (in_lang IS NULL OR lang = in_lang) AND (most_chars IS NULL OR n_chars <= most_chars)),
+    n AS (SELECT query_id, count(*) AS n, greatest(avg(len(w)), 1) AS mean FROM m GROUP BY 1),
+    asked AS (SELECT DISTINCT query_id, unnest(w) AS term FROM q),
+    p AS (SELECT query_id, doc_id, term, len, count(*) AS tf FROM (SELECT query_id, doc_id, len(w) AS len, unnest(w) AS term FROM m) JOIN asked USING (query_id, term) GROUP BY ALL),
+    f AS (SELECT query_id, term, count(*) AS df FROM p GROUP BY ALL),
+    bm AS (SELECT query_id, doc_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM p JOIN f USING (query_id, term) JOIN n USING (query_id) WHERE doc_id <> query_id GROUP BY ALL),
+    l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 50),
+    s AS (SELECT query_id, doc_id, list_dot_product(v, qv) AS near, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, qv), 9) DESC, doc_id) AS rank FROM m WHERE doc_id <> query_id QUALIFY rank <= 50),
+    u AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf, max(near) AS near, count(*) AS lists FROM (SELECT query_id, doc_id, rank, NULL AS near FROM l UNION ALL SELECT query_id, doc_id, rank, near FROM s) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, round(near, 9) DESC NULLS LAST, doc_id) AS rank FROM u),
+    b AS (SELECT query_id, max(near) AS best FROM s GROUP BY 1)"""
+
+
+def corpus(t: Tables) -> DataFrame:
+    """Documents that have a vector."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    return t.documents.select("doc_id", "lang", "n_chars", text.tokens(F.col("text")).alias("words")).join(vectors, "doc_id")
+
+
+def askers(docs: DataFrame) -> DataFrame:
+    i = F.col("doc_id")
+    in_lang = F.when(i % 300 == 200, "none").when(i % 200 == 100, F.col("lang"))
+    return docs.where("doc_id % 100 = 0").select(i.alias("query_id"), F.slice("words", 1, 12).alias("words"), F.col("embedding").alias("query"), in_lang.alias("in_lang"), F.when(i % 300 == 0, 2000).alias("most_chars"))
+
+
+@query(f"""WITH {ASKED} SELECT q.query_id, r.rank, r.doc_id, round(rrf, 9) AS rrf, round(best, 6) AS best, n.n IS NULL OR best IS NULL OR best < 0.4 AS abstained,
+    CASE WHEN n.n IS NULL THEN 'no_candidates' WHEN best IS NULL OR best < 0.4 THEN 'below_threshold' END AS reason
+    FROM q LEFT JOIN n USING (query_id) LEFT JOIN b USING (query_id) LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r USING (query_id)""")
+def filtered_hybrid(t: Tables) -> DataFrame:
+    """Filter, search by words and vectors, fuse, gate: the ten best of each question, or why there is no answer."""
+    docs = corpus(t)
+    filters = [hybrid.Filter("in_lang", "lang"), hybrid.Filter("most_chars", "n_chars", "<=")]
+    found = hybrid.answers(docs, askers(docs), filters, threshold=0.4)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("rrf", 9).alias("rrf"), F.round("best", 6).alias("best"), "abstained", "reason")
+
+
+LIGHT = """CASE WHEN length(w) <= 3 OR regexp_full_match(w, '[0-9]+') THEN w WHEN regexp_matches(w, 'ciones$') THEN regexp_replace(w, 'ciones$', 'cion')
+    WHEN regexp_matches(w, '[^aeiou]es$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '[^s]s$') THEN regexp_replace(w, 's$', '') ELSE w END"""
+#: Every tenth document is a probe: five of its words should find it, whatever the words' form.
+RETRIEVERS = f"""WITH d AS (SELECT doc_id, lang, w FROM (SELECT doc_id, lang, {TOKENS} AS w FROM documents)),
+    x AS (SELECT 'words' AS retriever, doc_id, w FROM d UNION ALL SELECT 'stems', doc_id, list_transform(w, lambda w: {LIGHT}) FROM d),
+    n AS (SELECT retriever, count(*) AS n, greatest(avg(len(w)), 1) AS mean FROM x GROUP BY 1),
+    asked AS (SELECT DISTINCT retriever, doc_id AS query_id, unnest(w[5:9]) AS term FROM x WHERE doc_id % 10 = 3 AND len(w) >= 9),
+    p AS (SELECT retriever, term, doc_id, len, count(*) AS tf FROM (SELECT retriever, doc_id, len(w) AS len, unnest(w) AS term FROM x) SEMI JOIN asked USING (retriever, term) GROUP BY ALL),
+    f AS (SELECT retriever, term, count(*) AS df FROM p GROUP BY ALL),
+    bm AS (SELECT retriever, query_id, doc_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM p JOIN f USING (retriever, term) JOIN n USING (retriever) JOIN asked USING (retriever, term) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY retriever, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10),
+    probes AS (SELECT doc_id AS query_id, unnest(['all', coalesce('lang ' || lang, 'no lang'), CASE WHEN regexp_matches(array_to_string(w[5:9], ' '), '[0-9]') THEN 'figures' ELSE 'no figures' END]) AS slice FROM d WHERE doc_id % 10 = 3 AND len(w) >= 9)
+    SELECT retriever, slice, count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 9) AS recall_1, round(avg((coalesce(rank, 99) <= 3)::INT), 9) AS recall_3, round(avg((coalesce(rank, 99) <= 5)::INT), 9) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr
+    FROM (SELECT DISTINCT retriever FROM x) CROSS JOIN probes LEFT JOIN (SELECT * FROM r WHERE query_id = doc_id) h USING (retriever, query_id) GROUP BY ALL"""
+
+
+@query(RETRIEVERS)
+def retriever_comparison(t: Tables) -> DataFrame:
+    """Recall and MRR of two retrievers over probes made from the corpus, as a whole and by slice."""
+    docs = written(t.documents.select("doc_id", "lang", text.tokens(F.col("text")).alias("words")), "words")
+    taken = docs.where("doc_id % 10 = 3 and size(words) >= 9").withColumn("probe", F.slice("words", 5, 5))
+    figures = F.when(F.array_join("probe", " ").rlike("[0-9]"), "figures").otherwise("no figures")
+    in_lang = F.coalesce(F.concat(F.lit("lang "), "lang"), F.lit("no lang"))
+    probes = taken.select(F.col("doc_id").alias("query_id"), "doc_id", F.explode(F.array(F.lit("all"), in_lang, figures)).alias("slice"))
+    stems = lambda c: F.transform(c, text.light_stem)
+    found = {
+        "words": pruned.best(docs.select("doc_id", "words"), taken.select(F.col("doc_id").alias("query_id"), F.col("probe").alias("words")), 10),
+        "stems": pruned.best(docs.select("doc_id", stems("words").alias("words")), taken.select(F.col("doc_id").alias("query_id"), stems("probe").alias("words")), 10),
+    }
+    table = pruned.compared(found, probes, [1, 3, 5])
+    return table.select("retriever", "slice", "n", *[F.round(c, 9).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")])
+
+
+@query(f"WITH {ASKED} SELECT query_id, doc_id, round(rrf, 9) AS rrf, lists FROM u")
+def rrf_hybrid(t: Tables) -> DataFrame:
+    """Both ranked lists of the same questions, fused, and in how many of them a document stands."""
+    docs = corpus(t)
+    named, members = hybrid.passing(docs, askers(docs), [hybrid.Filter("in_lang", "lang"), hybrid.Filter("most_chars", "n_chars", "<=")])
+    members = written(members, "members")
+    by_words = retrieval.top(hybrid.lexical(docs, named, members).where("doc_id <> query_id and score > 0"), 50, [F.desc(F.round("score", 9)), F.col("doc_id")])
+    near = hybrid.semantic(docs, named, members, 50)
+    return retrieval.fused(by_words, near, "doc_id").select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "lists")

@@ -202,16 +202,6 @@ def candidate_count(t: Tables) -> DataFrame:
     return t.embeddings.select("label", F.get("embedding", 0).alias("x"), F.get("embedding", 1).alias("y")).groupBy("label").agg(F.count_if(keep).alias("candidates"))
 
 
-@query(f"""WITH {BM25}, {COSINE},
-    l AS (SELECT query_id::BIGINT AS query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 50),
-    s AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM c QUALIFY rank <= 50)
-    SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM (SELECT * FROM l UNION ALL SELECT * FROM s) GROUP BY ALL""")
-def rrf_hybrid(t: Tables) -> DataFrame:
-    lexical = retrieval.top(scored(t).where("score > 0"), 50, [F.desc(F.round("score", 9)), F.col("doc_id")]).withColumn("query_id", F.col("query_id").cast("long"))
-    near = retrieval.nearest(t.embeddings, questions(t), 50).withColumnRenamed("vec_id", "doc_id")
-    return retrieval.fused(lexical, near, "doc_id").withColumn("rrf", F.round("rrf", 9))
-
-
 RANKS = f"""WITH {COSINE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM c WHERE vec_id <> query_id),
     h AS (SELECT query_id, min(CASE WHEN label = query_label AND rank <= 10 THEN rank END) AS rank, max(similarity) AS best FROM r GROUP BY query_id)"""
 
