@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import quantiles
+
 
 def corpus_rate(df: DataFrame, keys: list[str], errors: str, total: str, name: str = "rate") -> DataFrame:
     """Errors over words of whole groups: a ratio of sums, not a mean of ratios; null without words."""
@@ -60,9 +62,9 @@ def by_field(df: DataFrame, fields: dict[str, tuple[Column, Column, Column | Non
 def contrasts(df: DataFrame, id_column: str, rate: str, accuracy: str) -> DataFrame:
     """Two telling cases: the worst transcript with a perfect record, and the worst record among
     transcripts no worse than the median; ties go to the smaller id."""
-    middle = df.agg(F.median(rate).alias("__middle"))
+    middle = quantiles.quantiles(df, [], rate, {"__middle": 0.5})
     perfect = df.where(F.col(accuracy) >= 1).agg(F.min_by(id_column, F.struct(-F.col(rate), id_column)).alias(id_column)).withColumn("case", F.lit("perfect_in_spite"))
-    good = df.crossJoin(middle).where(F.col(rate) <= F.col("__middle")).agg(F.min_by(id_column, F.struct(accuracy, id_column)).alias(id_column)).withColumn("case", F.lit("wrong_in_spite"))
+    good = df.join(middle, F.lit(True)).where(F.col(rate) <= F.col("__middle")).agg(F.min_by(id_column, F.struct(accuracy, id_column)).alias(id_column)).withColumn("case", F.lit("wrong_in_spite"))
     return perfect.unionByName(good).select("case", id_column)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import quantiles
+
 
 def share_by_group(df: DataFrame, group: str, flag: Column, amount: str, least: int) -> DataFrame:
     """Per group: rows, flagged rows, their share, the sum of an amount; small groups left out."""
@@ -17,6 +19,16 @@ def with_total(df: DataFrame, group: str, aggregates: list[Column], total: str =
     return out.withColumn(group, F.when(F.col("__all") == 1, total).otherwise(F.col(group))).drop("__all")
 
 
+def with_total_and_quantiles(df: DataFrame, group: str, aggregates: list[Column], value: str, picks: dict[str, float], total: str = "TOTAL") -> DataFrame:
+    """:func:`with_total` and exact quantiles of a value, by group and of all rows."""
+    of_groups = quantiles.quantiles(df, [group], value, picks)
+    of_all = quantiles.quantiles(df, [], value, picks).select(F.lit(total).alias(group), *picks)
+    found = of_groups.withColumn("__all", F.lit(0)).unionByName(of_all.withColumn("__all", F.lit(1)))
+    out = df.rollup(group).agg(*aggregates, F.grouping(group).cast("int").alias("__all"))
+    out = out.withColumn(group, F.when(F.col("__all") == 1, total).otherwise(F.col(group)))
+    return out.join(found, out[group].eqNullSafe(found[group]) & (out["__all"] == found["__all"]), "left").drop(found[group], out["__all"], found["__all"])
+
+
 def share_tables(df: DataFrame, first: str, second: str) -> DataFrame:
     """Rows and share of all rows by the first column, the second, and both."""
     one, two = F.col(first), F.col(second)
@@ -44,10 +56,10 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def described(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
     """Count, mean, median, 90th percentile and greatest of the non-null values."""
-    c = F.col(column)
+    c, keys = F.col(column), [group] if group else []
     rows = df.where(c.isNotNull())
-    rows = rows.groupBy(group) if group else rows.groupBy()
-    return rows.agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.percentile(c, 0.9).alias("p90"), F.max(c).alias("max"))
+    plain = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.max(c).alias("max"))
+    return quantiles.with_quantiles(plain, rows, keys, column, {"median": 0.5, "p90": 0.9}).select(*keys, "n", "mean", "median", "p90", "max")
 
 
 def nearest_rank(sorted_values: Column, percent: float, rule: str) -> Column:

@@ -100,6 +100,21 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = N
     return top(found, k, [F.desc(F.round("similarity", 9)), F.col("vec_id")])
 
 
+def pooled(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None) -> DataFrame:
+    """``keys``, ``n`` and the mean ``pooled`` of a group's vectors, place by place, weighted if asked for.
+
+    Sums of each place are combined before they are shuffled, so that a group sends a row a place and
+    task however many vectors it has.  Null and empty vectors, and weights that are null or 0, don't
+    count; vectors of another length make a group of their own.
+    """
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    rows = df.where(F.size(vector) > 0).select(*keys, F.size(vector).alias("dims"), w.alias("__w"), vector).where("__w <> 0")
+    each = rows.select(*keys, "dims", "__w", F.posexplode(vector).alias("__at", "__x"))
+    sums = each.groupBy(*keys, "dims", "__at").agg(F.count("*").alias("n"), (F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("__mean"))
+    parts = F.array_sort(F.collect_list(F.struct("__at", "__mean")))  # as many as a vector has places
+    return sums.groupBy(*keys, "dims").agg(F.max("n").alias("n"), F.transform(parts, lambda s: s["__mean"]).alias("pooled"))
+
+
 def found_by(mode: str, lexical: DataFrame, semantic: DataFrame, id_column: str, k: int) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` best by mode: semantic, bm25 or hybrid.
 

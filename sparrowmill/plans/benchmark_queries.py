@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import benchmarks, evaluation, relational, resampling
+from ..operators import benchmarks, evaluation, quantiles, relational, resampling
 from .registry import Tables, query, values
 
 
@@ -239,7 +239,9 @@ def run_summary(t: Tables) -> DataFrame:
     LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, round(avg(c_acctbal), 6) AS mean, median(c_acctbal) AS middle FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) ON k = n_nationkey""")
 def progress_report(t: Tables) -> DataFrame:
     """Processed, missing, mean and median of every expected id."""
-    done = t.customer.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("id")).agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean"), F.median("c_acctbal").alias("middle"))
+    rows = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("id"), "c_acctbal")
+    done = rows.groupBy("id").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean"))
+    done = quantiles.with_quantiles(done, rows, ["id"], "c_acctbal", {"middle": 0.5})
     return t.nation.select(F.col("n_nationkey").alias("id")).join(done, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("processed"), F.col("n").isNull().alias("missing"), "mean", "middle")
 
 
@@ -248,7 +250,7 @@ def progress_report(t: Tables) -> DataFrame:
 def predictor_comparison(t: Tables) -> DataFrame:
     """The median as a predictor against a group's mean, on the same rows."""
     y = t.customer.select("c_mktsegment", F.col("c_acctbal").alias("y"))
-    figures = y.groupBy("c_mktsegment").agg(F.avg("y").alias("group_mean")).join(y.agg(F.median("y").alias("median")), F.lit(True))
+    figures = y.groupBy("c_mktsegment").agg(F.avg("y").alias("group_mean")).join(quantiles.quantiles(y, [], "y", {"median": 0.5}), F.lit(True))
     each = y.join(figures, "c_mktsegment").unpivot(["y"], ["group_mean", "median"], "predictor", "p")
     return each.groupBy("predictor").agg(F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 6).alias("mae"), F.count("*").alias("n"))
 

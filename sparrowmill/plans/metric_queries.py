@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import evaluation, grouping, logs, relational, resampling
+from ..operators import evaluation, grouping, logs, quantiles, relational, resampling
 from ..scratch import new_dir
 from ..streaming import events as streams
 from .registry import Tables, query
@@ -179,7 +179,8 @@ def vote_upsert(t: Tables) -> DataFrame:
 
 @query("""SELECT event_type, count(*) AS calls, count(*) FILTER (event_id % 10 = 0) AS failed, median(value) AS median_value, list_sort(list(value))[1 + floor((count(*) - 1) * 0.9 + 0.5)::INT] AS p90 FROM events GROUP BY 1""")
 def cost_by_model(t: Tables) -> DataFrame:
-    out = t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.col("event_id") % 10 == 0).alias("failed"), F.median("value").alias("median_value"))
+    out = t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.col("event_id") % 10 == 0).alias("failed"))
+    out = quantiles.with_quantiles(out, t.events, ["event_type"], "value", {"median_value": 0.5})
     return out.join(grouping.ranked(t.events, "event_type", "value", {"p90": (0.9, "half_up")}), "event_type")
 
 

@@ -109,3 +109,12 @@ def rrf_hybrid(t: Tables) -> DataFrame:
     by_words = retrieval.top(hybrid.lexical(docs, named, members).where("doc_id <> query_id and score > 0"), 50, [F.desc(F.round("score", 9)), F.col("doc_id")])
     near = hybrid.semantic(docs, named, members, 50)
     return retrieval.fused(by_words, near, "doc_id").select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "lists")
+
+
+@query("""SELECT label, len(v) AS dims, n, list_transform(v, lambda x: round(x, 6)) AS pooled FROM (
+    SELECT label, max(n) AS n, list(m ORDER BY place) AS v FROM (
+        SELECT label, place, count(*) AS n, sum((vec_id % 3 + 1) * x) / sum(vec_id % 3 + 1) AS m FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY ALL) GROUP BY label)""")
+def pooled_vectors(t: Tables) -> DataFrame:
+    """The weighted mean vector of every label."""
+    found = retrieval.pooled(t.embeddings, ["label"], "embedding", F.col("vec_id") % 3 + 1)
+    return found.select("label", F.col("dims").cast("long").alias("dims"), "n", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
