@@ -56,6 +56,49 @@ def two_way(hits: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
     return onward.unionByName(back.select(F.col("change_id").alias("hit_id"), "other_id", F.lit("amends").alias("relation"))).distinct()
 
 
+def forced_versions(found: DataFrame, changes: DataFrame, originals: DataFrame, most_changes: int, most_originals: int) -> DataFrame:
+    """Fragments that a context must have beside those found: (query_id, relation, position, other_id, article).
+
+    ``found`` (query_id, rank, hit_id, is_change, article, title, mentions) are the ranked fragments of each
+    question: the article and title that a fragment itself is, and the articles that it mentions.
+    ``changes`` (change_id, article, own, score) say which fragments change an article, and whether one
+    is that article itself; ``originals`` (original_id, article, title, score) are all fragments before the change.
+
+    An article that is changed is marked where a rule mentions it or a change is it.  A marked
+    article whose change wasn't found asks for its changes, its own fragment first, then by score: the
+    best of every article come before the second of any, ``most_changes`` in all.  One whose change was found, and
+    whose original wasn't, asks for originals of its number or of the change's title, which are two equality
+    joins under one cap of ``most_originals`` with the first article first.  Fragments found, or forced
+    once, don't come again; of equal scores the smaller id is first.
+    """
+    amended = changes.where("article is not null").select("article").distinct()
+    named = found.where("is_change and article is not null").select("query_id", "rank", "article", "title", F.lit(True).alias("own"))
+    mentioned = found.where("not is_change").select("query_id", "rank", F.explode("mentions").alias("article"), F.lit(None).cast("string").alias("title"), F.lit(False).alias("own"))
+    held = found.where("not is_change and article is not null").select("query_id", "article", F.lit(True).alias("__original")).distinct()
+    marked = named.unionByName(mentioned).join(amended, "article", "left_semi").groupBy("query_id", "article").agg(
+        F.min(F.struct("rank", "article")).alias("first"), F.max("own").alias("changed"), F.min_by("title", F.when(F.col("own"), F.col("rank"))).alias("title"))
+    marked = marked.join(held, ["query_id", "article"], "left")
+    seen = found.select("query_id", F.col("hit_id").alias("other_id")).distinct()
+
+    def capped(offers: DataFrame, relation: str, most: int, in_turns: bool) -> DataFrame:
+        # a fragment that several articles offer counts for the first that would take it
+        fresh = offers.join(seen, ["query_id", "other_id"], "left_anti")
+        best = F.struct((~F.col("own")).alias("later"), (-F.col("score")).alias("worse"), "other_id")
+        turn = F.row_number().over(Window.partitionBy("query_id", "article").orderBy(best))
+        few = fresh.withColumn("turn", turn).where(F.col("turn") <= 2 * most)
+        order = F.struct("turn", "first") if in_turns else F.struct("first", "turn")
+        once = few.groupBy("query_id", "other_id").agg(F.min_by("article", order).alias("article"), F.min(order).alias("place"))
+        position = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "other_id"))
+        return once.withColumn("position", position).where(F.col("position") <= most).select("query_id", F.lit(relation).alias("relation"), "position", "other_id", "article")
+
+    onward = marked.where("not changed").join(changes, "article").select("query_id", "article", "first", F.col("change_id").alias("other_id"), "own", "score")
+    back = marked.where("changed and __original is null").select("query_id", "article", "first", "title")
+    by_number = back.drop("title").join(originals.select("article", "original_id", "score"), "article")
+    by_title = back.where("title is not null").join(originals.select("title", "original_id", "score"), "title").drop("title")
+    either = by_number.unionByName(by_title).select("query_id", "article", "first", F.col("original_id").alias("other_id"), F.lit(False).alias("own"), "score").distinct()
+    return capped(onward, "change", most_changes, True).unionByName(capped(either, "original", most_originals, False))
+
+
 def context_order(is_change: Column, forced: Column) -> list[Column]:
     """Sort keys of a context: changes first, then originals that were forced in, then the rest."""
     return [F.when(is_change, 0).when(forced, 1).otherwise(2)]

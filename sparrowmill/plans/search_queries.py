@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import anchors, hybrid, pruned, retrieval, text, vector_index
+from ..operators import anchors, hybrid, norms, pruned, retrieval, structure, text, vector_index
 from ..scratch import new_dir, written
 from .registry import Tables, query
 from .text_queries import TOKENS, questions
@@ -118,3 +118,44 @@ def pooled_vectors(t: Tables) -> DataFrame:
     """The weighted mean vector of every label."""
     found = retrieval.pooled(t.embeddings, ["label"], "embedding", F.col("vec_id") % 3 + 1)
     return found.select("label", F.col("dims").cast("long").alias("dims"), "n", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+
+
+KEYWORDS = {"title": "TITULO", "chapter": "CAPITULO", "section": "SUBCAPITULO", "article": "ARTICULO", "annex": "ANEXO"}
+#: What a reader of scans makes of them, and words that only look like them.
+MISREAD = ["TÍTULO I", "TlTUL0 4", "CAPÍTULO 12", "CAP1TUL0 O7", "Capitulo", "SUBCAPlTULO 3", "ARTÍCUL0 15", "ARTlCUIO 16", "ANEX0 l", "CAPTURA 9", "ART 5", "ANEXO"]
+_LEVELS = ", ".join(f"CASE WHEN levenshtein(word, '{k}') <= {len(k) // 4} THEN {{'distance': levenshtein(word, '{k}'), 'place': {i}, 'level': '{level}'}} END" for i, (level, k) in enumerate(KEYWORDS.items()))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS content FROM documents),
+    m AS (SELECT doc_id, line, CASE WHEN (doc_id + line) % 5 = 0 THEN [{', '.join(f"'{m}'" for m in MISREAD)}][1 + (doc_id + 7 * line) % {len(MISREAD)}] || '. ' || left(content, 20) ELSE content END AS content FROM l),
+    w AS (SELECT *, translate(upper(content), '{text.ACCENTED_UPPER}', '{text.PLAIN_UPPER}') AS plain FROM m),
+    b AS (SELECT *, regexp_extract(plain, '^[^A-Z0-9]{{0,3}}([A-Z0-9]+)', 1) AS word FROM w),
+    f AS (SELECT *, list_min([{_LEVELS}]) AS best FROM b WHERE word <> '')
+    SELECT doc_id, line::INT AS line, best.level AS level, best.distance::INT AS distance FROM f WHERE best IS NOT NULL""")
+def misread_headings(t: Tables) -> DataFrame:
+    """Headings among the lines of documents, every fifth of which a scan has misread."""
+    i = F.col("doc_id")
+    misread = lambda n: F.element_at(F.array(*[F.lit(m) for m in MISREAD]), ((i + 7 * n) % len(MISREAD) + 1).cast("int"))
+    lines = F.transform(F.split("text", "\n"), lambda c, n: F.when((i + n) % 5 == 0, F.concat(misread(n), F.lit(". "), F.left(c, F.lit(20)))).otherwise(c))
+    return structure.headings(t.documents.select("doc_id", F.array_join(lines, "\n").alias("text")), KEYWORDS).select("doc_id", "line", "level", "distance")
+
+
+@query("""WITH f AS (SELECT p_partkey % 37 AS query_id, p_partkey AS rank, p_partkey AS hit_id, p_partkey % 3 = 0 AS is_change, p_size AS article, p_brand AS title, [p_size % 7, p_size] AS mentions FROM part WHERE p_partkey % 11 = 0),
+    c AS (SELECT p_partkey AS change_id, p_size AS article, p_partkey % 4 = 0 AS own, p_retailprice AS score FROM part WHERE p_partkey % 5 = 0),
+    o AS (SELECT p_partkey AS original_id, p_size % 30 AS article, p_brand AS title, p_retailprice AS score FROM part WHERE p_partkey % 7 = 0),
+    n AS (SELECT query_id, rank, article, title, true AS own FROM f WHERE is_change UNION ALL SELECT query_id, rank, unnest(mentions), NULL, false FROM f WHERE NOT is_change),
+    m AS (SELECT query_id, article, min(rank) AS r, bool_or(own) AS changed, arg_min(title, rank) FILTER (own) AS title FROM n WHERE article IN (SELECT article FROM c) GROUP BY ALL),
+    h AS (SELECT DISTINCT query_id, article FROM f WHERE NOT is_change),
+    a AS (SELECT query_id, article, r, change_id AS other_id, own, score, 'change' AS relation FROM m JOIN c USING (article) WHERE NOT changed
+          UNION SELECT m.query_id, m.article, r, original_id, false, o.score, 'original' FROM m JOIN o ON o.article = m.article OR o.title = m.title ANTI JOIN h ON h.query_id = m.query_id AND h.article = m.article WHERE changed),
+    t AS (SELECT a.*, row_number() OVER (PARTITION BY relation, a.query_id, a.article ORDER BY own DESC, score DESC, other_id) AS turn FROM a ANTI JOIN f ON f.query_id = a.query_id AND f.hit_id = a.other_id),
+    p AS (SELECT *, CASE WHEN relation = 'change' THEN [turn, r, article] ELSE [r, article, turn] END AS place FROM t),
+    b AS (SELECT relation, query_id, other_id, arg_min(article, place) AS article, min(place) AS place FROM p GROUP BY ALL)
+    SELECT query_id, relation, row_number() OVER (PARTITION BY relation, query_id ORDER BY place, other_id) AS position, other_id, article FROM b QUALIFY position <= CASE WHEN relation = 'change' THEN 4 ELSE 3 END""")
+def forced_versions(t: Tables) -> DataFrame:
+    """Changes of the articles that were found, and originals of the changes that were, by number or title."""
+    i, size = F.col("p_partkey"), F.col("p_size")
+    found = t.part.where("p_partkey % 11 = 0").select((i % 37).alias("query_id"), i.alias("rank"), i.alias("hit_id"), (i % 3 == 0).alias("is_change"), size.alias("article"), F.col("p_brand").alias("title"), F.array(size % 7, size).alias("mentions"))
+    changes = t.part.where("p_partkey % 5 = 0").select(i.alias("change_id"), size.alias("article"), (i % 4 == 0).alias("own"), F.col("p_retailprice").alias("score"))
+    originals = t.part.where("p_partkey % 7 = 0").select(i.alias("original_id"), (size % 30).alias("article"), F.col("p_brand").alias("title"), F.col("p_retailprice").alias("score"))
+    return norms.forced_versions(found, changes, originals, 4, 3).withColumn("position", F.col("position").cast("long"))
