@@ -50,13 +50,15 @@ def detections(df: DataFrame, keys: list[str], trap: Column, flagged: Column, di
 
 
 def by_field(df: DataFrame, fields: dict[str, tuple[Column, Column, Column | None]]) -> DataFrame:
-    """A row for each field: cases, right ones, those without a value, accuracy, mean absolute error.
+    """A row for each field: cases, right ones, those without a value, accuracy, F1, mean absolute error.
+
+    F1 is that of the right values among those given (precision) and among all cases (recall).
 
     ``fields``: {name: (value, whether right, absolute error or None)}; one pass over the rows.
     """
     facts = F.array(*[F.struct(F.lit(n).alias("field"), v.isNull().alias("none"), F.coalesce(r, F.lit(False)).alias("right"), (e.cast("double") if e is not None else F.lit(None).cast("double")).alias("error")) for n, (v, r, e) in fields.items()])
     each = df.select(F.explode(facts).alias("f")).select("f.*")
-    return each.groupBy("field").agg(F.count("*").alias("n"), F.count_if("right").alias("right"), F.count_if("none").alias("without"), F.avg(F.col("right").cast("int")).alias("accuracy"), F.avg("error").alias("mae"))
+    return each.groupBy("field").agg(F.count("*").alias("n"), F.count_if("right").alias("right"), F.count_if("none").alias("without"), F.avg(F.col("right").cast("int")).alias("accuracy"), (2.0 * F.count_if("right") / (2 * F.count("*") - F.count_if("none"))).alias("f1"), F.avg("error").alias("mae"))
 
 
 def contrasts(df: DataFrame, id_column: str, rate: str, accuracy: str) -> DataFrame:

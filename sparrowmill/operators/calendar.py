@@ -7,7 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 def months(spark: SparkSession, first: str, last: str) -> DataFrame:
     """First days of the months from one to another, both included."""
-    return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month"))
+    return spark.range(1).select(F.explode(months_between(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("month"))
+
+
+def months_between(first: Column, last: Column) -> Column:
+    """Days a month apart, from one to another, both included."""
+    return F.sequence(first, last, F.expr("interval 1 month"))
 
 
 def any_date(c: Column, formats: list[str]) -> Column:

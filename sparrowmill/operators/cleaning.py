@@ -72,8 +72,18 @@ def page_text(df: DataFrame, ids: list[str], block: str, order: str, text: str)
 
 
 def audited(before: Column, after: Column, known: list[str]) -> Column:
-    """Lines that cleaning took away and that no known pattern accounts for."""
-    gone = F.filter(F.array_except(before, after), lambda x: F.trim(x) != "")
+    """Lines that cleaning took away and that no known pattern accounts for, in alphabetical order.
+
+    Cleaning only takes lines away, so both sides are walked in the same order: a line that was taken away
+    once and kept elsewhere is found, too.
+    """
+    start = F.struct(F.array_sort(after).alias("kept"), F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("gone"))
+
+    def walk(state: Column, line: Column) -> Column:
+        stays = F.coalesce(F.get(state["kept"], state["at"]) == line, F.lit(False))
+        return F.struct(state["kept"].alias("kept"), (state["at"] + stays.cast("int")).alias("at"), F.when(stays, state["gone"]).otherwise(F.concat(state["gone"], F.array(line))).alias("gone"))
+
+    gone = F.filter(F.aggregate(F.array_sort(before), start, walk, lambda s: s["gone"]), lambda x: F.trim(x) != "")
     return F.filter(gone, lambda x: ~x.rlike("|".join(f"(?:{p})" for p in known))) if known else gone
 
 

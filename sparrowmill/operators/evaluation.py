@@ -46,7 +46,7 @@ def plateau_centre(table: DataFrame) -> DataFrame:
 
 def cautious(table: DataFrame, margin: int) -> DataFrame:
     """The greatest threshold of the best F less a margin, or the next lower one that the table has."""
-    top = table.where(F.col("f") == table.agg(F.max("f")).first()[0]).agg(F.max("t").alias("top"))
+    top = table.agg(F.max_by("t", F.struct("f", "t")).alias("top"))
     return table.join(top, F.col("t") <= F.col("top") - margin).agg(F.max_by(F.struct("t", "f"), "t").alias("x")).select("x.t", "x.f")
 
 
@@ -82,13 +82,16 @@ def numbers_of_ranges(ranges: Column) -> Column:
     return F.flatten(F.transform(ends, lambda e: F.sequence(e[0].cast("int"), F.element_at(e, -1).cast("int"))))
 
 
-def regression_figures(df: DataFrame, real: str, predicted: str, within: list[float]) -> DataFrame:
-    """MAE, RMSE, R squared, bias, and shares within given errors, in one pass."""
+def regression_figures(df: DataFrame, real: str, predicted: str, within: list[float], edges: list[float] | None = None) -> DataFrame:
+    """MAE, RMSE, R squared, bias, shares within given errors, and where ``edges`` part bands, the share
+    ``same_band`` of rows whose real and predicted values lie in one, in one pass."""
     y, e = F.col(real), F.col(predicted) - F.col(real)
+    band = lambda c: sum(((c >= edge).cast("int") for edge in edges or []), F.lit(0))
+    same = [F.avg((band(y) == band(F.col(predicted))).cast("int")).alias("same_band")] if edges else []
     return df.agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"), F.avg(e).alias("bias"),
-        *[F.avg((F.abs(e) <= w).cast("int")).alias(f"within_{w:g}") for w in within])
+        *[F.avg((F.abs(e) <= w).cast("int")).alias(f"within_{w:g}") for w in within], *same)
 
 
 def macro_f1(df: DataFrame, real: str, predicted: str, supported_only: bool) -> DataFrame:

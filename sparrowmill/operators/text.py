@@ -168,8 +168,9 @@ def shifted_years(c: Column, by: int) -> Column:
 def without_block(c: Column, number: int, opens: str) -> Column:
     """A text without its ``number``-th block, from 0; ``opens`` matches the line that begins a block."""
     lines = F.split(c, "\n")
-    block = lambda i: F.size(F.filter(F.slice(lines, F.lit(1), i + 1), lambda x: x.rlike(opens))) - 1
-    return F.array_join(F.filter(lines, lambda x, i: block(i) != number), "\n")
+    begins = F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(opens), i)))
+    first, end = F.get(begins, number), F.coalesce(F.get(begins, number + 1), F.size(lines))
+    return F.array_join(F.filter(lines, lambda x, i: first.isNull() | (i < first) | (i >= end)), "\n")
 
 
 def word_changes(a: Column, b: Column) -> Column:

@@ -55,7 +55,7 @@ def trap_detection(t: Tables) -> DataFrame:
 FIELDS = """SELECT unnest(['segment', 'balance']) AS field, unnest([c_mktsegment, NULL]) AS s, unnest([NULL, nullif(c_acctbal, 0)]) AS b, unnest([c_mktsegment = 'BUILDING', abs(c_acctbal - 4500) <= 1000]) AS r, unnest([NULL, abs(c_acctbal - 4500)]) AS e FROM customer"""
 
 
-@query(f"SELECT field, count(*) AS n, count(*) FILTER (r) AS right, count(*) FILTER (s IS NULL AND b IS NULL) AS without, avg(coalesce(r, false)::INT) AS accuracy, round(avg(e), 6) AS mae FROM ({FIELDS}) GROUP BY field")
+@query(f"SELECT field, count(*) AS n, count(*) FILTER (r) AS right, count(*) FILTER (s IS NULL AND b IS NULL) AS without, avg(coalesce(r, false)::INT) AS accuracy, 2.0 * count(*) FILTER (r) / (2 * count(*) - count(*) FILTER (s IS NULL AND b IS NULL)) AS f1, round(avg(e), 6) AS mae FROM ({FIELDS}) GROUP BY field")
 def metrics_by_field(t: Tables) -> DataFrame:
     off = F.abs(F.col("c_acctbal") - 4500)
     fields = {"segment": (F.col("c_mktsegment"), F.col("c_mktsegment") == "BUILDING", None), "balance": (F.expr("nullif(c_acctbal, 0)"), off <= 1000, off)}
@@ -193,17 +193,11 @@ def error_cause(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", benchmarks.cause(rules).alias("cause"))
 
 
-@query(values([(1, 2), (2, 1), (3, 0)], "id, pairs"))
-def greedy_price_match(t: Tables) -> DataFrame:
-    rows = [(1, [10.0, 20.0], [20.3, 9.8, 50.0]), (2, [10.0, 10.1], [10.2]), (3, [], [1.0])]
-    df = t.spark.createDataFrame(rows, "id int, a array<double>, b array<double>")
-    return df.select("id", benchmarks.greedy_pairs(F.col("a"), F.col("b"), 0.5).alias("pairs"))
-
-
-@query("SELECT user_id, count(*) FILTER (event_type = 'click') > count(*) FILTER (event_type = 'view') AS clicks_win FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'click') > 0 AND count(*) FILTER (event_type = 'view') = 0")
+@query("SELECT user_id, ts::DATE AS day, count(*) FILTER (event_type = 'click') > count(*) FILTER (event_type = 'view') AS clicks_win FROM events GROUP BY ALL HAVING count(*) FILTER (event_type = 'click') > 0 AND count(*) FILTER (event_type = 'view') = 0")
 def wins_where_other_fails(t: Tables) -> DataFrame:
     clicks, views = F.count_if(F.col("event_type") == "click"), F.count_if(F.col("event_type") == "view")
-    return t.events.groupBy("user_id").agg(clicks.alias("c"), views.alias("v")).where("c > 0 and v = 0").select("user_id", (F.col("c") > F.col("v")).alias("clicks_win"))
+    days = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day"))
+    return days.agg(clicks.alias("c"), views.alias("v")).where("c > 0 and v = 0").select("user_id", "day", (F.col("c") > F.col("v")).alias("clicks_win"))
 
 
 @query("SELECT o_custkey, list_sort(list_distinct(list(o_orderstatus))) = ['F', 'O'] AS both_only FROM orders GROUP BY 1")

@@ -11,66 +11,6 @@ from ..scratch import new_dir
 from .registry import Tables, query, values
 
 
-def _literal(t: Tables, rows: list[tuple], schema: str) -> DataFrame:
-    return t.spark.createDataFrame(rows, schema)
-
-
-PAGES = [
-    (1, "DIARIO OFICIAL\nLima, lunes\n\nArtículo 1. Objeto\ncuerpo del texto\nfin\nCódigo: 123\nsobra"),
-    (2, "DIARIO OFICIAL\notra cosa\ncuerpo"),
-    (3, "sin nada\nFirmado por\nuno"),
-    (4, ""),
-]
-HEADER = ["^DIARIO", "^Lima, "]
-
-
-@query(values([(1, "~Artículo 1. Objeto~cuerpo del texto~fin~Código: 123~sobra"), (2, "DIARIO OFICIAL~otra cosa~cuerpo"), (3, "sin nada~Firmado por~uno"), (4, "")], "id, page"))
-def header_removal(t: Tables) -> DataFrame:
-    df = _literal(t, PAGES, "id int, page string")
-    return df.select("id", F.array_join(cleaning.without_header(cleaning.lines_of(F.col("page")), HEADER), "~").alias("page"))
-
-
-@query(values([(1, PAGES[0][1].replace("\n", "~")), (2, PAGES[1][1].replace("\n", "~")), (3, "sin nada"), (4, "")], "id, page"))
-def stamp_removal(t: Tables) -> DataFrame:
-    df = _literal(t, PAGES, "id int, page string")
-    return df.select("id", F.replace(cleaning.without_stamp(F.col("page"), "Firmado por"), F.lit("\n"), F.lit("~")).alias("page"))
-
-
-@query(values([(1, 7), (2, 3), (3, 3), (4, 1)], "id, n_lines"))
-def end_mark_cut(t: Tables) -> DataFrame:
-    df = _literal(t, PAGES, "id int, page string")
-    return df.select("id", F.size(cleaning.until_end_mark(cleaning.lines_of(F.col("page")), "^Código:")).alias("n_lines"))
-
-
-@query(values([(1, "sobra"), (2, ""), (3, ""), (4, "")], "id, unaccounted"))
-def cleaning_audit(t: Tables) -> DataFrame:
-    df = _literal(t, PAGES, "id int, page string").withColumn("lines", cleaning.lines_of(F.col("page")))
-    after = cleaning.until_end_mark(cleaning.without_header(F.col("lines"), HEADER), "^Código:")
-    return df.select("id", F.array_join(cleaning.audited(F.col("lines"), after, HEADER), "~").alias("unaccounted"))
-
-
-LINES = [(1, 100.0, [("cabeza", 2.0), ("uno", 20.0), ("dos", 55.0), ("tres", 90.0)]), (2, 50.0, [("x", None), ("y", 30.0)])]
-
-
-@query(values([(1, "uno,dos,tres", "uno,dos"), (2, "x,y", "y")], "page, below, crop"))
-def header_band_and_crop(t: Tables) -> DataFrame:
-    df = _literal(t, LINES, "page int, height double, lines array<struct<t:string,y:double>>")
-    join = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), ",")
-    return df.select("page", join(cleaning.below_band(F.col("lines"), 10.0)).alias("below"), join(cleaning.cropped(F.col("lines"), F.col("height"), 0.2, 0.6, 2)).alias("crop"))
-
-
-@query(values([(1, "La experiencia laboral continúa aquí.~Otra línea"), (2, "fin.~minúscula tras punto"), (3, "")], "id, line"))
-def broken_lines(t: Tables) -> DataFrame:
-    df = _literal(t, [(1, "La expe-\nriencia laboral\ncontinúa aquí.\nOtra línea"), (2, "fin.\nminúscula tras punto"), (3, "")], "id int, line string")
-    return df.select("id", F.replace(cleaning.mended(F.col("line")), F.lit("\n"), F.lit("~")).alias("line"))
-
-
-@query(values([(1, "2010–2015 y 2016–present"), (2, "1999–2003"), (3, "2010 2015")], "id, line"))
-def date_ranges(t: Tables) -> DataFrame:
-    df = _literal(t, [(1, "2010 - 2015 y 2016 to present"), (2, "1999—2003"), (3, "2010 2015")], "id int, line string")
-    return df.select("id", cleaning.year_ranges(F.col("line")).alias("line"))
-
-
 @query("""SELECT l_orderkey, string_agg(CASE WHEN b <> l_returnflag THEN chr(10) || l_linestatus ELSE l_linestatus END, chr(10) ORDER BY l_linenumber, k) AS text
     FROM (SELECT *, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, k) AS b FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, 0 AS k FROM lineitem GROUP BY ALL)) GROUP BY 1""")
 def block_lines(t: Tables) -> DataFrame:
@@ -83,43 +23,6 @@ def personal_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", cleaning.personal_lines(cleaning.lines_of(F.col("text")), [("mail", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.")]).alias("lines"))
 
 
-CV = [(1, "Worked 2010 - 2015 as devel-\noper, mail a.b@c.org\n10 years of solid experience"), (2, "nothing")]
-
-
-@query(values([(1, "Worked 2010–2015 as developer, mail [EMAIL]~[MASKED]", 1, 1, 1), (2, "nothing", 0, 0, 0)], "id, cleaned, n_joined, n_personal, n_leaks"))
-def cv_cleaning(t: Tables) -> DataFrame:
-    """Cleaning with its audit counters, in one plan."""
-    out = cleaning.cleaned(_literal(t, CV, "id int, said string"), "said", text.PERSONAL, text.LEAKS)
-    return out.select("id", F.replace("cleaned", F.lit("\n"), F.lit("~")).alias("cleaned"), "n_joined", "n_personal", "n_leaks")
-
-
-@query(values([(1, 0, "uno dos~tres"), (1, 1, "cuatro cinco seis siete"), (1, 2, "ocho"), (2, 0, "x")], "id, position, chunk"))
-def token_chunks(t: Tables) -> DataFrame:
-    df = _literal(t, [(1, "uno dos\ntres\ncuatro cinco seis siete\n\nocho"), (2, "x"), (3, "")], "id int, said string")
-    return cleaning.token_chunks(df, ["id"], "said", 3).select("id", "position", F.replace("chunk", F.lit("\n"), F.lit("~")).alias("chunk"))
-
-
-NORMS = [(1, "Según los artículos 5, 6 y 7 y el art. 12 de la Ley"), (2, "artículo 999 y artículo 3"), (3, "sin menciones"), (4, "arts. 8.2 y 9")]
-
-
-@query(values([(1, "5,6,7,12"), (2, "3"), (3, ""), (4, "8,9")], "id, articles"))
-def article_mentions(t: Tables) -> DataFrame:
-    df = _literal(t, NORMS, "id int, said string")
-    return df.select("id", F.array_join(norms.mentioned(F.col("said"), 200).cast("array<string>"), ",").alias("articles"))
-
-
-@query(values([(1, 12, "Objeto de la ley"), (2, 3, None), (3, None, None)], "id, article, title"))
-def heading_parser(t: Tables) -> DataFrame:
-    df = _literal(t, [(1, "Artículo 12.- Objeto de la ley"), (2, "ARTICULO 3"), (3, "En el artículo 3 se dice")], "id int, line string")
-    return df.select("id", norms.heading(F.col("line")).alias("h")).select("id", "h.article", "h.title")
-
-
-@query(values([(1, 0, "artículo 3"), (1, 1, "artículo 4"), (1, 2, "5 de la ley"), (2, 0, "uno")], "id, place, item"))
-def amendment_items(t: Tables) -> DataFrame:
-    df = _literal(t, [(1, "artículo 3; artículo 4 y 5 de la ley."), (2, "uno"), (3, " ; ")], "id int, said string")
-    return df.select("id", F.posexplode(norms.amendment_items(F.col("said"))).alias("place", "item"))
-
-
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber AS page, sum(l_quantity::BIGINT) AS size FROM lineitem GROUP BY ALL), e AS (SELECT *, sum(size) OVER (PARTITION BY l_orderkey ORDER BY page) - size AS begins FROM p)
     SELECT o_orderkey, o_custkey % 120 AS at, (SELECT max_by(page, begins) FROM e WHERE l_orderkey = o_orderkey AND begins <= o_custkey % 120) AS page FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def page_of_offset(t: Tables) -> DataFrame:
@@ -144,13 +47,6 @@ def context_order(t: Tables) -> DataFrame:
     return t.part.select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(*keys, "p_retailprice", "p_partkey")).alias("place"))
 
 
-@query(values([(1, "LEY 1", 3, True), (2, "ley uno", 4, True), (3, "otra", 3, False)], "id, name, page, cited"))
-def cite_marking(t: Tables) -> DataFrame:
-    hits = _literal(t, [(1, "LEY 1", 3), (2, "ley uno", 4), (3, "otra", 3)], "id int, name string, page int")
-    citations = _literal(t, [("Ley Uno", 3), ("ley 1", 4), ("ley 1", 4)], "name string, page int")
-    return norms.cited(hits, citations, ["page"], {"ley uno": "ley 1"}, "name").select("id", "name", "page", "cited")
-
-
 @query("SELECT DISTINCT p_size AS article, p_size IN (SELECT p_size FROM part WHERE p_partkey % 9 = 0) AS covered FROM part")
 def coverage_sets(t: Tables) -> DataFrame:
     return norms.covered(t.part.select(F.col("p_size").alias("article")).distinct(), t.part.where("p_partkey % 9 = 0").select(F.col("p_size").alias("article")))
@@ -163,50 +59,16 @@ def page_selection(t: Tables) -> DataFrame:
     return norms.selected_pages(pages, "p_brand", "page", "score", "needed", 12).select("p_brand", "page", "rank", "reason")
 
 
-PLACES = {"lima": "LIMA", "lima metropolitana": "LIMA METRO", "cusco": "CUSCO", "la libertad": "LA LIBERTAD"}
-CATEGORIES = [("obras", ["obra", "construc"]), ("servicios", ["servicio", "consultor"]), ("bienes", ["compra", "bienes"])]
-ASKED = [
-    (1, "¿Obras en Lima Metropolitana de más de un millón?", "LIMA METRO", "obras", 1000000.0, None), (2, "servicios hasta 50 mil en Cusco", "CUSCO", "servicios", None, 50000.0),
-    (3, "compras desde 2023", None, "bienes", None, None), (4, "consultoría entre otras, menos de S/ 1,500.50", None, "servicios", None, 1500.5), (5, "nada", None, None, None, None),
-]
-
-
-def _asked(t: Tables) -> DataFrame:
-    return questions.extracted_filters(_literal(t, [x[:2] for x in ASKED], "id int, question string"), "question", PLACES, CATEGORIES)
-
-
-@query(values([(x[0], *x[2:]) for x in ASKED], "id, place, category, at_least, at_most"))
-def question_filters(t: Tables) -> DataFrame:
-    return _asked(t).select("id", "place", "category", "at_least", "at_most")
-
-
-@query(values([(1, "CUSCO", 1000000.0), (2, "CUSCO", None), (3, "CUSCO", None), (4, "CUSCO", 10.0), (5, "CUSCO", None)], "id, place, at_least"))
-def stated_filters_win(t: Tables) -> DataFrame:
-    asked = _asked(t)
-    both = questions.merged({"place": F.lit("CUSCO"), "at_least": F.when(F.col("id") == 4, 10.0)}, {"place": F.col("place"), "at_least": F.col("at_least")})
-    return asked.select("id", *[c.alias(n) for n, c in both.items()])
-
-
-NAMES = [(1, "GOBIERNO REGIONAL DE CUSCO", None, None), (2, "OTRA ENTIDAD", "PROVINCIA DE LIMA", None), (3, "OTRA", "X", "LA LIBERTAD"), (4, "OTRA", None, None)]
-
-
-@query(values([(1, "CUSCO", "entity"), (2, "LIMA", "province"), (3, "LA LIBERTAD", "department"), (4, None, "unknown")], "id, place, place_by"))
-def territory_cascade(t: Tables) -> DataFrame:
-    df = _literal(t, NAMES, "id int, entity string, province string, department string")
-    places = _literal(t, [(v, v) for v in sorted(set(PLACES.values()))], "name string, value string")
-    steps = [("entity", questions.place_in_name(F.col("entity"), r"^GOBIERNO REGIONAL (?:DE )?(.+)$")), ("province", questions.without_prefix(F.col("province"), ["PROVINCIA", "PROVINCIA DE"])), ("department", text.name_form(F.col("department")))]
-    return questions.located(df, steps, places, "name", "value").select("id", "place", "place_by")
-
-
 @query("SELECT c_custkey, regexp_replace(c_name, '^(?:Customer#0|Customer#) *', '') AS stripped FROM customer")
 def prefix_strip(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.regexp_replace("c_name", r"^(?:Customer#0|Customer#) *", "").alias("stripped"))
 
 
-@query("SELECT doc_id, regexp_matches(text, 'Ã|Â|�') AS garbled FROM documents")
+@query("SELECT doc_id, regexp_matches(text, 'Ã|Â|�') OR regexp_matches(shown, 'Ã|Â|�') OR regexp_matches(coalesce(lang, ''), 'Ã|Â|�') OR regexp_matches(coalesce(source, ''), 'Ã|Â|�') AS garbled FROM (SELECT *, left(source, 3) || CASE WHEN doc_id % 9 = 0 THEN 'Ã©' ELSE 'é' END AS shown FROM documents)")
 def mojibake(t: Tables) -> DataFrame:
-    marks = [F.coalesce(F.col(c).rlike("Ã|Â|�"), F.lit(False)) for c in ("text", "source")]
-    return t.documents.select("doc_id", reduce(lambda a, b: a | b, marks).alias("garbled"))
+    marks = [F.coalesce(F.col(c).rlike("Ã|Â|�"), F.lit(False)) for c in ("text", "shown", "lang", "source")]
+    shown = F.concat(F.left("source", F.lit(3)), F.when(F.col("doc_id") % 9 == 0, "Ã©").otherwise("é"))
+    return t.documents.withColumn("shown", shown).select("doc_id", reduce(lambda a, b: a | b, marks).alias("garbled"))
 
 
 @query("SELECT o_orderkey AS \"key\", o_custkey AS buyer, o_totalprice AS amount FROM orders WHERE (o_orderstatus IN ('F', 'O')) AND o_totalprice BETWEEN 10000 AND 200000 AND (o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1996-12-31 23:59:59' OR o_orderdate IS NULL)")
@@ -234,24 +96,12 @@ def evaluation_set_errors(t: Tables) -> DataFrame:
     return repeated.unionByName(dangling).unionByName(malformed)
 
 
-@query(values([(1, "falló con clave [SECRET] en url"), (2, "normal"), (3, "x" * 300)], "id, message"))
-def secret_redaction(t: Tables) -> DataFrame:
-    df = _literal(t, [(1, "falló con clave sk-abcDEF1234567890 en url"), (2, "normal"), (3, "x" * 400)], "id int, message string")
-    return df.select("id", F.left(F.regexp_replace("message", r"\b(?:sk|key|tok)-[A-Za-z0-9]{12,}", "[SECRET]"), F.lit(300)).alias("message"))
-
-
 @query("SELECT event_id, user_id, u.n AS votes FROM events JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'purchase' GROUP BY 1) u USING (user_id) WHERE event_type = 'purchase'")
 def joined_feedback(t: Tables) -> DataFrame:
     votes = t.events.where("event_type <> 'purchase'").groupBy("user_id").agg(F.count("*").alias("votes"))
     return t.events.where("event_type = 'purchase'").select("event_id", "user_id").join(votes, "user_id")
 
 
-@query(values([("a", "identical"), ("b", "drifted"), ("c", "registered"), ("d", "missing"), ("e", "downloaded")], "id, state"))
-def manifest_state(t: Tables) -> DataFrame:
-    known = _literal(t, [("a", "1"), ("b", "2"), ("d", "4"), ("e", None)], "id string, digest string")
-    return indexing.manifest_state(known, _literal(t, [("a", "1"), ("b", "x"), ("c", "3"), ("e", "5")], "id string, digest string"), "id", "digest")
-
-
 @query("""SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS digest, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 1 ELSE 0 END AS built FROM documents WHERE doc_id % 4 <> 0""")
 def incremental_index(t: Tables) -> DataFrame:
     """Two builds: the second embeds only what is new or changed, and drops what is gone."""

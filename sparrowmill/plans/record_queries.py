@@ -22,122 +22,6 @@ def order_arithmetic(t: Tables) -> DataFrame:
     return rows.select("l_orderkey", checked.alias("c")).select("l_orderkey", F.round("c.expected", 2).alias("expected"), "c.difference", "c.status")
 
 
-SPOKEN = [
-    ("seis mil quinientos soles", "6500 soles"), ("treinta y un mil", "31000"), ("veintiún años y ocho meses", "21 años y 8 meses"), ("un año y medio", "1 año y medio"),
-    ("un millón doscientos mil", "1200000"), ("de 4,500 a 5,250.50", "de 4500 a 5250.50"), ("unas cuantas", "unas cuantas"), ("ciento una", "101"), ("dos, tres y diez", "2, 3 y 10"),
-]
-
-
-@query(values([(i, x[1]) for i, x in enumerate(SPOKEN)], "id, line"))
-def spoken_numbers(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(i, x[0]) for i, x in enumerate(SPOKEN)], "id int, line string")
-    return rows.select("id", records.spoken_numbers("line").alias("line"))
-
-
-INTERVIEWS = [
-    (1, "Llevo dos años y medio de experiencia en total. Mi último puesto fue contador en un banco. Manejo Excel y SQL. Antes ganaba mil ochocientos soles y mi pretensión es de tres mil soles. Mi inglés es avanzado."),
-    (2, "Tengo treinta años de edad y cinco años de experiencia. El puesto era cajera en una tienda. Inglés básico. Sé usar Python."),
-    (3, "No recuerdo nada de eso."),
-    (4, None),
-]
-#: What an interview's fields look like; the lists are these queries' own.
-INTERVIEW = [
-    cues.Field("years", r"\d+ anos?(?: y (?:medio|\d+ mes(?:es)?))?", lambda m: round(evidence.durations(m.group())[0][0], 2), {"experien": 2.0, "total": 1.0, "edad": -3.0}, 6, -2.0),
-    cues.Field("pay", r"\d{3,6} soles", lambda m: float(m.group().split()[0]), {"pretensi": 3.0, "espero": 2.0, "ganaba": -3.0, "antes": -1.0}, 6),
-    cues.Field("role", r"puesto (?:fue|era) (\w+)", lambda m: m[1]),
-    cues.Field("english", "basico|intermedio|avanzado", cues={"ingles": 1.0}, reach=4, least=0.1),
-]
-
-
-@query(values([(1, 2.5, 3000.0, "contador", "avanzado", "Excel,SQL"), (2, 5.0, None, "cajera", "basico", "Python"), (3, None, None, None, None, ""), (4, None, None, None, None, "")], "id, years, pay, role, english, tools"))
-def extract_interview(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(INTERVIEWS, "id int, said string")
-    found = records.fields(F.col("said"), INTERVIEW, {"years": "double", "pay": "double"})
-    return rows.select("id", found.alias("f"), F.array_join(records.listed(F.col("said"), ["Excel", "Python", "SQL"]), ",").alias("tools")).select("id", "f.*", "tools")
-
-
-CALLS = [
-    (1, "Quiero dos lomos saltados grandes a 35 soles y una limonada a 8 soles. Son 78 soles.", 78.0),
-    (2, "Una ensalada a 10 soles y tres vasos de limonada a 8 soles. Quítame la ensalada. Son 30 soles.", 30.0),
-    (3, "Una limonada a 8 soles, no, mejor dos limonadas a 9 soles. Son 18 soles.", 18.0),
-    (4, "Una limonada. Son 5 soles.", 5.0),
-    (5, "Dos ensaladas a 10 soles. Son 20 soles.", 25.0),
-]
-ORDER = cues.OrderWords(withdraw="quita(?:me)?|ya no quiero", price=r"a (\d+(?:\.\d+)?)", measure="vasos?", sizes=("grande", "chica"))
-MENU = ["lomo saltado", "limonada", "ensalada"]
-
-
-def _ordered(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(CALLS, "id int, said string, stated double")
-    return rows.withColumn("items", records.order_lines(F.col("said"), MENU, ORDER)).withColumn("total", records.order_totals(F.col("items"), F.col("stated")))
-
-
-@query(values([(1, "lomo saltado", "grande", 2, 35.0), (1, "limonada", None, 1, 8.0), (2, "limonada", None, 3, 8.0), (3, "limonada", None, 2, 9.0), (4, "limonada", None, 1, None), (5, "ensalada", None, 2, 10.0)], "id, item, size, amount, price"))
-def extract_order(t: Tables) -> DataFrame:
-    return _ordered(t).select("id", F.inline("items")).select("id", "item", "size", "amount", "price")
-
-
-@query(values([(1, "ok", 0.0, "ok"), (2, "discrepancy", 6.0, "speaker"), (3, "ok", 0.0, "ok"), (4, "incomplete", None, "undetermined"), (5, "discrepancy", 5.0, "recogniser")], "id, status, difference, who"))
-def transcript_to_verdict(t: Tables) -> DataFrame:
-    """Transcript to lines, total and diagnosis, all in one plan."""
-    who = records.diagnosed(F.col("total"), F.col("items"), F.col("stated"), records.numbers_said(F.col("said")))
-    return _ordered(t).select("id", "total.status", "total.difference", who.alias("who"))
-
-
-PROMOTIONS = [(1, [("limonada", None, 3, 8.0), ("ensalada", None, 1, 10.0)], 26.0), (2, [("limonada", None, 1, 8.0)], 8.0), (3, [("ensalada", None, 2, 10.0), ("lomo saltado", None, 1, 35.0)], 50.0)]
-
-
-@query(values([(1, 8.0, 0.0, "ok"), (2, 0.0, 0.0, "ok"), (3, 0.0, 5.0, "ok")], "id, paired, bundle, status"))
-def order_promotions(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(PROMOTIONS, f"id int, items {records.LINES}, stated double")
-    paired = records.paired_discount(F.col("items"), "limonada")
-    bundle = F.greatest(F.lit(0.0), F.when(F.col("id") == 3, records.bundle_discount(F.col("items"), "ensalada", F.lit(15.0))).otherwise(0.0))
-    return rows.select("id", paired.alias("paired"), bundle.alias("bundle"), records.order_totals(F.col("items"), F.col("stated"), discount=paired + bundle)["status"].alias("status"))
-
-
-EVIDENCE = [
-    (1, "contador", INTERVIEWS[0][1], "verified", "literal"), (2, "Mi ultimo puesto", INTERVIEWS[0][1], "verified", "normal"), (3, "abogado", INTERVIEWS[0][1], "unverified", None),
-    (4, None, INTERVIEWS[0][1], "empty", None), (5, "x", None, "unverified", None), (6, "3000 soles", INTERVIEWS[0][1], "verified", "normal"),
-]
-
-
-@query(values([(x[0], x[3], x[4]) for x in EVIDENCE], "id, status, mode"))
-def verify_literal(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([x[:3] for x in EVIDENCE], "id int, value string, said string")
-    return rows.select("id", records.verified(F.col("value"), F.col("said")).alias("v")).select("id", "v.status", "v.mode")
-
-
-@query(values([(1, 2, 1.0), (2, 0, 0.0)], "id, hits, share"))
-def greedy_item_match(t: Tables) -> DataFrame:
-    line = lambda item, amount: (item, None, amount, None)
-    rows = [(1, [line("lomo saltado", 2), line("limonada", 1)], [line("limonada", 1), line("lomo saltado grande", 2)]), (2, [line("ensalada", 1)], [line("ensalada", 2)])]
-    df = t.spark.createDataFrame(rows, f"id int, a {records.LINES}, b {records.LINES}")
-    hits = records.matched(F.col("a"), F.col("b"))
-    return df.select("id", hits.alias("hits"), (hits / F.size("a")).alias("share"))
-
-
-@query(values([(1, "0,2,3,4"), (2, "0,1,2"), (3, "")], "id, kept"))
-def monotone_anchors(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(1, [1, 9, 2, 2, 3]), (2, [5, 6, 7]), (3, [])], "id int, pages array<int>")
-    return df.select("id", F.array_join(records.anchors(F.col("pages")).cast("array<string>"), ",").alias("kept"))
-
-
-@query(values([(1, 0, "1,0"), (1, 1, "2"), (1, 2, "4,3")], "page, row, lines"))
-def page_reading_order(t: Tables) -> DataFrame:
-    lines = [(50.0, 1.0, 10.0), (0.0, 0.0, 10.0), (0.0, 30.0, 10.0), (90.0, 63.0, 10.0), (5.0, 60.0, 10.0)]
-    df = t.spark.createDataFrame([(1, lines)], "page int, lines array<struct<x:double,y:double,h:double>>")
-    rows = df.select("page", F.posexplode(records.page_rows(F.col("lines"))).alias("row", "held"))
-    return rows.select("page", "row", F.array_join(F.col("held").cast("array<string>"), ",").alias("lines"))
-
-
-@query(values([("city", 2, 3), ("pay", 2, 3)], "field, correct, n"))
-def field_accuracy(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([("Lima", "LIMA ", 3000.0, 3000.2), ("Cusco", "Puno", None, None), (None, None, 10.0, 12.0)], "city string, true_city string, pay double, true_pay double")
-    marks = df.select(records.field_correct(F.col("city"), F.col("true_city")).alias("city"), records.field_correct(F.col("pay"), F.col("true_pay"), 0.5).alias("pay"))
-    each = marks.unpivot([], ["city", "pay"], "field", "right")
-    return each.groupBy("field").agg(F.count_if("right").alias("correct"), F.count("*").alias("n"))
-
-
 @query()
 def semantic_chunk(t: Tables) -> DataFrame:
     return chunking.semantic(t.documents, "doc_id").select("doc_id", "position", "chunk_id", F.length("chunk").alias("n"))
@@ -163,11 +47,6 @@ def json_log(t: Tables) -> DataFrame:
     return files.json_lines(t.spark, path, t.events.select("event_id", "user_id").schema)
 
 
-@query("SELECT month::DATE AS month FROM generate_series(DATE '2024-01-01', DATE '2025-06-01', INTERVAL 1 MONTH) g(month)")
-def month_range(t: Tables) -> DataFrame:
-    return calendar.months(t.spark, "2024-01-01", "2025-06-01")
-
-
 @query("SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'failed' WHEN date_trunc('week', ts) + INTERVAL 2 DAY + INTERVAL 18 HOUR < TIMESTAMP '2024-01-15 00:00:00' THEN 'skipped' ELSE 'created' END AS state FROM events")
 def schedule_states(t: Tables) -> DataFrame:
     start = calendar.weekly_start(F.col("ts"), 2, 18, 0)

@@ -89,10 +89,14 @@ def anti_join_left(t: Tables) -> DataFrame:
     return relational.null_safe_anti_join(rows.select("o_orderkey", "o_orderpriority"), done, ["o_orderkey"], ["o_orderpriority"])
 
 
-@query("""SELECT l_orderkey, count(*) AS orphan_lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1""")
+@query("""WITH o AS (SELECT o_orderkey AS k, nullif(o_orderpriority, '5-LOW') AS p FROM orders WHERE o_orderstatus = 'O'), l AS (SELECT l_orderkey AS k, nullif((l_orderkey % 5 + 1) || '-' || ['URGENT', 'HIGH', 'MEDIUM', 'NOT SPECIFIED', 'LOW'][1 + l_orderkey % 5], '5-LOW') AS p FROM lineitem)
+    SELECT k AS l_orderkey, count(*) AS orphan_lines FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = l.k AND o.p IS NOT DISTINCT FROM l.p) GROUP BY 1""")
 def anti_join_right(t: Tables) -> DataFrame:
-    open_ = t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.select("l_orderkey").join(open_, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("orphan_lines"))
+    """Lines without an open order of their key and of the priority that they tell, which may be unknown on both sides."""
+    open_ = t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), F.expr("nullif(o_orderpriority, '5-LOW')").alias("priority"))
+    told = F.expr("nullif(concat(l_orderkey % 5 + 1, '-', element_at(array('URGENT', 'HIGH', 'MEDIUM', 'NOT SPECIFIED', 'LOW'), cast(l_orderkey % 5 + 1 as int))), '5-LOW')")
+    rows = t.lineitem.select("l_orderkey", told.alias("priority"))
+    return relational.null_safe_anti_join(rows, open_, ["l_orderkey"], ["priority"]).groupBy("l_orderkey").agg(F.count("*").alias("orphan_lines"))
 
 
 @query("""SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ' | ' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey""")
@@ -236,13 +240,16 @@ def row_validation(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", quality.errors(checks).alias("errors"))
 
 
-@query("""SELECT s_suppkey, r_name AS region, CASE WHEN s_suppkey % 3 = 0 THEN 'nation' ELSE 'region' END AS method FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
+@query("""WITH d AS (SELECT n_nationkey AS k, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 3 <> 0)
+    SELECT l_orderkey, l_linenumber, l_suppkey, coalesce(a.r_name, b.r_name) AS region, CASE WHEN a.k IS NOT NULL THEN 'customer' WHEN b.k IS NOT NULL THEN 'supplier' END AS method
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN d a ON a.k = c_nationkey LEFT JOIN d b ON b.k = s_nationkey""")
 def lookup_cascade(t: Tables) -> DataFrame:
     """Dimension lookup by several fields in order of priority, with the method that hit."""
-    nation = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    rows = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.lit(None)).otherwise(F.col("s_nationkey")).alias("first"), F.col("s_nationkey").alias("second"))
-    names = [("first", "region"), ("second", "nation")]
-    return quality.looked_up(rows, nation, "n_nationkey", "r_name", names, "region", "method").select("s_suppkey", "region", "method")
+    nation = t.nation.where("n_nationkey % 3 <> 0").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    buyers = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_nationkey").alias("buyer"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").join(buyers, "l_orderkey").join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    names = [("buyer", "customer"), ("s_nationkey", "supplier")]
+    return quality.looked_up(rows, nation, "n_nationkey", "r_name", names, "region", "method").select("l_orderkey", "l_linenumber", "l_suppkey", "region", "method")
 
 
 @query("""SELECT o_orderkey, l_linenumber, cn.n_name AS customer_nation, sn.n_name AS supplier_nation FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation cn ON cn.n_nationkey = c_nationkey

@@ -59,15 +59,15 @@ def failures_at_1(t: Tables) -> DataFrame:
     return evaluation.failures(text_queries.first_hits(t), 1).select("query_id")
 
 
-@query(f"WITH {metric_queries.SWEEP}, r AS (SELECT t, round(f, 12) AS f, abstained, undue FROM f), m AS (SELECT max(t) AS top FROM r WHERE f = (SELECT max(f) FROM r)) SELECT t, round(f, 9) AS f FROM r WHERE t = (SELECT max(t) FROM r WHERE t <= (SELECT top - 5 FROM m))")
+@query(f"WITH {metric_queries.sweep(metric_queries.APART)}, r AS (SELECT t, round(f, 12) AS f, abstained, undue FROM f), m AS (SELECT max(t) AS top FROM r WHERE f = (SELECT max(f) FROM r)) SELECT t, round(f, 9) AS f FROM r WHERE t = (SELECT max(t) FROM r WHERE t <= (SELECT top - 5 FROM m))")
 def cautious_threshold(t: Tables) -> DataFrame:
-    table = evaluation.threshold_table(metric_queries.points(t), 700, 950).withColumn("f", F.round("f", 12))
+    table = evaluation.threshold_table(metric_queries.points_apart(t), 700, 950).withColumn("f", F.round("f", 12))
     return evaluation.cautious(table, 5).where("t is not null").withColumn("f", F.round("f", 9))
 
 
-@query(f"WITH {metric_queries.SWEEP} SELECT t, abstained FROM f WHERE undue = (SELECT min(undue) FROM f) AND undue = 0 ORDER BY abstained, t DESC LIMIT 1")
+@query(f"WITH {metric_queries.sweep(metric_queries.APART)} SELECT t, abstained FROM f WHERE undue = (SELECT min(undue) FROM f) AND undue = 0 ORDER BY abstained, t DESC LIMIT 1")
 def threshold_without_undue(t: Tables) -> DataFrame:
-    return evaluation.without_undue(evaluation.threshold_table(metric_queries.points(t), 700, 950)).where("t is not null")
+    return evaluation.without_undue(evaluation.threshold_table(metric_queries.points_apart(t), 700, 950)).where("t is not null")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS k, min(n) AS a, max(n) AS b FROM (SELECT l_orderkey, n, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS i FROM (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem)) GROUP BY l_orderkey, i)
@@ -163,34 +163,6 @@ def sensitivity_matrix(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, runs).groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(off)), 9).alias("mae"), F.round(F.avg(off), 9).alias("bias"))
 
 
-@query(values([(1, "2012-2015 y 20201", "2010-2013 y 20201"), (2, "sin fecha", "sin fecha"), (3, "2001", "1999")], "id, forward, back"))
-def shifted_years(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(1, "2011-2014 y 20201"), (2, "sin fecha"), (3, "2000")], "id int, line string")
-    return df.select("id", text.shifted_years(F.col("line"), 1).alias("forward"), text.shifted_years(F.col("line"), -1).alias("back"))
-
-
-@query(values([(0, "cabeza~JOB b~dos"), (1, "cabeza~JOB a~uno"), (2, "cabeza~JOB a~uno~JOB b~dos")], "dropped, line"))
-def dropped_block(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([("cabeza\nJOB a\nuno\nJOB b\ndos",)], "line string")
-    runs = [df.select(F.lit(k).alias("dropped"), F.replace(text.without_block(F.col("line"), k, "^JOB"), F.lit("\n"), F.lit("~")).alias("line")) for k in range(3)]
-    return reduce(DataFrame.unionByName, runs)
-
-
-@query(values([(1, "replace", "dos", "doce"), (1, "insert", "", "cuatro"), (2, "delete", "a", "")], "id, op, old, new"))
-def word_diff(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(1, "uno dos tres", "uno doce tres cuatro"), (2, "a b", "b"), (3, "x", "x"), (4, None, None)], "id int, a string, b string")
-    return df.select("id", F.inline(text.word_changes(F.col("a"), F.col("b"))))
-
-
-CV = "Ana Pérez Soto\nDesarrolladora con años de oficio\nana@mail.com\nEXPERIENCIA\nTrabajo Grande Uno\nver www.x.com"
-
-
-@query(values([(1, "Desarrolladora con años de oficio~EXPERIENCIA~Trabajo Grande Uno~ver [URL]"), (2, "Ana Pérez Soto~sin secciones")], "id, line"))
-def contact_removal(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(1, CV), (2, "Ana Pérez Soto\nsin secciones")], "id int, line string")
-    return df.select("id", F.replace(cleaning.without_contacts(F.col("line"), "^EXPERIENCIA$", text.PERSONAL), F.lit("\n"), F.lit("~")).alias("line"))
-
-
 @query("""WITH d AS (SELECT l_linestatus AS model, l_returnflag AS arm, l_suppkey AS clip, sum(l_linenumber)::DOUBLE / sum(l_quantity) AS wer FROM lineitem GROUP BY ALL),
     p AS (SELECT model, clip, max(wer) FILTER (arm = 'A') AS a, max(wer) FILTER (arm = 'R') AS b FROM d GROUP BY ALL), e AS (SELECT model, count(*) AS pairs, count(*) FILTER (b < a) AS improved, round(avg(b - a), 9) AS mean FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1)
     SELECT model, errors / total AS rate, pairs, improved, mean FROM (SELECT l_linestatus AS model, sum(l_linenumber)::DOUBLE AS errors, sum(l_quantity) AS total FROM lineitem GROUP BY 1) JOIN e USING (model)""")
