@@ -33,27 +33,27 @@ def lines(page: Column) -> Column:
     return cleaning.lines_of(page)
 
 
-C, I = F.col, F.col("doc_id")
+C = F.col
 
 
 @query(f"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 1 THEN 'DIARIO OFICIAL' || {NL} || text ELSE text END) AS digest FROM documents")
 def header_removal(t: Tables) -> DataFrame:
     """Documents under a running header, under half of one, and without."""
-    page = chosen(I, joined("DIARIO OFICIAL\nLima, lunes\n", C("text")), joined("DIARIO OFICIAL\n", C("text")), C("text"))
+    page = chosen(C("doc_id"), joined("DIARIO OFICIAL\nLima, lunes\n", C("text")), joined("DIARIO OFICIAL\n", C("text")), C("text"))
     return t.documents.select("doc_id", F.md5(F.array_join(cleaning.without_header(lines(page), HEADER), "\n")).alias("digest"))
 
 
 @query(f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN rtrim(text, {NL}) ELSE text END) AS digest FROM documents")
 def stamp_removal(t: Tables) -> DataFrame:
     """Every other document has a stamp of three lines at its end."""
-    page = chosen(I, joined(C("text"), "\nFirmado por\n", I, "\nuno"), C("text"))
+    page = chosen(C("doc_id"), joined(C("text"), "\nFirmado por\n", C("doc_id"), "\nuno"), C("text"))
     return t.documents.select("doc_id", F.md5(cleaning.without_stamp(page, "Firmado por")).alias("digest"))
 
 
 @query(f"SELECT doc_id, (len(string_split(text, {NL})) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::INT AS n_lines FROM documents")
 def end_mark_cut(t: Tables) -> DataFrame:
     """Every other document ends at a mark, after which it stands once more."""
-    page = chosen(I, joined(C("text"), "\nCódigo: ", I, "\n", C("text")), C("text"))
+    page = chosen(C("doc_id"), joined(C("text"), "\nCódigo: ", C("doc_id"), "\n", C("text")), C("text"))
     return t.documents.select("doc_id", F.size(cleaning.until_end_mark(lines(page), "^Código:")).alias("n_lines"))
 
 
@@ -61,12 +61,12 @@ def end_mark_cut(t: Tables) -> DataFrame:
 def cleaning_audit(t: Tables) -> DataFrame:
     """What cleaning took from every document beyond what its patterns know: a line of its own, and one that it also kept."""
     first = F.element_at(lines(C("text")), 1)
-    page = joined("DIARIO OFICIAL\nLima, lunes\n", C("text"), "\nCódigo: 1\n", first, "\nsobra ", I)
+    page = joined("DIARIO OFICIAL\nLima, lunes\n", C("text"), "\nCódigo: 1\n", first, "\nsobra ", C("doc_id"))
     rows = t.documents.select("doc_id", lines(page).alias("before"))
     after = cleaning.until_end_mark(cleaning.without_header(C("before"), HEADER), "^Código:")
     gone = cleaning.audited(C("before"), after, HEADER)
-    mine = F.filter(gone, lambda x: x == joined("sobra ", I))
-    return rows.select("doc_id", F.array_join(F.concat(mine, F.filter(gone, lambda x: x != joined("sobra ", I))), "~").alias("unaccounted"))
+    mine = F.filter(gone, lambda x: x == joined("sobra ", C("doc_id")))
+    return rows.select("doc_id", F.array_join(F.concat(mine, F.filter(gone, lambda x: x != joined("sobra ", C("doc_id")))), "~").alias("unaccounted"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, list(l_linenumber::VARCHAR ORDER BY l_linenumber, l_quantity) FILTER (l_quantity >= 10) AS below,
@@ -183,15 +183,15 @@ def territory_cascade(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, left('falló con [SECRET] en ' || text, 300) AS message FROM documents")
 def secret_redaction(t: Tables) -> DataFrame:
-    message = joined("falló con sk-abcDEF123456", I, " en ", C("text"))
+    message = joined("falló con sk-abcDEF123456", C("doc_id"), " en ", C("text"))
     return t.documents.select("doc_id", F.left(F.regexp_replace(message, r"\b(?:sk|key|tok)-[A-Za-z0-9]{12,}", "[SECRET]"), F.lit(300)).alias("message"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'registered' WHEN doc_id % 4 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'downloaded' WHEN doc_id % 7 = 0 THEN 'drifted' ELSE 'identical' END AS state FROM documents WHERE doc_id % 20 <> 0""")
 def manifest_state(t: Tables) -> DataFrame:
     """Documents against a manifest that lacks some, knows some without a digest, and some that are gone or changed."""
-    known = t.documents.where("doc_id % 5 <> 0").select("doc_id", F.when(I % 11 != 0, F.md5("text")).alias("digest"))
-    changed = F.when(I % 7 == 0, joined(C("text"), "!")).otherwise(C("text"))
+    known = t.documents.where("doc_id % 5 <> 0").select("doc_id", F.when(C("doc_id") % 11 != 0, F.md5("text")).alias("digest"))
+    changed = F.when(C("doc_id") % 7 == 0, joined(C("text"), "!")).otherwise(C("text"))
     return indexing.manifest_state(known, t.documents.where("doc_id % 4 <> 0").select("doc_id", F.md5(changed).alias("digest")), "doc_id", "digest")
 
 
@@ -256,7 +256,7 @@ def transcript_to_verdict(t: Tables) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'verified' WHEN doc_id % 3 = 1 THEN 'unverified' ELSE 'empty' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'literal' END AS mode FROM documents WHERE length(text) >= 40""")
 def verify_literal(t: Tables) -> DataFrame:
     """A document's own words, words that no document has, and nothing."""
-    value = F.when(I % 3 == 0, F.substring("text", 11, 20)).when(I % 3 == 1, F.lit("zqxj zqxk 00x00"))
+    value = F.when(C("doc_id") % 3 == 0, F.substring("text", 11, 20)).when(C("doc_id") % 3 == 1, F.lit("zqxj zqxk 00x00"))
     rows = t.documents.where(F.length("text") >= 40).select("doc_id", records.verified(value, C("text")).alias("v"))
     return rows.select("doc_id", "v.status", "v.mode")
 

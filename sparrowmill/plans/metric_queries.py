@@ -273,3 +273,12 @@ def streamed_limiter(t: Tables) -> DataFrame:
     """The same limiter as a stream that keeps a ring of departures for each kind."""
     stream = streams.read(t.spark, f"{t.path}/events.parquet*", t.events)
     return streams.append(streams.limited(stream, "event_type", "event_id", 3, 3600), new_dir(t.spark, "limited")).select("event_type", "event_id", "waited")
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, count(*) > 0 AS kept FROM events GROUP BY 1")
+def streamed_upsert(t: Tables) -> DataFrame:
+    """The last event of every user, merged by a stream into buckets."""
+    path = new_dir(t.spark, "upserted")
+    rows = lambda df: df.select("user_id", "event_id", "event_type", F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("at"))
+    streams.upsert(rows(streams.read(t.spark, f"{t.path}/events.parquet*", t.events)), path, "user_id", "at")
+    return streams.current(t.spark, path, rows(t.events)).select("user_id", "event_id", F.lit(True).alias("kept"))

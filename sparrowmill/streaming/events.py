@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..scratch import new_dir
+from ..scratch import delete_path, exists, new_dir
 
 
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -81,17 +81,49 @@ def run_once(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
-def upsert(stream: DataFrame, path: str, key: str, order: str) -> None:
-    """Micro-batches merged by key into versions of a Parquet table, the latest row of a key last.
+def upsert(stream: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> None:
+    """Micro-batches merged by key into a bucketed table below ``path``, the row of the greatest ``order`` of each key.
 
-    A version is written beside the one before and named by its batch, so a batch that runs again
-    writes the same version again.
+    Keys are dealt over buckets by hash; a batch reads and writes again only the buckets that it
+    touches, as folders ``rows/batch=N/bucket=B``, and lists in ``manifest/N`` which batch each bucket is
+    of: a row a bucket, which is all that the driver sees.  A batch that runs again starts from the manifest
+    before its own and writes the same folders again.  Folders that neither the newest manifest nor the
+    one before names are deleted.  :func:`current` reads the table.
     """
     spark = stream.sparkSession
+    names = stream.columns
 
     def merge(batch: DataFrame, number: int) -> None:
-        if number:
-            batch = batch.unionByName(spark.read.parquet(f"{path}/v{number - 1}"))
-        batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/v{number}")
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = sorted(r.bucket for r in dealt.select("bucket").distinct().collect())  # ``buckets`` at most
+        before = _manifest(spark, path, number - 1)
+        held = [f"{path}/rows/batch={before[b]}/bucket={b}" for b in touched if b in before]
+        rows = dealt.select(*names, "bucket")
+        if held:
+            old = spark.read.schema(stream.schema).parquet(*held)
+            rows = rows.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        last = rows.groupBy("bucket", key).agg(F.max_by(F.struct(*names), F.struct(order, F.xxhash64(*names))).alias("r"))
+        last.select("bucket", "r.*").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
+        after = before | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(after.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{number}")
+        for b, n in _manifest(spark, path, number - 2).items():
+            if before.get(b) != n:
+                delete_path(spark, f"{path}/rows/batch={n}/bucket={b}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Which batch each bucket is of, after a batch; nothing before the first."""
+    if number < 0 or not exists(spark, f"{path}/manifest/{number}/_SUCCESS"):
+        return {}
+    return {r.bucket: r.batch for r in spark.read.parquet(f"{path}/manifest/{number}").collect()}
+
+
+def current(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table of :func:`upsert` as its newest manifest has it, with the columns of ``like``."""
+    number = -1
+    while exists(spark, f"{path}/manifest/{number + 1}/_SUCCESS"):
+        number += 1
+    folders = [f"{path}/rows/batch={n}/bucket={b}" for b, n in sorted(_manifest(spark, path, number).items())]
+    return spark.read.schema(like.schema).parquet(*folders) if folders else spark.createDataFrame([], like.schema)

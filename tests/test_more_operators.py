@@ -106,7 +106,38 @@ def test_a_stream_is_upserted_once(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
         events.upsert(stream, str(tmp_path / "out"), "k", "at")
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()) == [(1, 20, "b"), (2, 5, "c")]
+    assert sorted(tuple(r) for r in events.current(spark, str(tmp_path / "out"), rows).collect()) == [(1, 20, "b"), (2, 5, "c")]
+
+
+def test_a_batch_writes_touched_buckets_only(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k int, at int, v string"
+    one = spark.createDataFrame([(i, 1, f"a{i}") for i in range(40)], schema)
+    one.coalesce(1).write.parquet(source)
+    run = lambda: events.upsert(spark.readStream.schema(one.schema).parquet(source), out, "k", "at", buckets=8)
+    held = lambda: {r.k: (r.at, r.v) for r in events.current(spark, out, one).collect()}
+    files = lambda: {str(p.relative_to(out)): p.stat().st_mtime_ns for p in (tmp_path / "out" / "rows").rglob("part-*.parquet")}
+    run()
+    before, want = files(), {i: (1, f"a{i}") for i in range(40)}
+    assert held() == want
+    spark.createDataFrame([(3, 2, "new"), (5, 0, "late"), (99, 1, "more")], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    want |= {3: (2, "new"), 99: (1, "more")}
+    after = files()
+    assert held() == want and all(after[f] == t for f, t in before.items())  # what isn't touched stays as it is
+    touched = {f.split("/")[2] for f in after if f.startswith("rows/batch=1/")}
+    assert 1 <= len(touched) <= 3
+    # the driver was lost after writing the table, before it told the stream: the batch runs again
+    (tmp_path / "out" / "checkpoint" / "commits" / "1").unlink()
+    for crc in (tmp_path / "out" / "checkpoint" / "commits").glob(".1.crc"):
+        crc.unlink()
+    run()
+    assert held() == want
+    spark.createDataFrame([(3, 3, "newest")], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert held() == want | {3: (3, "newest")}
+    old = {f.split("/")[2] for f in files() if f.startswith("rows/batch=0/")}
+    assert not old & touched  # two manifests back, and no longer named
 
 
 def test_ridge_learns_what_words_say(spark):
