@@ -39,3 +39,26 @@ def fitted(train: DataFrame, validation: DataFrame, text: str, real: str, streng
 def predicted(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
     """``df`` with the model's ``prediction``."""
     return model.transform(grams(df, text)).drop("grams", "__n", "__i", "features")
+
+
+def perturbation_study(df: DataFrame, y: str, removed: str, models: dict[str, tuple[str, str, str]], most: float | None = None) -> DataFrame:
+    """How each model's predictions answer to changes of the text that should, or should not, matter; one pass.
+
+    ``models``: {name: columns of its predictions for the text, for the text with its dates moved, and for the
+    text without a part}.  ``removed`` is how much of ``y`` the part stood for; rows where it is null are
+    left out of the figures about it, and what remains of ``y`` is held within 0 and ``most``.  ``slope``
+    and ``corr`` are of the change in prediction on the expected change, 0 for a model that doesn't change at all.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), *[F.col(c).cast("double").alias(n) for n, c in zip(("plain", "moved", "cut"), columns)]) for name, columns in models.items()]))
+    rows = df.select(F.col(y).cast("double").alias("y"), F.col(removed).cast("double").alias("removed"), each.alias("m")).select("y", "removed", "m.*")
+    left = F.greatest(F.col("y") - F.col("removed"), F.lit(0.0))
+    left = left if most is None else F.least(left, F.lit(float(most)))
+    change, expected = F.when(F.col("removed").isNotNull(), F.col("cut") - F.col("plain")), -F.col("removed")
+    fixed = F.coalesce(F.stddev_pop(change), F.lit(0.0)) <= 1e-9
+    together = F.covar_pop(change, expected)
+    slope = together / F.nullif(F.var_pop(expected), F.lit(0.0))
+    corr = together / F.nullif(F.stddev_pop(change) * F.stddev_pop(expected), F.lit(0.0))
+    return rows.groupBy("model").agg(
+        F.count("*").alias("n"), F.avg(F.abs(F.col("plain") - F.col("y"))).alias("mae"), F.avg(F.abs(F.col("moved") - F.col("plain"))).alias("moved_change"), F.avg(F.abs(F.col("moved") - F.col("y"))).alias("moved_mae"),
+        F.avg(F.abs(F.col("cut") - left)).alias("cut_mae"), F.avg(change).alias("cut_change"), F.avg(expected).alias("expected_change"),
+        F.when(fixed, 0.0).otherwise(slope).alias("slope"), F.when(fixed, 0.0).otherwise(corr).alias("corr"))

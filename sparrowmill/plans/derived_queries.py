@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cues, evidence
-from ..operators import benchmarks, calendar, cleaning, indexing, norms, questions, records, text
+from ..operators import benchmarks, calendar, cleaning, indexing, norms, predictors, questions, records, text
 from .registry import Tables, query
 
 NL = "chr(10)"
@@ -353,3 +353,29 @@ def page_reading_order(t: Tables) -> DataFrame:
     pages = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
     rows = pages.select("l_orderkey", records.page_rows(C("lines")).alias("rows"))
     return rows.select("l_orderkey", F.size("rows").alias("rows"), F.size(F.flatten("rows")).alias("held"))
+
+
+STUDIED = ["mae", "moved_change", "moved_mae", "cut_mae", "cut_change", "expected_change", "slope", "corr"]
+
+
+@query(f"""WITH j AS (SELECT l_orderkey AS k, l_linenumber AS n, min(year(l_shipdate)) AS b, 1 + l_linenumber % 4 AS d FROM lineitem GROUP BY ALL),
+    o AS (SELECT k, list(b ORDER BY n) AS b, list(d ORDER BY n) AS d, list(b + d ORDER BY n) AS e, sum(d) + k % 3 AS y FROM j GROUP BY k HAVING count(*) >= 2),
+    m AS (SELECT 'date_rule' AS model, y, d[1] AS removed, list_sum(d) AS p0, list_sum(d) AS p1, list_sum(d) - d[1] AS p2 FROM o
+        UNION ALL SELECT 'span', y, d[1], list_max(e) - list_min(b), list_max(e) - list_min(b), list_max(e[2:]) - list_min(b[2:]) FROM o
+        UNION ALL SELECT 'latest_year', y, d[1], list_max(e) - 1990, list_max(e) + 5 - 1990, list_max(e[2:]) - 1990 FROM o
+        UNION ALL SELECT 'fixed', y, d[1], 7, 7, 7 FROM o)
+    SELECT model, count(*) AS n, {", ".join(f"round({x}, 9) AS {c}" for c, x in zip(STUDIED, ["avg(abs(p0 - y))", "avg(abs(p1 - p0))", "avg(abs(p1 - y))", "avg(abs(p2 - greatest(y - removed, 0)))", "avg(p2 - p0)", "avg(-removed)", "CASE WHEN stddev_pop(p2 - p0) <= 1e-9 THEN 0 ELSE regr_slope(p2 - p0, -removed) END", "CASE WHEN stddev_pop(p2 - p0) <= 1e-9 THEN 0 ELSE corr(p2 - p0, -removed) END"]))} FROM m GROUP BY 1""")
+def perturbation_study(t: Tables) -> DataFrame:
+    """Orders told as résumés, their lines as jobs: what moved dates and a dropped job do to four predictors."""
+    jobs = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.year("l_shipdate")).alias("b")).withColumn("d", 1 + C("l_linenumber") % 4)
+    told = joined("JOB ", C("l_linenumber"), "\n", C("b"), "-", C("b") + C("d"))
+    people = jobs.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", told.alias("t"), "d"))).alias("jobs"), F.sum("d").alias("years")).where("size(jobs) >= 2")
+    line = F.concat(F.lit("cabeza\n"), F.array_join(F.transform("jobs", lambda j: j["t"]), "\n"))
+    rows = people.select((C("years") + C("l_orderkey") % 3).alias("y"), F.get("jobs", 0)["d"].alias("removed"), line.alias("plain"), text.shifted_years(line, 5).alias("moved"), text.without_block(line, 0, "^JOB").alias("cut"))
+    years = lambda c: F.transform(text.year_tokens(C(c)), lambda y: y.cast("int"))
+    signed = lambda c: F.aggregate(F.transform(years(c), lambda y, i: F.when(i % 2 == 1, y).otherwise(-y)), F.lit(0), lambda a, x: a + x)
+    rules = {"date_rule": signed, "span": lambda c: F.array_max(years(c)) - F.array_min(years(c)), "latest_year": lambda c: F.array_max(years(c)) - 1990, "fixed": lambda c: F.lit(7)}
+    texts = ("plain", "moved", "cut")
+    predicted = rows.select("y", "removed", *[rule(c).alias(f"{name}_{c}") for name, rule in rules.items() for c in texts])
+    study = predictors.perturbation_study(predicted, "y", "removed", {name: tuple(f"{name}_{c}" for c in texts) for name in rules})
+    return study.select("model", "n", *[F.round(c, 9).alias(c) for c in STUDIED])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import anchors, hybrid, norms, pruned, retrieval, structure, text, vector_index
+from ..operators import anchors, chunking, hybrid, norms, pruned, retrieval, structure, text, vector_index
 from ..scratch import new_dir, written
 from .registry import Tables, query
 from .text_queries import TOKENS, questions
@@ -159,3 +159,33 @@ def forced_versions(t: Tables) -> DataFrame:
     changes = t.part.where("p_partkey % 5 = 0").select(i.alias("change_id"), size.alias("article"), (i % 4 == 0).alias("own"), F.col("p_retailprice").alias("score"))
     originals = t.part.where("p_partkey % 7 = 0").select(i.alias("original_id"), (size % 30).alias("article"), F.col("p_brand").alias("title"), F.col("p_retailprice").alias("score"))
     return norms.forced_versions(found, changes, originals, 4, 3).withColumn("position", F.col("position").cast("long"))
+
+
+#: Pieces of documents, and whether the five best pieces for a document's own words are of that document.
+CHUNKED = f"""WITH c AS (SELECT size, doc_id * 100000 + i AS chunk_id, doc_id, substr(text, i * (size - 100) + 1, size) AS text FROM (SELECT doc_id, text, size, unnest(range(greatest(1, ceil((length(text) - 100) / (size - 100.0))::BIGINT))) AS i FROM documents CROSS JOIN (VALUES (500), (1000)) v(size) WHERE length(text) > 0)),
+    x AS (SELECT size, chunk_id, doc_id, {TOKENS} AS w FROM c), n AS (SELECT size, count(*) AS n, greatest(avg(len(w)), 1) AS mean FROM x GROUP BY 1),
+    asked AS (SELECT DISTINCT doc_id AS query_id, unnest(w[5:9]) AS term FROM (SELECT doc_id, {TOKENS} AS w FROM documents) WHERE doc_id % 10 = 7 AND len(w) >= 9),
+    p AS (SELECT size, term, chunk_id, doc_id, len, count(*) AS tf FROM (SELECT size, chunk_id, doc_id, len(w) AS len, unnest(w) AS term FROM x) SEMI JOIN asked USING (term) GROUP BY ALL),
+    f AS (SELECT size, term, count(*) AS df FROM p GROUP BY ALL),
+    bm AS (SELECT size, query_id, chunk_id, doc_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM p JOIN f USING (size, term) JOIN n USING (size) JOIN asked USING (term) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY size, query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 5),
+    h AS (SELECT size, query_id, min(rank) AS rank FROM r WHERE doc_id = query_id GROUP BY ALL)
+    SELECT 'c' || size AS retriever, count(*) AS n, (SELECT count(*) FROM x WHERE x.size = s.size) AS chunks, round(avg((coalesce(rank, 99) <= 1)::INT), 9) AS recall_1, round(avg((coalesce(rank, 99) <= 5)::INT), 9) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr
+    FROM (SELECT DISTINCT size FROM x) s CROSS JOIN (SELECT DISTINCT query_id FROM asked) LEFT JOIN h USING (size, query_id) GROUP BY s.size"""
+
+
+@query(CHUNKED)
+def chunk_retrieval(t: Tables) -> DataFrame:
+    """What configurations of chunks retrieve: recall and MRR of documents' own words over their pieces."""
+    docs = t.documents.where(F.length("text") > 0).select("doc_id", "text")
+    own = docs.select("doc_id", text.tokens(F.col("text")).alias("w")).where("doc_id % 10 = 7 and size(w) >= 9")
+    asked = written(own.select(F.col("doc_id").alias("query_id"), F.slice("w", 5, 5).alias("words")), "asked")
+    probes = asked.select("query_id", F.col("query_id").alias("doc_id"), F.lit("all").alias("slice"))
+    found, counts = {}, None
+    for size in (500, 1000):
+        pieces = chunking.fixed(docs, size, 100).select((F.col("doc_id") * 100_000 + F.col("position")).alias("doc_id"), text.tokens(F.col("chunk")).alias("words"))
+        part = pieces.agg(F.lit(f"c{size}").alias("retriever"), F.count("*").alias("chunks"))
+        counts = part if counts is None else counts.unionByName(part)
+        found[f"c{size}"] = pruned.best(pieces, asked, 5).withColumn("doc_id", F.floor(F.col("doc_id") / 100_000))
+    table = pruned.compared(found, probes, [1, 5]).join(counts, "retriever")
+    return table.select("retriever", "n", "chunks", *[F.round(c, 9).alias(c) for c in ("recall_1", "recall_5", "mrr")])
