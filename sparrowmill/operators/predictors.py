@@ -51,8 +51,8 @@ def perturbation_study(df: DataFrame, y: str, removed: str, models: dict[str, tu
     """
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), *[F.col(c).cast("double").alias(n) for n, c in zip(("plain", "moved", "cut"), columns)]) for name, columns in models.items()]))
     rows = df.select(F.col(y).cast("double").alias("y"), F.col(removed).cast("double").alias("removed"), each.alias("m")).select("y", "removed", "m.*")
-    left = F.greatest(F.col("y") - F.col("removed"), F.lit(0.0))
-    left = left if most is None else F.least(left, F.lit(float(most)))
+    left = F.when(F.col("removed").isNotNull(), F.greatest(F.col("y") - F.col("removed"), F.lit(0.0)))
+    left = left if most is None else F.when(left.isNotNull(), F.least(left, F.lit(float(most))))
     change, expected = F.when(F.col("removed").isNotNull(), F.col("cut") - F.col("plain")), -F.col("removed")
     fixed = F.coalesce(F.stddev_pop(change), F.lit(0.0)) <= 1e-9
     together = F.covar_pop(change, expected)

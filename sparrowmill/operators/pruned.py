@@ -20,9 +20,8 @@ EQUAL = 1e-9
 
 def weights(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, weight) of the terms asked for, by BM25 over ``docs`` (doc_id, words)."""
-    sized = docs.select("doc_id", F.size("words").alias("len"), "words")
+    sized, posted = retrieval.postings(docs, terms)
     whole = sized.agg(F.count("*").alias("N"), F.greatest(F.avg("len"), F.lit(1.0)).alias("mean"))
-    posted = sized.select("doc_id", "len", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     held = posted.groupBy("term").agg(F.count("*").alias("df"))
     rows = posted.join(held, "term").join(whole, F.lit(True))  # one row of corpus figures
     return rows.select("term", "doc_id", retrieval.bm25_weight("N", "df", "tf", "len", "mean").alias("weight"))

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -27,18 +29,22 @@ def flagged(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def report(df: DataFrame, rules: list[Rule], key: str, examples: int) -> DataFrame:
     """A row for each rule, marked, total, share, and the least keys as examples.
 
-    Rows are flagged once.  Marked keys are ranked in 64 parts of each rule, and only the first few
-    of each part go on, so no task gets all keys of a rule.
+    Rows are flagged once, into a table of keys and the numbers of their rules; only marked ones become
+    rows of their own.  They are ranked in 64 parts of each rule, of which the first few go on, so no task
+    gets all keys of a rule.  A table without rows has no report.
     """
-    facts = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.unit).alias("unit"), F.col(r.flag).alias("marked")) for r in rules])
-    rows = df.select(F.col(key).alias("__key"), F.explode(facts).alias("f")).select("__key", "f.*")
-    counts = rows.groupBy("rule", "unit").agg(F.count_if("marked").alias("marked"), F.count("*").alias("total"))
-    inside = Window.partitionBy("rule", F.pmod(F.xxhash64("__key"), F.lit(64))).orderBy("__key")
-    few = rows.where("marked").withColumn("__n", F.row_number().over(inside)).where(F.col("__n") <= examples)
-    least = few.groupBy("rule").agg(F.slice(F.array_sort(F.collect_list("__key")), 1, examples).alias("least"))
-    out = counts.join(least, "rule", "left")
-    shown = F.array_join("least", ", ")
-    return out.select("rule", "unit", "marked", "total", (F.col("marked") / F.col("total")).alias("share"), shown.alias("examples"))
+    numbers = F.array_compact(F.array(*[F.when(F.col(r.flag), i) for i, r in enumerate(rules)]))
+    marks = written(df.select(F.col(key).alias("__key"), numbers.alias("__rules")), "marks")
+    total = marks.agg(F.count("*").alias("total")).where("total > 0")
+    each = marks.select("__key", F.explode("__rules").alias("__rule"))
+    counts = each.groupBy("__rule").agg(F.count("*").alias("marked"))
+    inside = Window.partitionBy("__rule", F.pmod(F.xxhash64("__key"), F.lit(64))).orderBy("__key")
+    few = each.withColumn("__n", F.row_number().over(inside)).where(F.col("__n") <= examples)
+    least = few.groupBy("__rule").agg(F.slice(F.array_sort(F.collect_list("__key")), 1, examples).alias("least"))
+    names = df.sparkSession.createDataFrame([(i, r.name, r.unit) for i, r in enumerate(rules)], "__rule int, rule string, unit string")
+    out = names.join(total, F.lit(True)).join(counts, "__rule", "left").join(least, "__rule", "left")
+    marked = F.coalesce("marked", F.lit(0).cast("long"))
+    return out.select("rule", "unit", marked.alias("marked"), "total", (marked / F.col("total")).alias("share"), F.array_join("least", ", ").alias("examples"))
 
 
 def errors(checks: list[tuple[str, Column]]) -> Column:

@@ -19,20 +19,33 @@ def bm25_weight(n: str, df: str, tf: str, size: str, mean: str) -> Column:
     return idf * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(size) / F.col(mean)))
 
 
+#: Terms that are looked for inside documents' words; more of them meet the words as rows.
+TERMS_INSIDE = 10_000
+
+
+def postings(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", words: str = "words") -> tuple[DataFrame, DataFrame]:
+    """(documents with their ``len``, postings (term, doc_id, len, tf) of the distinct terms asked for).
+
+    Words are made once.  Where the terms are few, by their count, a document's words are cut to them
+    in the same pass, so that others are never written, exploded or shuffled.
+    """
+    few = [r.term for r in terms.where("term is not null").limit(TERMS_INSIDE + 1).collect()]
+    inside = len(few) <= TERMS_INSIDE
+    kept = F.filter(words, lambda w: w.isin(few)) if inside else F.col(words)
+    table = written(docs.select(doc_id, F.size(words).alias("len"), kept.alias("__words")), "words")
+    each = table.select(doc_id, "len", F.explode("__words").alias("term"))
+    each = each if inside else each.join(terms, "term", "left_semi")
+    return table.select(doc_id, "len"), each.groupBy("term", doc_id, "len").agg(F.count("*").alias("tf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", words: str = "words") -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with a query.
 
     ``docs`` has an array of words, ``queries`` (query_id, words); a query's terms are a set.
-    Words are made once, into a table; only postings of query terms are ever shuffled: documents
-    are exploded and at once joined with the terms asked for.
     """
-    docs = written(docs.select(doc_id, words), "words")
-    sizes = docs.select(doc_id, F.size(words).alias("len"))
-    whole = sizes.agg(F.count("*").alias("N"), F.greatest(F.avg("len"), F.lit(1.0)).alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
-    terms = asked.select("term").distinct()
-    # a query set is small beside the corpus; the planner broadcasts it by its size
-    posted = docs.select(doc_id, F.size(words).alias("len"), F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term", doc_id, "len").agg(F.count("*").alias("tf"))
+    sizes, posted = postings(docs, asked.select("term").distinct(), doc_id, words)
+    whole = sizes.agg(F.count("*").alias("N"), F.greatest(F.avg("len"), F.lit(1.0)).alias("mean"))
     held = posted.groupBy("term").agg(F.count("*").alias("df"))
     rows = posted.join(held, "term").crossJoin(whole)  # one row of corpus figures
     scored = rows.select("term", doc_id, bm25_weight("N", "df", "tf", "len", "mean").alias("weight")).join(asked, "term")
