@@ -45,3 +45,19 @@ def best(pattern: str, text: str) -> tuple[int, int, int]:
         return distance, 0, 0
     back = _distances(pattern[::-1], text[max(0, end - len(pattern) - distance) : end][::-1], anywhere=False)
     return distance, end - next(i for i, d in enumerate(back, 1) if d == distance), end
+
+
+def common(pattern: str, text: str) -> int:
+    """How many characters of the pattern a text has in the same order, whatever stands between them.
+
+    The longest common subsequence, its rows as bit vectors whose zeros are the steps.
+    """
+    full = (1 << len(pattern)) - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        places[c] = places.get(c, 0) | 1 << i
+    flat = full
+    for c in text:
+        same = flat & places.get(c, 0)
+        flat = ((flat + same) | (flat - same)) & full
+    return len(pattern) - flat.bit_count()

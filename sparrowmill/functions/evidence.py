@@ -41,8 +41,8 @@ def nearest(phrase: str, text: str, most: float = 0.3) -> str | None:
 
 
 def coverage(anchor: str, candidate: str) -> float:
-    """Share of an anchor's characters that no edit touches where it fits a candidate best."""
-    return max(0.0, 1 - alignment.best(anchor, candidate)[0] / len(anchor)) if anchor else 0.0
+    """Share of an anchor's characters that a candidate has in the same order."""
+    return alignment.common(anchor, candidate) / len(anchor) if anchor else 0.0
 
 
 def verified(value: object, transcript: str) -> dict[str, str | None]:

@@ -53,6 +53,19 @@ def test_best_like_the_full_table():
         assert alignment.best(pattern, text) == plain(pattern, text), (pattern, text)
 
 
+def test_common_like_the_full_table():
+    rnd = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abcd") for _ in range(rnd.randrange(40))) for _ in "12")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+            row = new
+        assert alignment.common(a, b) == row[-1]
+
+
 def test_pieces_stay_whole():
     """Whatever edits are made, enough pieces keep their bytes on near diagonals."""
     for size in range(1, 400):
