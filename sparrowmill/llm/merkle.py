@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import shuffle_partitions
-from ._arrow import fields
+from ._arrow import fields, pieces
 from ._hashing import WHITE, gear
 from .blocks import block_of, bounds
 
@@ -159,7 +159,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held = None  # (block, doc, text, fingerprint) of the row before
-        for batch in batches:
+        for batch in pieces(batches, 64):  # long texts become Python's a few at a time
             rows = []
             for block, guest, doc, text in zip(*[batch.column(c).to_pylist() for c in ("block", "guest", "doc_id", "text")], strict=True):
                 text = text or ""

@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, sequence: int = S
     """Encode ``docs``, write the files, and return their manifest in block order.
 
     A null text counts as empty and gives ``end_id`` alone; rows of equal id stand in the order
-    of their ids' bytes; null ids come first.  A block's ids run on through files of a bounded size.  A task that is lost is run again and writes new
+    of their compressed ids, which is the same on each run; null ids come first.  A block's ids run on through files of a bounded size.  A task that is lost is run again and writes new
     files, and only files that the manifest names count.
     """
     spark = docs.sparkSession
