@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import ranks
+
 #: "artículo 5", "artículos 5, 6 y 7", "art. 5"; group 1 holds the list of numbers.
 MENTION = r"(?i)\bart(?:[ií]culos?|s?\.)\s+(\d+(?:\.\d+)*(?:(?:\s*,\s*|\s+y\s+|\s*,?\s+e\s+)\d+(?:\.\d+)*)*)"
 HEADING = r"(?i)^\s*art[ií]culo\s+(\d+)\s*[.\-°º]*\s*(\S.*)?$"
@@ -122,9 +124,9 @@ def selected_pages(pages: DataFrame, document: str, page: str, score: str, manda
 
     ``chosen`` and ``reason`` (mandatory, score, rejected), and ``rank`` among the optional ones.
     """
-    w = Window.partitionBy(document, mandatory).orderBy(F.desc(score), page)
     needed = pages.groupBy(document).agg(F.count_if(mandatory).alias("__needed"))
-    rows = pages.join(needed, document).withColumn("rank", F.when(~F.col(mandatory), F.row_number().over(w)))
+    placed = ranks.ranked(pages, [document, mandatory], -F.col(score), [F.col(page)], "__place")
+    rows = placed.join(needed, document).withColumn("rank", F.when(~F.col(mandatory), F.col("__place"))).drop("__place")
     free = F.greatest(F.lit(0), F.lit(budget) - F.col("__needed"))
     reason = F.when(F.col(mandatory), "mandatory").when(F.col("rank") <= free, "score").otherwise("rejected")
     return rows.withColumn("reason", reason).withColumn("chosen", F.col("reason") != "rejected").drop("__needed")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import cues, evidence
 from ..operators import calendar, chunking, records
 from ..scratch import new_dir
 from ..sources import files
 from ..streaming import events as streams
-from .registry import Tables, query, values
+from .registry import Tables, query
 
 
 @query("""SELECT l_orderkey, round(sum(l_extendedprice * l_quantity::INT), 2) AS expected, round(any_value(s) - sum(l_extendedprice * l_quantity::INT), 2) AS difference,
@@ -33,8 +32,7 @@ def month_folders(t: Tables) -> DataFrame:
     root = new_dir(t.spark, "months")
     rows = t.orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderkey").alias("rec/orderkey"), F.col("o_totalprice").alias("rec/total"))
     rows.write.partitionBy("month").option("header", True).csv(f"{root}/raw")
-    df = t.spark.read.option("header", True).option("nullValue", "").csv(f"{root}/raw/*/*.csv")
-    named = df.select(*[F.col(f"`{c}`").alias(c.removeprefix("rec/")) for c in df.columns], F.regexp_extract("_metadata.file_path", r"month=(\d{4}-\d{2})", 1).alias("source_month"))
+    named = files.month_tables(t.spark, f"{root}/raw", "*", "rec/")
     return files.numbers(named, ["total"]).groupBy("source_month").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("amount"))
 
 

@@ -30,18 +30,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-def values(rows: list[tuple], names: str) -> str:
-    """SQL that gives literal rows: the results that literal transcripts must have."""
-
-    def literal(x: object) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x).upper()
-        if isinstance(x, float):
-            return f"{x!r}::DOUBLE"
-        return str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({names})"

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import benchmarks, chunking, cleaning, evaluation, grouping, quality, relational, resampling, text
+from ..operators import benchmarks, chunking, evaluation, grouping, quality, relational, resampling, text
 from . import document_queries, metric_queries, text_queries
-from .registry import ORACLE_SQL, Tables, query, values
+from .registry import ORACLE_SQL, Tables, query
 
 #: Seventeen lines of nine rules, over one row per order.
 RULES = [

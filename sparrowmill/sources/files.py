@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 def month_tables(spark: SparkSession, root: str, table: str, prefix: str = "") -> DataFrame:
     """One logical CSV table from ``root/<yyyy-mm>/<table>.csv``: all columns strings, empty is null.
 
+    Folders may be named like partitions, ``month=<yyyy-mm>``; ``*`` is a table of any file names.
     ``source_month`` tells the folder; a column prefix goes and slashes become underscores.  Every
     month has the columns of all, absent ones null.
     """
     df = spark.read.option("header", True).option("nullValue", "").csv(f"{root}/*/{table}.csv")
     named = df.select(*[F.col(f"`{c}`").alias(c.removeprefix(prefix).replace("/", "_")) for c in df.columns], F.col("_metadata.file_path").alias("__path"))
-    return named.withColumn("source_month", F.regexp_extract("__path", r"/(\d{4}-\d{2})/[^/]*$", 1)).drop("__path")
+    return named.withColumn("source_month", F.regexp_extract("__path", r"[/=](\d{4}-\d{2})/[^/]*$", 1)).drop("__path")
 
 
 def strict_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
