@@ -65,6 +65,12 @@ def paced(df: DataFrame, key: str, ts: str, order: str, quota: int, seconds: int
     return both.select(*df.columns, F.timestamp_micros("__leaves").alias("departs"), (F.col("__leaves") - F.col("__at")).alias("waited"))
 
 
+def error_kind(message: Column, other: str = "other") -> Column:
+    """The kind that a logged error begins with, as in ``quota_spent: try tomorrow``; null without an error."""
+    kind = F.regexp_extract(F.trim(message), r"^([a-z][a-z_]*)\s*:", 1)
+    return F.when(F.trim(message) != "", F.when(kind != "", kind).otherwise(other))
+
+
 def last_vote(votes: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One vote per key, the last; votes other than 1 and -1 don't count."""
     w = Window.partitionBy(*keys).orderBy(*order)

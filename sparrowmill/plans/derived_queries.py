@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cues, evidence
-from ..operators import benchmarks, calendar, cleaning, indexing, norms, predictors, questions, records, text
+from ..operators import benchmarks, calendar, cleaning, indexing, logs, norms, predictors, questions, records, text
 from .registry import Tables, query
 
 NL = "chr(10)"
@@ -379,3 +379,18 @@ def perturbation_study(t: Tables) -> DataFrame:
     predicted = rows.select("y", "removed", *[rule(c).alias(f"{name}_{c}") for name, rule in rules.items() for c in texts])
     study = predictors.perturbation_study(predicted, "y", "removed", {name: tuple(f"{name}_{c}" for c in texts) for name in rules})
     return study.select("model", "n", *[F.round(c, 9).alias(c) for c in STUDIED])
+
+
+@query("""SELECT event_type, CASE event_id % 7 WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'quota_spent' WHEN 3 THEN 'network' WHEN 4 THEN 'other' ELSE NULL END AS kind, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
+def error_kinds(t: Tables) -> DataFrame:
+    """Logged errors by model and kind; calls without one have none."""
+    k = C("event_id") % 7
+    message = F.when(k == 1, joined("rate_limit: wait ", C("user_id"), " s")).when(k == 2, joined(" quota_spent : day ", C("event_id"))).when(k == 3, "network:").when(k == 4, joined("Timeout at: ", C("user_id"))).when(k == 5, " ")
+    return t.events.groupBy("event_type", logs.error_kind(message).alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\blicense\b') THEN 'legal' WHEN list_contains(string_split(lower(text), ' '), 'the') THEN 'english' WHEN n_chars BETWEEN 200 AND 500 THEN 'short' WHEN coalesce(n_chars < 200, false) THEN 'tiny' ELSE 'other' END AS cause FROM documents""")
+def cause_rules(t: Tables) -> DataFrame:
+    """The first of four kinds of rules that holds for a document: a pattern, a token, an interval, a bound."""
+    rules = [("legal", C("text").rlike(r"(?i)\blicense\b")), ("english", F.array_contains(F.split(F.lower("text"), " "), "the")), ("short", C("n_chars").between(200, 500)), ("tiny", C("n_chars") < 200)]
+    return t.documents.select("doc_id", benchmarks.cause(rules).alias("cause"))
