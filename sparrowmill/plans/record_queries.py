@@ -54,6 +54,8 @@ def schedule_states(t: Tables) -> DataFrame:
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM events GROUP BY ALL")
 def streamed_daily_use(t: Tables) -> DataFrame:
     """Daily use as a stream over the event files, everything there is in one run."""
-    like = t.events
-    stream = streams.daily_use(streams.read(t.spark, f"{t.path}/events.parquet*", like))
-    return streams.run_once(stream).select("user_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "used")
+    use = streams.daily_use(streams.read(t.spark, f"{t.path}/events.parquet*", t.events))
+    rows = use.select(F.struct(F.col("window.start").alias("day"), "user_id").alias("of"), "used")
+    path = new_dir(t.spark, "daily-use")
+    streams.upsert(rows, path, "of", "used", mode="update")
+    return streams.current(t.spark, path, rows).select("of.user_id", F.date_format("of.day", "yyyy-MM-dd").alias("day"), "used")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..scratch import delete_path, exists, new_dir
+from ..scratch import delete_path, exists
 
 
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -63,32 +63,15 @@ def append(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_once(stream: DataFrame) -> DataFrame:
-    """Everything that is there now through a stream, into a table in the shared folder.
-
-    Each micro-batch of a complete result replaces the one before under its own number, so a batch
-    that runs again writes the same table again, and the driver holds no rows.
-    """
-    spark = stream.sparkSession
-    path, last = new_dir(spark, "stream"), []
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{number}")
-        last[:] = [number]
-
-    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
-
-
-def upsert(stream: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> None:
+def upsert(stream: DataFrame, path: str, key: str, order: str, buckets: int = 64, mode: str = "append") -> None:
     """Micro-batches merged by key into a bucketed table below ``path``, the row of the greatest ``order`` of each key.
 
     Keys are dealt over buckets by hash; a batch reads and writes again only the buckets that it
     touches, as folders ``rows/batch=N/bucket=B``, and lists in ``manifest/N`` which batch each bucket is
     of: a row a bucket, which is all that the driver sees.  A batch that runs again starts from the manifest
     before its own and writes the same folders again.  Folders that neither the newest manifest nor the
-    one before names are deleted.  :func:`current` reads the table.
+    one before names are deleted.  :func:`current` reads the table.  In mode ``update`` the stream's aggregates
+    come as often as they change, and their state goes once the watermark has passed them.
     """
     spark = stream.sparkSession
     names = stream.columns
@@ -110,7 +93,7 @@ def upsert(stream: DataFrame, path: str, key: str, order: str, buckets: int = 64
             if before.get(b) != n:
                 delete_path(spark, f"{path}/rows/batch={n}/bucket={b}")
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
