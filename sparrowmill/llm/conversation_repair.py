@@ -9,9 +9,9 @@ least and multiplied by adding costs and joining labels.  Two paths to one state
 so that where one's labels begin the other's, the latter has more inserts and costs more: the least
 path to a state stays the least whatever follows.
 
-Rows come sorted and are read batch by batch.  What the surviving paths have in common is committed
-at once, and paths too dear ever to win are dropped, so that a conversation holds the few rows that are
-still undecided, not its whole text.
+Rows come sorted and are read batch by batch.  Paths too dear ever to win are dropped; each of the few
+that survive has a checksum of what it would write, so that a conversation's texts are not held, only
+its labels, a byte a row and path.  What the surviving paths have in common is committed from time to time.
 Whether a row repeats an earlier one is found before, by a window over equal rows.  A conversation's
 audit and checksum are one value each over all its rows in order, so its rows pass through one task
 as a stream; conversations are dealt over all tasks.
@@ -51,46 +51,87 @@ def edits(initial: str, fault: str | None) -> list[tuple[str, str | None, int]]:
     return arcs
 
 
-def inserted(paths: dict[int, tuple[int, str]]) -> dict[int, tuple[int, str]]:
-    """Paths after inserts, which read no row.  Two in a row reach all that inserts can reach at least cost."""
+def inserts(state: int) -> list[tuple[int, tuple[str, ...]]]:
+    """States that up to two inserts reach, each by the fewest, with the roles that they write."""
+    found = {state: ()}
     for _ in range(2):
-        for (state, role), to in GRAMMAR.items():
-            if role in ROLES and state in paths:
-                cost, labels = paths[state]
-                found = (cost + INSERT, labels + "I")
-                if to not in paths or found < paths[to]:
-                    paths = paths | {to: found}
-    return paths
+        for (at, role), to in GRAMMAR.items():
+            if role in ROLES and at in found and (to not in found or len(found[at]) + 1 < len(found[to])):
+                found[to] = (*found[at], role)
+    return list(found.items())
 
 
-def step(paths: dict[int, tuple[int, str]], initial: str, fault: str | None) -> dict[int, tuple[int, str]]:
+INSERTS = {state: inserts(state) for state in range(4)}
+
+
+class Path:
+    """The least path to a grammar state that ends with a row read.
+
+    ``rank`` is its labels' place among those of the other surviving paths; they have read the same rows and
+    end with one, so that none begins another, and ranks decide whatever labels follow.  ``chain`` holds the
+    labels since the last commit, ``digest`` the checksum of what has been written.
+    """
+
+    __slots__ = ("cost", "rank", "chain", "digest", "begun")
+
+    def __init__(self, cost: int, rank: int, chain: tuple, digest, begun: bool):
+        self.cost, self.rank, self.chain, self.digest, self.begun = cost, rank, chain, digest, begun
+
+    def written(self, rows: list[tuple[str, str]]) -> tuple:
+        """Checksum and whether anything is written, after more rows (role, text)."""
+        digest, begun = self.digest, self.begun
+        if rows:
+            digest = digest.copy()
+            for role, text in rows:
+                digest.update((("\n" if begun else "") + f"{role}:{text}").encode())
+                begun = True
+        return digest, begun
+
+    def labels(self) -> str:
+        parts, chain = [], self.chain
+        while chain:
+            parts.append(chain[1])
+            chain = chain[0]
+        return "".join(reversed(parts))
+
+
+def step(paths: dict[int, Path], role: str, text: str, fault: str | None) -> dict[int, Path]:
     """The least path to every state once one more row is read, but for those that can't win any more."""
-    after: dict[int, tuple[int, str]] = {}
-    for label, role, cost in edits(initial, fault):
-        for state, (had, labels) in paths.items():
-            to = state if role is None else GRAMMAR.get((state, role))
-            if to is not None:
-                found = (had + cost, labels + label)
-                if to not in after or found < after[to]:
-                    after[to] = found
-    after = inserted(after)
-    most = min(cost for cost, _ in after.values()) + AHEAD
-    return {state: path for state, path in after.items() if path[0] <= most}
+    best: dict[int, tuple] = {}
+    for state, path in paths.items():
+        for at, new in INSERTS[state]:
+            for label, initial, cost in edits(role[:1], fault):
+                to = at if initial is None else GRAMMAR.get((at, initial))
+                if to is not None:
+                    found = (path.cost + INSERT * len(new) + cost, path.rank, "I" * len(new) + label, state, new, initial)
+                    if to not in best or found[:3] < best[to][:3]:
+                        best[to] = found
+    most = min(x[0] for x in best.values()) + AHEAD
+    after = {}
+    for rank, (to, (cost, _, labels, state, new, initial)) in enumerate(sorted(((t, x) for t, x in best.items() if x[0] <= most), key=lambda x: x[1][1:3])):
+        rows = [(ROLES[r], "") for r in new]
+        if initial is not None:
+            rows.append((role if labels[-1] == "K" else ROLES[initial], text))
+        after[to] = Path(cost, rank, (paths[state].chain, labels), *paths[state].written(rows))
+    return after
+
+
+#: Rows after which paths are looked at for what they have in common.
+TOGETHER = 256
 
 
 class Conversation:
-    """One conversation as its rows come by: counts, surviving paths, and rows not committed yet."""
+    """One conversation as its rows come by: counts, surviving paths, and, if kept, rows not committed yet."""
 
     def __init__(self, conv_id: int | None, keep: bool):
         self.conv_id, self.keep = conv_id, keep
-        self.paths = inserted({0: (0, "")})
+        self.paths = {0: Path(0, 0, (), hashlib.sha256(), False)}
         self.rows: deque[tuple[int | None, str, str]] = deque()
         self.counts = dict.fromkeys((BLANK, DUPLICATE, TRUNCATED, "illegal"), 0)
         self.least = self.most = self.before = self.last = None
-        self.turns = 0
+        self.turns = self.read = 0
         self.audit: list[str] = []
         self.state, self.at = 0, 0
-        self.digest, self.begun = hashlib.sha256(), False
         self.repaired: list[tuple] = []
 
     def add(self, turn: int | None, role: str, text: str, fault: str | None) -> None:
@@ -103,33 +144,38 @@ class Conversation:
         self.before = role
         if fault:
             self.counts[fault] += 1
-        self.rows.append((turn, role, text))
-        self.paths = step(self.paths, role[:1], fault)
-        self.commit(commonprefix([labels for _, labels in self.paths.values()]))
+        if self.keep:
+            self.rows.append((turn, role, text))
+        self.paths = step(self.paths, role, text, fault)
+        self.read += 1
+        if self.read % TOGETHER == 0:
+            found = {state: path.labels() for state, path in self.paths.items()}
+            same = commonprefix(list(found.values()))
+            self.commit(same)
+            for state, path in self.paths.items():
+                path.chain = ((), found[state][len(same) :])
 
     def commit(self, labels: str) -> None:
         """Write out what all surviving paths begin with; each label's role follows from the grammar."""
-        for label in labels:
+        self.audit.append(labels)
+        for label in labels if self.keep else "":
             turn, role, text = (None, "", "") if label == "I" else self.rows.popleft()
             if label != "D":
                 initial = role[:1] if label == "K" else next(r for r in ROLES if (self.state, r) in GRAMMAR)
                 self.state = GRAMMAR[self.state, initial]
                 role = role if label == "K" else ROLES[initial]
-                self.digest.update((("\n" if self.begun else "") + f"{role}:{text}").encode())
-                self.begun = True
-            if self.keep:
-                self.repaired.append((self.conv_id, self.at, label, turn, role, text))
+            self.repaired.append((self.conv_id, self.at, label, turn, role, text))
             self.at += 1
-        if labels:
-            self.audit.append(labels)
-            self.paths = {s: (cost, rest[len(labels) :]) for s, (cost, rest) in self.paths.items()}
 
     def end(self) -> tuple:
         """The report of the whole conversation."""
-        cost, labels = min(self.paths[s] for s in ACCEPTING if s in self.paths)
-        self.commit(labels)
+        ends = [(path.cost + INSERT * len(new), path.rank, "I" * len(new), state, new) for state, path in self.paths.items() for at, new in INSERTS[state] if at in ACCEPTING]
+        cost, _, labels, state, new = min(ends)
+        path = self.paths[state]
+        self.commit(path.labels() + labels)
+        digest, _ = path.written([(ROLES[r], "") for r in new])
         gaps = 0 if self.least is None else self.most - self.least + 1 - self.turns
-        return (self.conv_id, gaps, *self.counts.values(), cost, "".join(self.audit), self.digest.hexdigest())
+        return (self.conv_id, gaps, *self.counts.values(), cost, "".join(self.audit), digest.hexdigest())
 
 
 REPORT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"

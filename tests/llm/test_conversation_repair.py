@@ -111,15 +111,19 @@ def test_long_and_empty(spark):
     assert tuple(got[3])[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
 
 
-def test_few_rows_are_held_however_long_a_conversation_is():
+def test_no_texts_are_held_however_long_a_conversation_is():
+    """Even where paths never agree: of users alone, the first row's edit depends on how many follow."""
     rnd = random.Random(4)
     for roles in (["user", "assistant"], ["user"], ["user", "assistant", "tool", "system"]):
-        held, now = 0, repair.Conversation(1, keep=False)
+        now = repair.Conversation(1, keep=False)
         for i in range(4000):
             now.add(i, rnd.choice(roles), f"t{i}.", rnd.choice([None, None, "truncated", "blank"]))
-            held = max(held, len(now.rows))
-        now.end()
-        assert held < 200
+            assert not now.rows and len(now.paths) <= 4
+        assert len(now.end()[7]) >= 4000
+    now = repair.Conversation(1, keep=False)
+    for i in range(20_000):
+        now.add(i, "user", f"t{i}.", None)
+    assert now.end()[6] == 10_000
 
 
 def test_repaired_turns_make_up_the_report(spark):
