@@ -105,11 +105,15 @@ def macro_f1(df: DataFrame, real: str, predicted: str, supported_only: bool) ->
 
 
 def interval_union(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Islands of overlapping or touching ranges of a key."""
-    order = Window.partitionBy(key).orderBy(start, end)
+    """Islands of overlapping or touching ranges of a key.
+
+    Equal ranges are one before they are ordered, so that no tie is open.  A range without a start
+    comes last and opens no island; a key of nothing else has one without ends.
+    """
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    marked = df.select(key, start, end).withColumn("__open", opens).withColumn("__island", F.sum("__open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = F.when(F.col(start) > reach, 1).otherwise(0)
+    marked = df.select(key, start, end).distinct().withColumn("__open", opens).withColumn("__island", F.sum("__open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
