@@ -27,3 +27,9 @@ def orders(spark):
 def test_gaps_open_at_no_unknown_date(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "interval_gaps", orders=orders(spark))
     assert got == wanted == (["gap_from", "gap_to", "o_custkey"], [("1156", "1461", "7")])
+
+
+def test_union_counts_no_island_of_unknown_dates(spark, tmp_path):
+    got, wanted = both(spark, tmp_path, "interval_union", orders=orders(spark))
+    assert got == wanted
+    assert {r[2]: r[1] for r in got[1]} == {"7": "2", "8": "1", "9": "1", "null": "1"}
