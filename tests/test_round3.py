@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sparrowmill import plans
+from sparrowmill.operators import pruned, retrieval
 
 from compare import rows_of_spark, rows_of_sql
 
@@ -33,3 +34,12 @@ def test_union_counts_no_island_of_unknown_dates(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "interval_union", orders=orders(spark))
     assert got == wanted
     assert {r[2]: r[1] for r in got[1]} == {"7": "2", "8": "1", "9": "1", "null": "1"}
+
+
+def test_best_documents_do_not_hang_on_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 3}", "all"]) for i in range(60)] + [(60, []), (61, None)], "doc_id long, words array<string>")
+    asked = spark.createDataFrame([(q, [f"w{q}", "all", None, "none"]) for q in range(7)] + [(7, ["none"])], "query_id long, words array<string>")
+    full = retrieval.top(retrieval.bm25(docs.where("words is not null"), asked), 5, [F.desc(F.round("score", 9)), F.col("doc_id")])
+    wanted = sorted((r.query_id, r["rank"], r.doc_id) for r in full.collect())
+    monkeypatch.setattr(pruned, "WORDS_A_BLOCK", 20)
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in pruned.best(docs, asked, 5).collect()) == wanted
