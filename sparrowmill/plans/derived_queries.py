@@ -229,26 +229,33 @@ def extract_interview(t: Tables) -> DataFrame:
 
 ORDER = cues.OrderWords(withdraw="quita(?:me)?|ya no quiero", price=r"a (\d+(?:\.\d+)?)", measure="vasos?", sizes=("grande", "chica"))
 MENU = ["lomo saltado", "limonada", "ensalada"]
-CALLED = "c AS (SELECT o_orderkey, 2 + o_orderkey % 7 AS n, 5 + o_custkey % 30 AS p, 3 + o_custkey % 9 AS q, (2 + o_orderkey % 7) * (5 + o_custkey % 30) + 3 + o_custkey % 9 + CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 0 END AS stated FROM orders)"
+#: Calls are plain, withdraw an item, lack a price, or are misheard in their total; the first two may overcharge.
+CALLED = """c AS (SELECT *, CASE WHEN kind < 2 AND o_orderkey % 3 = 0 THEN 4 WHEN kind = 3 THEN 5 ELSE 0 END AS more
+    FROM (SELECT o_orderkey, o_orderkey % 4 AS kind, 2 + o_orderkey % 7 AS n, 5 + o_custkey % 30 AS p, 3 + o_custkey % 9 AS q FROM orders))"""
 
 
 def called(t: Tables) -> DataFrame:
-    n, p, q = 2 + C("o_orderkey") % 7, 5 + C("o_custkey") % 30, 3 + C("o_custkey") % 9
-    stated = n * p + q + F.when(C("o_orderkey") % 3 == 0, 4).otherwise(0)
-    said = joined("Quiero ", n, " lomos saltados grandes a ", p, " soles y una limonada a ", q, " soles. Son ", stated, " soles.")
-    rows = t.orders.select("o_orderkey", said.alias("said"), stated.cast("double").alias("stated"))
+    kind, n, p, q = C("o_orderkey") % 4, 2 + C("o_orderkey") % 7, 5 + C("o_custkey") % 30, 3 + C("o_custkey") % 9
+    total = n * p + q + F.when((kind < 2) & (C("o_orderkey") % 3 == 0), 4).otherwise(0)
+    meal, end = joined("Quiero ", n, " lomos saltados grandes a ", p, " soles"), joined(". Son ", total, " soles.")
+    plain = joined(meal, " y una limonada a ", q, " soles", end)
+    withdrawn = joined(meal, ", una ensalada a 10 soles y una limonada a ", q, " soles. Quítame la ensalada", end)
+    priceless = joined(meal, " y una limonada", end)
+    stated = total + F.when(kind == 3, 5).otherwise(0)
+    rows = t.orders.select("o_orderkey", chosen(C("o_orderkey"), plain, withdrawn, priceless, plain).alias("said"), stated.cast("double").alias("stated"))
     return rows.withColumn("items", records.order_lines(C("said"), MENU, ORDER)).withColumn("total", records.order_totals(C("items"), C("stated")))
 
 
-@query(f"WITH {CALLED} SELECT o_orderkey, 'lomo saltado' AS item, 'grande' AS size, n::INT AS amount, p::DOUBLE AS price FROM c UNION ALL SELECT o_orderkey, 'limonada', NULL, 1, q::DOUBLE FROM c")
+@query(f"WITH {CALLED} SELECT o_orderkey, 'lomo saltado' AS item, 'grande' AS size, n::INT AS amount, p::DOUBLE AS price FROM c UNION ALL SELECT o_orderkey, 'limonada', NULL, 1, CASE WHEN kind <> 2 THEN q::DOUBLE END FROM c")
 def extract_order(t: Tables) -> DataFrame:
-    """Lines out of a call for every order."""
+    """Lines out of a call for every order, of which some withdraw an item or lack a price."""
     return called(t).select("o_orderkey", F.inline("items")).select("o_orderkey", "item", "size", "amount", "price")
 
 
-@query(f"WITH {CALLED} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'discrepancy' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 4.0 ELSE 0.0 END::DOUBLE AS difference, CASE WHEN o_orderkey % 3 = 0 THEN 'speaker' ELSE 'ok' END AS who FROM c")
+@query(f"""WITH {CALLED} SELECT o_orderkey, CASE WHEN kind = 2 THEN 'incomplete' WHEN more > 0 THEN 'discrepancy' ELSE 'ok' END AS status, CASE WHEN kind <> 2 THEN more::DOUBLE END AS difference,
+    CASE WHEN kind = 2 THEN 'undetermined' WHEN kind = 3 THEN 'recogniser' WHEN more > 0 THEN 'speaker' ELSE 'ok' END AS who FROM c""")
 def transcript_to_verdict(t: Tables) -> DataFrame:
-    """Call to lines, total and diagnosis in one plan."""
+    """Call to lines, total and diagnosis in one plan, with each kind of verdict."""
     who = records.diagnosed(C("total"), C("items"), C("stated"), records.numbers_said(C("said")))
     return called(t).select("o_orderkey", "total.status", "total.difference", who.alias("who"))
 

@@ -43,3 +43,11 @@ def test_best_documents_do_not_hang_on_blocks(spark, monkeypatch):
     wanted = sorted((r.query_id, r["rank"], r.doc_id) for r in full.collect())
     monkeypatch.setattr(pruned, "WORDS_A_BLOCK", 20)
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in pruned.best(docs, asked, 5).collect()) == wanted
+
+
+SHOP = "/root/testdata/sf0.001"
+
+
+def test_calls_withdraw_items_and_lack_prices(spark):
+    rows = plans.QUERIES["extract_order"](spark, SHOP)
+    assert rows.where("price is null").count() > 0 and rows.where("item = 'ensalada'").count() == 0
