@@ -51,3 +51,8 @@ SHOP = "/root/testdata/sf0.001"
 def test_calls_withdraw_items_and_lack_prices(spark):
     rows = plans.QUERIES["extract_order"](spark, SHOP)
     assert rows.where("price is null").count() > 0 and rows.where("item = 'ensalada'").count() == 0
+
+
+def test_every_kind_of_verdict_is_given(spark):
+    rows = plans.QUERIES["transcript_to_verdict"](spark, SHOP).select("status", "who").distinct().collect()
+    assert {tuple(r) for r in rows} == {("ok", "ok"), ("discrepancy", "speaker"), ("discrepancy", "recogniser"), ("incomplete", "undetermined")}
