@@ -301,10 +301,10 @@ def dropped_block(t: Tables) -> DataFrame:
     return pages.select("l_orderkey", text.without_block(line, 1, "^JOB").alias("line"))
 
 
-@query("SELECT p_partkey, 'replace' AS op, 'size' || p_size AS old, 'doce' AS new FROM part UNION ALL SELECT p_partkey, 'insert', '', 'cuatro' FROM part")
+@query("SELECT p_partkey, 'replace' AS op, 'size' || p_size AS old, 'doce' AS new FROM part UNION ALL SELECT p_partkey, 'insert', '', 'cuatro' FROM part UNION ALL SELECT p_partkey, 'delete', 'sobra', '' FROM part")
 def word_diff(t: Tables) -> DataFrame:
     """What turns the words about a part into others."""
-    rows = t.part.select("p_partkey", joined("uno size", C("p_size"), " tres").alias("a"), F.lit("uno doce tres cuatro").alias("b"))
+    rows = t.part.select("p_partkey", joined("sobra uno size", C("p_size"), " tres").alias("a"), F.lit("uno doce tres cuatro").alias("b"))
     return rows.select("p_partkey", F.inline(text.word_changes(C("a"), C("b"))))
 
 

@@ -56,3 +56,7 @@ def test_calls_withdraw_items_and_lack_prices(spark):
 def test_every_kind_of_verdict_is_given(spark):
     rows = plans.QUERIES["transcript_to_verdict"](spark, SHOP).select("status", "who").distinct().collect()
     assert {tuple(r) for r in rows} == {("ok", "ok"), ("discrepancy", "speaker"), ("discrepancy", "recogniser"), ("incomplete", "undetermined")}
+
+
+def test_words_are_deleted_too(spark):
+    assert {r.op for r in plans.QUERIES["word_diff"](spark, SHOP).select("op").distinct().collect()} == {"replace", "insert", "delete"}
