@@ -353,13 +353,13 @@ def monotone_anchors(t: Tables) -> DataFrame:
     return pages.select("l_orderkey", F.array_join(records.anchors(F.concat(F.array(F.lit(99)), "n")).cast("array<string>"), ",").alias("kept"))
 
 
-@query("SELECT l_orderkey, count(DISTINCT l_linenumber)::INT AS rows, count(*)::INT AS held FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INT AS row, string_agg(l_quantity::BIGINT::VARCHAR, ',' ORDER BY l_quantity) AS lines FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def page_reading_order(t: Tables) -> DataFrame:
-    """An order's lines as lines on a page: as many rows as line numbers, which hold all of them."""
+    """An order's lines as lines on a page, whose height is their number: what stands in each row, from left to right."""
     line = F.struct(C("l_quantity").alias("x"), (C("l_linenumber") * 30.0).alias("y"), F.lit(10.0).alias("h"))
     pages = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
-    rows = pages.select("l_orderkey", records.page_rows(C("lines")).alias("rows"))
-    return rows.select("l_orderkey", F.size("rows").alias("rows"), F.size(F.flatten("rows")).alias("held"))
+    rows = pages.select("l_orderkey", "lines", F.posexplode(records.page_rows(C("lines"))).alias("row", "held"))
+    return rows.select("l_orderkey", "row", F.array_join(F.transform("held", lambda i: F.get("lines", i)["x"].cast("long").cast("string")), ",").alias("lines"))
 
 
 STUDIED = ["mae", "moved_change", "moved_mae", "cut_mae", "cut_change", "expected_change", "slope", "corr"]

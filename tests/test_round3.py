@@ -60,3 +60,9 @@ def test_every_kind_of_verdict_is_given(spark):
 
 def test_words_are_deleted_too(spark):
     assert {r.op for r in plans.QUERIES["word_diff"](spark, SHOP).select("op").distinct().collect()} == {"replace", "insert", "delete"}
+
+
+def test_rows_of_a_page_hold_their_lines(spark):
+    rows = plans.QUERIES["page_reading_order"](spark, SHOP)
+    assert rows.columns == ["l_orderkey", "row", "lines"]
+    assert rows.where("lines like '%,%'").count() > 0
