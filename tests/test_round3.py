@@ -1,6 +1,8 @@
 """Odd rows and larger jobs that earlier tests did not have."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparrowmill import plans
@@ -66,3 +68,16 @@ def test_rows_of_a_page_hold_their_lines(spark):
     rows = plans.QUERIES["page_reading_order"](spark, SHOP)
     assert rows.columns == ["l_orderkey", "row", "lines"]
     assert rows.where("lines like '%,%'").count() > 0
+
+
+def test_best_of_block_like_full_scores():
+    rnd = np.random.default_rng(5)
+    held = [np.minimum(rnd.zipf(1.3, n), 400) for n in rnd.integers(1, 40, 800)]
+    own = pd.DataFrame({"doc_id": np.arange(800), "len": [len(h) for h in held], "held": held})
+    idf = {t: float(np.log(1 + (800 - n + 0.5) / (n + 0.5))) for t in range(1, 401) if (n := sum(t in h for h in held))}
+    asking = pd.DataFrame([(q, t, idf.get(t, 1.0)) for q in range(60) for t in {1, 2 + q % 5, *rnd.integers(1, 401, 3).tolist()}], columns=["query_id", "term", "idf"])
+    mean = float(own["len"].mean())
+    got = pruned.best_of_block(5, mean)(own, asking)
+    for q, part in asking.groupby("query_id"):
+        scores = [(-round(sum(i * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(h) / mean)) for t, i in zip(part["term"], part["idf"]) if (tf := int((h == t).sum()))), 9), d) for d, h in enumerate(held)]
+        assert [(-round(s, 9), d) for s, d in zip(got[got["query_id"] == q]["score"], got[got["query_id"] == q]["doc_id"])] == [x for x in sorted(scores)[:5] if x[0] < 0]
