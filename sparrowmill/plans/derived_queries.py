@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cues, evidence
 from ..operators import benchmarks, calendar, cleaning, indexing, logs, norms, predictors, questions, records, text
+from ..scratch import spread
 from .registry import Tables, query
 
 NL = "chr(10)"
@@ -222,7 +223,7 @@ def extract_interview(t: Tables) -> DataFrame:
     level = F.element_at(F.array(*[F.lit(x) for x in ("básico", "intermedio", "avanzado")]), (C("c_custkey") % 3 + 1).cast("int"))
     tool = F.when(C("c_custkey") % 2 == 0, "Excel y SQL").otherwise("SQL")
     said = joined("Tengo ", 30 + C("c_nationkey"), " años de edad. Llevo ", 2 + C("c_nationkey"), " años de experiencia en total. Mi último puesto fue ", F.lower("c_mktsegment"), " en un banco. Manejo ", tool, ". Antes ganaba 900 soles y mi pretensión es de ", 1000 + C("c_custkey"), " soles. Mi inglés es ", level, ".")
-    rows = t.customer.select("c_custkey", said.alias("said"))
+    rows = spread(t.customer, "c_custkey").select("c_custkey", said.alias("said"))
     found = records.fields(C("said"), INTERVIEW, {"years": "double", "pay": "double"})
     return rows.select("c_custkey", found.alias("f"), F.array_join(records.listed(C("said"), ["Excel", "Python", "SQL"]), ",").alias("tools")).select("c_custkey", "f.*", "tools")
 

@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sparrowmill import plans
+from sparrowmill.functions import spanish
 from sparrowmill.operators import pruned, retrieval
+from sparrowmill.scratch import spread
 
 from compare import rows_of_spark, rows_of_sql
 
@@ -81,3 +83,20 @@ def test_best_of_block_like_full_scores():
     for q, part in asking.groupby("query_id"):
         scores = [(-round(sum(i * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(h) / mean)) for t, i in zip(part["term"], part["idf"]) if (tf := int((h == t).sum()))), 9), d) for d, h in enumerate(held)]
         assert [(-round(s, 9), d) for s, d in zip(got[got["query_id"] == q]["score"], got[got["query_id"] == q]["doc_id"])] == [x for x in sorted(scores)[:5] if x[0] < 0]
+
+
+def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(9000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    dealt = spread(spark.read.parquet(str(tmp_path / "t")), "id")
+    held = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(held) > 8 and sum(held) == 9000
+    assert spread(spark.range(0), "id").count() == 0
+
+
+def test_interviews_are_dealt_over_tasks(spark):
+    assert plans.QUERIES["extract_interview"](spark, "/root/testdata/sf0.1").rdd.getNumPartitions() > 8
+
+
+def test_normal_form_of_marks_and_cardinals():
+    assert spanish.plain("ÀÉîõü Ñandú ¡Ｓí! á⃐") == "aeiou nandu ¡ｓi! a"
+    assert spanish.normal("Mil uno, veintiún MILES y treinta y dos mil; mil millones un año, una casa. cien, cero y millón") == "1001 21 miles y 32000 1000000001 ano una casa 100 0 y millon"
