@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import shuffle_partitions
 from . import ranks
 
 #: "artículo 5", "artículos 5, 6 y 7", "art. 5"; group 1 holds the list of numbers.
@@ -53,9 +54,33 @@ def two_way(hits: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
 
     ``hits`` (hit_id, article, is_change); ``changes`` (change_id, article, and ``order``'s columns).
     """
-    onward = hits.where("not is_change").join(changes, "article").select("hit_id", F.col("change_id").alias("other_id"), F.lit("amended_by").alias("relation"))
-    back = hits.where("is_change").select(F.col("hit_id").alias("change_id"), "article").join(hits.where("not is_change").select("article", F.col("hit_id").alias("other_id")), "article")
-    return onward.unionByName(back.select(F.col("change_id").alias("hit_id"), "other_id", F.lit("amends").alias("relation"))).distinct()
+    originals, amending = hits.where("not is_change").select("hit_id", "article"), hits.where("is_change").select("hit_id", "article")
+    onward = _sharing(originals, changes.select(F.col("change_id").alias("other_id"), "article")).withColumn("relation", F.lit("amended_by"))
+    back = _sharing(amending, originals.withColumnRenamed("hit_id", "other_id")).withColumn("relation", F.lit("amends"))
+    return onward.unionByName(back)
+
+
+#: Rows of a block at most, about, of those that meet by article.
+MEETING = 65_536
+
+
+def _sharing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (hit_id, other_id) of ``left`` (hit_id, article) and ``right`` (other_id, article) that share an article, once each.
+
+    There may be as many pairs as the product of both, so pairs are never held or compared: each side's
+    articles are gathered by id, and a pair counts at the least article that both have.  Blocks of
+    one side meet blocks of the other, so that a frequent article is no single task.
+    """
+    sets = lambda df, key, held: df.where("article is not null").groupBy(key).agg(F.collect_set("article").alias("articles")).select(
+        key, F.when(F.size("articles") > 1, F.col("articles")).alias(held), F.explode("articles").alias("article"))
+    spark, keys = left.sparkSession, ["part", "block", "article"]
+    parts, blocks = max(1, -(-left.count() // MEETING)), max(1, -(-right.count() // MEETING))
+    tasks = max(shuffle_partitions(spark), min(8 * parts * blocks, 4096))
+    dealt = lambda df, key, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))}).repartition(tasks, *keys)
+    first = dealt(sets(left, "hit_id", "__a"), "hit_id", "part", parts, "block", blocks)
+    second = dealt(sets(right, "other_id", "__b"), "other_id", "block", blocks, "part", parts)
+    least = F.col("__a").isNull() | F.col("__b").isNull() | (F.col("article") == F.array_min(F.array_intersect("__a", "__b")))
+    return first.join(second.hint("merge"), keys).where(least).select("hit_id", "other_id")
 
 
 def forced_versions(found: DataFrame, changes: DataFrame, originals: DataFrame, most_changes: int, most_originals: int) -> DataFrame:

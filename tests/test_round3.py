@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill import plans
 from sparrowmill.functions import spanish
-from sparrowmill.operators import pruned, retrieval
+from sparrowmill.operators import norms, pruned, retrieval
 from sparrowmill.scratch import spread
 
 from compare import rows_of_spark, rows_of_sql
@@ -100,3 +100,12 @@ def test_interviews_are_dealt_over_tasks(spark):
 def test_normal_form_of_marks_and_cardinals():
     assert spanish.plain("ÀÉîõü Ñandú ¡Ｓí! á⃐") == "aeiou nandu ¡ｓi! a"
     assert spanish.normal("Mil uno, veintiún MILES y treinta y dos mil; mil millones un año, una casa. cien, cero y millón") == "1001 21 miles y 32000 1000000001 ano una casa 100 0 y millon"
+
+
+def test_versions_meet_in_blocks_and_once(spark, tmp_path, monkeypatch):
+    parts = [(143 * i, 5 if i % 2 else i % 4) for i in range(60)] + [(11 * i, i % 3 or None) for i in range(90)] + [(13 * i, 5) for i in range(40)] + [(143, 1), (143, 2), (286, 1), (286, 2), (286, 5)] * 3
+    monkeypatch.setattr(norms, "MEETING", 16)
+    got, wanted = both(spark, tmp_path, "versions_both_ways", part=spark.createDataFrame(parts, "p_partkey long, p_size int"))
+    assert got == wanted and len(got[1]) > 500
+    plan = plans.QUERIES["versions_both_ways"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
