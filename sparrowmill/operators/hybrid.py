@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import written
-from . import retrieval
+from . import pruned, retrieval
 
 #: What a question that isn't answered is told.
 NO_CANDIDATES, BELOW_THRESHOLD = "no_candidates", "below_threshold"
@@ -44,8 +44,9 @@ def passing(docs: DataFrame, questions: DataFrame, filters: list[Filter]) -> tup
 
 
 def lexical(docs: DataFrame, questions: DataFrame, members: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) by BM25 among the documents that pass a question's filter.
+    """(query_id, doc_id, score) by BM25 among the documents that pass a question's filter: full scores, a row each.
 
+    For the best of many questions :func:`pruned.best_within` makes no such rows.
     ``docs`` (doc_id, words), ``questions`` (query_id, filter_id, words).  Documents' words are cut to
     those that are asked for before they become rows; counts, lengths and frequencies are of the filtered part.
     """
@@ -79,8 +80,7 @@ def answers(docs: DataFrame, questions: DataFrame, filters: list[Filter], thresh
     """
     named, members = passing(docs, questions, filters)
     members = written(members, "members")
-    words = lexical(docs, named, members).where("doc_id <> query_id and score > 0")
-    by_words = retrieval.top(words, depth, [F.desc(F.round("score", 9)), F.col("doc_id")])
+    by_words = pruned.best_within(docs, named, members, depth)
     near = written(semantic(docs, named, members, depth), "near")
     fused = retrieval.found_by("hybrid", by_words.select("query_id", "doc_id", "score", "rank"), near.select("query_id", "doc_id", F.round("similarity", 9).alias("score"), "rank"), "doc_id", k)
     counts = members.groupBy("filter_id").agg(F.count("*").alias("__candidates"))

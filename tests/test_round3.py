@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill import plans
 from sparrowmill.functions import spanish
-from sparrowmill.operators import norms, pruned, retrieval
+from sparrowmill.operators import hybrid, norms, pruned, retrieval
 from sparrowmill.scratch import spread
 
 from compare import rows_of_spark, rows_of_sql
@@ -109,3 +109,15 @@ def test_versions_meet_in_blocks_and_once(spark, tmp_path, monkeypatch):
     assert got == wanted and len(got[1]) > 500
     plan = plans.QUERIES["versions_both_ways"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_best_within_filters_like_full_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 3}", "all", f"w{i % 5}"] * (1 + i % 2)) for i in range(90)] + [(90, []), (91, None)], "doc_id long, words array<string>")
+    members = spark.createDataFrame([(f, i) for i in range(92) for f in (1, 2, 3) if i % f == 0], "filter_id long, doc_id long")
+    asked = spark.createDataFrame([(q, 1 + q % 4, [f"w{q % 7}", "all", "w1", None, "none"]) for q in range(12)], "query_id long, filter_id long, words array<string>")
+    full = retrieval.top(hybrid.lexical(docs, asked, members).where("doc_id <> query_id and score > 0"), 6, [F.desc(F.round("score", 9)), F.col("doc_id")])
+    form = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 8)) for r in df.collect())
+    wanted = form(full)
+    monkeypatch.setattr(pruned, "WORDS_A_BLOCK", 60)
+    got = form(pruned.best_within(docs, asked, members, 6))
+    assert got == wanted and len(wanted) == 54, sorted(set(got) ^ set(wanted))
