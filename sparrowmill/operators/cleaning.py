@@ -5,7 +5,8 @@ What a header or a stamp looks like is the caller's to say; the operators only f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def lines_of(text: Column) -> Column:
@@ -23,7 +24,7 @@ def without_header(lines: Column, parts: list[str], within: int = 8) -> Column:
     every = has[0]
     for h in has[1:]:
         every &= h
-    return F.when(every, F.filter(lines, lambda x, i: i > last)).otherwise(lines)
+    return F.when(every, F.slice(lines, last + 2, F.size(lines))).otherwise(lines)
 
 
 def without_stamp(text: Column, begins: str) -> Column:
@@ -71,19 +72,31 @@ def page_text(df: DataFrame, ids: list[str], block: str, order: str, text: str)
     return held.select(*ids, F.array_join(F.transform("__l", lambda x: x["t"]), "\n").alias("text"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _taken(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Lines of the first that the second has not, or has fewer times, sorted; null for a null first."""
+
+    def walk(first, second) -> list[str] | None:
+        if first is None:
+            return None
+        kept, at, gone = sorted(x for x in (() if second is None else second) if x is not None), 0, []
+        for line in sorted(x for x in first if x is not None):
+            if at < len(kept) and kept[at] == line:
+                at += 1
+            else:
+                gone.append(line)
+        return gone
+
+    return pd.Series([walk(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
+
+
 def audited(before: Column, after: Column, known: list[str]) -> Column:
     """Lines that cleaning took away and that no known pattern accounts for, in alphabetical order.
 
     Cleaning only takes lines away, so both sides are walked in the same order: a line that was taken away
     once and kept elsewhere is found, too.
     """
-    start = F.struct(F.array_sort(after).alias("kept"), F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("gone"))
-
-    def walk(state: Column, line: Column) -> Column:
-        stays = F.coalesce(F.get(state["kept"], state["at"]) == line, F.lit(False))
-        return F.struct(state["kept"].alias("kept"), (state["at"] + stays.cast("int")).alias("at"), F.when(stays, state["gone"]).otherwise(F.concat(state["gone"], F.array(line))).alias("gone"))
-
-    gone = F.filter(F.aggregate(F.array_sort(before), start, walk, lambda s: s["gone"]), lambda x: F.trim(x) != "")
+    gone = F.filter(_taken(before, after), lambda x: F.trim(x) != "")
     return F.filter(gone, lambda x: ~x.rlike("|".join(f"(?:{p})" for p in known))) if known else gone
 
 

@@ -63,7 +63,7 @@ def cleaning_audit(t: Tables) -> DataFrame:
     """What cleaning took from every document beyond what its patterns know: a line of its own, and one that it also kept."""
     first = F.element_at(lines(C("text")), 1)
     page = joined("DIARIO OFICIAL\nLima, lunes\n", C("text"), "\nCódigo: 1\n", first, "\nsobra ", C("doc_id"))
-    rows = t.documents.select("doc_id", lines(page).alias("before"))
+    rows = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", lines(page).alias("before"))
     after = cleaning.until_end_mark(cleaning.without_header(C("before"), HEADER), "^Código:")
     gone = cleaning.audited(C("before"), after, HEADER)
     mine = F.filter(gone, lambda x: x == joined("sobra ", C("doc_id")))
