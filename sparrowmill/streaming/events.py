@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..scratch import delete_path, exists
 
 
+#: Requests that a limiter answers at a time.
+SERVED = 16_384
+
+
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A Parquet folder as a stream; ``ts`` becomes a timestamp that a watermark accepts."""
     return spark.readStream.schema(like.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -39,14 +44,21 @@ def limited(events: DataFrame, key: str, id_column: str, quota: int, seconds: in
             state.remove()
             return
         ring = deque(state.get[0] if state.exists else [], maxlen=quota)
-        rows = pd.concat(list(batches)).sort_values(["at", id_column], kind="stable")
-        departs = []
-        for at in rows["at"].tolist():
-            ring.append(max(at, ring[0] + width) if len(ring) == quota else at)
-            departs.append(ring[-1])
-        state.update((list(ring),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), -(-(ring[-1] + width) // 1000)) + 1)
-        yield pd.DataFrame({key: name[0], id_column: rows[id_column], "at": rows["at"], "departs": departs, "waited": [d - a for d, a in zip(departs, rows["at"])]})
+        # all that is held of a key's requests are their times and ids, and a number for their order
+        rows = pd.concat([b[["at", id_column]] for b in batches], ignore_index=True)
+        times, ids = rows["at"].to_numpy(), rows[id_column].to_numpy()
+        del rows
+        order = np.lexsort((ids, times))
+        for begin in range(0, len(order), SERVED):
+            some = order[begin : begin + SERVED]
+            came, departs = times[some], []
+            for at in came.tolist():
+                ring.append(max(at, ring[0] + width) if len(ring) == quota else at)
+                departs.append(ring[-1])
+            if begin + SERVED >= len(order):
+                state.update((list(ring),))
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), -(-(ring[-1] + width) // 1000)) + 1)
+            yield pd.DataFrame({key: name[0], id_column: ids[some], "at": came, "departs": departs, "waited": np.array(departs, np.int64) - came})
 
     asked = events.withWatermark("ts", late).where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, id_column, "ts", F.unix_micros("ts").alias("at"))
     schema = f"{key} {kinds[key]}, {id_column} {kinds[id_column]}, at long, departs long, waited long"

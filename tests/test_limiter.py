@@ -78,3 +78,11 @@ def test_state_goes_once_it_can_delay_nothing(spark, tmp_path):
     state = spark.read.format("statestore").load(f"{sink}/checkpoint")
     assert [r.key["who"] for r in state.select("key").collect()] == ["a"]
     assert stream().where(F.col("waited") > 0).count() == 0
+
+
+def test_stream_answers_a_hot_key_in_pieces(spark, tmp_path):
+    rows = [(i, START + timedelta(seconds=i * 7919 % 40_000 * 60), "hot", "", 0) for i in range(events.SERVED * 2 + 9)]
+    like = spark.createDataFrame(rows, SCHEMA)
+    like.write.parquet(str(tmp_path / "in"))
+    got = events.append(events.limited(events.read(spark, str(tmp_path / "in"), like), "who", "id", 3, 300, late="60 days"), str(tmp_path / "out"))
+    assert {r.id: r.waited for r in got.collect()} == served(rows, 3, 300)
