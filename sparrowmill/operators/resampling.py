@@ -68,10 +68,13 @@ DRAWS = 4
 
 
 def _weight(u: Column) -> Column:
-    """The weight of a 32-bit draw: how many of the bounds it has reached."""
+    """The weight of a 32-bit draw: how many of the bounds it has reached.
+
+    The draw is eight small hexadecimal digits, whose order as text is that of the numbers.
+    """
     out = F.lit(len(POISSON))
     for k, bound in reversed(list(enumerate(POISSON))):
-        out = F.when(u < bound, k).otherwise(out)
+        out = F.when(u < f"{bound:08x}" if bound < 1 << 32 else u.isNotNull(), k).otherwise(out)
     return out
 
 
@@ -79,17 +82,19 @@ def poisson_intervals(df: DataFrame, keys: list[str], unit: str, num: str, den:
     """``keys``, ``n`` units, ``point`` and its interval ``low`` to ``high``: sum(num) / sum(den), or the mean without ``den``.
 
     One pass of a bootstrap: in each replicate a unit's rows count 0, 1, 2 ... times, a Poisson(1) weight
-    from a hash of unit and replicate, so that units that several groups share move together.  Weighted sums
+    from a hash of unit and replicate, so that units that several groups share move together.  A unit's rows are
+    added up before anything is drawn for it.  Weighted sums
     are combined before they are shuffled: a group sends a row for every four replicates, however many
     rows it has.  Rows with a null figure don't count; a group of one unit has no interval, and replicates
     whose denominator is 0 are left out.
     """
     den_ = F.col(den) if den else F.lit(1)
     rows = df.where(F.col(num).isNotNull() & den_.isNotNull()).select(*keys, F.col(unit).alias("__unit"), F.col(num).alias("__num"), den_.alias("__den"))
-    whole = rows.groupBy(*keys).agg(F.count_distinct("__unit").alias("n"), (F.sum("__num") / F.nullif(F.sum("__den"), F.lit(0))).alias("point"))
-    each = rows.withColumn("__four", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS) - 1)))).withColumn("__md5", F.md5(F.concat_ws("|", F.col("__unit").cast("string"), F.col("__four").cast("string"), F.lit(seed))))
-    weights = [_weight(F.conv(F.substring("__md5", 8 * i + 1, 8), 16, 10).cast("long")) for i in range(DRAWS)]
-    sums = each.groupBy(*keys, "__four").agg(*[F.sum(w * F.col(c)).alias(f"{c}{i}") for i, w in enumerate(weights) for c in ("__num", "__den")])
+    units = rows.groupBy(*keys, "__unit").agg(F.sum("__num").alias("__num"), F.sum("__den").alias("__den"))
+    whole = units.groupBy(*keys).agg(F.count("__unit").alias("n"), (F.sum("__num") / F.nullif(F.sum("__den"), F.lit(0))).alias("point"))
+    each = units.withColumn("__four", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS) - 1)))).withColumn("__md5", F.md5(F.concat_ws("|", F.col("__unit").cast("string"), F.col("__four").cast("string"), F.lit(seed))))
+    weighed = each.select(*keys, "__four", "__num", "__den", *[_weight(F.substring("__md5", 8 * i + 1, 8)).alias(f"__w{i}") for i in range(DRAWS)])
+    sums = weighed.groupBy(*keys, "__four").agg(*[F.sum(F.col(f"__w{i}") * F.col(c)).alias(f"{c}{i}") for i in range(DRAWS) for c in ("__num", "__den")])
     of_four = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__num{i}").alias("num"), F.col(f"__den{i}").alias("den")) for i in range(DRAWS)]))
     values = sums.select(*keys, "__four", of_four.alias("r")).where((F.col("__four") * DRAWS + F.col("r.i") < replicates) & (F.col("r.den") != 0)).select(*keys, (F.col("r.num") / F.col("r.den")).alias("__value"))
     ends = values.groupBy(*keys).agg(F.percentile("__value", low).alias("low"), F.percentile("__value", high).alias("high"))  # of the replicates

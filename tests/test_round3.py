@@ -121,3 +121,18 @@ def test_best_within_filters_like_full_scores(spark, monkeypatch):
     monkeypatch.setattr(pruned, "WORDS_A_BLOCK", 60)
     got = form(pruned.best_within(docs, asked, members, 6))
     assert got == wanted and len(wanted) == 54, sorted(set(got) ^ set(wanted))
+
+
+def test_units_are_added_up_before_draws(spark):
+    plan = plans.QUERIES["error_rate_intervals"](spark, SHOP)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("__md5") :]
+
+
+def test_orders_and_documents_are_dealt_over_tasks(spark):
+    for name in ("extract_order", "verify_literal", "transcript_to_verdict", "cleaning_audit"):
+        assert "RepartitionByExpression" in plans.QUERIES[name](spark, SHOP)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_corrected_calls_are_judged(spark):
+    rows = plans.QUERIES["transcript_to_verdict"](spark, SHOP).where("call = 'corrected'").groupBy("who").count().collect()
+    assert {r.who for r in rows} == {"ok", "speaker"} and sum(r[1] for r in rows) == spark.read.parquet(f"{SHOP}/orders.parquet").count()
