@@ -390,15 +390,16 @@ STUDIED = ["mae", "moved_change", "moved_mae", "cut_mae", "cut_change", "expecte
 def perturbation_study(t: Tables) -> DataFrame:
     """Orders told as résumés, their lines as jobs: what moved dates and a dropped job do to four predictors."""
     jobs = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.year("l_shipdate")).alias("b")).withColumn("d", 1 + C("l_linenumber") % 4)
-    told = joined("JOB ", C("l_linenumber"), "\n", C("b"), "-", C("b") + C("d"))
-    people = jobs.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", told.alias("t"), "d"))).alias("jobs"), F.sum("d").alias("years")).where("size(jobs) >= 2")
-    line = F.concat(F.lit("cabeza\n"), F.array_join(F.transform("jobs", lambda j: j["t"]), "\n"))
-    rows = people.select((C("years") + C("l_orderkey") % 3).alias("y"), F.get("jobs", 0)["d"].alias("removed"), line.alias("plain"), text.shifted_years(line, 5).alias("moved"), text.without_block(line, 0, "^JOB").alias("cut"))
-    years = lambda c: F.transform(text.year_tokens(C(c)), lambda y: y.cast("int"))
-    signed = lambda c: F.aggregate(F.transform(years(c), lambda y, i: F.when(i % 2 == 1, y).otherwise(-y)), F.lit(0), lambda a, x: a + x)
-    rules = {"date_rule": signed, "span": lambda c: F.array_max(years(c)) - F.array_min(years(c)), "latest_year": lambda c: F.array_max(years(c)) - 1990, "fixed": lambda c: F.lit(7)}
-    texts = ("plain", "moved", "cut")
-    predicted = rows.select("y", "removed", *[rule(c).alias(f"{name}_{c}") for name, rule in rules.items() for c in texts])
+    told = lambda j: joined("JOB ", j["l_linenumber"], "\n", j["b"], "-", j["b"] + j["d"])
+    people = jobs.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "b", "d"))).alias("jobs"), F.sum("d").alias("years")).where("size(jobs) >= 2")
+    line = F.concat(F.lit("cabeza\n"), F.array_join(F.transform("jobs", told), "\n"))
+    rows = people.select((C("years") + C("l_orderkey") % 3).alias("y"), F.get("jobs", 0)["d"].alias("removed"), line.alias("plain"))
+    years = lambda c: F.transform(text.year_tokens(c), lambda y: y.cast("int"))
+    texts = {"plain": C("plain"), "moved": text.shifted_years(C("plain"), 5), "cut": text.without_block(C("plain"), 0, "^JOB")}
+    found = rows.select("y", "removed", *[years(c).alias(n) for n, c in texts.items()])  # once a text, whatever the rules ask of it
+    signed = lambda c: F.aggregate(F.transform(c, lambda y, i: F.when(i % 2 == 1, y).otherwise(-y)), F.lit(0), lambda a, x: a + x)
+    rules = {"date_rule": signed, "span": lambda c: F.array_max(c) - F.array_min(c), "latest_year": lambda c: F.array_max(c) - 1990, "fixed": lambda c: F.lit(7)}
+    predicted = found.select("y", "removed", *[rule(C(c)).alias(f"{name}_{c}") for name, rule in rules.items() for c in texts])
     study = predictors.perturbation_study(predicted, "y", "removed", {name: tuple(f"{name}_{c}" for c in texts) for name in rules})
     return study.select("model", "n", *[F.round(c, 9).alias(c) for c in STUDIED])
 

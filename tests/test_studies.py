@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparrowmill.operators import predictors, resampling, retrieval
+from sparrowmill.operators import predictors, resampling, retrieval, text
+from sparrowmill.plans import QUERIES
 
 
 def test_perturbation_like_numpy(spark):
@@ -39,3 +41,31 @@ def test_postings_of_many_terms(spark, monkeypatch):
     inside = key()
     monkeypatch.setattr(retrieval, "TERMS_INSIDE", 2)
     assert inside and key() == inside
+
+
+def test_blocks_and_years_are_sought_once_a_text(spark):
+    """However many lines a text has: neither the text nor its blocks are worked out again for each."""
+    texts = ["head\nJOB 1\n2001-2003\nJOB 2\n1999", "JOB 1\nJOB 2\nx\nJOB 3", "none 2001\n", "", None, "JOB\n", "a\n\nJOB 1999 20010"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    told = F.concat(F.col("t"), F.lit("~MARK"))
+
+    def cut(t, number):
+        lines = (t + "~MARK").split("\n")
+        begins = [i for i, x in enumerate(lines) if x.startswith("JOB")]
+        if number >= len(begins):
+            return "\n".join(lines)
+        return "\n".join(lines[: begins[number]] + lines[(begins + [len(lines)])[number + 1] :])
+
+    for number in range(4):
+        rows = df.select("t", text.without_block(told, number, "^JOB").alias("cut"))
+        assert [r.cut for r in rows.collect()] == [None if t is None else cut(t, number) for t in texts]
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("MARK") == 1
+    rows = df.select(text.shifted_years(told, 5).alias("moved"))
+    moved = lambda t: re.sub(r"(?<!\d)(19|20)\d\d(?!\d)", lambda m: str(int(m[0]) + 5), t + "~MARK")
+    assert [r.moved for r in rows.collect()] == [None if t is None else moved(t) for t in texts]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MARK") == 1
+
+
+def test_the_study_reads_each_text_once(spark):
+    plan = QUERIES["perturbation_study"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cabeza") == 1 and plan.count("regexp_extract_all") == 4  # three texts, and the years that are moved
