@@ -2,8 +2,8 @@
 
 Seed and verify.  A passage with at most k edits, cut into k + s pieces, keeps s of them whole, on
 diagonals (place in the text less place in the passage) that are at most k apart.  Pieces are up to
-eight bytes, so that they are compared exactly as 64-bit numbers, all places of a text at once; only
-where s pieces of one passage meet on near diagonals is the edit distance taken, bit-parallel.
+eight bytes, so that they are compared exactly as 64-bit numbers, all places of many texts at once, after
+a table of hashed pieces has told most places from all of them; only where s pieces of one passage meet on near diagonals is the edit distance taken, bit-parallel.
 
 The passages are a query set that meets all documents, in blocks of bounded size: every block is
 broadcast, and documents stay where they are read.
@@ -11,19 +11,22 @@ broadcast, and documents stay where they are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import alignment
+from ..scratch import spread
 from . import text
 
 #: Characters of all passages of a block, about.
 BLOCK = 1 << 21
 #: Bytes of a piece at most and, where the number of edits lets them be, at least; whole pieces asked for at most.
 LONGEST, SHORTEST, ASKED = 8, 6, 8
+#: Characters of the texts that are scanned as one, about; slots for each piece of a block, at least.
+STRETCH, SPARSE = 1 << 17, 16
 
 
 def pieces(size: int, errors: int) -> tuple[int, int, int]:
@@ -32,12 +35,15 @@ def pieces(size: int, errors: int) -> tuple[int, int, int]:
     return errors + whole, size // (errors + whole), whole
 
 
-def grams(data: np.ndarray, n: int) -> np.ndarray:
-    """All runs of ``n`` bytes as numbers."""
-    out = np.zeros(max(0, len(data) - n + 1), np.uint64)
-    for i in range(n):
-        out |= data[i : len(out) + i].astype(np.uint64) << np.uint64(8 * i)
-    return out
+def runs(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, with zeros beyond the end."""
+    padded = np.concatenate((data, np.zeros(LONGEST, np.uint8)))
+    return np.ndarray(len(data), "<u8", padded, strides=(1,)).copy()
+
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A number of so many bits for each key; most keys that differ have others."""
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
 
 
 class Seeds:
@@ -57,44 +63,69 @@ class Seeds:
         self.by = {}
         for used, found in by.items():
             found.sort()
-            self.by[used] = np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
-
-    def regions(self, data: np.ndarray) -> list[tuple[int, int, int]]:
-        """(passage, begin, end) of the parts of a text that may hold a passage."""
-        who, diagonal = [], []
-        for used, (keys, passage, offset) in self.by.items():
-            own = grams(data, used)
+            keys = np.array([f[0] for f in found], np.uint64)
+            bits = (SPARSE * len(keys)).bit_length()
+            there = np.zeros(1 << bits, bool)  # few places of a text get past it to the exact search
+            there[slots(keys, bits)] = True
+            self.by[used] = keys, np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64), bits, there
+
+    def regions(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
+        """(text, passage, begin, end) of the parts of texts that may hold a passage; the texts are scanned as one."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        wide = runs(np.frombuffer(b"".join(texts), np.uint8))
+        what, who, diagonal = [], [], []
+        for used, (keys, passage, offset, bits, there) in self.by.items():
+            own = wide & np.uint64((1 << 8 * used) - 1)
+            place = np.flatnonzero(there[slots(own, bits)])
+            text = np.searchsorted(ends, place, "right")
+            inside = place + used <= ends[text]  # no piece lies in two texts
+            place, text = place[inside], text[inside]
+            own = own[place]
             low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            place = np.flatnonzero(high > low)
-            n = (high - low)[place]
-            seed = np.repeat(low[place] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            who.append(passage[seed]), diagonal.append(np.repeat(place, n) - offset[seed])
+            n = high - low
+            seed = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            what.append(np.repeat(text, n)), who.append(passage[seed]), diagonal.append(np.repeat(place, n) - offset[seed])
         if not who:
             return []
-        i, d = np.concatenate(who), np.concatenate(diagonal)
-        order = np.lexsort((d, i))
-        i, d = i[order], d[order]
+        t, i, d = np.concatenate(what), np.concatenate(who), np.concatenate(diagonal)
+        order = np.lexsort((d, i, t))
+        t, i, d = t[order], i[order], d[order]
         other = np.arange(len(i)) + self.whole[i] - 1
         inside = np.minimum(other, len(i) - 1)
-        near = (other < len(i)) & (i[inside] == i) & (d[inside] - d <= self.errors[i])
-        i, d = i[near], d[near]
-        out: list[tuple[int, int, int]] = []
-        for passage, begin, end in zip(i.tolist(), (d - self.errors[i]).tolist(), (d + self.size[i] + 2 * self.errors[i]).tolist()):
-            if out and out[-1][0] == passage and begin <= out[-1][2]:
-                out[-1] = (passage, out[-1][1], max(end, out[-1][2]))
+        near = (other < len(i)) & (t[inside] == t) & (i[inside] == i) & (d[inside] - d <= self.errors[i])
+        t, i, d = t[near], i[near], d[near]
+        d -= (ends - sizes)[t]
+        out: list[tuple[int, int, int, int]] = []
+        for text, passage, begin, end in zip(t.tolist(), i.tolist(), (d - self.errors[i]).tolist(), (d + self.size[i] + 2 * self.errors[i]).tolist()):
+            if out and out[-1][:2] == (text, passage) and begin <= out[-1][3]:
+                out[-1] = (text, passage, out[-1][2], max(end, out[-1][3]))
             else:
-                out.append((passage, begin, end))
+                out.append((text, passage, begin, end))
         return out
 
-    def found(self, document: str) -> list[tuple[int, int, int, int]]:
-        """(passage, distance, begin, end) of the best occurrence of every passage that the text has."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for i, begin, end in self.regions(np.frombuffer(document.encode(), np.uint8)):
+    def found(self, documents: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(text, passage, distance, begin, end) of the best occurrence of every passage that each text has."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for t, i, begin, end in self.regions([d.encode() for d in documents]):
             begin = max(0, begin)
-            distance, b, e = alignment.best(self.passages[i], document[begin:end])
-            if distance <= self.errors[i] and (i not in best or (distance, begin + e) < (best[i][0], best[i][2])):
-                best[i] = distance, begin + b, begin + e
-        return [(i, *x) for i, x in sorted(best.items())]
+            distance, b, e = alignment.best(self.passages[i], documents[t][begin:end])
+            if distance <= self.errors[i] and ((t, i) not in best or (distance, begin + e) < (best[t, i][0], best[t, i][2])):
+                best[t, i] = distance, begin + b, begin + e
+        return [(*at, *x) for at, x in sorted(best.items())]
+
+
+def stretches(texts: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of neighbouring texts that hold about ``STRETCH`` characters together."""
+    first, held, size = 0, [], 0
+    for x in texts:
+        held.append(x)
+        size += len(x)
+        if size >= STRETCH:
+            yield first, held
+            first, held, size = first + len(held), [], 0
+    if held:
+        yield first, held
 
 
 def located(docs: DataFrame, anchors: DataFrame, most: float = 0.1, form: Column | None = None, doc_id: str = "doc_id", anchor_id: str = "item_id") -> DataFrame:
@@ -110,7 +141,7 @@ def located(docs: DataFrame, anchors: DataFrame, most: float = 0.1, form: Column
     sizes = asked.agg(F.sum(F.length("__form"))).first()[0] or 0
     blocks = -(-sizes // BLOCK)
     kind = anchors.schema[anchor_id].dataType.simpleString()
-    own = docs.select(F.col(doc_id), form.alias("__form")).where("__form <> ''")
+    own = spread(docs, doc_id).select(F.col(doc_id), form.alias("__form"))  # a filter on the form would have it made twice
     schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {anchor_id} {kind}, distance int, begin int, end int"
     out = own.sparkSession.createDataFrame([], schema)
     for block in range(blocks):
@@ -121,7 +152,8 @@ def located(docs: DataFrame, anchors: DataFrame, most: float = 0.1, form: Column
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, seeds = shared.value
             for batch in batches:
-                found = [(i, ids[a], d, b, e) for i, t in zip(batch[doc_id], batch["__form"]) for a, d, b, e in seeds.found(t)]
+                own = batch[doc_id].array
+                found = [(own[first + t], ids[a], d, b, e) for first, texts in stretches("" if t is None else t for t in batch["__form"]) for t, a, d, b, e in seeds.found(texts)]
                 yield pd.DataFrame(found, columns=[doc_id, anchor_id, "distance", "begin", "end"])
 
         out = out.unionByName(own.mapInPandas(search, schema))

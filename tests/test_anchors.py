@@ -113,3 +113,28 @@ def test_evidence_near_a_phrase():
     assert evidence.nearest("gerente comercial", said) is None
     assert evidence.nearest("", said) is None and evidence.nearest("x", "") is None
     assert evidence.coverage("abcd", "zzabxdzz") == 0.75 and evidence.coverage("", "a") == 0.0
+
+
+def test_documents_are_dealt_and_folded_once(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(4000)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "text number 3999")], "item_id int, text string")
+    got = anchors.located(docs, items, 0.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert got.rdd.getNumPartitions() > 1
+    assert [tuple(r) for r in got.collect()] == [(3999, 1, 0, 0, 16)]
+
+
+def test_texts_scanned_as_one_stay_apart(monkeypatch):
+    """The same is found in a text whatever stands beside it, in stretches of any size; nothing lies across two texts."""
+    rnd = random.Random(3)
+    say = lambda n: " ".join(rnd.choice(["tax", "law", "of", "act", "x1"]) for _ in range(n))
+    items = ["a", "ab", "tax law"] + [say(rnd.choice([3, 8, 20])) for _ in range(12)]
+    texts = [items[-1][:20], items[-1][20:], "", "a"] + [noisy(rnd, rnd.choice(["", say(9)]) + rnd.choice(items), rnd.choice([0, 1, 4])) for _ in range(60)] + ["", items[-1]]
+    seeds = anchors.Seeds(items, [len(x) // 10 for x in items])
+    want = [(t, i, *b) for t, x in enumerate(texts) for i, p in enumerate(items) if (b := plain(p, x))[0] <= len(p) // 10]
+    assert len(want) > 60 and seeds.found(texts) == want
+    for stretch in (1, 100, 1 << 17):
+        monkeypatch.setattr(anchors, "STRETCH", stretch)
+        assert [(first + t, *f) for first, held in anchors.stretches(texts) for t, *f in seeds.found(held)] == want
+    assert anchors.Seeds([], []).found(texts) == [] and list(anchors.stretches([])) == []
