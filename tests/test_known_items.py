@@ -65,7 +65,8 @@ def test_blocks_like_full_counts(monkeypatch, at_once, table):
 def test_retrievers_leave_no_words_and_list_no_best(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pruned, "best", None)  # ten rows for each question and block
     monkeypatch.setattr(scratch, "shared_root", lambda spark: f"file://{tmp_path}/scratch")
-    assert plans.QUERIES["retriever_comparison"](spark, SF).count() > 1
+    for query in ("retriever_comparison", "chunk_retrieval"):
+        assert plans.QUERIES[query](spark, SF).count() > 1
     left = sum(p.stat().st_size for p in Path(tmp_path, "scratch").rglob("*.parquet"))
     assert left < Path(SF, "documents.parquet").stat().st_size / 2
 
