@@ -18,7 +18,7 @@ def a_corpus(spark):
     rnd = np.random.default_rng(11)
     held = [[f"w{w}" for w in np.minimum(rnd.zipf(1.3, n), 300)] for n in rnd.integers(1, 40, 260)]
     held += [held[i] for i in range(40)] + [["w1"] * 300] * 3 + [[]]
-    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, words array<string>").repartition(5, "doc_id")
+    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, words array<string>").repartition(25, "doc_id")
     asked = {q: [*dict.fromkeys(held[q][:4]), "w1", "none", None] for q in range(0, 60, 2)}
     sought = spark.createDataFrame([(q, words, d, held[d]) for q, words in asked.items() for d in (q, 260 - q, 303)], "query_id long, asked array<string>, doc_id long, words array<string>")
     return docs, asked, sought
@@ -30,7 +30,7 @@ def test_ranks_of_full_scores(spark, monkeypatch, k):
     scored = retrieval.bm25(docs, spark.createDataFrame([(q, [w for w in words if w]) for q, words in asked.items()], "query_id long, words array<string>"))
     best = retrieval.top(scored, k, [F.desc(F.round("score", 9)), F.col("doc_id")]).join(sought.select("query_id", "doc_id"), ["query_id", "doc_id"])
     wanted = sorted(tuple(r) for r in best.groupBy("query_id").agg(F.min("rank"), F.min_by("doc_id", "rank")).collect())
-    for name, value in {"WORDS_A_BLOCK": 900, "DOCUMENTS_A_BLOCK": 90, "QUESTIONS_A_ROW": 7, "QUESTIONS_AT_ONCE": 11}.items():
+    for name, value in {"WORDS_A_BLOCK": 900, "DOCUMENTS_A_BLOCK": 90, "QUESTIONS_A_ROW": 7, "QUESTIONS_AT_ONCE": 11, "FEW_OF": 1}.items():
         monkeypatch.setattr(known_items, name, value)
     assert sorted(tuple(r) for r in known_items.ranks(docs, sought, k).collect()) == wanted and len(wanted) > 10
 
